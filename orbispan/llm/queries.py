@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbispan.llm import shards, simhash
+from orbispan.llm import packing, quality, secrets, shards, simhash
 from orbispan.llm.common import read_table
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return secrets.digest_columns(found).withColumnRenamed("id", "doc_id")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), size=2048).withColumnRenamed("id", "doc_id")
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_shards(read_table(spark, sf_dir, "documents"), shards=24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -22,6 +35,9 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pu_quality": op3_pu_quality,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
