@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once for each application, wherever it was imported from."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        out = Path(tempfile.mkdtemp(prefix="orbispan-code-")) / "orbispan.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(out))
+        _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -97,7 +121,7 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa.
             if out is not None and out.num_rows:
                 yield out
 
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_arrow(df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def with_grid(df: DataFrame, key: str, ident: str, cap: int) -> DataFrame:

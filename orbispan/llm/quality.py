@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbispan.llm.common import stored, texts_of
+from orbispan.llm.common import map_arrow, stored, texts_of
 
 #: Bounds of the fit: rows drawn of each kind.
 MAX_POSITIVES = 20_000
@@ -61,7 +61,7 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, x array<double>")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, x array<double>")
 
 
 @dataclass
@@ -155,7 +155,7 @@ def score_quality(features: DataFrame, model: QualityModel) -> DataFrame:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["id", "score"])
 
-    return features.mapInArrow(run, f"id {features.schema['id'].dataType.simpleString()}, score double")
+    return map_arrow(features, run, f"id {features.schema['id'].dataType.simpleString()}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **bounds) -> DataFrame:
@@ -179,4 +179,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = np.array([text_features(t) for _, texts in texts_of(b.column(text_col)) for t in texts]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbispan.llm import packing, quality, secrets, shards, simhash
+from orbispan.llm import packing, pq, quality, secrets, shards, simhash
 from orbispan.llm.common import read_table
 
 
@@ -24,6 +24,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), size=2048).withColumnRenamed("id", "doc_id")
 
 
+def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_shards(read_table(spark, sf_dir, "documents"), shards=24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pu_quality": op3_pu_quality,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_pq_near_dedup": op8_pq_near_dedup,
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_bktree": op10_simhash_bktree,
 }

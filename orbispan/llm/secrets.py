@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbispan.llm.common import texts_of
+from orbispan.llm.common import map_arrow, texts_of
 from orbispan.llm.tokens import byte_bpe
 
 # The base patterns of the contract.
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redact(text: str | None, spans: Iterable[tuple[int, int]], mark: str = "[SECRET]") -> str | None:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbispan.llm.common import BROADCAST_ROWS, Forest, components, fresh, join_small, map_runs, stored, texts_of, with_grid
+from orbispan.llm.common import BROADCAST_ROWS, Forest, components, fresh, join_small, map_arrow, map_runs, stored, texts_of, with_grid
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -81,7 +81,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp long")
 
 
 class BKTree:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     f[i] = _signed(vocabulary_fingerprint(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(l), pa.array(f)], ["id", "h", "l", "fp"])
 
-    prints = stored(base.mapInArrow(run, "id long, h long, l long, fp long"), "document-prints")
+    prints = stored(map_arrow(base, run, "id long, h long, l long, fp long"), "document-prints")
     texts = stored(prints.groupBy("h", "l", "fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-texts")
     prints_of = texts.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     links = fingerprint_links(prints_of.select("fp"), radius, 2, cap)
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["g", "id", "s"])
 
     n_cand = cand.count()
-    sets = join_small(base, cand, ["id"], "inner", n_cand).select(F.col(group).alias("g"), "id", "text").mapInArrow(shingles, "g long, id long, s array<long>")
+    sets = map_arrow(join_small(base, cand, ["id"], "inner", n_cand).select(F.col(group).alias("g"), "id", "text"), shingles, "g long, id long, s array<long>")
     sets = with_grid(stored(sets, "shingle-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
 
     def verify(key, rows):
