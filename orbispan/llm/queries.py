@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbispan.llm import packing, pq, quality, secrets, shards, simhash
+from orbispan.llm import decontam, lines, packing, pq, quality, secrets, shards, simhash
 from orbispan.llm.common import read_table
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8)
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -24,6 +29,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), size=2048).withColumnRenamed("id", "doc_id")
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_recurring_lines(read_table(spark, sf_dir, "documents"), count_col="n_dropped")
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "n_dropped", F.octet_length(text).cast("long").alias("bytes_left"), F.crc32(text.cast("binary")).alias("text_crc32"))
+
+
 def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pq.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -40,9 +51,11 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_decontamination": op1_simhash_decontamination,
     "op3_pu_quality": op3_pu_quality,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_templates": op7_line_templates,
     "op8_pq_near_dedup": op8_pq_near_dedup,
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_bktree": op10_simhash_bktree,
