@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbispan.llm import decontam, lines, packing, pq, quality, secrets, shards, simhash
+from orbispan.llm import decontam, lines, packing, pii, pq, quality, secrets, shards, simhash, warc
 from orbispan.llm.common import read_table
 
 
@@ -16,10 +16,33 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
 
 
+#: Replaces the key that a deployment passes in; surrogates depend on it alone.
+DEMO_KEY = b"orbispan-demo-key"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.with_surrogates(read_table(spark, sf_dir, "documents"), DEMO_KEY, count_col="n_entities", kinds_col="kinds")
+    return done.select("doc_id", "n_entities", "kinds", "text")
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+RECORDS_PER_FILE = 1024
+
+
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as WARC files against a replica of them in which every 97th record has rotted: its first byte became '~'."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    files = max(1, -(-pages.count() // RECORDS_PER_FILE))
+    rot = (F.pmod("page_id", F.lit(97)) == 13) & (F.length("html") > 0)
+    copy = pages.withColumn("html", F.when(rot, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    by_id = F.pmod(F.col("id"), F.lit(files)).cast("int")
+    found = warc.audit(*[warc.laid_out(warc.warc_records(x), files, by_id) for x in (pages, copy)])
+    return found.select(F.col("id").alias("page_id"), "file", "ordinal", "offset", "length", "kind")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
     return secrets.digest_columns(found).withColumnRenamed("id", "doc_id")
@@ -52,7 +75,9 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_decontamination": op1_simhash_decontamination,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_pu_quality": op3_pu_quality,
+    "op4_merkle_audit": op4_merkle_audit,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_templates": op7_line_templates,
@@ -60,4 +85,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_merkle_audit": """
+WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS files FROM pages),
+sized AS (
+  SELECT page_id, html, CAST(((page_id % files) + files) % files AS INTEGER) AS file,
+    strlen('WARC/1.1') + 2 + strlen('WARC-Type: resource') + 2 + strlen('WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '-') || '>') + 2
+    + strlen('WARC-Target-URI: ' || coalesce(url, '-')) + 2 + strlen('WARC-Block-Digest: sha256:') + 64 + 2
+    + strlen('Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages, n),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+  FROM sized WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT page_id, file, CAST(ordinal AS INTEGER) AS ordinal, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, 'corrupt' AS kind
+FROM placed WHERE ((page_id % 97) + 97) % 97 = 13 AND length(html) > 0 AND html[1] <> '~'
+""",
+}
