@@ -3,8 +3,9 @@
 Coarse inverted lists hold residual subspace codes. A query probes every list whose border with its own list is near
 enough, scans their codes with an asymmetric distance table, and reranks candidates by exact cosine in double precision.
 Codes keep their own error, so the scan never loses a pair (triangle inequality); only the choice of lists can, and
-`reach` bounds that. Lists are searched in bounded cells, so a list with most of the vectors is many tasks. A cell emits
-counts and a spanning forest, never all its pairs. Equal vectors are one class, which is searched once.
+`reach` bounds that. A list's members and its queries are cut into bounded parts and each pair of parts is a cell, so a
+list with most of the vectors is many tasks. A cell emits counts and a spanning forest, never all its pairs. Equal vectors
+are one class, which is searched once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbispan.llm.common import components, map_arrow, map_runs, stored, with_grid
+from orbispan.llm.common import components, map_arrow, map_runs, stored
 
 #: Bounds of the fit: vectors drawn by hash, coarse lists, rows a list should have.
 MAX_SAMPLE = 32_768
@@ -110,7 +111,7 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, reach: float = 3.5, cap: int = 2048, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, reach: float = 2.5, cap: int = 2048, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """id, n_links, component: links are pairs with at least the given cosine.
 
     Null, zero and non-finite vectors, those with null components and those of another length than the most frequent one
@@ -148,51 +149,48 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
             own, near = probed(index, x, radius, reach)
             codes, left = encode(index, x, own)
-            at, lists = np.nonzero(near)
+            at, where = np.nonzero(near)
+            home = own[at] == where
+            code = [codes[i].tobytes() if h else None for i, h in zip(at.tolist(), home.tolist())]
             take = pa.array(at)
-            where = [np.flatnonzero(r).astype(np.int32) for r in near]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.astype(np.int64)), pa.array(own[at].astype(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array([codes[i].tobytes() for i in at], pa.binary()), pa.array(left[at]), b.column(2).take(take), pa.array([where[i] for i in at], pa.list_(pa.int32()))],
-                ["list", "own", "rep", "n", "code", "err", "u", "probes"],
+                [pa.array(where.astype(np.int64)), pa.array(own[at].astype(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(code, pa.binary()), pa.array(left[at]), b.column(2).take(take)],
+                ["list", "own", "rep", "n", "code", "err", "u"],
             )
 
-    dealt = map_arrow(classes.select("rep", "n", "u"), deal, "list long, own long, rep long, n long, code binary, err double, u array<double>, probes array<int>")
-    dealt = with_grid(stored(dealt, "inverted-lists"), "list", "rep", cap)
-    dealt = dealt.select("list", "cell_a", "cell_b", "part", "own", "rep", "n", "code", "err", "u", "probes")
+    listed = stored(map_arrow(classes.select("rep", "n", "u"), deal, "list long, own long, rep long, n long, code binary, err double, u array<double>"), "inverted-lists")
+    dealt = _cells(listed, cap).select("list", "m_part", "q_part", "ask", "own", "rep", "n", "code", "err", "u")
 
     def scan(key, rows):
-        at, a, b = key
-        part, own, rep = (rows.column(c).to_numpy() for c in ("part", "own", "rep"))
-        n, err = rows.column("n").to_numpy(), rows.column("err").to_numpy()
+        at = key[0]
+        ask, own, rep, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("ask", "own", "rep", "n"))
+        q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
+        if not len(q) or not len(m):
+            return None
         x = rows.column("u").combine_chunks().flatten().to_numpy().reshape(len(rep), dim)
-        code = np.frombuffer(b"".join(rows.column("code").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
-        probes = np.zeros((len(rep), len(index.centroids)), dtype=bool)
-        lists = rows.column("probes").combine_chunks()
-        probes[np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+        code = np.frombuffer(b"".join(rows.column("code").take(pa.array(m)).to_pylist()), dtype=np.uint8).reshape(len(m), -1)
+        limit = radius + rows.column("err").to_numpy()[m][None] + 1e-9
+        elsewhere = probed(index, x[m], radius, reach)[1]
         pairs = []
-        for ask_part, list_part in {(a, b), (b, a)}:
-            ask, member = np.flatnonzero(part == ask_part), np.flatnonzero((part == list_part) & (own == at))
-            for lo in range(0, len(ask) if len(member) else 0, 256):
-                q = ask[lo : lo + 256]
-                near = np.sqrt(np.maximum(0, _asymmetric(index, x[q], at, code[member]))) <= radius + err[member][None] + 1e-9
-                i, j = np.nonzero(near)
-                i, j = q[i], member[j]
-                # a pair that meets in two lists, or twice in this one, counts where the smaller id asks
-                once = (rep[i] < rep[j]) | (own[i] != at) & ~probes[j, own[i]]
-                i, j = i[once & (i != j)], j[once & (i != j)]
-                good = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-                pairs.append((i[good], j[good]))
-        if not pairs:
-            return None
+        for lo in range(0, len(q), 256):
+            part = q[lo : lo + 256]
+            i, j = np.nonzero(_asymmetric(index, x[part], at, code) <= limit * limit)
+            i, k = part[i], j
+            j = m[k]
+            # a pair that meets in two lists, or twice in this one, counts where the smaller id asks
+            once = (rep[i] < rep[j]) | (rep[i] > rep[j]) & (own[i] != at) & ~elsewhere[k, own[i]]
+            i, j = i[once], j[once]
+            good = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+            pairs.append((i[good], j[good]))
         i, j = (np.concatenate(p) for p in zip(*pairs))
-        links = np.zeros(len(rep), dtype=np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
-        some = np.flatnonzero(links)
-        head = _heads(i, j, rep)
-        return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some]), pa.array(head[some])], ["rep", "links", "other"])
-
-    found = stored(map_runs(dealt, ["list", "cell_a", "cell_b"], scan, "rep long, links long, other long"), "vector-links")
+        ids, spot = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
+        i_at, j_at = spot[: len(i)], spot[len(i) :]
+        links = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(links, i_at, n[j])
+        np.add.at(links, j_at, n[i])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(_heads(i_at, j_at, ids))], ["rep", "links", "other"])
+
+    found = stored(map_runs(dealt, ["list", "m_part", "q_part"], scan, "rep long, links long, other long"), "vector-links")
     comp = components(found.select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -200,6 +198,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return base.join(named, "u", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
 
 
+def _cells(listed: DataFrame, cap: int) -> DataFrame:
+    """Every query of a list with every member of it, in cells of at most about 2 * cap queries and cap members."""
+    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / (2 * cap)).alias("kq"), F.ceil(F.greatest(F.lit(1), F.count_if(F.col("own") == F.col("list"))) / cap).alias("km"))
+    both = listed.join(F.broadcast(sizes), "list")  # one row a list, MAX_LISTS at most
+    part = lambda k, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1))
+    queries = both.withColumns({"ask": F.lit(True), "q_part": part("kq", 98), "m_part": every("km")})
+    members = both.where("own = list").withColumns({"ask": F.lit(False), "m_part": part("km", 97), "q_part": every("kq")})
+    return queries.unionByName(members)
+
+
 def _heads(i: np.ndarray, j: np.ndarray, rep: np.ndarray) -> np.ndarray:
     """The smallest id that the pairs (i, j) of one cell connect each row with."""
     head = rep.copy()
