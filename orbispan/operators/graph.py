@@ -1,0 +1,36 @@
+"""Connected groups of string-named pairs, found by rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orbispan-"))
+    return df.checkpoint()
+
+
+def groups_of_pairs(pairs: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+    """pairs with component: the least label reachable over shared left or right names.
+
+    Each round gives every name the least label of its pairs and every pair the least of its names, with one jump to the
+    label of that label. Labels only fall, so it ends; checkpoints cut the lineage.
+    """
+    label = F.least(F.concat(F.lit("a:"), left), F.concat(F.lit("b:"), right))
+    edges = _checkpointed(pairs.select(left, right).distinct().withColumn("component", label))
+    for _ in range(max_rounds):
+        by_left = edges.groupBy(left).agg(F.min("component").alias("l"))
+        by_right = edges.groupBy(right).agg(F.min("component").alias("r"))
+        new = edges.join(by_left, left).join(by_right, right).withColumn("low", F.least("l", "r"))
+        jump = new.groupBy("component").agg(F.min("low").alias("to"))
+        new = _checkpointed(new.join(jump, "component").select(left, right, F.least("low", "to").alias("next"), F.col("component").alias("was")))
+        changed = not new.where("next <> was").isEmpty()
+        edges = new.select(left, right, F.col("next").alias("component"))
+        if not changed:
+            return pairs.join(edges, [left, right])
+    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")

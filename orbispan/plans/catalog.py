@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orbispan.plans import q_benchmark, q_enrich, q_hotspots, q_intervals, q_process, q_repeats, q_sequences, q_simulate
+from orbispan.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "q_benchmark", "q_enrich", "q_hotspots", "q_intervals", "q_process", "q_repeats", "q_sequences", "q_simulate"]
