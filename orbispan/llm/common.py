@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbispan.operators.runs import map_runs
+from orbispan.shipping import ship
+
 #: Rows that may be broadcast without a further check; each such table has at most a few fixed-width columns.
 BROADCAST_ROWS = 100_000
 
+__all__ = ["BROADCAST_ROWS", "Forest", "components", "drop_stored", "fresh", "join_small", "map_arrow", "map_runs", "read_table", "scratch_dir", "ship", "stored", "texts_of", "utf8_bytes", "with_grid"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,22 +32,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once for each application, wherever it was imported from."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        out = Path(tempfile.mkdtemp(prefix="orbispan-code-")) / "orbispan.zip"
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(out))
-        _shipped.add(app)
-
-
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
@@ -87,41 +73,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-# --- runs of equal keys within a partition ---------------------------------------------------------------------------
-
-
-def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Split sorted batches into (key, rows) runs over the first n_keys integer columns; only one run is held."""
-    held: list[pa.RecordBatch] = []
-    held_key: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(keys[lo].tolist())
-            if held and key != held_key:
-                yield held_key, pa.Table.from_batches(held)
-                held = []
-            held_key = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield held_key, pa.Table.from_batches(held)
-
-
-def map_runs(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply fn to each group of equal integer keys. Thousands of tiny groups share one Python task and its batches."""
-    n = len(keys)
-    rest = [c for c in df.columns if c not in keys]
-
-    def run(batches):
-        for key, rows in key_runs(batches, n):
-            out = fn(key, rows)
-            if out is not None and out.num_rows:
-                yield out
-
-    return map_arrow(df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys), run, schema)
+# --- hot groups -----------------------------------------------------------------------------------------------------
 
 
 def with_grid(df: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
