@@ -1,0 +1,88 @@
+"""Simulated regions and molecules. Every draw is a hash of (seed, id, salt), so results do not depend on partitions."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def unit(seed: int, salt: int, *keys: str | Column) -> Column:
+    """Uniform in (0, 1) from the keys."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def normal(seed: int, salt: int, *keys: str | Column) -> Column:
+    """Standard normal by Box and Muller."""
+    return F.sqrt(F.lit(-2.0) * F.log(unit(seed, salt, *keys))) * F.cos(F.lit(2 * math.pi) * unit(seed, salt + 1, *keys))
+
+
+def lengths(seed: int, key: str | Column, mode: int = 400, sigma: float = 0.8, low: int = 50, high: int = 50_000, tail: float = 0.05) -> Column:
+    """Log-normal around the mode, or log-uniform up to `high` with probability `tail`; of eight draws the first in bounds."""
+    mu = math.log(mode) + sigma * sigma
+    draws = [F.floor(F.exp(F.lit(mu) + F.lit(sigma) * normal(seed, 10 + 2 * i, key))) for i in range(8)]
+    body = F.coalesce(*[F.when(d.between(low, high), d) for d in draws], F.lit(mode))
+    long = F.floor(F.exp(F.lit(math.log(max(low, 5000))) + unit(seed, 40, key) * F.lit(math.log(high / max(low, 5000)))))
+    return F.when(unit(seed, 41, key) < tail, long).otherwise(body).cast("bigint")
+
+
+def placed(ids: DataFrame, genome: DataFrame, seed: int, key: str = "id", length: str = "length") -> DataFrame:
+    """ids with chrom, start, end: chromosomes by size, starts uniform; the genome is a few rows."""
+    w = Window.orderBy("chrom")
+    spans = genome.withColumn("_hi", F.sum("size").over(w)).withColumn("_lo", F.col("_hi") - F.col("size"))
+    total = spans.agg(F.max("_hi").alias("_total"))
+    at = ids.crossJoin(F.broadcast(total)).withColumn("_at", F.floor(unit(seed, 50, key) * F.col("_total")))
+    put = at.join(F.broadcast(spans), (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    start = F.floor(unit(seed, 51, key) * F.greatest(F.lit(1), F.col("size") - F.col(length) + 1)).cast("bigint")
+    return put.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col(length), F.col("size"))).drop("_at", "_total", "_hi", "_lo", "size")
+
+
+def simple_regions(spark: SparkSession, genome: DataFrame, n: int, seed: int = 42, prefix: str = "UeccDNA") -> DataFrame:
+    """name, chrom, start, end, length, strand: n unique regions; of those with equal coordinates the first stays."""
+    ids = spark.range(n).withColumn("length", lengths(seed, "id"))
+    out = placed(ids, genome, seed).withColumn("strand", F.when(unit(seed, 60, "id") < 0.5, "+").otherwise("-"))
+    first = out.groupBy("chrom", "start", "end").agg(F.min(F.struct("id", "strand")).alias("m")).select("chrom", "start", "end", "m.id", "m.strand")
+    return first.select(F.concat(F.lit(f"{prefix}_"), F.lpad((F.col("id") + 1).cast("string"), 6, "0")).alias("name"), "chrom", "start", "end", (F.col("end") - F.col("start")).alias("length"), "strand")
+
+
+def chimeric_regions(spark: SparkSession, genome: DataFrame, n: int, seed: int = 42, shares: Sequence[float] = (0.80, 0.15, 0.04, 0.01), low: int = 100, high: int = 5000) -> DataFrame:
+    """name, fragments array<struct<chrom, start, end>>, length: two to five fragments of uniform length each."""
+    u, edge = unit(seed, 70, "id"), 0.0
+    count = F.lit(len(shares) + 1)
+    for i, s in reversed(list(enumerate(shares[:-1]))):
+        edge = sum(shares[: i + 1])
+        count = F.when(u < edge, i + 2).otherwise(count)
+    parts = spark.range(n).withColumn("k", count).select("id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("part"))
+    parts = parts.withColumn("key", F.col("id") * 8 + F.col("part")).withColumn("length", F.floor(F.lit(low) + unit(seed, 71, "key") * (high - low + 1)).cast("bigint"))
+    put = placed(parts, genome, seed + 1, "key")
+    frag = F.sort_array(F.collect_list(F.struct("part", "chrom", "start", "end")))
+    out = put.groupBy("id").agg(F.transform(frag, lambda x: F.struct(x["chrom"].alias("chrom"), x["start"].alias("start"), x["end"].alias("end"))).alias("fragments"))
+    return out.select(F.concat(F.lit("CeccDNA_"), F.lpad((F.col("id") + 1).cast("string"), 6, "0")).alias("name"), "fragments", F.aggregate("fragments", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]).alias("length"))
+
+
+def rolled_molecules(regions: DataFrame, seed: int = 42, least: int = 50_000, repeats: int = 5, coverage: float = 1.0) -> DataFrame:
+    """Molecules of rolling-circle copies: name, cut, molecule_length, repeat_count, residual, realcov, tempcov.
+
+    Each circle is cut at a random base and copied to the longer of `least` and `repeats` circles; its coverage is a
+    gamma draw of shape 2.5 with mean `coverage`, corrected by the copies. Sequences stay implied by region and cut.
+    """
+    draw = sum((-F.log(unit(seed, 80 + i, "name")) for i in range(2)), F.lit(0.0)) + F.pow(normal(seed, 90, "name"), F.lit(2.0)) / 2
+    total = F.greatest(F.lit(least), F.col("length") * repeats)
+    out = regions.withColumns({"cut": F.floor(unit(seed, 95, "name") * F.col("length")).cast("bigint"), "molecule_length": total, "repeat_count": F.floor(total / F.col("length")).cast("int"), "residual": total % F.col("length"), "realcov": draw * (coverage / 2.5)})
+    return out.withColumn("tempcov", F.col("realcov") * F.col("length") / F.col("molecule_length"))
+
+
+def scaled_coverages(molecules: DataFrame, coverages: Sequence[float], base: float) -> DataFrame:
+    """One copy of the molecules for each coverage, with realcov and tempcov scaled."""
+    levels = molecules.sparkSession.createDataFrame([(float(c),) for c in coverages], "coverage double")
+    out = molecules.crossJoin(F.broadcast(levels))
+    return out.withColumns({c: F.col(c) * F.col("coverage") / base for c in ("realcov", "tempcov")})
+
+
+def read_truth(reads: DataFrame, pool: DataFrame) -> DataFrame:
+    """read_id, platform, source_mol_id and its pool row; empty texts where the molecule is unknown."""
+    p = pool.select(F.col("id").alias("source_mol_id"), "ecc_ids", "repeat_count", "is_background", "source_ecc_length", "background_region")
+    out = reads.join(p, "source_mol_id", "left")
+    return out.select("read_id", "platform", "source_mol_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in p.columns[1:]])

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", q: str = "q_value") -> DataFrame:
@@ -49,7 +50,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()
     agg = ranked.groupBy(*keys).agg(F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.coalesce(F.sum(F.when(F.col(group), F.col("_r"))), F.lit(0.0)).alias("_s"), F.sum(F.col("_ties").cast("double") * F.col("_ties") - 1).alias("_t"))
     agg = agg.withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def p_value(n1: pd.Series, n2: pd.Series, u: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([mwu_p(int(a), int(b), x, y) for a, b, x, y in zip(n1, n2, u, t)])
 
@@ -89,12 +90,12 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in map(log_p, range(lo, hi + 1)) if x <= own + 1e-7))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_p(*map(int, x)) for x in zip(a, b, c, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def poisson_at_least(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X >= k) of a Poisson variable."""
 

@@ -1,0 +1,40 @@
+"""Queries that simulate on top of the tables: as many regions as there are annotations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orbispan.operators import simulate
+from orbispan.plans.registry import query
+from orbispan.plans.views import ctes, ecc, genome, table
+
+
+@query()
+def simulate_regions(spark, d):
+    n = table(spark, d, "orders").count()
+    return simulate.simple_regions(spark, genome(spark), n)
+
+
+@query()
+def simulate_chimeric(spark, d):
+    n = table(spark, d, "orders").count() // 2
+    out = simulate.chimeric_regions(spark, genome(spark), n)
+    return out.select("name", "length", F.size("fragments").alias("n_fragments"))
+
+
+@query()
+def simulate_molecules(spark, d):
+    m = simulate.rolled_molecules(ecc(spark, d).select("name", "length"))
+    return simulate.scaled_coverages(m, (5.0, 30.0), 30.0).select("name", "coverage", "repeat_count", "residual", "tempcov")
+
+
+@query(ctes("ecc") + """ SELECT name, greatest(50000, length * 5) AS molecule_length, CAST(greatest(50000, length * 5) // length AS INTEGER) AS repeat_count, greatest(50000, length * 5) % length AS residual FROM ecc""")
+def rolled_molecules(spark, d):
+    return simulate.rolled_molecules(ecc(spark, d).select("name", "length")).select("name", "molecule_length", "repeat_count", "residual")
+
+
+@query("""SELECT e.event_id AS read_id, 'NGS' AS platform, CAST(e.user_id AS VARCHAR) AS source_mol_id, coalesce(c.c_mktsegment, '') AS ecc_ids, coalesce(CAST(c.c_nationkey AS VARCHAR), '') AS repeat_count FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 3 <> 0""")
+def read_truth(spark, d):
+    reads = table(spark, d, "events").select(F.col("event_id").alias("read_id"), F.lit("NGS").alias("platform"), F.col("user_id").cast("string").alias("source_mol_id"))
+    pool = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("ecc_ids"), F.col("c_nationkey").alias("repeat_count"), F.lit(False).alias("is_background"), F.lit(0).alias("source_ecc_length"), F.lit("").alias("background_region"))
+    return simulate.read_truth(reads, pool).select("read_id", "platform", "source_mol_id", "ecc_ids", "repeat_count")
