@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbispan.functions.regions import midpoint
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
 from orbispan.operators.intervals import nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
-from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney
+from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson
 
 
 def count_by_category(ecc: DataFrame, regions: DataFrame, category: str) -> DataFrame:
@@ -128,14 +128,13 @@ def replicate_correlations(pairs: DataFrame) -> DataFrame:
     out = pairs
     for c in ("x", "y", "nx", "ny"):
         out = average_ranks(out, c, f"r_{c}", keys).drop("_ties")
-    g = lambda a, b, n: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b)).alias(n)
+    g = lambda a, b, n: pearson(a, b).alias(n)
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), g("x", "y", "pearson"), g("r_x", "r_y", "spearman"), g("nx", "ny", "norm_pearson"), g("r_nx", "r_ny", "norm_spearman"))
 
 
 def intra_chromosome_correlations(pairs: DataFrame, least: int = 20) -> DataFrame:
     """chrom, pearson: mean over replicate pairs of chromosomes with at least `least` windows."""
-    g = F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y"))
-    per = pairs.groupBy("chrom", "rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n"), g.alias("r")).where(F.col("n") >= least)
+    per = pairs.groupBy("chrom", "rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r")).where(F.col("n") >= least)
     return per.groupBy("chrom").agg(F.avg("r").alias("pearson"), F.count("r").alias("n_pairs"))
 
 

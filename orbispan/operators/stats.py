@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -113,12 +113,16 @@ def poisson_at_least(k: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series([tail(int(x), float(m)) for x, m in zip(k, mean)])
 
 
+def pearson(x: str, y: str) -> Column:
+    """Coefficient of two columns as an aggregate; null when a side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, pearson, spearman; null when a side is constant."""
     rx = average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_rx", keys).drop("_ties")
     ry = average_ranks(rx, y, "_ry", keys).drop("_ties")
-    guard = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-    return ry.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guard(x, y).alias("pearson"), guard("_rx", "_ry").alias("spearman"))
+    return ry.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
 
 
 def moving_average(df: DataFrame, value: str, order: str, width: int, keys: Sequence[str] = (), out: str = "smooth") -> DataFrame:

@@ -49,7 +49,7 @@ def cnv_correlation(spark, d):
     return enrich.replicate_correlations(p).select("rep_a", "rep_b", "n", r("pearson"), r("spearman"), r("norm_pearson"))
 
 
-@query(_PAIRS + """, per AS (SELECT chrom, rep_a, rep_b, corr(x, y) AS r FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 20) SELECT chrom, round(avg(r), 6) AS pearson, count(r) AS n_pairs FROM per GROUP BY 1""")
+@query(_PAIRS + """, per AS (SELECT chrom, rep_a, rep_b, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS r FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 20) SELECT chrom, round(avg(r), 6) AS pearson, count(r) AS n_pairs FROM per GROUP BY 1""")
 def cnv_intra_chromosome(spark, d):
     p = enrich.density_pairs(ecc(spark, d), annot(spark, d), genome(spark), 100_000)
     return enrich.intra_chromosome_correlations(p).withColumn("pearson", F.round("pearson", 6))
@@ -62,7 +62,7 @@ def cnv_correlation_excluding(spark, d):
     p = enrich.density_pairs(ecc(spark, d), annot(spark, d), genome(spark), 100_000)
     far = enrich.most_altered(enrich.chromosome_cnv(annot(spark, d), genome(spark)))
     kept = p.join(F.broadcast(far.select("chrom")), "chrom", "left_anti")
-    return kept.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"))
+    return kept.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n"), F.round(stats.pearson("x", "y"), 6).alias("pearson"))
 
 
 @query()
