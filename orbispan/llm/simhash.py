@@ -59,25 +59,19 @@ def fingerprint(text: str | None, k: int) -> int:
     return majority_bits(shingle_digests(words_of(text), k))
 
 
-def vocabulary_fingerprint(text: str | None) -> int:
-    """Fingerprint over the set of a text's words: one changed word moves few bits, so a small radius has full recall."""
-    digest = xxhash.xxh64_digest
-    return majority_bits(b"".join(digest(w, 42) for w in sorted(set(words_of(text)))))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int | None) -> DataFrame:
-    """id, fp (signed 64-bit). shingle None: the vocabulary fingerprint."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, fp (signed 64-bit)."""
 
     def run(batches):
         for b in batches:
             out = np.empty(b.num_rows, dtype=np.int64)
             for lo, texts in texts_of(b.column(1)):
                 for i, t in enumerate(texts, lo):
-                    out[i] = _signed(vocabulary_fingerprint(t) if shingle is None else fingerprint(t, shingle))
+                    out[i] = _signed(fingerprint(t, shingle))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -184,42 +178,137 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_digests(words_of(text), k), dtype=">u8").astype(np.uint64))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 8, cap: int = 1200) -> DataFrame:
+#: Shingles that a task sorts at once, and those of a bucket, about.
+FLUSH_SHINGLES = 1 << 20
+_BUCKET_ROWS = "bucket int, kind int, ids binary, counts binary, hashes binary"
+
+
+def _shingle_buckets(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
+    """texts (id, text) as packed shingle sets, cut by ranges of hashes. Kind 0: the shingles of one document alone among
+    those sorted together, by document. Kind 1: one of each of the others. Kind 2: the documents, how many shingles each
+    has and how many of them are of the others, so a common shingle costs a bucket a row for each batch, not each document."""
+
+    def packed(ids, sets):
+        ids, sizes = np.array(ids, dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
+        owner, h = np.repeat(np.arange(len(ids)), sizes), np.concatenate(sets)
+        order = np.argsort(h)
+        owner, h = owner[order], h[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(first, len(h)))
+        alone = np.repeat(count == 1, count)
+        many = np.bincount(owner[~alone], minlength=len(ids))
+        yield int(ids[0] % buckets), 2, ids.tobytes(), np.stack([sizes, many]).tobytes(), b""
+        slot = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        for kind, who, x in ((0, owner[alone], h[alone]), (1, None, h[first[count > 1]])):
+            at = slot(x)
+            for lo in np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(x) else ():
+                hi = int(np.searchsorted(at, at[lo], "right"))
+                if kind:
+                    yield int(at[lo]), kind, b"", b"", x[lo:hi].tobytes()
+                else:
+                    by = np.argsort(who[lo:hi], kind="stable")
+                    doc, n = np.unique(who[lo:hi][by], return_counts=True)
+                    yield int(at[lo]), kind, ids[doc].tobytes(), n.astype(np.int32).tobytes(), x[lo:hi][by].tobytes()
+
+    def batch_of(rows):
+        b, k, i, c, h = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in (i, c, h))], ["bucket", "kind", "ids", "counts", "hashes"])
+
+    def run(batches):
+        ids, sets, n = [], [], 0
+        for b in batches:
+            for lo, ts in texts_of(b.column(1)):
+                for i, t in zip(b.column(0).slice(lo, len(ts)).to_pylist(), ts):
+                    if len(x := _shingle_set(t, shingle)):
+                        ids.append(i)
+                        sets.append(x)
+                        n += len(x)
+                    if n >= FLUSH_SHINGLES:
+                        yield batch_of(packed(ids, sets))
+                        ids, sets, n = [], [], 0
+        if n:
+            yield batch_of(packed(ids, sets))
+
+    return map_arrow(texts, run, _BUCKET_ROWS)
+
+
+def _sharing(texts: DataFrame, shingle: int, similarity: float, buckets: int) -> DataFrame:
+    """id of the texts of whose shingles at least the share `similarity` occurs in other texts; others have no partner."""
+
+    def count(key, rows):
+        kinds = rows.column("kind").to_pylist()
+        read = lambda name, kind, dtype: [np.frombuffer(x, dtype=dtype) for x, k in zip(rows.column(name).to_pylist(), kinds) if k == kind]
+        none = np.empty(0, dtype=np.int64)
+        hashes = np.concatenate([np.empty(0, np.uint64), *read("hashes", 0, np.uint64)])
+        ids = np.concatenate([none, *[np.repeat(i, n) for i, n in zip(read("ids", 0, np.int64), read("counts", 0, np.int32))]])
+        pool = np.concatenate([hashes, *read("hashes", 1, np.uint64)])
+        order = np.argsort(pool)
+        edge = np.concatenate(([True], pool[order][1:] != pool[order][:-1])) if len(pool) else np.empty(0, bool)
+        at = np.flatnonzero(edge)
+        n = np.diff(np.append(at, len(pool)))
+        shared = order[np.repeat(n > 1, n)]
+        doc, hits = np.unique(ids[shared[shared < len(hashes)]], return_counts=True)
+        told = [none, *read("ids", 2, np.int64)]
+        sizes = [x.reshape(2, -1) for x in read("counts", 2, np.int64)]
+        n_col = np.concatenate([np.full(len(doc), -1), *[x[0] for x in sizes]])
+        c_col = np.concatenate([hits, *[x[1] for x in sizes]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc, *told])), pa.array(n_col), pa.array(c_col)], ["id", "n", "c"])
+
+    rows = map_runs(_shingle_buckets(texts, shingle, buckets), ["bucket"], count, "id long, n long, c long")
+    tally = rows.groupBy("id").agg(F.min(F.when(F.col("n") >= 0, F.col("n"))).alias("n"), F.sum("c").alias("c"))
+    return tally.where(F.col("c") >= similarity * F.col("n") - 1e-9).select("id")
+
+
+def _prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: links that connect every two of the shingle sets (id, s) which can have the similarity.
+
+    Shingles are ordered by the sets that hold them, rarest first. Two sets of that similarity share one of the first
+    n - ceil(similarity * n) + 1 shingles of each; those of a single set are counted, not listed.
+    """
+    tokens = sets.select("id", F.xxhash64("id", "s").alias("u"), F.size("s").alias("n"), F.explode("s").alias("s"))
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = tokens.join(often, "s").groupBy("u", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    take = F.size("x") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    prefix = stored(lists.withColumn("k", take).where("k > 0").select("id", F.explode(F.slice("x", F.lit(1), F.col("k"))["s"]).alias("s")), "prefixes")
+    low = prefix.groupBy("s").agg(F.min("id").alias("dst"), F.max("id").alias("high")).where("dst < high").select("s", "dst")
+    return prefix.join(low, "s").where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 1200) -> DataFrame:
     """id, component of documents whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    Candidates come from BK-trees over vocabulary fingerprints: 0.8 on five-word shingles leaves over 97 % of a text's
-    words unchanged, which is a few of 64 bits. Exact copies collapse before. Candidates' groups are then verified on
+    Candidates lose nothing: texts that share too few shingles with all others leave first, then those of the rest that
+    share a shingle of their prefixes are linked. Exact copies collapse before. Candidates' groups are then verified on
     whole shingle sets, in bounded cells, and only verified links make components. Texts without words form one group.
     """
-    group = "_group"
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         for b in batches:
-            h, l, f = (np.empty(b.num_rows, dtype=np.int64) for _ in range(3))
+            h, l, n = (np.empty(b.num_rows, dtype=np.int64) for _ in range(3))
             for lo, texts in texts_of(b.column(1)):
                 for i, t in enumerate(texts, lo):
-                    h[i], l[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words_of(t))), dtype=">i8")
-                    f[i] = _signed(vocabulary_fingerprint(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(l), pa.array(f)], ["id", "h", "l", "fp"])
-
-    prints = stored(map_arrow(base, run, "id long, h long, l long, fp long"), "document-prints")
-    texts = stored(prints.groupBy("h", "l", "fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-texts")
-    prints_of = texts.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    links = fingerprint_links(prints_of.select("fp"), radius, 2, cap)
-    comp = stored(components(links).select(F.col("node").alias("fp"), F.col("component").alias(group)), "candidate-groups")
-    cand = texts.join(comp, "fp", "left").withColumn(group, F.coalesce(group, "fp"))
-    busy = cand.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(group)
-    cand = stored(cand.join(busy, group, "left_semi").select("id", group), "candidates")
+                    words = words_of(t)
+                    h[i], l[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), dtype=">i8")
+                    n[i] = len(words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(l), pa.array(n)], ["id", "h", "l", "n"])
+
+    prints = stored(map_arrow(base, run, "id long, h long, l long, n long"), "document-prints")
+    texts = stored(prints.groupBy("h", "l").agg(F.min("id").alias("id"), F.max("n").alias("n")), "distinct-texts")
+    copies = stored(prints.join(texts.select("id"), "id", "left_anti").select("id").distinct(), "copies")
+    buckets = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // FLUSH_SHINGLES
+    single = join_small(base, copies, ["id"], "left_anti", copies.count())
+    some = stored(_sharing(single, shingle, similarity, buckets), "sharing-texts")
 
     def shingles(batches):
         for b in batches:
-            sets = [_shingle_set(t, shingle).view(np.int64) for _, ts in texts_of(b.column(2)) for t in ts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["g", "id", "s"])
+            sets = [_shingle_set(t, shingle).view(np.int64) for _, ts in texts_of(b.column(1)) for t in ts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    n_cand = cand.count()
-    sets = map_arrow(join_small(base, cand, ["id"], "inner", n_cand).select(F.col(group).alias("g"), "id", "text"), shingles, "g long, id long, s array<long>")
-    sets = with_grid(stored(sets, "shingle-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
+    sets = stored(map_arrow(join_small(single, some, ["id"], "left_semi", some.count()), shingles, "id long, s array<long>"), "shingle-sets")
+    cand = stored(components(_prefix_links(sets, similarity)).select(F.col("node").alias("id"), F.col("component").alias("g")), "candidates")
+    sets = join_small(sets, cand, ["id"], "inner", cand.count()).select("g", "id", "s")
+    sets = with_grid(stored(sets, "candidate-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
 
     def verify(key, rows):
         if rows.num_rows < 2:

@@ -128,6 +128,24 @@ def test_near_duplicates_equal_brute_force(docs, texts, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_with_whole_blocks_appended_cut_or_inserted(spark, monkeypatch):
+    rng = random.Random(11)
+    # words of their own for each text, so that a foreign block moves many bits of a fingerprint over the set of words
+    own = lambda n: [f"v{rng.getrandbits(40):x}" for _ in range(n)]
+    texts, common = [], own(12)
+    for d in range(40):
+        w = own(rng.randrange(60, 400)) + common
+        block = own(int(len(w) * rng.choice([0.1, 0.15, 0.2, 0.24, 0.3])))
+        at = rng.randrange(len(w))
+        texts += [w, w + block, block + w, w[: len(w) - len(block)], w[:at] + block + w[at:]]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for flush in (1 << 20, 1000):
+        monkeypatch.setattr(simhash, "FLUSH_SHINGLES", flush)
+        assert {r.id: r.component for r in simhash.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
 def test_shards_are_contiguous_balanced_and_gapless(spark, docs, texts, empty):
     rows = sorted(shards.byte_shards(docs, 5, bucket_rows=10).collect(), key=lambda r: r.id)
     size = [len((t or "").encode()) + 8 for t in texts]
