@@ -291,6 +291,21 @@ def test_lines_that_differ_in_one_field_are_one_template(spark):
         assert out[0] and not any(out[i] for i in range(1, 7))
 
 
+def test_short_lines_few_tokens_numbers_and_long_templates_recur(spark):
+    tail = " ".join(f"t{'x' * i}" for i in range(1, 50))
+    pair = ["read more about this", "これは空白のない同じ一行の文章です。", f"the first kind of words before {tail}", "12 345 678 99912 4 77"]
+    rows = [(0, "\n".join(pair)), (1, "\n".join([*pair[:2], f"the first kind of terms before {tail}", "13 346 679 99913 5 78"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.drop_recurring_lines(df).collect()}
+    assert out[0] == rows[0][1] and out[1] == "13 346 679 99913 5 78"
+
+
+def test_templates_of_mostly_numbers_are_masked(spark):
+    df = spark.createDataFrame([(i, f"reading {i} of {i * 31} and {i + 100} {i + 200} {i + 300}") for i in range(6)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.drop_recurring_lines(df).collect()}
+    assert out[0] and not any(out[i] for i in range(1, 6))
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(900, 16))
