@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows (operator 1).
 
-A window of a document has the size of a benchmark item. A window that reaches the wanted similarity shares a shingle with
-an item, so windows are placed where a document's shingle lies in an item, aligned with it; no other window can match.
+A window of a document has the size of a benchmark item. A window that reaches the wanted similarity holds that share of
+the item's weight, so every start is tried at which the document's shingles that lie in the item weigh as much, in whatever
+order they stand, and those aligned with a shared shingle.
 Each window's weighted SimHash is looked up in a multi-index: eight blocks of eight bits, each probed within two bits, hold
 every item fingerprint within 23 bits (were all blocks off by three, the distance would be 24). Candidates are verified by
 the exact weighted Jaccard similarity of their shingles, repeats counted. One pass over whole texts; nothing is shuffled.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orbispan.llm.common import map_arrow, texts_of
+from orbispan.llm.common import map_arrow, stored, texts_of
 
 #: Items that one pass holds; a larger benchmark takes more passes.
 MAX_ITEMS = 20_000
@@ -54,9 +55,12 @@ def weighted_simhash(hashes: np.ndarray, weights: np.ndarray) -> np.uint64:
 
 
 class ItemIndex:
-    """Items' shingles, weights, fingerprints and the multi-index over the fingerprints."""
+    """Items' shingles, weights, fingerprints and the multi-index over the fingerprints.
 
-    def __init__(self, ids: list, texts: list[str | None], shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> None:
+    For a part of a benchmark: total counts the items of the whole and repeated the items of shingles in several of them.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, total: int | None = None, repeated: dict[int, int] | None = None) -> None:
         self.similarity, self.radius = similarity, radius
         self.ids, self.hashes, self.k = [], [], []
         for ident, text in zip(ids, texts):
@@ -66,15 +70,17 @@ class ItemIndex:
                 self.ids.append(ident)
                 self.k.append(k)
                 self.hashes.append(shingle_hashes(words, k))
-        df = Counter(h for x in self.hashes for h in set(x.tolist()))
-        self.rare = 1 + np.log(max(1, len(self.ids)))
-        self.weight = {h: 1 + np.log(len(self.ids) / n) for h, n in df.items()}
+        if total is None:
+            total, repeated = len(self.ids), Counter(h for x in self.hashes for h in set(x.tolist()))
+        self.rare = 1 + np.log(max(1, total))
+        self.weight = {h: 1 + np.log(total / n) for h, n in repeated.items() if n > 1}
         self.counts = [Counter(x.tolist()) for x in self.hashes]
         self.prints = np.array([weighted_simhash(x, self.weights(x)) for x in self.hashes], dtype=np.uint64)
+        self.whole = [float(self.weights(x).sum()) for x in self.hashes]
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = {k: {} for k in set(self.k)}
         for i, (x, k) in enumerate(zip(self.hashes, self.k)):
             for j, h in enumerate(x.tolist()):
-                self.places[k].setdefault(h, []).append((j, len(x)))
+                self.places[k].setdefault(h, []).append((j, i))
         self.filters = {}
         for k, at in self.places.items():
             seen = np.zeros(1 << 20, dtype=bool)
@@ -101,6 +107,16 @@ class ItemIndex:
         both = sum(w(h) * min(n, b[h]) for h, n in a.items() if h in b)
         return both / (sum(w(h) * n for h, n in a.items()) + sum(w(h) * n for h, n in b.items()) - both)
 
+    def starts(self, x: np.ndarray, item: int, places: np.ndarray) -> list[tuple[int, int]]:
+        """Item-sized windows of x whose shingles at `places`, those that the item holds, weigh enough for the similarity."""
+        weights, m, need = self.weights(x[places]), len(self.hashes[item]), self.similarity * self.whole[item] - 1e-9
+        if weights.sum() < need:
+            return []
+        at = np.arange(max(0, int(places[0]) - m + 1), min(int(places[-1]), max(0, len(x) - m)) + 1)
+        upto = np.concatenate(([0.0], np.cumsum(weights)))
+        weight = upto[np.searchsorted(places, at + m)] - upto[np.searchsorted(places, at)]
+        return [(s, m) for s in at[weight >= need].tolist()]
+
     def matches(self, text: str | None) -> list[tuple[object, float, int, int]]:
         """(item id, best similarity, first word, words) of each item that a window of the text reaches."""
         found: dict[object, tuple[float, int, int]] = {}
@@ -110,7 +126,14 @@ class ItemIndex:
             if not len(x):
                 continue
             hits = np.flatnonzero(self.filters[k][x & np.uint64((1 << 20) - 1)])
-            windows = {(min(max(0, p - j), max(0, len(x) - m)), m) for p in hits.tolist() for j, m in at.get(int(x[p]), ())}
+            windows, held = set(), {}
+            for p in hits.tolist():
+                for j, i in at.get(int(x[p]), ()):
+                    m = len(self.hashes[i])
+                    windows.add((min(max(0, p - j), max(0, len(x) - m)), m))
+                    held.setdefault(i, {})[p] = None
+            for i, places in held.items():
+                windows.update(self.starts(x, i, np.fromiter(places, dtype=np.int64, count=len(places))))
             for start, m in sorted(windows):
                 window = x[start : start + m]
                 for i in self.candidates(weighted_simhash(window, self.weights(window))).tolist():
@@ -121,14 +144,28 @@ class ItemIndex:
         return [(i, s, -start, n) for i, (s, start, n) in sorted(found.items(), key=lambda r: str(r[0]))]
 
 
-def _slices(items: DataFrame, item_id: str, item_text: str, max_items: int):
-    """The benchmark in parts that a task may hold: one if it is small, as its counted rows decide."""
+def _slices(items: DataFrame, item_id: str, item_text: str, max_items: int, shingle: int):
+    """The benchmark in parts that a task may hold: one if it is small, as its counted rows decide. With several, counts
+    over the whole benchmark go with each part, so that weights do not depend on the parts."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     n = -(-rows.count() // max_items)
+    total = repeated = None
+
+    def run(batches):
+        for b in batches:
+            for _, ts in texts_of(b.column(0)):
+                sets = [np.unique(shingle_hashes(w, min(shingle, len(w)))).view(np.int64) for w in map(word_hashes, ts) if len(w)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["s"])
+
+    if n > 1:
+        sets = stored(map_arrow(rows.select("t"), run, "s array<long>"), "item-shingles")
+        total = sets.count()
+        got = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+        repeated = dict(zip(got.column(0).to_numpy().view(np.uint64).tolist(), got.column(1).to_pylist()))
     for s in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == s)
         got = part.toArrow()
-        yield got.column(0).to_pylist(), got.column(1).to_pylist()
+        yield got.column(0).to_pylist(), got.column(1).to_pylist(), total, repeated
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, max_items: int = MAX_ITEMS) -> DataFrame:
@@ -140,10 +177,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, similarity double, first_word int, n_words int"
     item_type, out = to_arrow_type(items.schema[item_id].dataType), None
-    for ids, texts in _slices(items, item_id, item_text, max_items):
+    for ids, texts, total, repeated in _slices(items, item_id, item_text, max_items, shingle):
 
-        def run(batches, ids=ids, texts=texts):
-            index = ItemIndex(ids, texts, shingle, similarity)
+        def run(batches, ids=ids, texts=texts, total=total, repeated=repeated):
+            index = ItemIndex(ids, texts, shingle, similarity, total=total, repeated=repeated)
             for b in batches:
                 row, item, score, first, size = [], [], [], [], []
                 for lo, ts in texts_of(b.column(1)):
@@ -165,10 +202,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, max_items: int = MAX_ITEMS) -> DataFrame:
     """docs without the rows that hold an item; every column stays and no text is shuffled."""
-    for ids, texts in _slices(items, item_id, item_text, max_items):
+    for ids, texts, total, repeated in _slices(items, item_id, item_text, max_items, shingle):
 
-        def run(batches, ids=ids, texts=texts):
-            index = ItemIndex(ids, texts, shingle, similarity)
+        def run(batches, ids=ids, texts=texts, total=total, repeated=repeated):
+            index = ItemIndex(ids, texts, shingle, similarity, total=total, repeated=repeated)
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t) for _, ts in texts_of(b.column(text_col)) for t in ts], pa.bool_()))
 

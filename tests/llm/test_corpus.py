@@ -253,6 +253,31 @@ def test_decontamination_finds_planted_items(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force_over_all_windows(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randrange(25, 60))) for i in range(12)]
+    items += [(20 + i, " ".join([items[i][1], items[i + 1][1]])) for i in range(4)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        for part in (0, 30, 50, 70):
+            cut = len(w) * part // 100
+            rows.append((len(rows), " ".join([prose(rng, 30), *w[cut:], *w[:cut], prose(rng, 30)])))
+    ix = decontam.ItemIndex(*map(list, zip(*items)))
+    want = {}
+    for d, text in rows:
+        x = decontam.shingle_hashes(decontam.word_hashes(text), 5)
+        for i, (ident, _) in enumerate(items):
+            best = max(ix.jaccard(x[s : s + len(ix.hashes[i])], i) for s in range(max(1, len(x) - len(ix.hashes[i]) + 1)))
+            if best >= 0.8:
+                want[d, ident] = round(best, 9)
+    assert sum(d % 4 > 0 for d, _ in want) >= 20
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (20_000, 5):
+        got = {(r.id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(df, bench, max_items=most).collect()}
+        assert got.keys() == want.keys() and all(got[x] >= want[x] for x in want)
+
+
 def test_fingerprint_index_returns_all_within_its_radius():
     rng = random.Random(7)
     ix = decontam.ItemIndex(list(range(50)), [prose(rng, 20) for _ in range(50)])
