@@ -26,12 +26,14 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 #: Characters per token below which a run counts as random. Prose and compound words have 2.4 and more, base64 about 1.4.
 MAX_RATIO = 2.0
-_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:(?:md5|sha-?\d+)[-_=]?)?(?:[0-9a-f]+|[0-9A-F]+)", re.A)
 _DIGEST_SIZES = frozenset({32, 40, 56, 64, 96, 128})
 _NUMBER = re.compile(r"[0-9_+/=-]+")
-_URL = re.compile(r"(?:https?|ftp|s3|file)://\S+|www\.\S+|\S+@\S+", re.A)
+#: Scheme, host and path of a URL; what stands before an @, in the query or in the fragment is tested like other text.
+_URL = re.compile(r"(?:(?:https?|ftp|s3|file)://(?P<user>[^\s/?#@\"'<>,]*@)?|www\.)(?P<place>[\w.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~%!$*+:@/=-]*)?|/[A-Za-z0-9._~%!$*+:@/=-]*)")
+_MAIL = re.compile(r"(?:(?<=mailto:)|(?<![A-Za-z0-9._%+:/-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,26 +53,37 @@ def is_known(run: str, known: frozenset[str]) -> bool:
     return bool(_DIGEST.fullmatch(run)) and len(re.sub(r"^(?:md5|sha-?\d+)[-_=]?", "", run)) in _DIGEST_SIZES
 
 
+def aside(text: str) -> list[tuple[int, int]]:
+    """Spans of mail addresses and of schemes, hosts and paths of URLs."""
+    urls = [(m.start("place") if m["user"] else m.start(), m.end()) for m in _URL.finditer(text)]
+    return sorted([*urls, *(m.span() for m in _MAIL.finditer(text))])
+
+
 def random_spans(text: str, encode, known: frozenset[str], max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, urls = [], None
+    is_random = lambda run: not is_known(run, known) and len(run) < max_ratio * len(encode(run))
+    found, spans = [], None
     for m in _RUN.finditer(text):
-        run = m[0]
-        if is_known(run, known) or len(run) >= max_ratio * len(encode(run)):
+        if not is_random(m[0]) or any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if urls is None:
-            urls = [u.span() for u in _URL.finditer(text)]
-        if not any(s <= m.start() and m.end() <= e for s, e in urls):
+        if spans is None:
+            spans = aside(text)
+        at, parts = m.start(), []
+        for s, e in spans:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = e
+        if not parts:
             found.append((m.start(), 3, m.end()))
+            continue
+        found += [(s, 3, e) for s, e in [*parts, (at, m.end())] if e - s >= MIN_RUN and is_random(text[s:e])]
     return found
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Iterable[str] = (), max_ratio: float = MAX_RATIO, vocabulary: str | None = None) -> DataFrame:
     """id, spans array<struct<kind, start, end>> for every row, by start and then kind; code points, end exclusive.
 
-    Kinds: assign, access and hex by pattern, random by token efficiency (outside spans of the others, URLs and mail
-    addresses). A null text counts as empty and has no spans; repeated rows give repeated results; an empty table gives
+    Kinds: assign, access and hex by pattern, random by token efficiency (outside spans of the others, mail
+    addresses and schemes, hosts and paths of URLs). A null text counts as empty and has no spans; repeated rows give repeated results; an empty table gives
     none; very long texts are scanned whole; further columns are ignored.
     """
     listed = frozenset(known)

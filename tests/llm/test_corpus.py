@@ -229,6 +229,17 @@ def test_secrets_spans(spark, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_beside_addresses_urls_and_other_scripts(spark):
+    rng = random.Random(13)
+    rand = "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(40))
+    found = ['{"mail":"a@b.org","value":"%s"}', '{"u":"https://x.org/a","v":"%s"}', "a@b.org,%s", '<a href="https://x.org/p">%s</a>', "密钥%s", "clé%sé", "https://x.org/a?k=%s", "https://me:%s@x.org/a", "postgres://me:%s@db.x.org/a"]
+    quiet = ["see https://x.org/%s now", "www.x.org/a/%s", "%s@b.org", "mailto:%s@b.org", "file:///a/%s", "mail=%s@b.org"]
+    df = spark.createDataFrame([(i, t % rand) for i, t in enumerate(found + quiet)], "doc_id long, text string")
+    got = {r.id: [(found + quiet)[r.id].replace("%s", rand)[s.start : s.end] for s in r.spans] for r in secrets.find_secrets(df).collect()}
+    assert all(len(got[i]) == 1 and got[i][0].endswith(rand) for i in range(len(found)))
+    assert not any(got[i] for i in range(len(found), len(found + quiet)))
+
+
 def test_decontamination_finds_planted_items(spark, empty):
     rng = random.Random(6)
     items = [(i, prose(rng, rng.randrange(12, 40))) for i in range(30)] + [(90, None), (91, ""), (92, "tiny item")]
