@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
@@ -17,6 +18,13 @@ def vocabulary_path(name: str, path: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=1)
+def added_tokens() -> dict[str, int]:
+    """Tokens outside the merges, as the tokenizers file of the public vocabulary adds them."""
+    with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @functools.lru_cache(maxsize=4)
 def byte_bpe(path: str | None = None, plain: bool = False):
     """The byte-level BPE as a tiktoken encoding; its ids equal those of the tokenizers file of the same vocabulary.
@@ -30,19 +38,23 @@ def byte_bpe(path: str | None = None, plain: bool = False):
     with open(vocabulary_path("byte_bpe_50k.tiktoken", path), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     pattern = public_tokenizers.PATTERN
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern.replace(r"\s+(?!\S)|", "") if plain else pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern.replace(r"\s+(?!\S)|", "") if plain else pattern, mergeable_ranks=ranks, special_tokens={} if path else added_tokens())
 
 
 _WIDE_BLANK = re.compile(r"\s\s")
 
 
 def text_encoder(path: str | None = None):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes."""
+    """A function from a text to its ids as little-endian unsigned 32-bit bytes; added tokens in a text count as such."""
+    whole = byte_bpe(path)
+    added = tuple(whole.special_tokens_set)
     full, plain = byte_bpe(path).encode_ordinary, byte_bpe(path, True).encode_ordinary
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in added):
+            return np.array(whole.encode(text, allowed_special="all"), dtype="<u4").tobytes()
         return np.array(full(text) if _WIDE_BLANK.search(text) else plain(text), dtype="<u4").tobytes()
 
     return encode

@@ -193,6 +193,17 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_ids_equal_the_tokenizers_file_with_its_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from orbispan.llm.tokens import text_encoder
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), text_encoder()
+    for t in ("one<|endoftext|>two", "<|endoftext|>", " a  <|endoftext|>  b\n\n<|endoftext|><|endoftext|>é ", "<|endoftext |> <|ENDOFTEXT|>", "plain  text"):
+        assert np.frombuffer(encode(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_local_search_only_improves():
     rng = random.Random(3)
     for low, high in ((1, 2048), (400, 1000), (700, 1400)):
