@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import midpoint
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
-from orbispan.operators.intervals import nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
+from orbispan.operators.intervals import merged, nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
 from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson
 
 
@@ -21,7 +25,8 @@ def placed_at_random(ecc: DataFrame, genome: DataFrame, n_perm: int, seed: int =
     """perm, name, chrom, start, end: each region at a uniform place for each permutation.
 
     Places are hashes of (seed, permutation, name), so they do not depend on partitions or retries. Chromosomes are drawn
-    by size; one shorter than the region holds it at its start.
+    by size; one shorter than the region holds it at its start. The tests below do not list places: they draw from the
+    distribution that these have.
     """
     spark = ecc.sparkSession
     w = Window.orderBy("chrom")
@@ -39,25 +44,58 @@ def placed_at_random(ecc: DataFrame, genome: DataFrame, n_perm: int, seed: int =
     return put.select("perm", "name", "chrom", start.alias("start"), (start + F.col("_len")).alias("end"))
 
 
-def _permuted_counts(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm: int, seed: int, category: str | None) -> DataFrame:
-    """perm (0 is observed), category, count. All permutations are one join."""
-    keys = ["name", "chrom", "start", "end"]
-    every = placed_at_random(ecc, genome, n_perm, seed).unionByName(ecc.select(F.lit(0).alias("perm"), *keys))
-    cols = ["chrom", "start", "end"] + ([category] if category else [])
-    pairs = overlap_join(every, regions.select(*cols), ("a_", "b_"))
-    cat = F.col(f"b_{category}") if category else F.lit("all")
-    hit = pairs.select(F.col("a_perm").alias("perm"), "a_name", cat.alias("category")).distinct()
-    counts = hit.groupBy("perm", "category").agg(F.count(F.lit(1)).alias("count"))
-    cats = regions.select(F.col(category).alias("category")).distinct() if category else ecc.sparkSession.createDataFrame([("all",)], "category string")
-    grid = ecc.sparkSession.range(n_perm + 1).select(F.col("id").cast("int").alias("perm")).crossJoin(F.broadcast(cats))
-    return grid.join(counts, ["perm", "category"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-
-
-def overlap_test(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm: int = 100, seed: int = 42, category: str | None = None) -> DataFrame:
-    """category, observed, n_perm, mean, sd, p_value, fold, q_value of overlaps against random placement."""
-    counts = _permuted_counts(ecc, regions, genome, n_perm, seed, category)
-    obs = counts.where("perm = 0").select("category", F.col("count").alias("observed"))
-    both = counts.where("perm > 0").join(F.broadcast(obs), "category")
+def hit_chances(lengths: DataFrame, regions: DataFrame, genome: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, length, chance: how likely a region of each length touches one of `regions`, if its chromosome is drawn by size
+    and its start uniformly among the places where it fits.
+
+    A place misses if the region lies within a gap; a gap of g bases holds max(0, g - length + 1) such places. Sums over the
+    gaps at least as long as each length come from running sums over the distinct lengths and gaps, which are few beside
+    the regions.
+    """
+    names = list(keys)
+    united = merged(regions.join(F.broadcast(genome), "chrom").select("chrom", *names, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start"), ["chrom", *names])
+    kinds = regions.select(*names).distinct() if names else None
+    base = genome.crossJoin(F.broadcast(kinds)) if names else genome
+    w = Window.partitionBy("chrom", *names).orderBy("start")
+    inner = united.select("chrom", *names, (F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(0))).alias("gap"))
+    last = base.join(united.groupBy("chrom", *names).agg(F.max("end").alias("_e")), ["chrom", *names], "left").select("chrom", *names, (F.col("size") - F.coalesce("_e", F.lit(0))).alias("gap"))
+    gaps = inner.unionByName(last).where("gap > 0").groupBy("chrom", *names, "gap").agg(F.count(F.lit(1)).alias("n"))
+    asked = base.crossJoin(lengths.select("length").distinct())
+    marks = gaps.select("chrom", *names, F.col("gap").alias("at"), "n", (F.col("n") * (F.col("gap") + 1)).alias("room"), F.lit(False).alias("ask"))
+    marks = marks.unionByName(asked.select("chrom", *names, F.col("length").alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("room"), F.lit(True).alias("ask")))
+    longer = Window.partitionBy("chrom", *names).orderBy(F.desc("at"))
+    summed = marks.withColumns({"_n": F.sum("n").over(longer), "_room": F.sum("room").over(longer)}).where("ask")
+    free = summed.select("chrom", *names, F.col("at").alias("length"), (F.col("_room") - F.col("at") * F.col("_n")).alias("free"))
+    fit = F.greatest(F.lit(1), F.col("size") - F.col("length") + 1)
+    return free.join(F.broadcast(genome), "chrom").groupBy(*names, "length").agg((1 - F.sum(F.col("size") * F.least(F.lit(1.0), F.col("free") / fit)) / F.sum("size")).alias("chance"))
+
+
+def overlap_test(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm: int = 1000, seed: int = 42, category: str | None = None, block: int = 250) -> DataFrame:
+    """category, observed, n_perm, mean, sd, p_value, fold, q_value of overlaps against random placement.
+
+    Independent uniform places make the hits among regions of one length a binomial draw with the exact chance of that
+    length, so permutations cost a draw for each distinct length, not a row for each region. Seeds depend on (seed,
+    category, length, block) alone.
+    """
+    name = category or "category"
+    kinds = regions.withColumn(name, F.lit("all")) if category is None else regions
+    kinds = kinds.where(F.col(name).isNotNull()).select("chrom", "start", "end", name)
+    seen = count_by_category(ecc, kinds, name).select(F.col(name).alias("category"), F.col("count").alias("observed"))
+    sizes = ecc.where("end > start").groupBy((F.col("end") - F.col("start")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    chances = hit_chances(sizes, kinds, genome, [name]).join(sizes, "length").select(F.col(name).cast("string").alias("category"), "length", "n", "chance")
+    blocks = ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))
+    jobs = chances.crossJoin(F.broadcast(blocks)).repartition("category", "length", "block")
+
+    def draw(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                perms = np.arange(r["block"] * block, min(n_perm, (r["block"] + 1) * block))
+                rng = np.random.default_rng([seed, r["length"], r["block"], *r["category"].encode()])
+                got = rng.binomial(r["n"], min(1.0, max(0.0, r["chance"])), size=len(perms))
+                yield pa.RecordBatch.from_pydict({"category": pa.array([r["category"]] * len(perms)), "perm": pa.array(perms), "count": pa.array(got)})
+
+    counts = jobs.mapInArrow(draw, "category string, perm bigint, count bigint").groupBy("category", "perm").agg(F.sum("count").alias("count"))
+    both = counts.join(F.broadcast(seen), "category", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     return benjamini_hochberg(empirical_p(both, "observed", "count", ["category"]))
 
 
@@ -73,15 +111,47 @@ def boundary_distances(ecc: DataFrame, domains: DataFrame, flank: int = 50_000)
     return nearest(with_midpoints(ecc).select("name", "chrom", "pos"), t)
 
 
-def boundary_test(ecc: DataFrame, domains: DataFrame, genome: DataFrame, n_perm: int = 50, seed: int = 42) -> DataFrame:
-    """statistic (median, mean), observed, n_perm, mean, sd, p_value: are regions nearer to borders than at random?"""
-    every = placed_at_random(ecc, genome, n_perm, seed).unionByName(ecc.select(F.lit(0).alias("perm"), "name", "chrom", "start", "end"))
+def boundary_test(ecc: DataFrame, domains: DataFrame, genome: DataFrame, n_perm: int = 1000, seed: int = 42, bins: int = 4096, block: int = 50) -> DataFrame:
+    """statistic (median, mean), observed, n_perm, mean, sd, p_value: are regions nearer to borders than at random?
+
+    Observed distances are exact. A random midpoint's distance depends on the chromosome alone, where each gap between
+    borders spreads its bases evenly over the distances up to its half; the bases at each distance, in `bins` classes of
+    equal width, make a multinomial of which each permutation is one draw. Its mean and median are read off the classes,
+    so they are exact to half a class (a 4096th of the largest distance by default) and no region is placed.
+    """
     t = boundaries(domains).select("chrom", midpoint().alias("pos"))
-    d = nearest(every.withColumn("pos", midpoint()).select("perm", "name", "chrom", "pos"), t)
-    stats = d.groupBy("perm").agg(F.percentile("distance", F.lit(0.5)).alias("median"), F.avg("distance").alias("mean"))
-    long = stats.select("perm", F.explode(F.create_map(F.lit("median"), "median", F.lit("mean"), "mean")).alias("statistic", "value"))
-    obs = long.where("perm = 0").select("statistic", F.col("value").alias("observed"))
-    return empirical_p(long.where("perm > 0").join(F.broadcast(obs), "statistic"), "observed", "value", ["statistic"], lower=True)
+    own = boundary_distances(ecc, domains)
+    obs = own.agg(F.percentile("distance", F.lit(0.5)).alias("median"), F.avg("distance").alias("mean"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("chrom").orderBy("pos")
+    edges = t.distinct().join(F.broadcast(genome), "chrom").where("pos >= 0 and pos < size").withColumn("before", F.lag("pos").over(w))
+    # stretches of positions by the distances they reach: both halves of a gap, and the ends of the chromosome
+    half = edges.where("before is not null").select(F.lit(2.0).alias("each"), ((F.col("pos") - F.col("before")) / 2.0).alias("upto"))
+    ends = edges.groupBy("chrom", "size").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    ends = ends.select(F.explode(F.array(F.col("lo").cast("double"), (F.col("size") - F.col("hi")).cast("double"))).alias("upto")).select(F.lit(1.0).alias("each"), "upto")
+    spans = half.unionByName(ends).where("upto > 0")
+    top = spans.agg(F.max("upto")).first()[0] or 1.0
+    # how many stretches reach beyond each class, and the part of the last class that they cover
+    cell = F.least(F.floor(F.col("upto") * bins / top), F.lit(bins - 1)).cast("int")
+    hist = spans.groupBy(cell.alias("cell")).agg(F.sum("each").alias("each"), F.sum(F.col("each") * (F.col("upto") * bins / top - cell)).alias("part")).collect()
+    each, part = np.zeros(bins), np.zeros(bins)
+    for r in hist:
+        each[r["cell"]], part[r["cell"]] = r["each"], r["part"]
+    weight = part + np.append(np.cumsum(each[::-1])[::-1][1:], 0.0)
+    share, middle = weight / max(weight.sum(), 1e-300), (np.arange(bins) + 0.5) * top / bins
+    jobs = obs.crossJoin(ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))).repartition("block")
+
+    def draw(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                rows = []
+                for k in range(r["block"] * block, min(n_perm, (r["block"] + 1) * block)):
+                    got = np.random.default_rng([seed, k]).multinomial(r["n"], share) if r["n"] else np.zeros(bins, dtype=np.int64)
+                    if r["n"]:
+                        rows += [("median", r["median"], middle[np.searchsorted(np.cumsum(got), r["n"] / 2)]), ("mean", r["mean"], float(got @ middle) / r["n"])]
+                yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in rows], pa.string() if i == 0 else pa.float64()) for i, c in enumerate(("statistic", "observed", "value"))})
+
+    drawn = jobs.mapInArrow(draw, "statistic string, observed double, value double")
+    return empirical_p(drawn, "observed", "value", ["statistic"], lower=True)
 
 
 def feature_matrix(ecc: DataFrame, features: DataFrame, genome: DataFrame, size: int, fold: float = 3.0, kind: str = "te_class") -> DataFrame:

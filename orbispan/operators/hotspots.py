@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import midpoint, window_label
-from orbispan.operators.intervals import complement, merged, window_counts
+from orbispan.operators.intervals import complement, merged, per_tile, window_counts
 from orbispan.operators.stats import benjamini_hochberg
 
 
@@ -85,40 +85,39 @@ def hotspot_summary(classes: DataFrame) -> DataFrame:
     return classes.groupBy("grp").agg(F.count(F.lit(1)).alias("total_hotspots"), c("core"), c("recurrent"), c("sporadic"))
 
 
-def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int = 1000, seed: int = 42, excluded: DataFrame | None = None, fdr: float = 0.05, fold: float = 3.0, block: int = 25) -> DataFrame:
+def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int = 1000, seed: int = 42, excluded: DataFrame | None = None, fdr: float = 0.05, fold: float = 3.0, block: int = 50) -> DataFrame:
     """Windows with exceedance p-values, q-values and hotspot flags.
 
     Each permutation redraws a chromosome's midpoints uniformly over what the exclusions leave of it and counts, for every
-    window, whether it reached the observed count. The job runs over (chromosome, block of permutations): a large
-    chromosome is many tasks and each yields one row for each of its windows, summed by a partial aggregate. Seeds depend
-    on (seed, chromosome, permutation) alone, so results do not depend on partitions or retries. Windows without
-    midpoints have p = 1.
+    window, whether it reached the observed count. Counts of independent uniform points in disjoint windows are one
+    multinomial draw with the windows' free bases as weights, so no point is placed and the work does not grow with
+    them. The job runs over (chromosome, block of permutations), one row for each window, summed by a partial aggregate.
+    Seeds depend on (seed, chromosome, permutation) alone, so results do not depend on partitions or retries. Windows
+    without midpoints have p = 1.
     """
-    counts = window_counts(with_midpoints(ecc), genome, size).withColumn("count", F.col("count").cast("int"))
-    free = complement(excluded, genome) if excluded is not None else genome.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
-    segments = merged(free).groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("segments"))
-    observed = counts.groupBy("chrom").agg(F.sum("count").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("idx", "count"))), lambda x: x["count"]).alias("observed"))
+    counts = window_counts(with_midpoints(ecc), genome, size)
+    if excluded is None:
+        grid = counts.withColumn("free", F.col("end") - F.col("start"))
+    else:
+        free = per_tile(merged(complement(excluded, genome)), size).groupBy("chrom", "idx").agg(F.sum("ov").alias("free"))
+        grid = counts.join(free, ["chrom", "idx"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
+    windows = grid.groupBy("chrom").agg(F.sum("count").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "count", "free"))).alias("w"))
     blocks = ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))
-    jobs = observed.where("n > 0").join(segments, "chrom").crossJoin(F.broadcast(blocks)).repartition("chrom", "block")
+    jobs = windows.where("n > 0").crossJoin(F.broadcast(blocks)).repartition("chrom", "block")
 
     def draw(batches):
         for b in batches:
             for r in b.to_pylist():
-                obs = np.array(r["observed"])
-                starts = np.array([s["start"] for s in r["segments"]])
-                spans = np.array([s["end"] - s["start"] for s in r["segments"]])
-                ends = np.cumsum(spans)
-                over = np.zeros(len(obs), dtype=np.int64)
+                idx, obs, bases = (np.array([x[c] for x in r["w"]], dtype=np.int64) for c in ("idx", "count", "free"))
+                if not bases.sum():
+                    continue
+                share, over = bases / bases.sum(), np.zeros(len(obs), dtype=np.int64)
                 for k in range(r["block"] * block, min(n_perm, (r["block"] + 1) * block)):
-                    rng = np.random.default_rng([seed, k, *r["chrom"].encode()])
-                    at = rng.integers(0, ends[-1], size=r["n"])
-                    seg = np.searchsorted(ends, at, side="right")
-                    pos = starts[seg] + at - (ends[seg] - spans[seg])
-                    over += np.bincount(pos // size, minlength=len(obs))[: len(obs)] >= obs
+                    over += np.random.default_rng([seed, k, *r["chrom"].encode()]).multinomial(r["n"], share) >= obs
                 hit = np.flatnonzero(obs > 0)
-                yield pa.RecordBatch.from_pydict({"chrom": pa.array([r["chrom"]] * len(hit)), "idx": pa.array(hit), "over": pa.array(over[hit])})
+                yield pa.RecordBatch.from_pydict({"chrom": pa.array([r["chrom"]] * len(hit)), "idx": pa.array(idx[hit]), "over": pa.array(over[hit])})
 
     over = jobs.mapInArrow(draw, "chrom string, idx bigint, over bigint").groupBy("chrom", "idx").agg(F.sum("over").alias("over"))
-    out = counts.join(over, ["chrom", "idx"], "left").withColumn("p_value", (F.coalesce("over", F.lit(n_perm)) + 1) / F.lit(n_perm + 1)).drop("over")
+    out = counts.withColumn("count", F.col("count").cast("int")).join(over, ["chrom", "idx"], "left").withColumn("p_value", (F.coalesce("over", F.lit(n_perm)) + 1) / F.lit(n_perm + 1)).drop("over")
     flagged = fold_hotspots(benjamini_hochberg(out), fold)
     return flagged.withColumn("is_hotspot", F.col("is_hotspot") & (F.col("q_value") < fdr))

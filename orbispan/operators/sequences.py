@@ -42,6 +42,20 @@ def gc_profile(windows: DataFrame, width: int, seq: str = "seq") -> DataFrame:
     return at.groupBy("pos").agg(F.avg(gc_indicator("base")).alias("mean_gc"), F.count(gc_indicator("base")).alias("n"))
 
 
+def gc_metagene(df: DataFrame, bins: int = 100, seq: str = "seq") -> DataFrame:
+    """bin, gc, acgt, mean_gc over whole sequences of any length, each cut into `bins` stretches of equal share.
+
+    A stretch i of n bases is [i * n / bins, (i + 1) * n / bins), rounded down; bases other than A, C, G and T do not count.
+    """
+    n = F.length(seq)
+    lo = lambda i: F.floor(i.cast("bigint") * n / bins)
+    part = lambda i: F.substring(F.col(seq), (lo(i) + 1).cast("int"), (lo(i + 1) - lo(i)).cast("int"))
+    count = lambda x, of: F.length(x) - F.length(F.translate(x, of, ""))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(i.alias("bin"), count(part(i), "GC").alias("gc"), count(part(i), "ACGT").alias("acgt")))
+    rows = df.where(n > 0).select(F.explode(cells).alias("c")).groupBy("c.bin").agg(F.sum("c.gc").alias("gc"), F.sum("c.acgt").alias("acgt"))
+    return rows.withColumn("mean_gc", F.when(F.col("acgt") > 0, F.col("gc") / F.col("acgt")))
+
+
 def terminal_repeats(direct: DataFrame, inverted: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
     """name, repeat_type and the best direct and inverted hit by bit score (then length, identity).
 

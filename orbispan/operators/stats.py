@@ -57,21 +57,25 @@ def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()
     return agg.withColumn("p_value", p_value("n1", "n2", "u", "_t")).select(*keys, "n1", "n2", "u", "p_value")
 
 
+#: Most products of group sizes for which the rank test counts arrangements one by one; beyond, the normal form serves.
+EXACT_RANKS = 2_000_000
+
+
 def mwu_p(n1: int, n2: int, u: float, ties: float) -> float | None:
     """ties: sum of t**3 - t over groups of t equal values."""
     if not n1 or not n2:
         return None
     big, n = max(u, n1 * n2 - u), n1 + n2
-    if ties == 0 and min(n1, n2) <= 8:
+    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= EXACT_RANKS:
         ways = np.zeros(n1 * n2 + 1)
         ways[0] = 1.0
         # number of ways to each U by the generating function of Gaussian binomials
         for i in range(1, min(n1, n2) + 1):
             j = max(n1, n2) + i
-            for x in range(len(ways) - 1, j - 1, -1):
-                ways[x] -= ways[x - j]
-            for x in range(i, len(ways)):
-                ways[x] += ways[x - i]
+            if j < len(ways):
+                ways[j:] -= ways[:-j].copy()
+            for r in range(min(i, len(ways))):
+                ways[r::i] = np.cumsum(ways[r::i])
         return min(1.0, 2 * float(ways[int(math.ceil(big)) :].sum() / ways.sum()))
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:
@@ -81,13 +85,41 @@ def mwu_p(n1: int, n2: int, u: float, ties: float) -> float | None:
 
 
 def fisher_p(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact test of a 2 x 2 table: all tables as likely as this one or less."""
+    """Two-sided exact test of a 2 x 2 table: all tables as likely as this one or less.
+
+    Likelihoods rise to one mode and fall: each tail is summed outwards from its largest term until terms no longer count,
+    so the work grows with the spread of the distribution, not with the margins.
+    """
     row, col, n = a + b, a + c, a + b + c + d
     lg = math.lgamma
     ways = lambda m, k: lg(m + 1) - lg(k + 1) - lg(m - k + 1)
     log_p = lambda k: ways(col, k) + ways(n - col, row - k) - ways(n, row)
-    lo, hi, own = max(0, row + col - n), min(row, col), log_p(a)
-    return min(1.0, math.fsum(math.exp(x) for x in map(log_p, range(lo, hi + 1)) if x <= own + 1e-7))
+    lo, hi, own = max(0, row + col - n), min(row, col), log_p(a) + 1e-7
+    mode = min(hi, max(lo, (row + 1) * (col + 1) // (n + 2)))
+    if log_p(mode) <= own:
+        return 1.0
+
+    def edge(far: int) -> int | None:
+        """The table next to the mode, on the side of `far`, that is as likely as this one or less."""
+        if log_p(far) > own:
+            return None
+        near = mode
+        while abs(far - near) > 1:
+            mid = (far + near) // 2
+            near, far = (mid, far) if log_p(mid) > own else (near, mid)
+        return far
+
+    def tail(k: int | None, step: int) -> float:
+        total = 0.0
+        while k is not None and lo <= k <= hi:
+            term = math.exp(log_p(k))
+            total += term
+            if term <= total * 1e-17:
+                break
+            k += step
+        return total
+
+    return min(1.0, tail(edge(lo), -1) + tail(edge(hi), 1))
 
 
 @F.pandas_udf(DoubleType())
@@ -95,22 +127,43 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([fisher_p(*map(int, x)) for x in zip(a, b, c, d)])
 
 
+def poisson_tail(k: int, mean: float) -> float:
+    """P(X >= k) as the regularised lower incomplete gamma function of (k, mean), in log space: a series left of the mode,
+    a continued fraction right of it; both end after some square roots of k terms."""
+    if k <= 0:
+        return 1.0
+    if mean <= 0:
+        return 0.0
+    scale = k * math.log(mean) - mean - math.lgamma(k)
+    if mean < k + 1:
+        term = total = 1.0 / k
+        i = k
+        while term > total * 1e-17:
+            i += 1
+            term *= mean / i
+            total += term
+        return min(1.0, math.exp(scale + math.log(total)))
+    tiny = 1e-300
+    b = mean + 1.0 - k
+    c, d = 1.0 / tiny, 1.0 / b
+    h, i = d, 0
+    while True:
+        i += 1
+        an = -i * (i - k)
+        b += 2.0
+        d = an * d + b
+        c = b + an / c
+        d, c = 1.0 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+        step = d * c
+        h *= step
+        if abs(step - 1.0) < 1e-15:
+            return max(0.0, 1.0 - math.exp(scale) * h)
+
+
 @F.pandas_udf(DoubleType())
 def poisson_at_least(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X >= k) of a Poisson variable."""
-
-    def tail(k: int, m: float) -> float:
-        if k <= 0:
-            return 1.0
-        term, total = math.exp(-m), 0.0
-        for i in range(k):
-            total += term
-            term *= m / (i + 1)
-        if total < 0.999999:
-            return 1 - total
-        return math.fsum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(k, k + 200)) if m > 0 else 0.0
-
-    return pd.Series([tail(int(x), float(m)) for x, m in zip(k, mean)])
+    return pd.Series([poisson_tail(int(x), float(m)) for x, m in zip(k, mean)])
 
 
 def pearson(x: str, y: str) -> Column:

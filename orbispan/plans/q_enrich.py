@@ -69,17 +69,17 @@ def cnv_correlation_excluding(spark, d):
 def cnv_enrichment(spark, d):
     """Observed against random placement for each copy number category."""
     regions = annot(spark, d).withColumn("category", cnv_category("cnv"))
-    return enrich.overlap_test(ecc(spark, d), regions, genome(spark), n_perm=10, category="category")
+    return enrich.overlap_test(ecc(spark, d), regions, genome(spark), category="category")
 
 
 @query()
 def overlap_enrichment(spark, d):
-    return enrich.overlap_test(ecc(spark, d), annot(spark, d), genome(spark), n_perm=10)
+    return enrich.overlap_test(ecc(spark, d), annot(spark, d), genome(spark))
 
 
 @query()
 def boundary_enrichment(spark, d):
-    return enrich.boundary_test(ecc(spark, d), annot(spark, d), genome(spark), n_perm=5)
+    return enrich.boundary_test(ecc(spark, d), annot(spark, d), genome(spark))
 
 
 _DEG = """WITH deg AS (SELECT 'g' || user_id AS gene_name, round(avg(value) / 25.0 - 2.0, 6) AS log2fc, (user_id % 97) / 970.0::DOUBLE AS padj FROM events GROUP BY user_id),

@@ -79,7 +79,7 @@ def hotspot_refine(spark, d):
 
 @query()
 def hotspot_permutation_test(spark, d):
-    out = hotspots.permutation_test(ecc(spark, d), genome(spark), _W, n_perm=200, fold=1.6)
+    out = hotspots.permutation_test(ecc(spark, d), genome(spark), _W, fold=1.6)
     return out.select("chrom", "idx", "start", "end", "count", "p_value", "q_value", "is_hotspot")
 
 

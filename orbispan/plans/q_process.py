@@ -75,13 +75,13 @@ def combine_deduplicated(spark, d):
 
 def _segments(spark, d):
     """Chimeric calls: an order's items are its segments, in the order of their keys."""
-    t = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    t = table(spark, d, "lineitem")
     start = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 15485863) % 10_000_000
     return t.select(F.col("l_orderkey").cast("string").alias("name"), F.concat(F.lit("chr"), F.col("l_suppkey") % 22 + 1).alias("chrom"), start.alias("start"), (start + 100 + F.col("l_quantity").cast("bigint") * 40).alias("end"), F.col("l_returnflag").alias("type"), (F.col("l_linenumber") * 10_000_000_000 + start).alias("ord"))
 
 
 _SEG = """WITH seg AS (SELECT CAST(l_orderkey AS VARCHAR) AS name, 'chr' || (l_suppkey % 22 + 1) AS chrom, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % 10000000 AS start,
-  (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % 10000000 + 100 + CAST(l_quantity AS BIGINT) * 40 AS "end", l_linenumber * 10000000000 + (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % 10000000 AS ord FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % 10000000 + 100 + CAST(l_quantity AS BIGINT) * 40 AS "end", l_linenumber * 10000000000 + (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % 10000000 AS ord FROM lineitem)"""
 
 
 @query(_SEG + """ SELECT a.name, a.chrom AS chrom1, a.start AS start1, a."end" AS end1, b.chrom AS chrom2, b.start AS start2, b."end" AS end2 FROM seg a JOIN seg b ON a.name = b.name AND a.ord < b.ord""")
@@ -97,7 +97,7 @@ r AS (SELECT name, len(segs) AS n, len(list_distinct(list_transform(segs, lambda
 def _calls(spark, d):
     text = F.concat_ws("", F.concat_ws(":", "chrom", "start"), F.lit("-"), "end", F.when(F.col("start") % 2 == 0, "(+)").otherwise("(-)"))
     seg = _segments(spark, d).withColumn("text", text).groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ";").alias("location"))
-    return seg.withColumns({"type": F.lit("Cecc"), "sample": F.concat(F.lit("s"), F.col("name").cast("bigint") / 20 % 3)})
+    return seg.withColumns({"type": F.lit("Cecc"), "sample": F.concat(F.lit("s"), F.col("name").cast("bigint") % 3)})
 
 
 @query(_REC + """ SELECT name, CAST(n AS INTEGER) AS n_segments, CASE WHEN n < 2 THEN 'unknown' WHEN nc > 1 THEN 'inter-chromosomal' ELSE 'intra-chromosomal' END AS fusion_type, CASE WHEN nc = 1 THEN hi - lo ELSE -1 END AS intra_distance, chroms AS chromosomes, CAST(total AS BIGINT) AS total_length FROM r""")
@@ -105,12 +105,11 @@ def cecc_records(spark, d):
     return cecc.records(_calls(spark, d)).select("name", "n_segments", "fusion_type", F.coalesce("intra_distance", F.lit(-1)).alias("intra_distance"), "chromosomes", "total_length")
 
 
-@query(_REC + """, k AS (SELECT CAST(name AS BIGINT) // 20 % 3 AS s, n, nc, total, CASE WHEN nc = 1 THEN hi - lo END AS dist FROM r)
+@query(_REC + """, k AS (SELECT CAST(name AS BIGINT) % 3 AS s, n, nc, total, CASE WHEN nc = 1 THEN hi - lo END AS dist FROM r)
 SELECT 's' || s AS sample, count(*) AS total, count(*) FILTER (n = 2) AS segments_2, count(*) FILTER (n = 3) AS segments_3, count(*) FILTER (n >= 4) AS segments_4plus, count(*) FILTER (n >= 2 AND nc > 1) AS inter, count(*) FILTER (n >= 2 AND nc = 1) AS intra,
 round_even(count(*) FILTER (n >= 2 AND nc > 1)::DOUBLE / count(*), 6) AS inter_fraction, round_even(avg(n), 6) AS mean_segments, CAST(max(n) AS INTEGER) AS max_segments, quantile_cont(total::DOUBLE, 0.5) AS median_length, quantile_cont(dist::DOUBLE, 0.5) AS median_intra_distance FROM k GROUP BY 1""")
 def cecc_sample_summary(spark, d):
-    calls = _calls(spark, d).withColumn("sample", F.concat(F.lit("s"), F.floor(F.col("name").cast("bigint") / 20) % 3))
-    return cecc.sample_summary(cecc.records(calls))
+    return cecc.sample_summary(cecc.records(_calls(spark, d)))
 
 
 @query(_SEG + """ SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY ord, chrom || ':' || start || '-' || "end") - 1 AS INTEGER) AS seg, chrom, start, "end", CASE WHEN start % 2 = 0 THEN '+' ELSE '-' END AS strand, "end" - start AS seg_length FROM seg""")

@@ -21,11 +21,12 @@ def gc_content(spark, d):
     return sequences.gc_of(_docs(spark, d)).select("doc_id", F.round("gc", 8).alias("gc"))
 
 
-@query("""WITH b AS (SELECT CAST(i AS INTEGER) AS pos, upper(substr(text, i + 1, 1)) AS base FROM documents, range(0, 200) t(i) WHERE length(text) >= 200)
-SELECT pos, round(avg(CASE WHEN base IN ('G', 'C') THEN 1 WHEN base IN ('A', 'T') THEN 0 END), 8) AS mean_gc, count(*) FILTER (base IN ('A', 'C', 'G', 'T')) AS n FROM b GROUP BY 1""")
+@query("""WITH b AS (SELECT CAST(i AS INTEGER) AS bin, upper(substr(text, i * length(text) // 50 + 1, (i + 1) * length(text) // 50 - i * length(text) // 50)) AS s FROM documents, range(0, 50) t(i) WHERE length(text) > 0),
+k AS (SELECT bin, CAST(sum(length(s) - length(translate(s, 'GC', ''))) AS BIGINT) AS gc, CAST(sum(length(s) - length(translate(s, 'ACGT', ''))) AS BIGINT) AS acgt FROM b GROUP BY 1)
+SELECT bin, gc, acgt, round(gc::DOUBLE / acgt, 8) AS mean_gc FROM k""")
 def gc_metagene(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.col("text").alias("seq")).withColumn("seq", F.when(F.length("seq") >= 200, F.substring("seq", 1, 200)).otherwise(""))
-    return sequences.gc_profile(w, 200).withColumn("mean_gc", F.round("mean_gc", 8))
+    t = table(spark, d, "documents").select(F.upper("text").alias("seq"))
+    return sequences.gc_metagene(t, 50).withColumn("mean_gc", F.round("mean_gc", 8))
 
 
 @query(ctes("ecc") + """, h AS (SELECT chrom, (start + "end") // 2 // 100000 AS idx, count(*) AS n FROM ecc GROUP BY 1, 2)
@@ -39,29 +40,33 @@ def moving_average(spark, d):
 
 
 @query("""SELECT doc_id, md5(reverse(translate(s, 'ACGTNacgtn', 'TGCANtgcan'))) AS revcomp, md5(CASE WHEN n <= 100 THEN s || s ELSE right(s, 50) || left(s, 50) END) AS template, CAST(CASE WHEN n <= 100 THEN n ELSE 50 END AS INTEGER) AS junction,
-md5(substr(s, 8) || left(s, 7) || substr(s, 8) || left(s, 7)) AS doubled FROM (SELECT doc_id, text AS s, length(text) AS n FROM documents WHERE length(text) > 10 AND strlen(text) = length(text))""")
+md5(substr(s, 8) || left(s, 7) || substr(s, 8) || left(s, 7)) AS doubled FROM (SELECT doc_id, s, length(s) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x01-\x7F]', 'N', 'g') AS s FROM documents) WHERE length(s) > 0)""")
 def sequence_transforms(spark, d):
-    t = table(spark, d, "documents").where("length(text) > 10 AND octet_length(text) = length(text)").select("doc_id", F.col("text").alias("s"))
+    """Letters outside ASCII stand for unknown bases."""
+    t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x01-\x7F]", "N").alias("s")).where("length(s) > 0")
     j = seq.junction_template("s", 50)
     m = lambda c: F.md5(c.cast("binary"))
     return t.select("doc_id", m(seq.reverse_complement("s")).alias("revcomp"), m(j["template"]).alias("template"), j["junction"].alias("junction"), m(seq.rotated_and_doubled("s", F.lit(7))).alias("doubled"))
 
 
-@query("""SELECT doc_id, substr(repeat(s, CAST(ceil((doc_id % n + 2 * n + 3)::DOUBLE / n) AS INTEGER)), doc_id % n + 1, 2 * n + 3) = left(substr(s, doc_id % n + 1) || s || s || s, 2 * n + 3) AS same, md5(left(substr(s, doc_id % n + 1) || s || s || s, 2 * n + 3)) AS wrapped
-FROM (SELECT doc_id, left(text, 40) AS s, length(left(text, 40)) AS n FROM documents WHERE length(text) > 0)""")
+@query("""SELECT doc_id, n::BIGINT AS bases, md5(left(substr(s, doc_id % n + 1) || s || s || s, 2 * n + 3)) AS wrapped FROM (SELECT doc_id, text AS s, length(text) AS n FROM documents WHERE length(text) > 0)""")
 def circular_slices(spark, d):
-    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.substring("text", 1, 40).alias("s"))
+    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.col("text").alias("s"))
     n = F.length("s")
     s = seq.circular_slice("s", F.col("doc_id"), 2 * n + 3)
-    return t.select("doc_id", F.lit(True).alias("same"), F.md5(s.cast("binary")).alias("wrapped"))
+    return t.select("doc_id", n.cast("bigint").alias("bases"), F.md5(s.cast("binary")).alias("wrapped"))
 
 
-@query(ctes("ecc") + """, g AS (SELECT name, chrom, start % 5000 AS start, start % 5000 + length AS "end" FROM ecc WHERE start % 50 = 0)
-SELECT name, CAST(length(substr(repeat('ACGTTGCAAC', 1000), start + 1, "end" - start)) AS INTEGER) AS n, md5(substr(repeat('ACGTTGCAAC', 1000), start + 1, "end" - start)) AS seq_md5 FROM g""")
+@query("""WITH t AS (SELECT doc_id, upper(text) AS s, length(text) AS n FROM documents WHERE length(text) > 0), r AS (SELECT doc_id, s, n, i, doc_id * 7919 * (i + 1) % n AS start FROM t, range(0, 3) g(i))
+SELECT doc_id || ':' || i AS name, length(substr(s, start + 1, 2500))::INTEGER AS n, md5(substr(s, start + 1, 2500)) AS seq_md5 FROM r""")
 def fetch_regions(spark, d):
-    e = ecc(spark, d).where("start % 50 = 0").select("name", "chrom", (F.col("start") % 5000).alias("start"), (F.col("start") % 5000 + F.col("length")).alias("end"))
-    chunks = e.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("chunk"), F.repeat(F.lit("ACGTTGCAAC"), 100).alias("seq"))
-    return sequences.fetched(e, chunks, 1000).select("name", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+    """Three regions of each document, which stands for a contig, fetched from its chunks of 1,000 bases."""
+    t = _docs(spark, d).withColumn("n", F.length("seq")).where("n > 0").withColumn("chrom", F.col("doc_id").cast("string"))
+    chunks = t.select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000).cast("int")), lambda i: F.substring(F.col("seq"), i * 1000 + 1, F.lit(1000)))).alias("chunk", "seq"))
+    e = t.select("doc_id", "chrom", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    start = F.col("doc_id") * 7919 * (F.col("i") + 1) % F.col("n")
+    e = e.select(F.concat_ws(":", "doc_id", "i").alias("name"), "chrom", start.alias("start"), F.least(start + 2500, F.col("n")).cast("bigint").alias("end"))
+    return sequences.fetched(e, chunks.withColumn("chunk", F.col("chunk").cast("bigint")), 1000).select("name", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS name, l_linenumber, l_tax * 100 + 90 AS pident, CAST(l_quantity AS BIGINT) AS length, l_extendedprice AS bitscore FROM lineitem),

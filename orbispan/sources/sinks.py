@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Report rows that are brought to the driver; metric tables have tens of rows.
+#: Most rows of a metric table that is written as one nested document; a larger one is an error, as it is no summary.
 REPORT_ROWS = 100_000
 
 
@@ -32,9 +32,28 @@ def write_links(pairs: DataFrame, path: str, colour: Column | None = None) -> No
 def write_report(metrics: DataFrame, path: str) -> dict:
     """metrics: scope, key, metric, value. Writes nested JSON as one text file and returns it."""
     tree: dict = {}
-    for r in metrics.orderBy("scope", "key", "metric").limit(REPORT_ROWS).collect():
+    rows = metrics.select("scope", "key", "metric", "value").limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} metrics; write longer tables with write_report_csv")
+    for r in sorted(rows, key=str):
         tree.setdefault(r["scope"], {}).setdefault(r["key"], {})[r["metric"]] = r["value"]
     text = json.dumps(tree, indent=2, sort_keys=True)
     spark = metrics.sparkSession
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return tree
+
+
+def write_report_csv(metrics: DataFrame, path: str) -> None:
+    """scope, key, metric, value of any number of metrics, sorted within files."""
+    metrics.select("scope", "key", "metric", "value").sortWithinPartitions("scope", "key", "metric").write.mode("overwrite").csv(path, header=True)
+
+
+def report_lines(metrics: DataFrame) -> DataFrame:
+    """value: one line for each scope and key, 'scope / key: metric=value, ...' with metrics by name and four decimals."""
+    cell = F.concat_ws("=", "metric", F.format_string("%.4f", F.col("value")))
+    lines = metrics.groupBy("scope", "key").agg(F.array_sort(F.collect_list(cell)).alias("m"))
+    return lines.select(F.concat(F.col("scope"), F.lit(" / "), F.col("key"), F.lit(": "), F.array_join("m", ", ")).alias("value"))
+
+
+def write_report_text(metrics: DataFrame, path: str) -> None:
+    report_lines(metrics).sortWithinPartitions("value").write.mode("overwrite").text(path)

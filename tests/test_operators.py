@@ -1,7 +1,9 @@
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbispan.functions import regions, sequence
 from orbispan.operators import benchmark, cecc, hotspots, process, sequences, stats, te
@@ -98,9 +100,9 @@ def test_truth_as_its_own_detection_is_perfect(spark):
 
 
 def test_partial_chimera_is_a_false_positive(spark):
-    assert benchmark.best_pairing([("a", 0, 10), ("b", 0, 10)], [("b", 0, 10), ("a", 0, 10)], 0.8) == 2
-    assert benchmark.best_pairing([("a", 0, 10), ("b", 0, 10)], [("a", 0, 10), ("z", 0, 10)], 0.8) == 1
-    assert benchmark.best_pairing([("a", 0, 10)], [("a", 0, 10)] * 3, 0.8) == 0
+    assert benchmark.most_paired([("a", 0, 10), ("b", 0, 10)], [("b", 0, 10), ("a", 0, 10)], 0.8) == 2
+    assert benchmark.most_paired([("a", 0, 10), ("b", 0, 10)], [("a", 0, 10), ("z", 0, 10)], 0.8) == 1
+    assert benchmark.most_paired([("a", 0, 10)], [("a", 0, 10)] * 3, 0.8) == 0
 
 
 def test_false_discovery_birthday_form(spark):
@@ -156,3 +158,130 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["sample"], r["count"]) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_pairing_equals_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(4)
+    draw = lambda n: [(rng.choice("ab"), s, s + rng.randrange(5, 12)) for s in (rng.randrange(0, 12) for _ in range(n))]
+    for _ in range(300):
+        t, d = draw(rng.randrange(0, 6)), draw(rng.randrange(0, 6))
+        fits = lambda x, y: x[0] == y[0] and min(x[2], y[2]) - max(x[1], y[1]) >= 0.6 * min(x[2] - x[1], y[2] - y[1])
+        few, many = sorted((t, d), key=len)
+        want = max(sum(fits(many[i], few[k]) for i, k in enumerate(p)) for p in permutations(range(len(few)))) if abs(len(t) - len(d)) <= 1 else 0
+        assert benchmark.most_paired(t, d, 0.6) == want
+    many = [("a", i * 10, i * 10 + 10) for i in range(200)]
+    assert benchmark.most_paired(many, many[::-1], 0.8) == 200
+
+
+def test_deduplicated_equals_a_scan(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(250):
+        s = rng.randrange(0, 300)
+        rows.append((rng.choice(["c1", "c2"]), s, s + rng.randrange(0, 60), rng.choice("xy"), rng.choice("pqr")))
+    rows += rows[:20] + [("c3", 5, 5, "x", "p")] * 2
+    for fraction in (0.5, 0.8):
+        survivors = []
+        for c, s, e, tool, sample in sorted(rows):
+            near = next((m for m in survivors if m[0] == c and e > s and (o := min(e, m[2]) - max(s, m[1])) > 0 and o >= fraction * (e - s) and o >= fraction * (m[2] - m[1])), None)
+            if near is None:
+                survivors.append([c, s, e, tool, sample])
+            else:
+                near[3] = tool if near[3] == tool else "merged"
+                near[4] += "" if near[4] == sample else f";{sample}"
+        df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, tool string, sample string").repartition(3)
+        assert sorted(map(tuple, process.deduplicated(df, fraction).collect())) == sorted(map(tuple, survivors))
+
+
+def test_greedy_choices_equal_one_by_one(spark):
+    from orbispan.operators.greedy import first_choices
+
+    rng = random.Random(6)
+    rows = list({(rng.randrange(40), rng.randrange(30)): rng.random() for _ in range(250)}.items())
+    rows = [(a, b, w) for (a, b), w in rows]
+    used, want = set(), set()
+    for a in sorted({r[0] for r in rows}):
+        free = sorted((w, b) for x, b, w in rows if x == a and b not in used)
+        if free:
+            used.add(free[0][1])
+            want.add((a, free[0][1]))
+    df = spark.createDataFrame(rows, "a long, b long, w double").repartition(3)
+    assert {(r.a, r.b) for r in first_choices(df, "a", "b", F.col("a"), F.col("w")).collect()} == want
+    assert first_choices(df.limit(0), "a", "b", F.col("a"), F.col("w")).count() == 0
+
+
+def test_poisson_tail_and_fisher_on_large_values():
+    exact = lambda k, m: 1 - math.fsum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(k))
+    for k, m in ((1, 0.1), (3, 2.5), (10, 4.0), (30, 40.0), (7, 7.0), (90, 100.0)):
+        assert stats.poisson_tail(k, m) == pytest.approx(exact(k, m), rel=1e-9, abs=1e-12)
+    assert stats.poisson_tail(800, 800.0) == pytest.approx(0.5047, abs=1e-3) and stats.poisson_tail(2000, 800.0) < 1e-200
+    assert stats.poisson_tail(10**9, 1e9) == pytest.approx(0.5, abs=1e-3) and stats.poisson_tail(0, 5.0) == 1.0 and stats.poisson_tail(3, 0.0) == 0.0
+
+    def brute(a, b, c, d):
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = lambda k: math.comb(col, k) * math.comb(n - col, row - k)
+        return sum(ways(k) for k in range(max(0, row + col - n), min(row, col) + 1) if ways(k) <= ways(a)) / math.comb(n, row)
+
+    rng = random.Random(7)
+    for _ in range(200):
+        x = [rng.randrange(0, 25) for _ in range(4)]
+        if sum(x):
+            assert stats.fisher_p(*x) == pytest.approx(brute(*x), rel=1e-6)
+    assert 0 < stats.fisher_p(10**8, 10**8 + 30_000, 10**8, 10**8) < 1
+    assert stats.mwu_p(8, 800_000_000, 3.2e9, 0) > 0.9
+
+
+def test_hit_chances_and_overlap_test(spark):
+    from orbispan.operators import enrich
+
+    genome = spark.createDataFrame([("c1", 300), ("c2", 100)], "chrom string, size bigint")
+    rng = random.Random(8)
+    regions = [(c, s, s + rng.randrange(1, 12), rng.choice("uv")) for c, top in (("c1", 290), ("c2", 90)) for s in (rng.randrange(0, top) for _ in range(6))]
+    r = spark.createDataFrame(regions, "chrom string, start bigint, end bigint, kind string")
+    got = {(x.kind, x.length): x.chance for x in enrich.hit_chances(spark.createDataFrame([(5,), (40,)], "length bigint"), r, genome, ["kind"]).collect()}
+    for kind in "uv":
+        for n in (5, 40):
+            want = 0.0
+            for c, size in (("c1", 300), ("c2", 100)):
+                starts = range(size - n + 1)
+                want += size / 400 * sum(any(x[0] == c and x[3] == kind and s < x[2] and x[1] < s + n for x in regions) for s in starts) / len(starts)
+            assert got[kind, n] == pytest.approx(want)
+    ecc = spark.createDataFrame([(f"e{i}", *rng.choice([x[:2] for x in regions])) for i in range(60)], "name string, chrom string, start bigint").selectExpr("name", "chrom", "start", "start + 5 AS end")
+    out = enrich.overlap_test(ecc, r.select("chrom", "start", "end"), genome, n_perm=400).first()
+    every = enrich.hit_chances(spark.createDataFrame([(5,)], "length bigint"), r.select("chrom", "start", "end"), genome).first().chance
+    assert out.observed == 60 and out.n_perm == 400 and out["mean"] == pytest.approx(60 * every, rel=0.05) and out.p_value == pytest.approx(1 / 401)
+
+
+def test_boundary_test_draws_the_distances_of_random_places(spark):
+    from orbispan.operators import enrich
+
+    rng = np.random.default_rng(9)
+    genome = spark.createDataFrame([("c1", 1_000_000), ("c2", 400_000)], "chrom string, size bigint")
+    domains = [("c1", 200_000, 450_000), ("c1", 700_000, 900_000), ("c2", 150_000, 300_000)]
+    dom = spark.createDataFrame(domains, "chrom string, start bigint, end bigint")
+    at = rng.integers(0, 1_400_000, size=4000)
+    rows = [("c1", int(x)) if x < 1_000_000 else ("c2", int(x) - 1_000_000) for x in at]
+    ecc = spark.createDataFrame([(f"e{i}", c, x, x + 1) for i, (c, x) in enumerate(rows)], "name string, chrom string, start bigint, end bigint")
+    out = {r.statistic: r for r in enrich.boundary_test(ecc, dom, genome, n_perm=200).collect()}
+    for s in ("mean", "median"):
+        assert out[s]["mean"] == pytest.approx(out[s].observed, rel=0.05) and 0.005 < out[s].p_value < 1
+
+
+def test_reports(spark, tmp_path):
+    from orbispan.sources import sinks
+
+    rows = [("all", "U", "f1", 0.5), ("all", "U", "n", 2.0), ("tool", "M", "n", 1.0)]
+    m = spark.createDataFrame(rows, "scope string, key string, metric string, value double")
+    assert sinks.write_report(m, f"file://{tmp_path}/r")["all"]["U"] == {"f1": 0.5, "n": 2.0}
+    sinks.write_report_text(m, f"file://{tmp_path}/t")
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/t").collect()) == ["all / U: f1=0.5000, n=2.0000", "tool / M: n=1.0000"]
+    sinks.write_report_csv(m, f"file://{tmp_path}/c")
+    assert spark.read.csv(f"file://{tmp_path}/c", header=True).count() == 3
+    sinks.REPORT_ROWS, old = 2, sinks.REPORT_ROWS
+    try:
+        with pytest.raises(ValueError):
+            sinks.write_report(m, f"file://{tmp_path}/r2")
+    finally:
+        sinks.REPORT_ROWS = old
