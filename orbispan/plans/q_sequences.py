@@ -21,11 +21,11 @@ def gc_content(spark, d):
     return sequences.gc_of(_docs(spark, d)).select("doc_id", F.round("gc", 8).alias("gc"))
 
 
-@query("""WITH b AS (SELECT CAST(i AS INTEGER) AS bin, upper(substr(text, i * length(text) // 50 + 1, (i + 1) * length(text) // 50 - i * length(text) // 50)) AS s FROM documents, range(0, 50) t(i) WHERE length(text) > 0),
+@query("""WITH b AS (SELECT CAST(i AS INTEGER) AS bin, translate(substr(text, i * length(text) // 50 + 1, (i + 1) * length(text) // 50 - i * length(text) // 50), 'acgt', 'ACGT') AS s FROM documents, range(0, 50) t(i) WHERE length(text) > 0),
 k AS (SELECT bin, CAST(sum(length(s) - length(translate(s, 'GC', ''))) AS BIGINT) AS gc, CAST(sum(length(s) - length(translate(s, 'ACGT', ''))) AS BIGINT) AS acgt FROM b GROUP BY 1)
 SELECT bin, gc, acgt, round(gc::DOUBLE / acgt, 8) AS mean_gc FROM k""")
 def gc_metagene(spark, d):
-    t = table(spark, d, "documents").select(F.upper("text").alias("seq"))
+    t = table(spark, d, "documents").select(F.translate("text", "acgt", "ACGT").alias("seq"))
     return sequences.gc_metagene(t, 50).withColumn("mean_gc", F.round("mean_gc", 8))
 
 
@@ -57,11 +57,11 @@ def circular_slices(spark, d):
     return t.select("doc_id", n.cast("bigint").alias("bases"), F.md5(s.cast("binary")).alias("wrapped"))
 
 
-@query("""WITH t AS (SELECT doc_id, upper(text) AS s, length(text) AS n FROM documents WHERE length(text) > 0), r AS (SELECT doc_id, s, n, i, doc_id * 7919 * (i + 1) % n AS start FROM t, range(0, 3) g(i))
+@query("""WITH t AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS s, length(text) AS n FROM documents WHERE length(text) > 0), r AS (SELECT doc_id, s, n, i, doc_id * 7919 * (i + 1) % n AS start FROM t, range(0, 3) g(i))
 SELECT doc_id || ':' || i AS name, length(substr(s, start + 1, 2500))::INTEGER AS n, md5(substr(s, start + 1, 2500)) AS seq_md5 FROM r""")
 def fetch_regions(spark, d):
     """Three regions of each document, which stands for a contig, fetched from its chunks of 1,000 bases."""
-    t = _docs(spark, d).withColumn("n", F.length("seq")).where("n > 0").withColumn("chrom", F.col("doc_id").cast("string"))
+    t = table(spark, d, "documents").select("doc_id", F.translate("text", "acgt", "ACGT").alias("seq")).withColumn("n", F.length("seq")).where("n > 0").withColumn("chrom", F.col("doc_id").cast("string"))
     chunks = t.select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000).cast("int")), lambda i: F.substring(F.col("seq"), i * 1000 + 1, F.lit(1000)))).alias("chunk", "seq"))
     e = t.select("doc_id", "chrom", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
     start = F.col("doc_id") * 7919 * (F.col("i") + 1) % F.col("n")
