@@ -8,7 +8,7 @@ search, so a task holds one bounded group and all groups together lose about one
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ GROUP_ROWS = 16_384
 
 
 def cut_pieces(docs: DataFrame, size: int, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
-    """id, piece, start, length, ids_crc32. A document is its ids and a final id 0; a longer one is cut into pieces of
-    `size` tokens, of which the first may be shorter."""
+    """id, piece, start, length, ids_crc32, spot. A document is its ids and a final id 0; a longer one is cut into pieces of
+    `size` tokens, of which the first may be shorter. spot is the document's place in its batch of rows."""
 
     def run(batches):
         encode = text_encoder(vocabulary)
@@ -41,12 +41,53 @@ def cut_pieces(docs: DataFrame, size: int, id_col: str, text_col: str, vocabular
                         length.append(e - s)
                         crc.append(zlib.crc32(ids[4 * s : 4 * e]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["id", "piece", "start", "length", "ids_crc32"],
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(row, pa.int32())],
+                ["id", "piece", "start", "length", "ids_crc32", "spot"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, piece int, start long, length long, ids_crc32 long, spot int")
+
+
+class Index:
+    """Which bins hold an item of a length, or two items of a summed length; a bit mask of the sums finds the next one.
+
+    A bin of `size` tokens has few different lengths (their sum is bounded: 63 for 2048), so all pairs of them are few.
+    """
+
+    def __init__(self) -> None:
+        self.where: dict[int, set[int]] = {}
+        self.held: dict[int, dict[int, tuple]] = {}
+        self.mask = 0
+
+    def put(self, b: int, sums: dict[int, tuple]) -> None:
+        """Bin b now holds these sums, each with the items that make it, and no others."""
+        old = self.held.get(b, {})
+        for n in old.keys() - sums.keys():
+            at = self.where[n]
+            at.discard(b)
+            if not at:
+                self.mask ^= 1 << n
+        for n in sums.keys() - old.keys():
+            at = self.where.setdefault(n, set())
+            if not at:
+                self.mask |= 1 << n
+            at.add(b)
+        self.held[b] = sums
+
+
+def _singles(items: list[tuple[int, int]]) -> dict[int, tuple]:
+    return {x[0]: (x,) for x in items}
+
+
+def _pairs(items: list[tuple[int, int]]) -> dict[int, tuple]:
+    first: dict[int, list] = {}
+    for x in items:
+        at = first.setdefault(x[0], [])
+        if len(at) < 2:  # equal lengths are interchangeable
+            at.append(x)
+    flat = [x for at in first.values() for x in at]
+    return {x[0] + y[0]: (x, y) for i, x in enumerate(flat) for y in flat[i + 1 :]}
 
 
 class Bins:
@@ -85,87 +126,54 @@ class Bins:
         """Moves, one-for-one and two-for-one exchanges between underfull bins while the sum of squared fills grows.
 
         Each step fills one bin at the cost of an emptier one, so the fill gathers in few bins and the others empty. The
-        sum is a bounded integer that grows with each step, so the search ends.
+        sum is a bounded integer that grows with each step, so the search ends, and it ends only where no single exchange
+        of these kinds between any two underfull bins grows it.
         """
+        self.one, self.two = Index(), Index()
         open_bins = [b for b in range(len(self.fill)) if 0 < self.fill[b] < self.size]
-        where: dict[int, set[int]] = {}  # bins that hold an item of a length
         for b in open_bins:
-            for n, _ in self.items[b]:
-                where.setdefault(n, set()).add(b)
-        mask = 0
-        for n in where:
-            mask |= 1 << n
+            self._enter(b)
         moved = True
         while moved:
             moved = False
-            open_bins = sorted((b for b in open_bins if self.fill[b]), key=lambda b: (-self.fill[b], b))
+            open_bins = sorted((b for b in open_bins if 0 < self.fill[b] < self.size), key=lambda b: (-self.fill[b], b))
             for b in open_bins:
-                while self.fill[b] and self.fill[b] < self.size:
-                    step = self._step(b, where, mask)
-                    if step is None:
-                        break
+                while 0 < self.fill[b] < self.size and (step := self._step(b)) is not None:
                     give, other, take = step
                     for src, dst, part in ((b, other, give), (other, b, take)):
                         for item in part:
                             self.items[src].remove(item)
-                            self.fill[src] -= item[0]
                             insort(self.items[dst], item)
+                            self.fill[src] -= item[0]
                             self.fill[dst] += item[0]
-                            where.setdefault(item[0], set()).add(dst)
-                            mask |= 1 << item[0]
-                    for part, src in ((give, b), (take, other)):
-                        for n, _ in part:
-                            at = bisect_left(self.items[src], (n,))
-                            if at == len(self.items[src]) or self.items[src][at][0] != n:
-                                where[n].discard(src)
-                                if not where[n]:
-                                    mask ^= 1 << n
-                    if self.fill[b] == self.size:
-                        for n, _ in self.items[b]:
-                            if n in where and b in where[n]:
-                                where[n].discard(b)
-                                if not where[n]:
-                                    mask ^= 1 << n
+                    self._enter(b)
+                    self._enter(other)
                     moved = True
 
-    def _step(self, b: int, where: dict[int, set[int]], mask: int):
-        """The exchange that fills bin b most: (given items, other bin, taken items)."""
-        gap, fill, own, best, gain = self.size - self.fill[b], self.fill[b], self.items[b], None, 0
-        singles = {(): 0} | {(x,): x[0] for x in own}
-        pairs = {(x, y): x[0] + y[0] for i, x in enumerate(own) for y in own[i + 1 :]} if len(own) <= 24 else {}
-        for give, n in (*singles.items(), *pairs.items()):
-            # the longest item of another bin that is longer than what is given, and fits
-            window = (mask >> (n + 1)) & ((1 << gap) - 1)
-            while window:
-                d = window.bit_length()
-                if d <= gain:
-                    break
+    def _enter(self, b: int) -> None:
+        """Keep the indexes: a full or empty bin takes part no more."""
+        some = 0 < self.fill[b] < self.size
+        self.one.put(b, _singles(self.items[b]) if some else {})
+        self.two.put(b, _pairs(self.items[b]) if some else {})
+
+    def _step(self, b: int):
+        """The exchange with an emptier bin that fills bin b most: (given items, other bin, taken items)."""
+        gap, fill, best, gain = self.size - self.fill[b], self.fill[b], None, 0
+        # nothing, one or two given for one taken; nothing or one given for two taken
+        offers = [(0, (), self.one), (0, (), self.two)]
+        offers += [(n, part, index) for n, part in self.one.held[b].items() for index in (self.one, self.two)]
+        offers += [(n, part, self.one) for n, part in self.two.held[b].items()]
+        for n, give, index in offers:
+            window = (index.mask >> (n + 1)) & ((1 << gap) - 1)
+            while window and (d := window.bit_length()) > gain:
                 window ^= 1 << (d - 1)
-                others = [o for o in where[n + d] if o != b and self.fill[o] - d < fill]
+                others = [(self.fill[o], o) for o in index.where[n + d] if o != b and self.fill[o] - d < fill]
                 if others:
-                    o = min(others, key=lambda o: (self.fill[o], o))
-                    take = self.items[o][bisect_left(self.items[o], (n + d,))]
-                    best, gain = (give, o, (take,)), d
+                    o = min(others)[1]
+                    best, gain = (give, o, index.held[o][n + d]), d
                     break
             if gain == gap:
-                return best
-        return self._two_for_one(b, best, gain, where, mask)
-
-    def _two_for_one(self, b: int, best, gain: int, where: dict[int, set[int]], mask: int):
-        gap, fill = self.size - self.fill[b], self.fill[b]
-        if gain == gap or not mask:
-            return best
-        low = (mask & -mask).bit_length() - 1  # bins with the shortest item are those with pairs to spare
-        for o in sorted(where[low], key=lambda o: (self.fill[o], o))[:8]:
-            if o == b:
-                continue
-            theirs = self.items[o]
-            for i, y in enumerate(theirs):
-                for z in theirs[i + 1 :]:
-                    for x in self.items[b]:
-                        d = y[0] + z[0] - x[0]
-                        if gain < d <= gap and self.fill[o] - d < fill:
-                            best, gain = ((x,), o, (y, z)), d
+                break
         return best
 
 
@@ -186,21 +194,22 @@ def pack_group(lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, vocabulary: str | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece, offsets gapless from 0.
 
-    A null text counts as empty and is the single id 0. Repeated rows are packed as often as they occur; ties go by the
-    order of id and piece; an empty table gives none; very long texts are cut and packed whole; further columns are ignored.
+    A null text counts as empty and is the single id 0. Ids may be null and of any atomic type. Repeated rows are packed as
+    often as they occur, and their place in a batch deals them to different groups; ties go by the order of id and piece;
+    an empty table gives none; texts of any length, long runs of one character included, are cut and packed whole;
+    further columns are ignored.
     """
     pieces = stored(cut_pieces(docs, size, id_col, text_col, vocabulary), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "spot"), F.lit(groups))).drop("spot")
 
     def pack_rows(key, rows):
-        order = np.lexsort((rows.column("ids_crc32").to_numpy(), rows.column("piece").to_numpy(), rows.column("id").to_numpy(zero_copy_only=False)))
-        rows = rows.take(pa.array(order)).combine_chunks()
+        rows = rows.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
         place, offset = pack_group(rows.column("length").to_pylist(), size)
         rows = rows.append_column("sequence_id", pa.array(place + (key[0] << 32))).append_column("offset", pa.array(offset))
         return rows.to_batches()[0]
 
-    return map_runs(dealt, ["grp"], pack_rows, "grp long, " + _kinds(pieces) + ", sequence_id long, offset long").drop("grp")
+    return map_runs(dealt, ["grp"], pack_rows, "grp long, " + _kinds(pieces.drop("spot")) + ", sequence_id long, offset long").drop("grp")
 
 
 def _kinds(df: DataFrame) -> str:

@@ -60,7 +60,7 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pq.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,19 +42,44 @@ def byte_bpe(path: str | None = None, plain: bool = False):
 
 
 _WIDE_BLANK = re.compile(r"\s\s")
+#: White space as the vocabulary's pattern means it, and how long a run of it the splitter is given: it backtracks over each
+#: blank and would overflow its stack on some hundred thousands.
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_BLANK = 4096
+_LONG_BLANK = re.compile(f"{_BLANK}{{{LONG_BLANK},}}")
 
 
 def text_encoder(path: str | None = None):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes; added tokens in a text count as such."""
+    """A function from a text to its ids as little-endian unsigned 32-bit bytes; added tokens in a text count as such.
+
+    A run of white space is one piece but for its last blank, which belongs to what follows; a very long run is cut off by
+    that rule, so texts of any length and make can be encoded.
+    """
     whole = byte_bpe(path)
-    added = tuple(whole.special_tokens_set)
-    full, plain = byte_bpe(path).encode_ordinary, byte_bpe(path, True).encode_ordinary
+    added = {t: whole.encode_single_token(t) for t in whole.special_tokens_set}
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    full, plain, piece = whole.encode_ordinary, byte_bpe(path, True).encode_ordinary, whole._encode_single_piece
+
+    def encoded(text: str) -> list[int]:
+        if not _WIDE_BLANK.search(text):
+            return plain(text)
+        if len(text) < LONG_BLANK or not _LONG_BLANK.search(text):
+            return full(text)
+        ids, at = [], 0
+        for m in _LONG_BLANK.finditer(text):
+            cut = m.end() - (m.end() < len(text))
+            ids += full(text[at : m.start()])
+            ids += piece(text[m.start() : cut])
+            at = cut
+        return ids + full(text[at:])
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if any(a in text for a in added):
-            return np.array(whole.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-        return np.array(full(text) if _WIDE_BLANK.search(text) else plain(text), dtype="<u4").tobytes()
+        if added and any(a in text for a in added):
+            ids = [i for part in split.split(text) for i in ([added[part]] if part in added else encoded(part) if part else [])]
+        else:
+            ids = encoded(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
     return encode

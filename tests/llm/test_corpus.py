@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,9 +11,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orbispan.llm import decontam, lines, packing, pii, pq, quality, secrets, shards, simhash, warc
+from orbispan.llm import decontam, lines, packing, pii, pq, quality, queries, secrets, shards, simhash, warc
 from orbispan.llm.common import components, with_grid
 
+SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(300)]
 
 
@@ -161,59 +163,84 @@ def test_shards_are_contiguous_balanced_and_gapless(spark, docs, texts, empty):
     assert sorted(r.slot for r in shards.byte_shards(same, 1).collect()) == [0, 1, 2, 3]
 
 
-def test_packing_round_trip(docs, texts, empty):
+def encoder():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    rows = packing.pack(docs, size=512, group_rows=40).collect()
-    by = {}
+    return lambda t: tok.encode(t or "", add_special_tokens=False).ids
+
+
+def check_packing(rows, texts, ids_of, size):
+    """Every text's ids and a final 0, cut as promised, laid without gaps into sequences of at most `size`."""
+    by, seqs = {}, {}
     for r in rows:
-        by.setdefault(r.id, []).append(r)
-    for i, t in enumerate(texts):
-        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
-        at = 0
+        by.setdefault(r[0], []).append(r)
+        seqs.setdefault(r.sequence_id, []).append(r)
+    assert by.keys() == texts.keys()
+    for i, t in texts.items():
+        ids, at = ids_of(t) + [0], 0
         for k, r in enumerate(sorted(by[i], key=lambda r: r.piece)):
             part = np.array(ids[r.start : r.start + r.length], dtype="<u4")
             assert (r.piece, r.start) == (k, at) and zlib.crc32(part.tobytes()) == r.ids_crc32
-            assert len(by[i]) == 1 and r.length <= 512 or r.length == 512 or k == 0
+            assert len(by[i]) == 1 and r.length <= size or r.length == size or k == 0
             at += r.length
         assert at == len(ids)
-    seqs = {}
-    for r in rows:
-        seqs.setdefault(r.sequence_id, []).append(r)
     for s in seqs.values():
         at = 0
         for r in sorted(s, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 512
-    assert len(seqs) <= 1.15 * sum(r.length for r in rows) / 512
+        assert at <= size
+    assert len(seqs) <= 1.15 * sum(r.length for r in rows) / size + 1
+
+
+def test_packing_round_trip(docs, texts, empty):
+    rows = packing.pack(docs, size=512, group_rows=40).collect()
+    check_packing(rows, dict(enumerate(texts)), encoder(), 512)
     assert packing.pack(empty).count() == 0
 
 
-def test_ids_equal_the_tokenizers_file_with_its_added_tokens():
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def test_packing_of_odd_texts_and_ids(spark):
+    texts = {"a": "one<|endoftext|>two", "b": " " * 1_000_000 + "x", "c": "é漢字\u3000\u3000 мир 🎉", "d": "!" * 50_000, "e": None, "f": "", "g": "q" * 100_000, None: "no id"}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()], "doc_id string, text string, piece int, grp int").repartition(3)
+    check_packing(packing.pack(df).collect(), texts, encoder(), 2048)
+    same = spark.createDataFrame([(1, "same words here")] * 300 + [(None, None)] * 300, "doc_id long, text string").repartition(2)
+    rows = packing.pack(same, size=64, group_rows=50).collect()
+    assert len(rows) == 600 and len({r.sequence_id >> 32 for r in rows}) == 12
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 600
 
-    from orbispan.llm.tokens import text_encoder
 
-    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), text_encoder()
-    for t in ("one<|endoftext|>two", "<|endoftext|>", " a  <|endoftext|>  b\n\n<|endoftext|><|endoftext|>é ", "<|endoftext |> <|ENDOFTEXT|>", "plain  text"):
-        assert np.frombuffer(encode(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_packing_query_on_the_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = queries.op6_best_fit_packing(spark, SF)
+    assert df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    check_packing(df.collect(), texts, encoder(), 2048)
 
 
-def test_local_search_only_improves():
+def test_ids_equal_the_tokenizers_file_with_its_added_tokens():
+    from orbispan.llm.tokens import LONG_BLANK, text_encoder
+
+    ids_of, encode = encoder(), text_encoder()
+    for t in (
+        "one<|endoftext|>two", "<|endoftext|>", " a  <|endoftext|>  b\n\n<|endoftext|><|endoftext|>é ", "<|endoftext |> <|ENDOFTEXT|>", "plain  text",
+        " " * LONG_BLANK + "a", "a" + "\n" * LONG_BLANK, " \n" * LONG_BLANK + "<|endoftext|>" + "\t" * LONG_BLANK + "<|endoftext|>" + " " * LONG_BLANK + "é  ", "\x1c" * LONG_BLANK + "\u3000" * LONG_BLANK + "1",
+    ):
+        assert np.frombuffer(encode(t), dtype="<u4").tolist() == ids_of(t)
+
+
+def test_local_search_only_improves_and_saves_bins():
     rng = random.Random(3)
-    for low, high in ((1, 2048), (400, 1000), (700, 1400)):
-        sizes = [rng.randint(low, high) for _ in range(600)]
+    for low, high, saves in ((1, 2048, False), (400, 1000, True), (700, 1400, False), (1, 90, False)):
+        sizes = [rng.randint(low, high) for _ in range(2000)]
         b = packing.Bins(2048)
         b.best_fit(sizes)
         before = (sum(f > 0 for f in b.fill), sum(f * f for f in b.fill))
         b.improve()
-        assert sum(f > 0 for f in b.fill) <= before[0] and sum(f * f for f in b.fill) >= before[1]
-        assert sorted(r for x in b.items for _, r in x) == list(range(600)) and max(b.fill) <= 2048
+        after = sum(f > 0 for f in b.fill)
+        assert after <= before[0] and sum(f * f for f in b.fill) >= before[1] and (not saves or after < 0.98 * before[0])
+        assert sorted(r for x in b.items for _, r in x) == list(range(2000)) and max(b.fill) <= 2048
         assert all(sum(n for n, _ in x) == f for x, f in zip(b.items, b.fill))
 
 
@@ -353,26 +380,50 @@ def test_templates_of_mostly_numbers_are_masked(spark):
     assert out[0] and not any(out[i] for i in range(1, 6))
 
 
+def linked_by_cosine(x, cosine=0.95):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= cosine
+    np.fill_diagonal(link, False)
+    return link
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(900, 16))
     near = base[:60].repeat(6, axis=0) + rng.normal(size=(360, 16)) * 0.12
     x = np.concatenate([base, near, base[:5], base[:1].repeat(30, axis=0)])
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
-    odd = [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] + [1.0] * 15, 1), (5003, [None] + [1.0] * 15, 1), (5004, [1.0, 2.0], 1), (5005, [float("inf")] * 16, 1)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rep int").repartition(4)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    link = u @ u.T >= 0.95
-    np.fill_diagonal(link, False)
+    odd = [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] + [1.0] * 15, 1), (5003, [None] + [1.0] * 15, 1), (5004, [], 1), (5005, [float("inf")] * 16, 1), (None, None, 1)]
+    short = [(6000, [1.0, 2.0], 1), (6001, [2.0, 4.0], 1), (6002, [1.0, 2.0, 0.0], 1), (None, [1.01, 2.0], 1), (6000, [0.0, 1.0], 1), (None, [0.5], 1)]
+    df = spark.createDataFrame(rows + odd + short, "vec_id long, embedding array<double>, rep int").repartition(4)
+    link = linked_by_cosine(x)
     want = roots(len(x), zip(*map(np.ndarray.tolist, np.nonzero(link))))
-    got = {r.id: r for r in pq.near_vectors(df, cap=64).collect()}
-    found = sum(got[i].n_links for i in range(len(x)))
-    assert found >= 0.99 * link.sum() and all(got[i].n_links <= link[i].sum() for i in range(len(x)))
-    assert np.mean([got[i].component == want[i] for i in range(len(x))]) >= 0.99
-    assert all(got[i].n_links == 0 and got[i].component == i for i in range(5000, 5006))
+    for cap in (8192, 50):
+        out = pq.near_vectors(df, cap=cap).collect()
+        got = {r.id: r for r in out if r.id is not None and r.id < 6000}
+        found = sum(got[i].n_links for i in range(len(x)))
+        assert found >= 0.99 * link.sum() and all(got[i].n_links <= link[i].sum() for i in range(len(x)))
+        assert np.mean([got[i].component == want[i] for i in range(len(x))]) >= 0.99
+        assert all(got[i].n_links == 0 and got[i].component == i for i in range(5000, 5006))
+        rest = sorted((str(r.id), r.n_links, str(r.component)) for r in out if r.id is None or r.id >= 6000)
+        assert rest == sorted([("6000", 2, "6000"), ("6001", 2, "6000"), ("None", 2, "6000"), ("6002", 0, "6002"), ("6000", 0, "6000"), ("None", 0, "None"), ("None", 0, "None")])
+    # with every border probed nothing is lost
+    got = {r.id: r for r in pq.near_vectors(df, reach=4.0).collect()}
+    assert all(got[i].n_links == link[i].sum() and got[i].component == want[i] for i in range(len(x)))
     assert pq.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_vector_query_against_brute_force_on_the_table(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in table], dtype=np.float64)
+    link = linked_by_cosine(x)
+    got = {r.vec_id: r for r in queries.op8_pq_near_dedup(spark, SF).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * link.sum() and len(got) == len(table)
+    assert all(got[r.vec_id].n_links <= link[i].sum() for i, r in enumerate(table))
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 def test_quality_separates_held_out_junk(spark, empty):
     rng = random.Random(10)
     rows, labels = [], []
