@@ -360,11 +360,40 @@ def test_line_templates(spark, empty):
 def test_lines_that_differ_in_one_field_are_one_template(spark):
     names = ["anna", "bert", "carl", "dora", "emil", "fritz", "gabi"]
     df = spark.createDataFrame([(i, f"this long message was kindly sent to you by {n} from the office") for i, n in enumerate(names)], "doc_id long, text string")
-    for cap in (1000, 2):
+    for cap in (4096, 2):
         out = {r.doc_id: r.text for r in lines.drop_recurring_lines(df, cap=cap).collect()}
         assert out[0] and not any(out[i] for i in range(1, 7))
 
 
+def test_templates_do_not_chain():
+    words = "a b c d e f g h i j".split()
+    rows = [" ".join([f"x{p}" if p >= 10 - 2 * i else w for p, w in enumerate(words)]) for i in range(5)]
+    owner, left = lines.merge_templates(list(range(5)), rows, 0.8)
+    assert owner == [0, 0, 2, 2, 4] and left[0].split(" ").count(lines.FIELD) == 2
+    assert lines.merge_templates([3, 1], ["a b c", "a b c d"], 0.8)[0] == [3, 1]
+
+
+def test_hot_leaf_merges_across_parts(spark):
+    rng = random.Random(21)
+    # 12 tokens: up to two may vary. Thirty templates of one leaf, each with many fillings, and lines of no template.
+    shapes = [["go", "on", "now", *[rng.choice("abcdefgh") + str(k) + "q" for _ in range(7)], "mid", "end"] for k in range(30)]
+    texts = [" ".join([*(w if p not in (4, 7) else f"f{''.join(rng.choices('klmnop', k=5))}" for p, w in enumerate(x))]) for x in shapes for _ in range(12)]
+    texts += [" ".join(["go", "on", "now", *["".join(rng.choices("rstuvw", k=6)) for _ in range(9)]]) for _ in range(40)]
+    texts = [re.sub(r"\d", lambda m: "zyxwvutsrq"[int(m[0])], t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for cap in (4096, 40):
+        out = {r.doc_id: r.text for r in lines.drop_recurring_lines(df, cap=cap).collect()}
+        kept = [i for i in range(360) if out[i]]
+        assert kept == [12 * k for k in range(30)] and all(out[i] == texts[i] for i in range(360, 400))
+
+
+def test_null_ids_and_repeated_rows_of_lines(spark):
+    line = "one line that is the same in all of these"
+    df = spark.createDataFrame([(None, line), (None, line), (3, line), (3, line), (5, line), (6, f"{line}\n{line}")], "doc_id long, text string")
+    out = sorted((str(r.doc_id), r.text) for r in lines.drop_recurring_lines(df).collect())
+    assert out == sorted([("None", line), ("None", line), ("3", line), ("3", line), ("5", ""), ("6", "")])
+
+
 def test_short_lines_few_tokens_numbers_and_long_templates_recur(spark):
     tail = " ".join(f"t{'x' * i}" for i in range(1, 50))
     pair = ["read more about this", "これは空白のない同じ一行の文章です。", f"the first kind of words before {tail}", "12 345 678 99912 4 77"]
