@@ -149,7 +149,7 @@ def fingerprint_links(fps: DataFrame, radius: int, intact: int, cap: int) -> Dat
     return map_runs(dealt, ["shard", "cell_a", "cell_b"], search, "src long, dst long").distinct()
 
 
-def fingerprint_groups(prints: DataFrame, radius: int, intact: int = 2, cap: int = 1500) -> DataFrame:
+def fingerprint_groups(prints: DataFrame, radius: int, intact: int = 1, cap: int = 1500) -> DataFrame:
     """prints: id, fp (stored). Adds component: the smallest id reachable over links between fingerprints."""
     classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
     links = fingerprint_links(classes.select("fp"), radius, intact, cap)
@@ -164,8 +164,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, fp, component (the smallest id reachable over fingerprints `radius` bits apart or less).
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows and ties give equal rows; an empty
-    table gives none; further columns of docs are ignored. 4 blocks of 16 bits, any 2 of them intact, are the shards for
-    radius 2: 32-bit keys, so shards stay small at billions of fingerprints.
+    table gives none; further columns of docs are ignored. 3 blocks of 21 or 22 bits, any one of them intact, are the shards
+    for radius 2: three rows a fingerprint, and shards of some hundreds at a billion of them, which the trees prune.
     """
     prints = stored(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     return fingerprint_groups(prints, radius, cap=cap)
