@@ -1,65 +1,51 @@
 """Byte-balanced contiguous shards (operator 9): DataFrame functions only.
 
-Rows are ordered by id and cut into buckets at fixed quantiles of the id, which stand for partitions but do not change
-when a task runs again. The buckets' totals give each bucket's global start, running sums within a bucket do the rest,
-and the global byte offset is cut at equal targets. Only fixed-width digests are shuffled, never texts, and no window
-spans more than one bucket, except the one over the buckets' totals, which has at most MAX_BUCKETS rows.
+Rows are range-partitioned by id and written with the number of their partition, so that a task that runs again reads the
+same numbers. The partitions' totals give each one's global start, running sums within a partition do the rest, and the
+global byte offset is cut at equal targets. Only fixed-width digests are shuffled, never texts, and no window spans more
+than one partition, except the one over the partitions' totals, which has at most MAX_PARTS rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbispan.llm.common import stored, utf8_bytes
 
-BUCKET_ROWS = 20_000
-MAX_BUCKETS = 16_384
+PART_ROWS = 20_000
+MAX_PARTS = 16_384
 
 
-def _bucket_of(ident: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are below ident, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ident > F.lit(bounds[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
-
-    return pick(0, len(bounds))
-
-
-def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, part_rows: int = PART_ROWS) -> DataFrame:
     """id, size, text_crc32, shard, slot: contiguous runs of ids, cut where the running size passes equal targets.
 
     A row goes to the shard in whose equal share of all bytes its middle lies, so a shard misses its target by half a
     row at each end at most. size is the text's UTF-8 bytes plus `overhead`; a null text has none and the checksum of an
-    empty one. Rows with null ids come first; ties on id are ordered by checksum and size; rows equal in all three are
-    interchangeable. A very long row makes neighbouring shards smaller or empty; an empty table gives none. Further
-    columns are ignored, whatever their names.
+    empty one. Ids may be of any type that has an order. Rows with null ids come first; ties on id are ordered by checksum
+    and size; rows equal in all three are interchangeable, and their place in the input spreads them over partitions, so
+    one id may hold any share of the rows. A very long row makes neighbouring shards smaller or empty; an empty table
+    gives none. Further columns are ignored, whatever their names.
     """
+    order = ["id", "text_crc32", "size", "at"]
     sized = docs.select(
         F.col(id_col).alias("id"),
         (utf8_bytes(F.col(text_col)) + F.lit(overhead)).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("at"),
     )
     sized = stored(sized, "sizes")
-    rows = sized.count()
-    n = min(MAX_BUCKETS, max(64, rows // bucket_rows)) if rows > 64 else 1
-    bounds = sorted(set(sized.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    whole = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
-    placed = sized.withColumn("bucket", _bucket_of(F.coalesce(F.col("id"), F.lit(-(2**63))), [int(b) if whole else b for b in bounds]))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    totals = totals.select("bucket", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_start"))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    inside = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = placed.withColumns({"run_bytes": F.sum("size").over(inside), "run_rows": F.count(F.lit(1)).over(inside)}).join(F.broadcast(totals), "bucket")
+    rows, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = min(MAX_PARTS, 1 + rows // part_rows)
+    placed = stored(sized.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order]).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    totals = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_start"))
+    inside = Window.partitionBy("part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumns({"run_bytes": F.sum("size").over(inside), "run_rows": F.count(F.lit(1)).over(inside)}).join(F.broadcast(totals), "part")
     middle = (F.col("byte_start") + F.col("run_bytes") - F.col("size")) * 2 + F.col("size")
     shard = F.floor(middle.cast("decimal(38,0)") * shards / F.lit(2 * max(1, total)).cast("decimal(38,0)")).cast("int")
-    run = run.select("id", "size", "text_crc32", F.least(shard, F.lit(shards - 1)).alias("shard"), (F.col("row_start") + F.col("run_rows") - 1).alias("at"))
+    run = run.select("id", "size", "text_crc32", F.least(shard, F.lit(shards - 1)).alias("shard"), (F.col("row_start") + F.col("run_rows") - 1).alias("place"))
     run = stored(run, "placed")
-    first = run.groupBy("shard").agg(F.min("at").alias("first"))  # one row a shard
-    return run.join(F.broadcast(first), "shard").select("id", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
+    first = run.groupBy("shard").agg(F.min("place").alias("first"))  # one row a shard
+    return run.join(F.broadcast(first), "shard").select("id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))

@@ -148,19 +148,30 @@ def test_near_duplicates_with_whole_blocks_appended_cut_or_inserted(spark, monke
         assert {r.id: r.component for r in simhash.near_duplicates(df).collect()} == dict(enumerate(want))
 
 
-def test_shards_are_contiguous_balanced_and_gapless(spark, docs, texts, empty):
-    rows = sorted(shards.byte_shards(docs, 5, bucket_rows=10).collect(), key=lambda r: r.id)
-    size = [len((t or "").encode()) + 8 for t in texts]
-    assert [(r.size, r.text_crc32) for r in rows] == [(s, zlib.crc32((t or "").encode())) for s, t in zip(size, texts)]
-    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
-    by = {}
-    for r in rows:
-        by.setdefault(r.shard, []).append(r)
-    assert all([x.slot for x in v] == list(range(len(v))) for v in by.values())
-    assert all(abs(sum(x.size for x in v) - sum(size) / 5) <= max(size) for v in by.values())
+def cut_by_middles(rows, n):
+    """Shard of each (id, text), in order of id (null first), checksum and size: where the middle of its bytes lies."""
+    none = "" if any(isinstance(i, str) for i, _ in rows) else 0
+    sized = sorted((i is not None, none if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t in rows)
+    total, at, out = sum(x[3] for x in sized), 0, []
+    for known, i, crc, size in sized:
+        out.append((i if known else None, size, crc, min(n - 1, (2 * at + size) * n // (2 * max(1, total)))))
+        at += size
+    return out
+
+
+def test_shards_equal_a_running_sum(spark, docs, texts, empty):
+    hot = [(7, "same text")] * 300 + [(None, "no id")] * 90 + [(None, None), (3, "é" * 4000), (9, "")]
+    cases = [(docs, list(enumerate(texts)), 10), (spark.createDataFrame(hot, "doc_id long, text string").repartition(3), hot, 25), (spark.createDataFrame([(f"d{i}", "x" * i) for i in range(60)], "doc_id string, text string"), [(f"d{i}", "x" * i) for i in range(60)], 7)]
+    for df, rows, part in cases:
+        for n in (5, 24):
+            out = shards.byte_shards(df, n, part_rows=part).collect()
+            by = {}
+            for r in out:
+                by.setdefault(r.shard, []).append(r)
+            assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+            got = sorted((tuple(r)[:4] for r in out), key=str)
+            assert got == sorted(cut_by_middles(rows, n), key=str)
     assert shards.byte_shards(empty, 5).count() == 0
-    same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None)], "doc_id long, text string")
-    assert sorted(r.slot for r in shards.byte_shards(same, 1).collect()) == [0, 1, 2, 3]
 
 
 def encoder():
@@ -195,6 +206,16 @@ def check_packing(rows, texts, ids_of, size):
     assert len(seqs) <= 1.15 * sum(r.length for r in rows) / size + 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_shard_query_on_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = queries.op9_byte_shards(spark, SF)
+    assert df.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    out = df.collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard) for r in out) == sorted(cut_by_middles(rows, 24))
+    assert {r.law for r in out} == {"bytes"} and {r.grown_shard for r in out} == {None} and df.schema["slot"].dataType.simpleString() == "bigint"
+
+
 def test_packing_round_trip(docs, texts, empty):
     rows = packing.pack(docs, size=512, group_rows=40).collect()
     check_packing(rows, dict(enumerate(texts)), encoder(), 512)
