@@ -4,7 +4,9 @@ Texts become a few dozen bounded statistics in one pass. Trusted positives are r
 from all web text, whatever their label. A piecewise-linear model minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss (Kiryo et al. 2017): where the second term falls below zero its gradient is reversed. Its sigmoid
-is the score. The fit uses bounded hash samples of feature rows; scoring covers every whole text and shuffles nothing.
+is the score. The class prior is estimated from the positives and the unlabelled alone: negatives are never trusted.
+The fit uses bounded samples of rows, whose statistics alone are computed for it; one pass then scores every whole text and
+shuffles nothing.
 """
 
 from __future__ import annotations
@@ -90,29 +92,73 @@ def _standard(h: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((h - mean) / scale, -8, 8)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 2e-3, knots: int = 7) -> QualityModel:
-    """Full-batch Adam on the non-negative risk; deterministic."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _descend(hp: np.ndarray, hu: np.ndarray, pull, bias: float, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on a linear model; pull gives the gradients by the outputs for positives and unlabelled."""
+    w = np.zeros(hp.shape[1])
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        dp, du = pull(_sigmoid(hp @ w + bias), _sigmoid(hu @ w + bias))
+        g = np.append(hp.T @ dp + hu.T @ du + decay * w, dp.sum() + du.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    return w, float(bias)
+
+
+def _prepared(positive: np.ndarray, unlabelled: np.ndarray, knots: int):
     grid = np.quantile(unlabelled, np.linspace(0, 1, knots + 2)[1:-1], axis=0).T
     hp, hu = _hinges(positive, grid), _hinges(unlabelled, grid)
     mean, scale = hu.mean(axis=0), hu.std(axis=0)
     scale = np.where(scale < 1e-9, 1.0, scale)
-    hp, hu = _standard(hp, mean, scale), _standard(hu, mean, scale)
-    w, bias = np.zeros(hp.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(hp @ w + bias, -30, 30))), 1 / (1 + np.exp(-np.clip(hu @ w + bias, -30, 30)))
+    return grid, mean, scale, _standard(hp, mean, scale), _standard(hu, mean, scale)
+
+
+#: Fewest positives and unlabelled rows from which a prior is estimated.
+LEAST_FOR_PRIOR = 20
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, knots: int = 7, steps: int = 200) -> float:
+    """Share of positives among the unlabelled, from scores that tell the two samples apart.
+
+    Above any score lie at least prior times as many of the unlabelled as of the positives, so the smallest ratio of the two
+    tails bounds the prior from above, and meets it where no negative scores as high. Scores of one half of the rows come
+    from a model of the other half; tails are widened by a standard error, and those under a fifth of the positives are
+    left out as too noisy.
+    """
+    if min(len(positive), len(unlabelled)) < LEAST_FOR_PRIOR:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        grid, mean, scale, hp, hu = _prepared(positive[half::2], unlabelled[half::2], knots)
+        w, bias = _descend(hp, hu, lambda sp, su: ((sp - 1) / len(sp), su / len(su)), 0.0, steps, 0.05, 2e-3)
+        score = lambda x: _standard(_hinges(x, grid), mean, scale) @ w + bias
+        p, u = np.sort(score(positive[1 - half :: 2])), np.sort(score(unlabelled[1 - half :: 2]))
+        cuts = np.quantile(p, np.linspace(0.0, 0.8, 81))
+        above = lambda x: 1 - np.searchsorted(x, cuts, "left") / len(x)
+        tp, tu = above(p), above(u)
+        upper = (tu + np.sqrt(tu * (1 - tu) / len(u))) / np.maximum(1e-9, tp - np.sqrt(tp * (1 - tp) / len(p)))
+        found.append(upper.min())
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 2e-3, knots: int = 7) -> QualityModel:
+    """Full-batch Adam on the non-negative risk; deterministic."""
+    grid, mean, scale, hp, hu = _prepared(positive, unlabelled, knots)
+
+    def pull(sp: np.ndarray, su: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # gradients of log(1 + exp(-z)) and log(1 + exp(z)) by z
         gp_pos, gp_neg, gu_neg = (sp - 1) / len(sp), sp / len(sp), su / len(su)
         risk = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
         if risk >= 0:
-            dp, du = prior * (gp_pos - gp_neg), gu_neg
-        else:  # only undo the overfitted part
-            dp, du = prior * gp_neg, -gu_neg
-        g = np.append(hp.T @ dp + hu.T @ du + decay * w, dp.sum() + du.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return QualityModel(grid, scale, mean, w, float(bias), prior)
+            return prior * (gp_pos - gp_neg), gu_neg
+        return prior * gp_neg, -gu_neg  # only undo the overfitted part
+
+    w, bias = _descend(hp, hu, pull, float(np.log(prior / (1 - prior))), steps, rate, decay)
+    return QualityModel(grid, scale, mean, w, bias, prior)
 
 
 def held_out(ident: str | Column) -> Column:
@@ -120,59 +166,54 @@ def held_out(ident: str | Column) -> Column:
     return F.crc32(F.col(ident).cast("string").cast("binary")) % 5 == 0 if isinstance(ident, str) else F.crc32(ident.cast("string").cast("binary")) % 5 == 0
 
 
-def _draw(rows: DataFrame, bound: int, salt: int) -> np.ndarray:
-    """At most about `bound` feature rows, by a hash of the id: the same rows whatever the partitions."""
+def _draw(rows: DataFrame, bound: int, seed: int) -> np.ndarray:
+    """Statistics of at most about `bound` rows (id, text), each drawn for itself, so that copies of one row are no lump.
+    A table that is laid out in the same way gives the same rows."""
     n = rows.count()
-    if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * (bound / n)))
-    got = sorted(rows.select("x").toPandas()["x"], key=tuple)
+    drawn = rows.where(F.rand(seed) < bound / n) if n > bound else rows
+    got = sorted(stored(with_features(drawn, "id", "text"), "fit-rows").select("x").toPandas()["x"], key=tuple)
     return np.array([list(r) for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
-    """features: id, x (stored). The class prior is the share of 1 among the labels that may be learnt from.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
+    """Positives are the rows of docs with a label of 1 that may be learnt from; unlabelled are all rows that are not held out.
 
-    Null labels are no labels. Without a label, or with labels of one kind only, the prior is kept inside 0.02 to 0.98;
-    without positives every text scores as the prior.
+    Other labels are not used. Null labels are no labels. Without a positive, or without unlabelled rows, every text
+    scores as a prior of 0.5; the estimate is kept inside 0.02 to 0.98.
     """
-    learn = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    share = learn.agg(F.avg(F.col("y").cast("double"))).first()[0]
-    prior = min(0.98, max(0.02, 0.5 if share is None else share))
-    positive = _draw(features.join(learn.where("y = 1").select("id").distinct(), "id", "left_semi"), max_positives, 1)
-    unlabelled = _draw(features.where(~held_out("id")), max_unlabelled, 2)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    good = labels.where(~held_out(id_col) & (F.col(label_col) == 1)).select(F.col(id_col).alias("id")).distinct()
+    positive = _draw(rows.join(good, "id", "left_semi"), max_positives, 1)
+    unlabelled = _draw(rows.where(~held_out("id")), max_unlabelled, 2)
     if not len(positive) or not len(unlabelled):
         k = len(FEATURES)
-        return QualityModel(np.zeros((k, 1)), np.ones(2 * k), np.zeros(2 * k), np.zeros(2 * k), float(np.log(prior / (1 - prior))), prior)
-    return fit_nnpu(positive, unlabelled, prior)
-
-
-def score_quality(features: DataFrame, model: QualityModel) -> DataFrame:
-    """id, score of every row; equal texts score alike."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["id", "score"])
-
-    return map_arrow(features, run, f"id {features.schema['id'].dataType.simpleString()}, score double")
+        return QualityModel(np.zeros((k, 1)), np.ones(2 * k), np.zeros(2 * k), np.zeros(2 * k), 0.0, 0.5)
+    # fixed shuffle: the rows are sorted by their statistics, and the estimate takes every other one
+    mixed = lambda x: x[np.random.default_rng(5).permutation(len(x))]
+    return fit_nnpu(positive, unlabelled, estimate_prior(mixed(positive), mixed(unlabelled)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **bounds) -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
-    Null and empty texts score as texts without statistics; repeated rows score alike; an empty table gives none; very
-    long texts are read whole; labels, and columns other than the text, are never inputs of a score.
+    Null and empty texts score as texts without statistics; rows with a null id are scored and are neither held out nor
+    learnt from; repeated rows score alike; an empty table gives none; very long texts are read whole; labels, and
+    columns other than the text, are never inputs of a score.
     """
-    features = stored(with_features(docs, id_col, text_col), "features")
-    model = fit_quality(features, labels, id_col, label_col, **bounds)
-    scored = score_quality(features, model)
-    return scored.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model = fit_quality(docs, labels, id_col, text_col, label_col, **bounds)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([text_features(t) for _, texts in texts_of(b.column(1)) for t in texts]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["id", "score"])
+
+    scored = map_arrow(docs.select(id_col, text_col), run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return scored.select("id", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """docs without the rows scored below the threshold; every column stays and no text is shuffled."""
-    model = fit_quality(stored(with_features(docs, id_col, text_col), "features"), labels, id_col, **bounds)
+    model = fit_quality(docs, labels, id_col, text_col, **bounds)
 
     def run(batches):
         for b in batches:

@@ -497,6 +497,36 @@ def test_quality_separates_held_out_junk(spark, empty):
     assert quality.quality_scores(df.limit(3), lab.limit(0)).count() == 3
 
 
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        k = len(quality.FEATURES)
+        good, bad = (lambda n: rng.normal(size=(n, k))), (lambda n: rng.normal(size=(n, k)) + 1.2)
+        n = int(4000 * share)
+        u = np.concatenate([good(n), bad(4000 - n)])
+        assert abs(quality.estimate_prior(good(1500), u[rng.permutation(4000)]) - share) < 0.06
+    assert quality.estimate_prior(np.zeros((3, 2)), np.zeros((9, 2))) == 0.5
+
+
+def test_quality_with_null_and_repeated_ids(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 40)) for i in range(60)] + [(None, prose(rng, 40))] * 50 + [(7, "#### @@@@ !!!! ####")] * 400
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i, 1) for i in range(60)] + [(7, None), (None, 1)], "doc_id long, quality int")
+    out = quality.quality_scores(df, lab, max_positives=100, max_unlabelled=200).collect()
+    assert len(out) == len(rows) and all(r.held_out is False for r in out if r.id is None) and all(0 <= r.score <= 1 for r in out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_quality_query_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    df = queries.op3_pu_quality(spark, sf)
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = {r.doc_id: r for r in df.collect()}
+    test = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if out[r.doc_id].held_out and r.quality is not None]
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count() and len(test) > 30
+    assert np.mean([out[r.doc_id].predicted == r.quality for r in test]) >= 0.97
+
+
 def test_surrogates_keep_type_format_and_coreference(spark, empty):
     text = "Mr John Smith met Mrs Anna Smith. Mail JOHN.DOE@x-mail.example.com, card 4111 1111 1111 1111, ip 10.0.0.1 and 8.8.8.8, +1 (555) 123-4567. Mr SMITH left; г-жа Анна Иванова came."
     df = spark.createDataFrame([(1, text, 3), (2, text, 3), (3, None, 3), (4, "", 3), (5, "plain words only", 3)], "doc_id long, text string, kind int")
