@@ -2,9 +2,12 @@
 
 Detected entities get keyed replacements of their own type and shape: digits for digits, letters of the same script and
 case, names of the same gender, addresses of the same class, check digits that hold where they held. The same entity has
-the same surrogate everywhere (coreference), also when a name appears in part. Surrogates are drawn by HMAC alone, so one
-pass can write them; the distinct entities of the corpus are then checked for collisions, and only those that collided
-with each other or with a real entity take a further attempt. The attempts are few and are joined back by their size.
+the same surrogate everywhere (coreference): a name is known again in its document without its title and in part, and a
+given name has one gender in the whole corpus, whatever the titles.
+
+Addresses and numbers are permuted within the space of their format by a keyed cipher without fixed points, so different
+entities cannot collide. Names are drawn by key. A check by joins over the distinct entities finds surrogates that equal a
+real entity, or one another for names; only those take further attempts, which are few and joined back by their size.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from orbispan.llm.common import fresh, map_arrow, stored, texts_of
 
 # Honorifics and the gender that they tell.
-HONORIFICS = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "M.": "m", "Sr": "m", "Señor": "m", "Don": "m", "г-н": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Sra": "f", "Srta": "f", "Señora": "f", "Doña": "f", "г-жа": "f", "Dr": "n", "Prof": "n"}
+HONORIFICS = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "M.": "m", "Sr": "m", "Señor": "m", "Don": "m", "г-н": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Sra": "f", "Srta": "f", "Señora": "f", "Doña": "f", "г-жа": "f", "Dr": "n", "Prof": "n", "Sir": "m", "Lady": "f", "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f", "السيد": "m", "السيدة": "f", "श्री": "m", "श्रीमती": "f", "מר": "m", "גברת": "f"}
 # Beginnings of names by script, endings by script and gender. Names are composed from them.
 STEMS = {"latin": ["bel", "cor", "dan", "el", "far", "gil", "hal", "jor", "kel", "lor", "mar", "nor", "ol", "per", "ros", "sel", "tam", "ul", "vel", "wen"], "cyrillic": ["бор", "вел", "гор", "дар", "елл", "зор", "кир", "лад", "мир", "нор", "ол", "пав", "род", "сав", "тим"], "greek": ["αλ", "βασ", "γερ", "δημ", "ελ", "θαλ", "καλ", "λεον", "μαρ", "νικ", "πετ", "σταμ"]}
 ENDS = {("latin", "m"): ["an", "o", "us", "ric"], ("latin", "f"): ["a", "ine", "ia", "elle"], ("latin", "n"): ["er", "in", "ey", "is"], ("latin", "family"): ["son", "man", "ley", "berg", "ford"], ("cyrillic", "m"): ["ан", "ей", "ил"], ("cyrillic", "f"): ["а", "ия", "ина"], ("cyrillic", "n"): ["я", "ень"], ("cyrillic", "family"): ["енко", "ич", "чук"], ("greek", "m"): ["ος", "ης", "ας"], ("greek", "f"): ["α", "η", "ω"], ("greek", "n"): ["ι", "ις"], ("greek", "family"): ["ίδης", "άκης", "όπουλος"]}
@@ -33,16 +37,18 @@ _NAME_WORD = r"[^\W\d_][\w'’-]*"
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "name": re.compile(rf"(?<!\w)({_TITLE})\.?\s+({_NAME_WORD}(?:[ \t]+{_NAME_WORD}){{0,2}})"),
 }
 KINDS = tuple(PATTERNS)
-#: Attempts that avoid the corpus's real entities; in a range that is full of them later ones only stay distinct.
-AVOID_REAL = 12
-
+#: Further attempts of an address or number whose surrogate is a real entity. One that fails all of them, as most of its
+#: format's space is taken, keeps its first surrogate, which no other entity has.
+ATTEMPTS = 12
+#: Most letters of a name in scripts that do not part words.
+UNPARTED = 6
 
 def canonical(kind: str, text: str) -> str:
     """One form for all spellings of an entity."""
@@ -53,38 +59,82 @@ def canonical(kind: str, text: str) -> str:
     return text.casefold() if kind != "ip" else text
 
 
+_DIGIT = re.compile(r"\d")
+_UNPARTED = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0eff]+")
+
+
+def _names_begin(word: str) -> bool:
+    """A capital, or a letter of a script without case."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
+
+
+def _name_words(m: re.Match) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the words of a titled name; those that do not begin like a name end it."""
+    out = []
+    for w in re.finditer(_NAME_WORD, m[2]):
+        if not _names_begin(w[0]):
+            break
+        run = _UNPARTED.match(w[0])
+        text = w[0][: min(run.end(), UNPARTED)] if run else w[0]
+        out.append((m.start(2) + w.start(), m.start(2) + w.start() + len(text), text))
+        if run:
+            break
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _mentions(words: tuple[str, ...]) -> re.Pattern:
+    parted = [re.escape(w) for w in words if not _UNPARTED.match(w)]
+    run = [re.escape(w) for w in words if _UNPARTED.match(w)]
+    return re.compile("|".join([*run, *([rf"(?<!\w)(?:{'|'.join(parted)})(?!\w)"] if parted else [])]), re.I)
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) in text order, without overlaps; kinds earlier in KINDS win. Each word of a name is
-    an entity: given:<gender> for those before the last, family for the last."""
+    an entity: given:<gender> for those before the last, family for the last. Words of names found by a title are found
+    again where they stand without one, if they begin like a name and have at least two letters."""
     found: list[tuple[int, int, str, str]] = []
     if not text:
         return found
-    digits = any(c in text for c in "0123456789")
+    digits = _DIGIT.search(text) is not None
     taken: list[tuple[int, int]] = []
+    free = lambda s, e: not any(a < e and s < b for a, b in taken)
+    persons: dict[str, str] = {}
     for kind, pattern in PATTERNS.items():
         if kind == "email" and "@" not in text or kind not in ("email", "name") and not digits:
             continue
         for m in pattern.finditer(text):
-            s, e = m.span()
-            if any(a < e and s < b for a, b in taken):
+            if not free(*m.span()):
                 continue
-            if kind == "name":
-                words = [w for w in re.finditer(_NAME_WORD, m[2])]
-                while words and not words[-1][0][0].isupper():
-                    words.pop()
-                if not words or not all(w[0][0].isupper() for w in words):
-                    continue
-                at, gender = m.start(2), HONORIFICS[m[1]]
-                for i, w in enumerate(words):
-                    part = "family" if i == len(words) - 1 else f"given:{gender}"
-                    found.append((at + w.start(), at + w.end(), part, w[0].casefold()))
-                taken.append((s, at + words[-1].end()))
-            else:
-                found.append((s, e, kind, canonical(kind, m[0])))
+            if kind != "name":
+                found.append((*m.span(), kind, canonical(kind, m[0])))
+                taken.append(m.span())
+                continue
+            words = _name_words(m)
+            for i, (s, e, word) in enumerate(words):
+                entity = word.casefold()
+                part = "family" if i == len(words) - 1 else f"given:{HONORIFICS[m[1]]}"
+                if part != "family" and persons.get(entity, "").startswith("given:"):
+                    part = _one_gender(part, persons[entity])
+                persons[entity] = part
+                found.append((s, e, part, entity))
                 taken.append((s, e))
+    if persons:
+        by_start = {w for w in persons if len(w) > 1}
+        for m in _mentions(tuple(sorted(by_start, key=lambda w: (-len(w), w)))).finditer(text) if by_start else ():
+            entity = m[0].casefold()
+            if entity in persons and _names_begin(m[0]) and free(*m.span()):
+                found.append((*m.span(), persons[entity], entity))
+        found = [(s, e, persons[x] if k.startswith("given:") and persons[x].startswith("given:") else k, x) for s, e, k, x in found]
     return sorted(found)
 
 
+def _one_gender(a: str, b: str) -> str:
+    """given:m and given:f by what either tells; given:n if neither does, or both differ."""
+    told = {a, b} - {"given:n"}
+    return told.pop() if len(told) == 1 else "given:n"
+
+
 class Draw:
     """A keyed stream of numbers for one entity and attempt."""
 
@@ -93,13 +143,50 @@ class Draw:
 
     def below(self, n: int) -> int:
         if len(self.pool) < 4:
-            self.pool += hmac.new(self.key, self.seed + self.block.to_bytes(4, "big"), hashlib.sha256).digest()
+            self.pool += hmac.digest(self.key, self.seed + self.block.to_bytes(4, "big"), "sha256")
             self.block += 1
         x, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return x * n >> 32
 
-    def digit(self) -> str:
-        return str(self.below(10))
+
+class Cipher:
+    """A keyed permutation of 0 to n - 1 without fixed points, if n > 1.
+
+    A Feistel network permutes the numbers of enough bits; walking on until the result is below n makes that a permutation
+    of the range. Between it and its inverse the result moves on by a keyed step, so nothing stays where it was.
+    """
+
+    ROUNDS = 6
+
+    def __init__(self, key: bytes, tweak: str, n: int) -> None:
+        self.key, self.tweak, self.n = hashlib.sha256(key).digest(), tweak.encode("utf-8", "surrogatepass"), n
+        self.half = max(1, -(-(n - 1).bit_length() // 2))
+        self.mask = (1 << self.half) - 1
+        self.step = 1 + self._hash(b"step", n) % (n - 1) if n > 1 else 0
+
+    def _hash(self, label: bytes, x: int) -> int:
+        size = x.bit_length() // 8 + 1
+        out, need = b"", self.half // 8 + 9
+        while len(out) < need:
+            out += hashlib.blake2b(self.tweak + b"\0" + label + len(out).to_bytes(4, "big") + x.to_bytes(size, "big"), key=self.key).digest()
+        return int.from_bytes(out[:need], "big")
+
+    def _feistel(self, x: int, back: bool) -> int:
+        a, b = x >> self.half, x & self.mask
+        for r in reversed(range(self.ROUNDS)) if back else range(self.ROUNDS):
+            if back:
+                a, b = (b ^ self._hash(bytes([r]), a)) & self.mask, a
+            else:
+                a, b = b, (a ^ self._hash(bytes([r]), b)) & self.mask
+        return a << self.half | b
+
+    def _walk(self, x: int, back: bool) -> int:
+        while (x := self._feistel(x, back)) >= self.n:
+            pass
+        return x
+
+    def __call__(self, x: int) -> int:
+        return self._walk((self._walk(x, False) + self.step) % self.n, True) if self.n > 1 else x
 
 
 def luhn_digit(digits: str) -> str:
@@ -115,47 +202,118 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
-def script_of(word: str) -> str:
-    for c in word:
-        name = unicodedata.name(c, "")
-        for script in ("CYRILLIC", "GREEK"):
-            if name.startswith(script):
-                return script.lower()
-    return "latin"
+def script_of(word: str) -> str | None:
+    """The script of a word's first letter, if names of it are composed here."""
+    name = unicodedata.name(word[0], "")
+    return next((s for s in STEMS if name.startswith(s.upper())), None)
+
+
+_SIGNS = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
+
+
+def _shape(text: str) -> str:
+    """Letters as 'a' or 'A' and digits as '0'; other signs as they are."""
+    return "".join("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else c for c in text)
+
+
+def _rank(text: str, shape: str) -> tuple[int, int]:
+    """Place of a text among all of its shape, and how many there are."""
+    at, n = 0, 1
+    for c, k in zip(text, shape):
+        if signs := _SIGNS.get(k):
+            at, n = at * len(signs) + (signs.index(c) if c in signs else int(c)), n * len(signs)
+    return at, n
+
+
+def _unrank(at: int, shape: str) -> str:
+    out = []
+    for k in reversed(shape):
+        if signs := _SIGNS.get(k):
+            at, i = divmod(at, len(signs))
+            k = signs[i]
+        out.append(k)
+    return "".join(reversed(out))
+
+
+def _permuted(key: bytes, kind: str, space: str, attempt: int, at: int, n: int) -> int:
+    return Cipher(key, f"{kind}\x00{space}\x00{attempt}", n)(at)
+
+
+def _same_shape(key: bytes, kind: str, space: str, attempt: int, text: str) -> str:
+    shape = _shape(text)
+    at, n = _rank(text, shape)
+    return _unrank(_permuted(key, kind, f"{space}\x00{shape}", attempt, at, n), shape)
+
+
+def _ip(key: bytes, entity: str, attempt: int) -> str:
+    """An address of the same class: private, loopback and link-local ones stay in their range, others outside of all."""
+    a, b, c, d = (int(x) for x in entity.split("."))
+    own = {10: range(256), 127: range(256)}.get(a)
+    if (a, b) in ((192, 168), (169, 254)):
+        firsts = [(a, b)]
+    elif a == 172 and 16 <= b < 32:
+        firsts = [(a, x) for x in range(16, 32)]
+    elif own is not None or a == 0 or a >= 224:
+        firsts = [(a, x) for x in range(256)]
+    else:
+        lo, hi = (1, 128) if a < 128 else (128, 192) if a < 192 else (192, 224)
+        closed = {(192, 168), (169, 254), *((172, x) for x in range(16, 32))}
+        firsts = [(x, y) for x in range(lo, hi) if x not in (10, 127) for y in range(256) if (x, y) not in closed]
+    place = {f: i for i, f in enumerate(firsts)}
+    got = _permuted(key, "ip", f"{firsts[0]}", attempt, place[a, b] << 16 | c << 8 | d, len(firsts) << 16)
+    return ".".join(map(str, (*firsts[got >> 16], got >> 8 & 255, got & 255)))
+
+
+def _letters_like(c: str) -> str | range:
+    """Code points to draw a letter from: the ideographs or syllables of Han and Hangul, else the letters of its block."""
+    n = ord(c)
+    for lo, hi in ((0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0x3400, 0x4DB6)):
+        if lo <= n < hi:
+            return range(lo, hi)
+    block = n & ~0x7F
+    script = unicodedata.name(c, "").split(" ")[0]
+    return "".join(x for x in map(chr, range(block, block + 128)) if x.isalpha() and x.lower() == x and unicodedata.category(x) in ("Lo", "Ll") and unicodedata.name(x, "").startswith(script)) or c
 
 
+@lru_cache(maxsize=65_536)
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The canonical surrogate of a canonical entity."""
-    draw = Draw(key, kind, entity, attempt)
     if kind == "email":
-        local, _, domain = entity.partition("@")
-        *labels, suffix = domain.split(".")
-        swap = lambda s: "".join(chr(97 + draw.below(26)) if c.isalpha() else draw.digit() if c.isdigit() else c for c in s)
-        return f"{swap(local)}@{'.'.join(map(swap, labels))}.{suffix}"
+        name, _, suffix = entity.rpartition(".")
+        return f"{_same_shape(key, kind, suffix, attempt, name)}.{suffix}"
     if kind == "card":
-        head = entity[0] + "".join(draw.digit() for _ in entity[1:-1])
-        return head + (luhn_digit(head) if luhn_digit(entity[:-1]) == entity[-1] else draw.digit())
+        head, middle, last = entity[0], entity[1:-1], int(entity[-1])
+        right = int(luhn_digit(entity[:-1]))
+        if right == last:
+            made = head + _same_shape(key, kind, f"valid{head}", attempt, middle)
+            return made + luhn_digit(made)
+        got = _permuted(key, kind, f"other{head}{len(middle)}", attempt, int(middle) * 9 + (last - right - 1) % 10, 9 * 10 ** len(middle))
+        made = head + str(got // 9).zfill(len(middle))
+        return made + str((int(luhn_digit(made)) + 1 + got % 9) % 10)
     if kind in ("phone", "ssn"):
         keep = 1 if kind == "phone" and len(entity) > 10 else 0
-        return entity[:keep] + "".join(draw.digit() for _ in entity[keep:])
+        return entity[:keep] + _same_shape(key, kind, entity[:keep], attempt, entity[keep:])
     if kind == "ip":
-        a, b, *_ = entity.split(".")
-        if a == "10":
-            head = [a, str(draw.below(256))]
-        elif attempt >= 4 and (a, b) == ("192", "168"):  # a small range that fills up: move to the large private one
-            head = ["10", str(draw.below(256))]
-        elif a == "127" or (a, b) in (("192", "168"), ("169", "254")) or a == "172" and 16 <= int(b) < 32:
-            head = [a, b]
-        else:
-            head = [str(11 + draw.below(89)) if int(a) < 128 else str(128 + draw.below(30)) if int(a) < 169 else str(193 + draw.below(30)), str(draw.below(256))]
-        return ".".join([*head, str(draw.below(256)), str(draw.below(256))])
+        return _ip(key, entity, attempt)
     if kind == "iban":
-        rest = "".join(chr(65 + draw.below(26)) if c.isalpha() else draw.digit() for c in entity[4:])
-        return entity[:2] + iban_check(entity[:2], rest) + rest
-    script, part = script_of(entity), kind.partition(":")[2] or kind
+        country, check, rest = entity[:2], int(entity[2:4]), entity[4:]
+        shape, right = _shape(rest), int(iban_check(country, rest))
+        at, n = _rank(rest, shape)
+        if right == check:
+            made = _unrank(_permuted(key, kind, f"{country}valid{shape}", attempt, at, n), shape)
+            return f"{country}{iban_check(country, made)}{made}"
+        got = _permuted(key, kind, f"{country}other{shape}", attempt, at * 99 + (check - right - 1) % 100, n * 99)
+        made = _unrank(got // 99, shape)
+        return f"{country}{(int(iban_check(country, made)) + 1 + got % 99) % 100:02d}{made}"
+    kind, _, gender = kind.partition(":")
+    draw, script = Draw(key, kind, entity, attempt), script_of(entity)
+    if script is None:
+        letters = [_letters_like(c) if c.isalpha() else c for c in entity]
+        letters += [_letters_like(entity[0])] * (attempt // 4)
+        return "".join(x if isinstance(x, str) and len(x) == 1 else chr(x[draw.below(len(x))]) if isinstance(x, range) else x[draw.below(len(x))] for x in letters)
     stems = STEMS[script]
     name = "".join(stems[draw.below(len(stems))] for _ in range(1 + draw.below(2) + attempt // 4))
-    ends = ENDS[script, part]
+    ends = ENDS[script, gender or kind]
     return name + ends[draw.below(len(ends))]
 
 
@@ -171,17 +329,18 @@ def like(original: str, kind: str, value: str) -> str:
     return value[0].upper() + value[1:] if original[:1].isupper() else value
 
 
-def _replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
+def _replaced(text: str, key: bytes, settled: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, list[str]]:
     out, at, kinds = [], 0, []
     for s, e, kind, entity in detect(text):
-        out += [text[at:s], like(text[s:e], kind, surrogate(key, kind, entity, attempts.get((kind, entity), 0)))]
+        own, attempt = settled.get((kind.partition(":")[0], entity), (kind, 0))
+        out += [text[at:s], like(text[s:e], own, surrogate(key, own, entity, attempt))]
         kinds.append(kind)
         at = e
     return "".join([*out, text[at:]]), kinds
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, entity: the distinct entities of all texts."""
+    """kind, entity: the distinct entities of all texts, given names by the gender that their document tells."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,50 +350,63 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_arrow(docs.select(text_col), run, "kind string, entity string").distinct()
 
 
-def attempts_needed(found: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
-    """kind, entity, attempt of the entities whose first surrogates collide with a real entity or with each other's.
+def settled_entities(found: DataFrame, key: bytes) -> DataFrame:
+    """base, entity, kind, attempt of the entities that a document alone does not settle.
 
-    Of entities with one surrogate the smallest keeps it; the others try again until all are distinct.
+    Those are given names of which documents tell different genders (kind is then the one of the corpus: the only gender
+    told, or n) and entities whose first surrogate is a real entity of the corpus or, for names, another's surrogate. Of
+    names with one surrogate the smallest keeps it. Further attempts avoid real entities, all first surrogates and each
+    other; names grow longer with the attempts, so they end; addresses and numbers stop after ATTEMPTS.
     """
 
     def run(batches):
         for b in batches:
-            values = [surrogate(key, k, e, a) for k, e, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], ["kind", "entity", "attempt", "value"])
-
-    real = stored(found, "entities")
-    named = lambda todo: stored(map_arrow(todo, run, "kind string, entity string, attempt int, value string"), "surrogates")
-    settled = None
-    todo = named(real.select("kind", "entity", F.lit(0).alias("attempt")))
-    for round_no in range(max_rounds):
-        same = todo.groupBy("kind", "value").agg(F.min("entity").alias("winner"))
-        free = same
-        if round_no < AVOID_REAL:
-            free = same.join(real.select("kind", F.col("entity").alias("value")), ["kind", "value"], "left_anti")
-        if settled is not None:
-            free = free.join(settled.select("kind", "value"), ["kind", "value"], "left_anti")
-        judged = stored(todo.join(free, ["kind", "value"], "left").select("kind", "entity", "attempt", "value", F.col("winner").eqNullSafe(F.col("entity")).alias("ok")), "judged")
-        won = judged.where("ok").drop("ok")
-        settled = won if settled is None else settled.union(won)
-        lost = judged.where("not ok").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
-        if lost.isEmpty():
-            return settled.where("attempt > 0").select("kind", "entity", "attempt")
-        todo = named(lost)
-    raise RuntimeError("surrogates stay too few for the entities; lengthen the name parts")
-
-
-def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, kinds_col: str | None = None, max_attempts: int = 50_000) -> DataFrame:
+            values = [surrogate(key, k, e, a) for k, e, a in zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "attempt")))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], ["base", "entity", "kind", "mixed", "attempt", "value"])
+
+    fields = "base string, entity string, kind string, mixed boolean, attempt int"
+    named = lambda todo: stored(map_arrow(todo.select("base", "entity", "kind", "mixed", "attempt"), run, f"{fields}, value string"), "surrogates")
+    base = F.substring_index("kind", ":", 1)
+    told = F.array_remove(F.collect_set("kind"), "given:n")
+    real = found.groupBy(base.alias("base"), "entity").agg(F.when(F.size(told) == 1, told[0]).otherwise(F.min("kind")).alias("kind"), (F.size(told) > 1).alias("both"), (F.count(F.lit(1)) > 1).alias("mixed"))
+    real = real.withColumn("kind", F.when(F.col("both"), "given:n").otherwise(F.col("kind"))).drop("both")
+    first = named(real.withColumn("attempt", F.lit(0)))
+    is_name = F.col("base").isin("given", "family")
+    taken = first.select("base", F.col("entity").alias("value")).union(first.select("base", "value"))
+    real_values = first.select("base", F.col("entity").alias("value"))
+    winners = first.groupBy("base", "value").agg(F.min("entity").alias("winner")).join(real_values, ["base", "value"], "left_anti")
+    judged = stored(first.join(winners, ["base", "value"], "left").withColumn("ok", F.col("winner").eqNullSafe(F.col("entity"))), "judged")
+    done = judged.where("ok and mixed").select("base", "entity", "kind", "attempt")
+    todo, round_no = judged.where("not ok"), 0
+    while not todo.isEmpty():
+        round_no += 1
+        if round_no > ATTEMPTS:  # their first surrogates are their own: no other entity of their format has them
+            done = done.union(todo.where(~is_name & F.col("mixed")).select("base", "entity", "kind", F.lit(0).alias("attempt")))
+            todo = todo.where(is_name)
+            if todo.isEmpty():
+                break
+        tried = named(todo.withColumn("attempt", F.lit(round_no)))
+        free = tried.groupBy("base", "value").agg(F.min("entity").alias("winner")).join(taken, ["base", "value"], "left_anti")
+        judged = stored(tried.join(free, ["base", "value"], "left").withColumn("ok", F.col("winner").eqNullSafe(F.col("entity"))), "judged")
+        done = done.union(judged.where("ok").select("base", "entity", "kind", "attempt"))
+        taken = taken.union(judged.where("ok").select("base", "value"))
+        todo = judged.where("not ok")
+    return done
+
+
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None, kinds_col: str | None = None, max_attempts: int = 50_000) -> DataFrame:
     """docs with every entity of text_col replaced; count_col and kinds_col add how many and of which kinds.
 
     Null texts stay null and empty ones empty; rows that repeat have equal results; an empty table gives none; texts are
-    read whole; other columns stay as they are, whatever their names. If more than max_attempts entities collided, their
-    attempts are joined to the rows that mention them, instead of being sent to every task.
+    read whole; other columns stay as they are, whatever their names or values. If more than max_attempts entities are
+    not settled by their documents, what settles them is joined to the texts that mention them, instead of being sent to
+    every task.
     """
-    needed = stored(attempts_needed(entities(docs, text_col), key), "attempts")
+    needed = stored(settled_entities(entities(docs, text_col), key), "settled")
     few = needed.count() <= max_attempts
-    table = {(r["kind"], r["entity"]): r["attempt"] for r in needed.collect()} if few else {}
-    extra, = fresh(docs, "_attempts")
-    source = docs if few else _joined_attempts(docs, needed, id_col, text_col, extra)
+    table = {(r["base"], r["entity"]): (r["kind"], r["attempt"]) for r in needed.collect()} if few else {}
+    extra, = fresh(docs, "_settled")
+    source = docs if few else _joined(docs, needed, text_col, extra)
     names, at = list(docs.columns), docs.columns.index(text_col)
 
     def run(batches):
@@ -243,8 +415,8 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
             texts, counts, kinds = [], [], []
             for lo, ts in texts_of(b.column(at)):
                 for i, t in enumerate(ts, lo):
-                    tries = table if few else {(x["kind"], x["entity"]): x["attempt"] for x in own[i] or []}
-                    t, k = (t, []) if not t else _replaced(t, key, tries)
+                    known = table if few else {(x["base"], x["entity"]): (x["kind"], x["attempt"]) for x in own[i] or []}
+                    t, k = (t, []) if not t else _replaced(t, key, known)
                     texts.append(t)
                     counts.append(len(k))
                     kinds.append(",".join(sorted(set(k))))
@@ -256,15 +428,16 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     return map_arrow(source, run, StructType(fields))
 
 
-def _joined_attempts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, extra: str) -> DataFrame:
-    ident, = fresh(docs, "_id")
+def _joined(docs: DataFrame, needed: DataFrame, text_col: str, extra: str) -> DataFrame:
+    """docs with the settled entities of each text, found by the text's hash: a list is as long as one text can make it."""
+    mark, = fresh(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
 
     def run(batches):
         for b in batches:
-            rows = [(i, x[2], x[3]) for lo, texts in texts_of(b.column(1)) for i, t in enumerate(texts, lo) for x in dict.fromkeys(detect(t))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [ident, "kind", "entity"])
+            rows = [(i, x[2].partition(":")[0], x[3]) for lo, texts in texts_of(b.column(1)) for i, t in enumerate(texts, lo) for x in dict.fromkeys(detect(t))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [mark, "base", "entity"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    mentions = map_arrow(docs.select(id_col, text_col), run, f"{ident} {kind}, kind string, entity string").distinct()
-    lists = mentions.join(needed, ["kind", "entity"]).groupBy(ident).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(extra))
-    return docs.join(lists, docs[id_col].eqNullSafe(F.col(ident)), "left").drop(ident)
+    mentions = map_arrow(marked.select(mark, text_col), run, f"{mark} long, base string, entity string").distinct()
+    lists = mentions.join(needed, ["base", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("base", "entity", "kind", "attempt")).alias(extra))
+    return marked.join(lists, mark, "left").select(*docs.columns, extra)

@@ -546,14 +546,92 @@ def test_surrogates_keep_type_format_and_coreference(spark, empty):
     assert pii.with_surrogates(empty, key).count() == 0
 
 
+def test_surrogates_of_later_mentions_titles_and_scripts(spark):
+    rows = [
+        (1, "Mr John Smith came. John Smith said hi; Smith agreed, and a smith is not a Smithson."),
+        (2, "Dr John Smith and Dr Jane Roe."), (3, "Ms Jane Roe alone."), (4, "Dr Robin Roe, Mr Alex Roe, Ms Alex Roe."),
+        (5, "Herr 山田太郎 kam. 山田太郎さん。"), (6, "Dr محمد علي حضر"), (7, "Mrs Ελένη Παππά"), (8, "श्री राम कुमार"),
+        (None, "Mr John Smith came."), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (50_000, -1):
+        out = {r.doc_id: r.text for r in pii.with_surrogates(df, b"k", max_attempts=most).collect() if r.text}
+        one = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) (\w+) said hi; (\w+) agreed, and a smith is not a Smithson\.", out[1])
+        assert one and one[1] == one[3] and one[2] == one[4] == one[5] and not {"John", "Smith"} & set(one.groups())
+        two = re.fullmatch(r"Dr (\w+) (\w+) and Dr (\w+) (\w+)\.", out[2])
+        three = re.fullmatch(r"Ms (\w+) (\w+) alone\.", out[3])
+        four = re.fullmatch(r"Dr (\w+) (\w+), Mr (\w+) (\w+), Ms (\w+) (\w+)\.", out[4])
+        assert (two[1], two[2]) == (one[1], one[2]) and (two[3], two[4]) == (three[1], three[2]) and four[3] == four[5] and four[2] == three[2]
+        assert one[1].endswith(tuple(pii.ENDS["latin", "m"])) and three[1].endswith(tuple(pii.ENDS["latin", "f"]))
+        five = re.fullmatch(r"Herr ([\u4e00-\u9fff]{4}) kam\. ([\u4e00-\u9fff]{4})さん。", out[5])
+        assert five and five[1] == five[2] != "山田太郎" and re.fullmatch(r"Dr [\u0600-\u06ff]{4} [\u0600-\u06ff]{3} [\u0600-\u06ff]{3}", out[6])
+        assert re.fullmatch(r"Mrs [α-ωά-ώΑ-Ω]+ [α-ωά-ώΑ-Ω]+", out[7]) and "राम" not in out[8] and re.fullmatch(r"श्री [\u0900-\u097f]+ [\u0900-\u097f]+", out[8])
+        assert out[None] == f"Mr {one[1]} {one[2]} came."
+
+
+def settled(spark, texts, key=b"k"):
+    """Surrogate of each (kind, entity) of the texts."""
+    found = pii.entities(spark.createDataFrame([(t,) for t in texts], "text string"))
+    known = {(r.base, r.entity): (r.kind, r.attempt) for r in pii.settled_entities(found, key).collect()}
+    pairs = {(r.kind.partition(":")[0], r.entity): r.kind for r in found.collect()}
+    return {k: pii.surrogate(key, *(known.get(k, (kind, 0))[0], k[1], known.get(k, (kind, 0))[1])) for k, kind in pairs.items()}
+
+
 def test_surrogates_stay_distinct(spark):
-    names = [(f"Mr {a}{b}{c} spoke",) for a in "BCDFGHKLMN" for b in "aeiou" for c in ("rt", "nd", "lm", "st", "sk", "rk", "mp", "ft")]
-    df = spark.createDataFrame(names, "text string")
-    found = pii.entities(df)
-    tries = {(r.kind, r.entity): r.attempt for r in pii.attempts_needed(found, b"k").collect()}
-    made = [pii.surrogate(b"k", r.kind, r.entity, tries.get((r.kind, r.entity), 0)) for r in found.collect()]
-    real = {r.entity for r in found.collect()}
-    assert len(made) == 400 and len(set(made)) == 400 and not real & set(made)
+    names = [f"Mr {a}{b}{c} spoke" for a in "BCDFGHKLMN" for b in "aeiou" for c in ("rt", "nd", "lm", "st", "sk", "rk", "mp", "ft")]
+    made = settled(spark, names)
+    assert len(made) == 400 and len(set(made.values())) == 400 and not {e for _, e in made} & set(made.values())
+
+
+def test_surrogates_in_full_and_half_full_formats(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [f"write to {a}@{b}.com" for a in letters for b in letters]
+    half = [f"write to {a}@{b}.org" for a in letters for b in letters[:6]]
+    made = settled(spark, full + half)
+    com = {e: v for (_, e), v in made.items() if e.endswith(".com")}
+    org = {e: v for (_, e), v in made.items() if e.endswith(".org")}
+    assert len(set(com.values())) == 676 == len(com) and set(com.values()) == set(com) and all(e != v for e, v in com.items())
+    assert len(set(org.values())) == len(org) == 156 and not set(org) & set(org.values())
+
+
+def test_formats_are_permuted_within_themselves():
+    rng = random.Random(30)
+    for n in (2, 3, 10, 97, 1000):
+        c = pii.Cipher(b"k", "t", n)
+        got = [c(i) for i in range(n)]
+        assert sorted(got) == list(range(n)) and all(i != x for i, x in enumerate(got))
+    for ip in ("192.168.1.1", "172.20.0.9", "169.254.3.3", "127.0.0.1", "8.8.8.8", "172.15.1.1", "192.0.2.1", "223.1.1.1", "239.1.2.3"):
+        got = pii.surrogate(b"k", "ip", ip, 0)
+        net = lambda x: (x.split(".")[0] == "127", x.startswith("192.168."), x.startswith("169.254."), x.startswith("172.") and 16 <= int(x.split(".")[1]) < 32, x.startswith("10."), int(x.split(".")[0]) >= 224)
+        assert got != ip and net(got) == net(ip)
+    for _ in range(50):
+        d = "".join(rng.choice("0123456789") for _ in range(15))
+        good, bad = d + pii.luhn_digit(d), d + str((int(pii.luhn_digit(d)) + 3) % 10)
+        for card in (good, bad):
+            got = pii.surrogate(b"k", "card", card, 0)
+            assert got != card and got[0] == card[0] and (pii.luhn_digit(got[:-1]) == got[-1]) == (card is good)
+        rest = "ABCD" + d[:14]
+        for check in (pii.iban_check("GB", rest), f"{(int(pii.iban_check('GB', rest)) + 5) % 100:02d}"):
+            got = pii.surrogate(b"k", "iban", f"GB{check}{rest}", 0)
+            assert got[:2] == "GB" and got[4:8].isalpha() and (pii.iban_check("GB", got[4:]) == got[2:4]) == (check == pii.iban_check("GB", rest))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_surrogate_query_on_the_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = queries.op2_pii_surrogates(spark, SF)
+    assert df.columns == ["doc_id", "n_entities", "kinds", "text"]
+    out = {r.doc_id: r for r in df.collect()}
+    assert out.keys() == texts.keys()
+    for i, t in texts.items():
+        found = pii.detect(t)
+        assert out[i].n_entities == len(found)
+        at, pattern = 0, ""
+        for s, e, _, _ in found:
+            pattern += re.escape(t[at:s]) + "(.+?)"
+            at = e
+        got = re.fullmatch(pattern + re.escape((t or "")[at:]), out[i].text or "", re.S)
+        assert got and all(g.casefold() != t[s:e].casefold() for g, (s, e, _, _) in zip(got.groups(), found))
 
 
 def test_merkle_audit_locates_damage(spark):
