@@ -38,8 +38,9 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = max(1, -(-pages.count() // RECORDS_PER_FILE))
     rot = (F.pmod("page_id", F.lit(97)) == 13) & (F.length("html") > 0)
     copy = pages.withColumn("html", F.when(rot, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    by_id = F.pmod(F.col("id"), F.lit(files)).cast("int")
-    found = warc.audit(*[warc.laid_out(warc.warc_records(x), files, by_id) for x in (pages, copy)])
+    name = F.concat_ws(" ", F.coalesce(F.col("id").cast("string"), F.lit("-")), "uri")
+    dealt = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % files).cast("int")
+    found = warc.audit(*[warc.laid_out(warc.warc_records(x), files, dealt) for x in (pages, copy)])
     return found.select(F.col("id").alias("page_id"), "file", "ordinal", "offset", "length", "kind")
 
 
@@ -89,14 +90,14 @@ SQL: dict[str, str] = {
     "op4_merkle_audit": """
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS files FROM pages),
 sized AS (
-  SELECT page_id, html, CAST(((page_id % files) + files) % files AS INTEGER) AS file,
+  SELECT page_id, html, CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '-') || ' ' || coalesce(url, '-')), 1, 8))::BIGINT % files AS INTEGER) AS file,
     strlen('WARC/1.1') + 2 + strlen('WARC-Type: resource') + 2 + strlen('WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '-') || '>') + 2
     + strlen('WARC-Target-URI: ' || coalesce(url, '-')) + 2 + strlen('WARC-Block-Digest: sha256:') + 64 + 2
     + strlen('Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
   FROM pages, n),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
-  FROM sized WINDOW w AS (PARTITION BY file ORDER BY page_id))
+  FROM sized WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST))
 SELECT page_id, file, CAST(ordinal AS INTEGER) AS ordinal, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, 'corrupt' AS kind
 FROM placed WHERE ((page_id % 97) + 97) % 97 = 13 AND length(html) > 0 AND html[1] <> '~'
 """,

@@ -32,13 +32,13 @@ def record_bytes() -> Column:
 
 
 def laid_out(records: DataFrame, files: int, file: Column | None = None) -> DataFrame:
-    """file, ordinal, id, offset, length, digest: records dealt to files by a hash of their id, or by `file`, and by id within a file.
+    """file, ordinal, id, offset, length, digest: records dealt to files by a hash of id and URI, or by `file`, and by id within a file.
 
-    A file holds some thousands of records, so a window over one file is bounded; hot hosts or equal pages spread like
-    any others. Rows of one id are ordered by digest.
+    A file holds some thousands of records, so a window over one file is bounded, unless most records are copies with one id
+    and one URI: those are one resource and stay together. Null ids come first; rows of one id are ordered by digest.
     """
     body = record_bytes()
-    file = F.pmod(F.xxhash64("id"), F.lit(files)).cast("int") if file is None else file
+    file = F.pmod(F.xxhash64(F.col("id").cast("string"), "uri"), F.lit(files)).cast("int") if file is None else F.coalesce(file, F.lit(0))
     slim = records.select("id", file.alias("file"), F.length(body).cast("long").alias("length"), F.sha2(body, 256).alias("digest"))
     w = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "digest")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -73,12 +73,27 @@ def _mismatching(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "node")
 
 
+def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Records of both sides (columns l and r, structs) paired by file and id: those of one digest first, then in order."""
+    count = lambda df, by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("at.ordinal")))
+    side = lambda df: df.select("file", F.struct("id").alias("who"), "digest", F.struct("ordinal", "offset", "length").alias("at"))
+    keys = ["file", "who", "digest", "k"]
+    a, b = count(side(left), keys[:3]).withColumnRenamed("at", "l"), count(side(right), keys[:3]).withColumnRenamed("at", "r")
+    both = stored(a.join(b, keys, "full_outer").select("file", "who", "digest", "l", "r"), "aligned")
+    same = both.where("l is not null and r is not null").withColumn("equal", F.lit(True)).drop("digest")
+    alone = lambda here, gone: count(both.where(f"{gone} is null").select("file", "who", F.col(here).alias("at")), ["file", "who"]).withColumnRenamed("at", here)
+    rest = alone("l", "r").join(alone("r", "l"), ["file", "who", "k"], "full_outer").select("file", "who", "l", "r", F.lit(False).alias("equal"))
+    return same.unionByName(rest)
+
+
 def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, ordinal, id, offset, length, replica_id, replica_offset, replica_length, kind: places that differ.
+    """file, id, ordinal, offset, length, replica_ordinal, replica_offset, replica_length, kind: what differs.
 
-    Both sides: file, ordinal, id, offset, length, digest. kind: 'corrupt' (same id and place, other bytes), 'moved' (same
-    bytes at another offset), 'replaced', 'missing' (only in the primary), 'extra' (only in the replica). Equal replicas,
-    and two empty ones, give no rows.
+    Both sides: file, ordinal, id, offset, length, digest. kind: 'corrupt' (same id, other bytes), 'missing' (only in the
+    primary), 'extra' (only in the replica), 'moved' (same bytes, at an offset that lost, added and changed records before it
+    do not explain). Nodes are compared from the roots down and only records under mismatching leaves are then aligned by
+    id, so one lost record is one row, though all later ones lie elsewhere. Null ids are aligned like any other; copies
+    pair up in order. Equal replicas, and two empty ones, give no rows.
     """
     a, b = stored(primary, "primary"), stored(replica, "replica")
     most = a.select("ordinal").union(b.select("ordinal")).agg(F.max("ordinal")).first()[0]
@@ -90,12 +105,12 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
         under = lambda side: side.withColumn("up", F.floor(F.col("node") / fanout)).join(bad.withColumnRenamed("node", "up"), ["file", "up"], "left_semi").drop("up")
         bad = stored(_mismatching(under(up_a[level]), under(up_b[level])), "mismatches")
     at = bad.select("file", F.col("node").cast("int").alias("ordinal"))
-    left = a.join(at, ["file", "ordinal"], "left_semi")
-    right = b.join(at, ["file", "ordinal"], "left_semi").select("file", "ordinal", *[F.col(c).alias(f"replica_{c}") for c in ("id", "offset", "length", "digest")])
-    same_id = F.col("id").eqNullSafe(F.col("replica_id"))
-    kind = (
-        F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
-        .when(F.col("digest") == F.col("replica_digest"), "moved").when(same_id, "corrupt").otherwise("replaced")
-    )
-    both = left.join(right, ["file", "ordinal"], "full_outer")
-    return both.select("file", "ordinal", "id", "offset", "length", "replica_id", "replica_offset", "replica_length", kind.alias("kind"))
+    pairs = _aligned(a.join(at, ["file", "ordinal"], "left_semi"), b.join(at, ["file", "ordinal"], "left_semi"))
+    lost, added = F.col("r").isNull(), F.col("l").isNull()
+    change = F.when(lost, -F.col("l.length")).when(~added, F.col("r.length") - F.col("l.length")).otherwise(0)
+    before = lambda place: Window.partitionBy("file").orderBy(F.col(place).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = pairs.withColumns({"shift": F.coalesce(F.sum(change).over(before("l.offset")), F.lit(0)), "grown": F.coalesce(F.sum(F.when(added, F.col("r.length")).otherwise(0)).over(before("r.offset")), F.lit(0))})
+    moved = F.col("r.offset") != F.col("l.offset") + F.col("shift") + F.col("grown")
+    kind = F.when(lost, "missing").when(added, "extra").when(~F.col("equal"), "corrupt").when(moved, "moved")
+    named = shifts.select("file", "who.id", "l.*", *[F.col(f"r.{c}").alias(f"replica_{c}") for c in ("ordinal", "offset", "length")], kind.alias("kind"))
+    return named.where("kind is not null")
