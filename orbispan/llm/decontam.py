@@ -22,8 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from orbispan.llm.common import map_arrow, stored, texts_of
 
-#: Items that one pass holds; a larger benchmark takes more passes.
+#: Items, and bytes of their texts, that one pass holds; a larger benchmark takes more passes.
 MAX_ITEMS = 20_000
+MAX_BYTES = 32 << 20
 RADIUS = 23
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,18 +89,17 @@ class ItemIndex:
             self.filters[k] = seen
         value = np.arange(256, dtype=np.uint8)
         blocks = self.prints.astype(">u8").view(np.uint8).reshape(-1, 8)
-        self.near = [np.bitwise_count(value[:, None] ^ blocks[None, :, b]) <= radius // 8 for b in range(8)]
+        close = np.bitwise_count(value[:, None] ^ value[None]) <= radius // 8
+        self.near = [[np.flatnonzero(close[v][blocks[:, b]]).astype(np.int32) for v in range(256)] for b in range(8)]
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return np.array([self.weight.get(h, self.rare) for h in hashes.tolist()])
 
     def candidates(self, fp: np.uint64) -> np.ndarray:
-        """Items whose fingerprint is within the radius: all of them, by the block argument, then by their distance."""
-        hit = np.zeros(len(self.prints), dtype=bool)
-        for b, v in enumerate(np.array([fp]).astype(">u8").view(np.uint8)):
-            hit |= self.near[b][v]
-        at = np.flatnonzero(hit)
-        return at[np.bitwise_count(self.prints[at] ^ fp) <= self.radius]
+        """Items whose fingerprint is within the radius: the buckets of each block's value hold them all, by the block
+        argument, and their distance picks them out."""
+        at = np.concatenate([self.near[b][v] for b, v in enumerate(np.array([fp]).astype(">u8").view(np.uint8).tolist())])
+        return np.unique(at[np.bitwise_count(self.prints[at] ^ fp) <= self.radius])
 
     def jaccard(self, window: np.ndarray, item: int) -> float:
         a, b = Counter(window.tolist()), self.counts[item]
@@ -145,10 +145,12 @@ class ItemIndex:
 
 
 def _slices(items: DataFrame, item_id: str, item_text: str, max_items: int, shingle: int):
-    """The benchmark in parts that a task may hold: one if it is small, as its counted rows decide. With several, counts
-    over the whole benchmark go with each part, so that weights do not depend on the parts."""
+    """The benchmark in parts that a task may hold: one if it is small, as its counted rows and bytes decide. Texts of one
+    id travel together. With several parts, counts over the whole benchmark go with each, so that weights do not depend
+    on the parts."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    n = -(-rows.count() // max_items)
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()
+    n = max(-(-count // max_items), -(-size // MAX_BYTES)) if count else 0
     total = repeated = None
 
     def run(batches):
@@ -163,7 +165,7 @@ def _slices(items: DataFrame, item_id: str, item_text: str, max_items: int, shin
         got = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
         repeated = dict(zip(got.column(0).to_numpy().view(np.uint64).tolist(), got.column(1).to_pylist()))
     for s in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == s)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == s)
         got = part.toArrow()
         yield got.column(0).to_pylist(), got.column(1).to_pylist(), total, repeated
 
