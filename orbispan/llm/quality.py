@@ -183,7 +183,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     good = labels.where(~held_out(id_col) & (F.col(label_col) == 1)).select(F.col(id_col).alias("id")).distinct()
-    positive = _draw(rows.join(good, "id", "left_semi"), max_positives, 1)
+    n_good = good.count()
+    if n_good > max_positives:  # ids are drawn before rows, so that a bounded list goes to the texts and no text travels
+        good = good.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * max_positives / n_good))
+    positive = _draw(rows.join(F.broadcast(good), "id", "left_semi"), max_positives, 1)
     unlabelled = _draw(rows.where(~held_out("id")), max_unlabelled, 2)
     if not len(positive) or not len(unlabelled):
         k = len(FEATURES)
