@@ -235,8 +235,13 @@ def _unrank(at: int, shape: str) -> str:
     return "".join(reversed(out))
 
 
+@lru_cache(maxsize=4096)
+def _cipher(key: bytes, kind: str, space: str, attempt: int, n: int) -> Cipher:
+    return Cipher(key, f"{kind}\x00{space}\x00{attempt}", n)
+
+
 def _permuted(key: bytes, kind: str, space: str, attempt: int, at: int, n: int) -> int:
-    return Cipher(key, f"{kind}\x00{space}\x00{attempt}", n)(at)
+    return _cipher(key, kind, space, attempt, n)(at)
 
 
 def _same_shape(key: bytes, kind: str, space: str, attempt: int, text: str) -> str:
@@ -245,25 +250,38 @@ def _same_shape(key: bytes, kind: str, space: str, attempt: int, text: str) -> s
     return _unrank(_permuted(key, kind, f"{space}\x00{shape}", attempt, at, n), shape)
 
 
-def _ip(key: bytes, entity: str, attempt: int) -> str:
-    """An address of the same class: private, loopback and link-local ones stay in their range, others outside of all."""
-    a, b, c, d = (int(x) for x in entity.split("."))
-    own = {10: range(256), 127: range(256)}.get(a)
+@lru_cache(maxsize=4096)
+def _networks(a: int, b: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """The first two numbers of the addresses of the same class, and the place of each: private, loopback and link-local
+    ones stay in their range, others outside of all."""
     if (a, b) in ((192, 168), (169, 254)):
         firsts = [(a, b)]
     elif a == 172 and 16 <= b < 32:
         firsts = [(a, x) for x in range(16, 32)]
-    elif own is not None or a == 0 or a >= 224:
+    elif a in (0, 10, 127) or a >= 224:
         firsts = [(a, x) for x in range(256)]
     else:
-        lo, hi = (1, 128) if a < 128 else (128, 192) if a < 192 else (192, 224)
-        closed = {(192, 168), (169, 254), *((172, x) for x in range(16, 32))}
-        firsts = [(x, y) for x in range(lo, hi) if x not in (10, 127) for y in range(256) if (x, y) not in closed]
-    place = {f: i for i, f in enumerate(firsts)}
+        return _public(a >> 6)
+    return firsts, {f: i for i, f in enumerate(firsts)}
+
+
+@lru_cache(maxsize=4)
+def _public(quarter: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    lo, hi = ((1, 128), (1, 128), (128, 192), (192, 224))[quarter]
+    closed = {(192, 168), (169, 254), *((172, x) for x in range(16, 32))}
+    firsts = [(x, y) for x in range(lo, hi) if x not in (10, 127) for y in range(256) if (x, y) not in closed]
+    return firsts, {f: i for i, f in enumerate(firsts)}
+
+
+def _ip(key: bytes, entity: str, attempt: int) -> str:
+    """An address of the same class."""
+    a, b, c, d = (int(x) for x in entity.split("."))
+    firsts, place = _networks(a, b)
     got = _permuted(key, "ip", f"{firsts[0]}", attempt, place[a, b] << 16 | c << 8 | d, len(firsts) << 16)
     return ".".join(map(str, (*firsts[got >> 16], got >> 8 & 255, got & 255)))
 
 
+@lru_cache(maxsize=4096)
 def _letters_like(c: str) -> str | range:
     """Code points to draw a letter from: the ideographs or syllables of Han and Hangul, else the letters of its block."""
     n = ord(c)
@@ -365,7 +383,8 @@ def settled_entities(found: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], ["base", "entity", "kind", "mixed", "attempt", "value"])
 
     fields = "base string, entity string, kind string, mixed boolean, attempt int"
-    named = lambda todo: stored(map_arrow(todo.select("base", "entity", "kind", "mixed", "attempt"), run, f"{fields}, value string"), "surrogates")
+    tasks = found.sparkSession.sparkContext.defaultParallelism  # entities are short and surrogates dear, so sizes say little
+    named = lambda todo: stored(map_arrow(todo.select("base", "entity", "kind", "mixed", "attempt").repartition(tasks, "entity"), run, f"{fields}, value string"), "surrogates")
     base = F.substring_index("kind", ":", 1)
     told = F.array_remove(F.collect_set("kind"), "given:n")
     real = found.groupBy(base.alias("base"), "entity").agg(F.when(F.size(told) == 1, told[0]).otherwise(F.min("kind")).alias("kind"), (F.size(told) > 1).alias("both"), (F.count(F.lit(1)) > 1).alias("mixed"))
