@@ -24,9 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors. A task gives its spare memory back when it ends, as its Python
+    worker goes on to others."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -77,9 +77,9 @@ class QualityModel:
     bias: float
     prior: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip(_standard(_hinges(x, self.knots), self.mean, self.scale) @ self.weights + self.bias, -30, 30)
-        return 1 / (1 + np.exp(-z))
+    def score(self, x: np.ndarray, step: int = 512) -> np.ndarray:
+        parts = [_sigmoid(_standard(_hinges(x[lo : lo + step], self.knots), self.mean, self.scale) @ self.weights + self.bias) for lo in range(0, len(x), step)]
+        return np.concatenate(parts) if parts else np.empty(0)
 
 
 def _hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:

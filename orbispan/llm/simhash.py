@@ -179,14 +179,16 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 #: Shingles that a task sorts at once, and those of a bucket, about.
-FLUSH_SHINGLES = 1 << 20
+FLUSH_SHINGLES = 1 << 19
 _BUCKET_ROWS = "bucket int, kind int, ids binary, counts binary, hashes binary"
 
 
 def _shingle_buckets(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
     """texts (id, text) as packed shingle sets, cut by ranges of hashes. Kind 0: the shingles of one document alone among
     those sorted together, by document. Kind 1: one of each of the others. Kind 2: the documents, how many shingles each
-    has and how many of them are of the others, so a common shingle costs a bucket a row for each batch, not each document."""
+    has and how many of them are of the others, so a common shingle costs a bucket a row for each batch, not each document.
+    The upper half of a hash gives the bucket and the lower half goes along: a bucket holds a fixed number of shingles, so
+    halves are as good as unique there, and two that clash only let a document pass that the exact test then drops."""
 
     def packed(ids, sets):
         ids, sizes = np.array(ids, dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
@@ -203,12 +205,13 @@ def _shingle_buckets(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
             at = slot(x)
             for lo in np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(x) else ():
                 hi = int(np.searchsorted(at, at[lo], "right"))
+                half = x[lo:hi].astype(np.uint32)
                 if kind:
-                    yield int(at[lo]), kind, b"", b"", x[lo:hi].tobytes()
+                    yield int(at[lo]), kind, b"", b"", half.tobytes()
                 else:
                     by = np.argsort(who[lo:hi], kind="stable")
                     doc, n = np.unique(who[lo:hi][by], return_counts=True)
-                    yield int(at[lo]), kind, ids[doc].tobytes(), n.astype(np.int32).tobytes(), x[lo:hi][by].tobytes()
+                    yield int(at[lo]), kind, ids[doc].tobytes(), n.astype(np.int32).tobytes(), half[by].tobytes()
 
     def batch_of(rows):
         b, k, i, c, h = zip(*rows)
@@ -239,9 +242,9 @@ def _sharing(texts: DataFrame, shingle: int, similarity: float, buckets: int) ->
         kinds = rows.column("kind").to_pylist()
         read = lambda name, kind, dtype: [np.frombuffer(x, dtype=dtype) for x, k in zip(rows.column(name).to_pylist(), kinds) if k == kind]
         none = np.empty(0, dtype=np.int64)
-        hashes = np.concatenate([np.empty(0, np.uint64), *read("hashes", 0, np.uint64)])
+        hashes = np.concatenate([np.empty(0, np.uint32), *read("hashes", 0, np.uint32)])
         ids = np.concatenate([none, *[np.repeat(i, n) for i, n in zip(read("ids", 0, np.int64), read("counts", 0, np.int32))]])
-        pool = np.concatenate([hashes, *read("hashes", 1, np.uint64)])
+        pool = np.concatenate([hashes, *read("hashes", 1, np.uint32)])
         order = np.argsort(pool)
         edge = np.concatenate(([True], pool[order][1:] != pool[order][:-1])) if len(pool) else np.empty(0, bool)
         at = np.flatnonzero(edge)
