@@ -102,9 +102,18 @@ def deg_enrichment(spark, d):
     return out.withColumn("enrichment", F.round("enrichment", 6)).drop("p_value")
 
 
-@query()
+_LOG_P = "lgamma(a + c + 1) - lgamma({0} + 1) - lgamma(a + c - {0} + 1) + lgamma(b + d + 1) - lgamma(a + b - {0} + 1) - lgamma(d - a + {0} + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1)"
+
+
+@query(_DEG + f""", t AS (SELECT * FROM (VALUES ('up', 1), ('down', -1)) a(direction, sign), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) b(threshold)),
+f AS (SELECT direction, threshold, log2fc * sign >= threshold AND padj < 0.05 AS hit, gene_name IN (SELECT gene_name FROM gs) AS ins FROM deg, t),
+k AS (SELECT direction, threshold, count(*) FILTER (hit AND ins) AS a, count(*) FILTER (hit AND NOT ins) AS b, count(*) FILTER (NOT hit AND ins) AS c, count(*) FILTER (NOT hit AND NOT ins) AS d FROM f GROUP BY 1, 2),
+x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM k),
+p AS (SELECT direction, threshold, a, b, c, d, {_LOG_P.format('i')} AS lp, {_LOG_P.format('a')} AS own FROM x)
+SELECT direction, threshold, a, b, c, d, round(least(1.0, sum(exp(lp)) FILTER (lp <= own + 1e-7)), 7) AS p_value FROM p GROUP BY 1, 2, 3, 4, 5, 6""")
 def deg_fisher(spark, d):
-    return expression.deg_enrichment(*_deg(spark, d), thresholds=(0.25, 0.5, 1.0))
+    out = expression.deg_enrichment(*_deg(spark, d), thresholds=(0.25, 0.5, 1.0))
+    return out.select("direction", "threshold", "a", "b", "c", "d", F.round("p_value", 7).alias("p_value"))
 
 
 _LP = ctes("ecc") + """, s AS (SELECT a.rep AS ra, b.rep AS rb, count(DISTINCT a.name) AS n FROM ecc a JOIN ecc b ON a.chrom = b.chrom AND a.rep <> b.rep AND a.start < b."end" AND b.start < a."end"

@@ -38,9 +38,12 @@ def quantify_autocorrelation(spark, d):
     return process.autocorrelation(h, 30).withColumn("acf", F.round("acf", 6))
 
 
-@query()
+@query(_HIST + """, f AS (SELECT k, sqrt(pow(sum(x * cos(2 * pi() * k * bin / 100)), 2) + pow(sum(x * sin(2 * pi() * k * bin / 100)), 2)) AS m FROM x, range(1, 51) t(k) GROUP BY 1)
+SELECT round(m, 2) AS fft_magnitude FROM f ORDER BY m DESC LIMIT 10""")
 def quantify_periodicity(spark, d):
-    return process.periodicity(process.length_histogram(ecc(spark, d), 20, 2000), 20)
+    """The ten strongest magnitudes; periods of equal ones differ by rounding alone."""
+    found = process.periodicity(process.length_histogram(ecc(spark, d), 20, 2000), 20)
+    return found.select(F.round("fft_magnitude", 2).alias("fft_magnitude"))
 
 
 @query(ctes("ecc") + """ SELECT name, chrom AS "eChr", start AS "eStart", "end" AS "eEnd", length AS "eLength" FROM ecc""")
@@ -135,7 +138,7 @@ def sample_stratified(spark, d):
     return process.stratified(ecc(spark, d), 20, ["sample", "type"], "name").select("sample", "type", "name")
 
 
-@query()
+@query(ctes("ecc") + f" SELECT name, length FROM ecc WHERE length > 0 ORDER BY ln((('0x' || substr({_MD5}, 1, 12))::BIGINT + 1)::DOUBLE / 281474976710657.0::DOUBLE) / length DESC, name LIMIT 100")
 def sample_weighted(spark, d):
     return process.weighted_sample(ecc(spark, d), 100, "length", "name").select("name", "length")
 
