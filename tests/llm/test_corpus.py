@@ -683,3 +683,46 @@ def test_offsets_are_those_of_the_written_file(spark):
     for r in warc.laid_out(recs, 1).collect():
         part = blob[r.offset : r.offset + r.length]
         assert part.startswith(b"WARC/1.1\r\n") and hashlib.sha256(part).hexdigest() == r.digest
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_secret_query_on_the_table(spark):
+    kinds = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), lambda m: len(m[2]) >= 8),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    ]
+    out = {r.doc_id: r for r in queries.op5_secret_scan(spark, SF).collect()}
+    for doc in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        base = sorted((m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(kinds) for m in p.finditer(doc.text or "") if ok(m))
+        text = ",".join(f"{name}:{s}:{e}" for s, _, name, e in base)
+        r = out[doc.doc_id]
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("random")) == text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_simhash_query_on_the_table(spark):
+    rows = sorted((r.doc_id, fingerprint(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 2])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_bktree(spark, SF).collect()}
+    assert got == {i: (f"{fp:016x}", rows[w][0]) for (i, fp), w in zip(rows, want)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_line_query_on_the_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    left = {r.doc_id: r.text for r in lines.drop_recurring_lines(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    form = lambda x: " ".join(x.split())
+    where = {}
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            if len(form(x)) >= lines.MIN_CHARS and len(x) >= lines.MIN_CHARS:
+                where.setdefault(form(x), set()).add(i)
+    for x, ids in where.items():
+        kept = {i for i in ids if x in map(form, (left[i] or "").split("\n"))}
+        assert len(ids) == 1 or kept <= {min(ids)}
+    for i, t in texts.items():  # what is left stands as it stood, and short lines all stay
+        rest = iter((t or "").split("\n"))
+        assert not left[i] or all(any(x == y for y in rest) for x in left[i].split("\n"))
+    counts = {r.doc_id: r for r in queries.op7_line_templates(spark, SF).collect()}
+    assert all(counts[i].text_crc32 == zlib.crc32((left[i] or "").encode()) and counts[i].bytes_left == len((left[i] or "").encode()) for i in texts)
