@@ -28,17 +28,21 @@ def _level(bin_size: int) -> Column:
     return out
 
 
-def _at_level(k: int):
-    return lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"))
+def _spots(k: int, bin_size: int) -> Column:
+    """The bins of level k that an interval touches, each as bin * LEVELS + k. A plain sequence stays in generated code."""
+    at = lambda p: (F.floor(p / F.lit(bin_size * STEP**k)) * LEVELS + k).cast("bigint")
+    return F.sequence(at(F.col("start")), at(F.col("end") - 1), F.lit(LEVELS).cast("bigint"))
 
 
-def _levels_of(df: DataFrame, bin_size: int) -> list[int]:
-    return sorted(r[0] for r in df.where("end > start").select(_level(bin_size).alias("k")).distinct().collect())
+def _levels_of(a: DataFrame, b: DataFrame, bin_size: int) -> tuple[list[int], list[int]]:
+    """Levels that occur in a and in b, by one aggregate over their starts and ends."""
+    held = lambda df, side: df.where("end > start").agg(F.lit(side).alias("side"), F.bit_or(F.pow(F.lit(2), _level(bin_size)).cast("bigint")).alias("held"))
+    found = dict(held(a, 0).unionByName(held(b, 1)).collect())  # one row a side
+    return tuple([k for k in range(LEVELS) if (found[side] or 1) >> k & 1] for side in (0, 1))
 
 
 def _in_bins(df: DataFrame, tag: str, other_levels: Sequence[int], own_levels: Sequence[int], bin_size: int) -> DataFrame:
-    """df's columns prefixed by tag, with its own level and each (level, bin) to meet the other side in."""
-    width = lambda k: F.lit(bin_size * STEP**k)
+    """df's columns prefixed by tag, with its own level and each spot (a bin of a level) to meet the other side in."""
     own = F.lit(own_levels[0]) if len(own_levels) == 1 else _level(bin_size)
     spots, many = [], len(own_levels) > 1
     for k in sorted(set(own_levels) | set(other_levels)):
@@ -46,14 +50,12 @@ def _in_bins(df: DataFrame, tag: str, other_levels: Sequence[int], own_levels: S
         meets = k in other_levels
         if not many and k != own_levels[0] and not (meets and k > own_levels[0]):
             continue
-        bins = F.sequence(F.floor(F.col("start") / width(k)), F.floor((F.col("end") - 1) / width(k)))
-        here = F.transform(bins, _at_level(k))
+        here = _spots(k, bin_size)
         if many:
-            here = F.when(own <= k if meets else own == k, here).otherwise(F.array().cast("array<struct<level: int, bin: bigint>>"))
+            here = F.when(own <= k if meets else own == k, here).otherwise(F.array().cast("array<bigint>"))
         spots.append(here)
-    listed = df.where("end > start").withColumns({"_own": own, "_spot": F.explode(F.concat(*spots) if len(spots) > 1 else spots[0])})
-    columns = [F.col(c).alias(f"{tag}{c}") for c in df.columns]
-    return listed.select(F.col("chrom").alias("_chrom"), F.col("_spot.level").alias("_level"), F.col("_spot.bin").alias("_bin"), F.col("_own").alias(f"_own_{tag}"), *columns)
+    listed = df.where("end > start").withColumn(f"_spot_{tag}", F.explode(F.concat(*spots) if len(spots) > 1 else spots[0]))
+    return listed.select(F.xxhash64("chrom", f"_spot_{tag}").alias(f"_cell_{tag}"), f"_spot_{tag}", own.alias(f"_own_{tag}"), *[F.col(c).alias(f"{tag}{c}") for c in df.columns])
 
 
 def overlap_join(a: DataFrame, b: DataFrame, tags: tuple[str, str] = ("a_", "b_"), how: str = "inner", where: Column | None = None, bin_size: int = BIN) -> DataFrame:
@@ -65,16 +67,20 @@ def overlap_join(a: DataFrame, b: DataFrame, tags: tuple[str, str] = ("a_", "b_"
     if how != "inner":
         return _semi(a, b, how, tags, where, bin_size)
     left, right = tags
-    la, lb = _levels_of(a, bin_size) or [0], _levels_of(b, bin_size) or [0]
+    la, lb = _levels_of(a, b, bin_size)
     x, y = _in_bins(a, left, lb, la, bin_size), _in_bins(b, right, la, lb, bin_size)
     s1, e1, s2, e2 = (F.col(f"{t}{c}") for t in tags for c in ("start", "end"))
     later = F.greatest(s1, s2)
-    width = F.lit(bin_size) if max(la + lb) == 0 else F.lit(bin_size) * F.pow(F.lit(STEP), F.col("_level")).cast("bigint")
-    on = (later < F.least(e1, e2)) & (F.floor(later / width) == F.col("_bin"))
+    spot = F.col(f"_spot_{left}")
+    level, at = F.pmod(spot, F.lit(LEVELS)), F.floor(spot / LEVELS)
+    width = F.lit(bin_size) if max(la + lb) == 0 else F.lit(bin_size) * F.pow(F.lit(STEP), level).cast("bigint")
+    on = (later < F.least(e1, e2)) & (F.floor(later / width) == at)
     if len(set(la + lb)) > 1:
-        on &= F.col("_level") == F.greatest(f"_own_{left}", f"_own_{right}")
-    joined = x.join(y, ["_chrom", "_level", "_bin"]).where(on if where is None else on & where)
-    return joined.withColumn("overlap_bp", F.least(e1, e2) - later).drop("_chrom", "_level", "_bin", f"_own_{left}", f"_own_{right}")
+        on &= level == F.greatest(f"_own_{left}", f"_own_{right}")
+    # the hash of chromosome and spot comes first, so that a sort compares one long; the others tell apart cells that share it
+    same = [F.col(f"{c}{left}") == F.col(f"{c}{right}") for c in ("_cell_", "_spot_")]
+    joined = x.join(y, same[0] & same[1] & (F.col(f"{left}chrom") == F.col(f"{right}chrom"))).where(on if where is None else on & where)
+    return joined.withColumn("overlap_bp", F.least(e1, e2) - later).drop(*[f"_{c}_{t}" for t in tags for c in ("cell", "spot", "own")])
 
 
 def _semi(a: DataFrame, b: DataFrame, how: str, tags, where, bin_size: int) -> DataFrame:
@@ -100,25 +106,28 @@ def reciprocal_join(a: DataFrame, b: DataFrame, fraction: float, tags: tuple[str
 
 
 def nearest(points: DataFrame, targets: DataFrame, pos: str = "pos", target: str = "pos") -> DataFrame:
-    """points' columns and distance to the nearest target on the chromosome; chromosomes without targets are dropped.
+    """points' columns and distance to the nearest target on the chromosome; null positions and chromosomes without targets are dropped.
 
-    Targets are sorted once; a point's neighbours are the last target at or before it and the first at or after it, found by
-    two running windows over both kinds of rows. Windows run within stretches of a chromosome, and each stretch starts
-    from the last target before and ends with the first after it, so a large chromosome is many tasks.
+    A point's neighbours are the last target at or before it and the first after it, found by a running window in each
+    direction over both kinds of rows. Windows run within stretches of a chromosome, and each stretch starts from the last
+    target before and ends with the first after it, so a large chromosome is many tasks. Both frames only grow: a frame that
+    ends with the partition would be summed anew for each row.
     """
     stretch = 1 << 20
-    t = targets.select("chrom", F.col(target).alias("_t")).distinct()
     cell = F.floor(F.col("_p") / stretch)
-    rows = points.withColumns({"_p": F.col(pos), "_q": F.lit(True), "_t": F.lit(None).cast("bigint")})
+    t = targets.select("chrom", F.col(target).cast("bigint").alias("_t")).where("_t is not null").distinct()
+    rows = points.where(F.col(pos).isNotNull()).withColumns({"_p": F.col(pos).cast("bigint"), "_q": F.lit(True), "_t": F.lit(None).cast("bigint")})
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema if f.name != "chrom"]
     marks = t.select("chrom", *blank, F.col("_t").alias("_p"), F.lit(False).alias("_q"), "_t")
     both = rows.unionByName(marks).withColumn("_cell", cell)
     edges = marks.withColumn("_cell", cell).groupBy("chrom", "_cell").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
     cells = both.select("chrom", "_cell").distinct().join(edges, ["chrom", "_cell"], "left")
-    by = Window.partitionBy("chrom").orderBy("_cell")
-    cells = cells.select("chrom", "_cell", F.max("_hi").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.min("_lo").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
-    w = Window.partitionBy("chrom", "_cell").orderBy("_p")
-    near = both.withColumns({"_before": F.max("_t").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_after": F.min("_t").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    ahead = (Window.unboundedPreceding, -1)
+    up, down = (Window.partitionBy("chrom").orderBy(o).rowsBetween(*ahead) for o in (F.asc("_cell"), F.desc("_cell")))
+    cells = cells.select("chrom", "_cell", F.max("_hi").over(up).alias("_left"), F.min("_lo").over(down).alias("_right"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    up, down = (Window.partitionBy("chrom", "_cell").orderBy(*o).rowsBetween(*so_far) for o in ((F.asc("_p"), F.asc("_q")), (F.desc("_p"), F.asc("_q"))))
+    near = both.withColumn("_before", F.max("_t").over(up)).withColumn("_after", F.min("_t").over(down))
     near = near.where("_q").join(cells, ["chrom", "_cell"])
     gap = F.least(F.col("_p") - F.coalesce("_before", "_left"), F.coalesce("_after", "_right") - F.col("_p"))
     return near.withColumn("distance", gap).where("distance is not null").select(*points.columns, "distance")

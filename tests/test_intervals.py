@@ -72,5 +72,5 @@ def test_empty_inputs(spark):
 def test_join_plan_is_an_equi_join_on_bins(spark):
     a = spark.createDataFrame(_random(5, 1), SCHEMA)
     plan = iv.overlap_join(a, a)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_bin" in plan and "Cartesian" not in plan
+    assert "_cell_a_" in plan and "Cartesian" not in plan
     assert F.col("x") is not None
