@@ -133,21 +133,46 @@ def nearest(points: DataFrame, targets: DataFrame, pos: str = "pos", target: str
     return near.withColumn("distance", gap).where("distance is not null").select(*points.columns, "distance")
 
 
+def _with_earlier(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """Adds name: the largest value of column in the earlier stretches (_cell) of the key; only stretches go through a window."""
+    w = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*keys, "_cell").agg(F.max(column).alias("_top"))
+    cells = cells.select(*[F.col(c).alias(f"_key_{c}") for c in (*keys, "_cell")], F.max("_top").over(w).alias(name))
+    on = F.lit(True)
+    for c in (*keys, "_cell"):
+        on &= F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return df.join(cells, on).drop(*[f"_key_{c}" for c in (*keys, "_cell")])
+
+
+def _islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, start, end and _before, the end of the island before (null for a key's first).
+
+    Windows run within stretches of a key, so that a chromosome is many tasks. A stretch is told the furthest end before it,
+    and the island that is open where it begins.
+    """
+    cell = F.floor(F.col("start") / (1 << 22))
+    rows = df.select(*keys, "start", "end").where("start is not null and end is not null").withColumn("_cell", cell)
+    w = Window.partitionBy(*keys, "_cell").orderBy("start", "end")
+    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    marked = _with_earlier(rows, keys, "end", "_far").withColumn("_before", reach)
+    marked = marked.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start")))
+    marked = marked.withColumn("_first", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = [F.min("start").alias("start"), F.max("end").alias("end")]
+    pieces = marked.groupBy(*keys, "_cell", "_first").agg(*ends, F.max(F.when(F.col("_new").isNotNull(), F.col("_before"))).alias("_before"))
+    whole = _with_earlier(pieces, keys, "_first", "_open").withColumn("_island", F.coalesce("_first", "_open"))
+    return whole.groupBy(*keys, "_island").agg(*ends, F.max("_before").alias("_before")).drop("_island")
+
+
 def merged(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """Gaps and islands: keys, start, end of the unions of overlapping or touching intervals."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*keys, "start", "end").withColumn("_new", (seen.isNull() | (F.col("start") > seen)).cast("int"))
-    grouped = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """Gaps and islands: keys, start, end of the unions of overlapping or touching intervals; null ends do not count."""
+    return _islands(df, keys).drop("_before")
 
 
 def complement(excluded: DataFrame, genome: DataFrame) -> DataFrame:
     """chrom, start, end of what the intervals leave of each chromosome; one that they fill is given whole."""
     clipped = excluded.join(F.broadcast(genome), "chrom").select("chrom", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start")
-    m = merged(clipped)
-    w = Window.partitionBy("chrom").orderBy("start")
-    gaps = m.select("chrom", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("start"), F.col("start").alias("end"))
+    m = _islands(clipped, ["chrom"])
+    gaps = m.select("chrom", F.coalesce("_before", F.lit(0)).alias("start"), F.col("start").alias("end"))
     tails = m.groupBy("chrom").agg(F.max("end").alias("start")).join(F.broadcast(genome), "chrom").select("chrom", "start", F.col("size").alias("end"))
     free = gaps.unionByName(tails).where("end > start")
     whole = genome.join(free.select("chrom").distinct(), "chrom", "left_anti").select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))

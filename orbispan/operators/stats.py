@@ -11,33 +11,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from orbispan.scratch import checkpointed
+
+
+def _matched(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with the further columns of table where the columns are equal, nulls too."""
+    on = F.lit(True)
+    for c in columns:
+        on &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(table.select(*[F.col(c).alias(f"_of_{c}") if c in columns else F.col(c) for c in table.columns]), on).drop(*[f"_of_{c}" for c in columns])
+
+
+def running_total(df: DataFrame, order: str, amount: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds _upto, the sum of amount over the key's rows up to this one and its equals in order, and _part.
+
+    Rows are dealt to range partitions of keys and order, which are written once, so that their bounds hold; windows run
+    within a partition (_part, ascending with order) and only the partitions' totals go through a window of the key.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum(amount).alias("_total"))
+    totals = totals.select(*keys, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_below"))
+    here = F.sum(amount).over(Window.partitionBy(*keys, "_part").orderBy(order))
+    return _matched(dealt, totals, [*keys, "_part"]).withColumn("_upto", here + F.col("_below")).drop("_below")
+
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", q: str = "q_value") -> DataFrame:
     """Adds q = the least p * n / rank among equal or larger p, 1 at most. Null p have null q and do not count.
 
-    Ranks depend on the distinct p alone, so the ordered windows run over those (an empirical p has at most n_perm + 1)
-    and are joined back: no window holds all rows.
+    Ranks depend on the distinct p alone; those are numbered in range partitions and joined back. No window holds all rows.
     """
     known = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    up, down = Window.orderBy(p), Window.orderBy(F.desc(p))
-    ranked = known.withColumn("_rank", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    table = ranked.select(F.col(p).alias("_p"), F.min(F.least(F.lit(1.0), F.col(p) * F.col("_all") / F.col("_rank"))).over(down).alias(q))
+    ranked = running_total(known, p, "_n")
+    n = ranked.agg(F.max("_upto").alias("_all"))
+    ranked = ranked.crossJoin(F.broadcast(n)).withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.col("_all") / F.col("_upto")))  # one row
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy("_part").agg(F.min("_q").alias("_low")).select("_part", F.min("_low").over(later).alias("_later"))  # a row a partition
+    table = _matched(ranked, least, ["_part"]).select(F.col(p).alias("_p"), F.least(F.min("_q").over(Window.partitionBy("_part").orderBy(F.desc(p))), "_later").alias(q))
     return df.join(table, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ranks from 1, ties sharing their mean; over distinct values, joined back."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    below = F.sum("_n").over(w) - F.col("_n")
-    table = counts.select(*keys, F.col(value).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(rank), F.col("_n").alias("_ties"))
-    on = df[value].eqNullSafe(table["_v"])
-    for k in keys:
-        on &= df[k].eqNullSafe(table[k])
-    out = df.join(table, on)
-    for k in keys:
-        out = out.drop(table[k])
-    return out.drop("_v")
+    """Adds ranks from 1, ties sharing their mean; over distinct values, numbered in range partitions and joined back."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    table = running_total(counts, value, "_ties", keys)
+    table = table.select(*keys, value, (F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2).alias(rank), "_ties")
+    return _matched(df, table, [*keys, value])
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:

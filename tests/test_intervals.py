@@ -74,3 +74,22 @@ def test_join_plan_is_an_equi_join_on_bins(spark):
     plan = iv.overlap_join(a, a)._jdf.queryExecution().optimizedPlan().toString()
     assert "_cell_a_" in plan and "Cartesian" not in plan
     assert F.col("x") is not None
+
+
+def test_islands_that_cross_stretches_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        s = rng.randrange(0, 40_000_000)
+        rows.append((rng.choice(["c1", "c2", None]), s, s + (rng.randrange(1, 9_000_000) if i % 40 == 0 else rng.randrange(1, 60_000))))
+    rows += [("c1", 1 << 22, (1 << 22) + 5), ("c1", (1 << 22) + 5, (1 << 22) + 9), ("c3", None, 4)] + rows[:3]
+    want = []
+    for c in ("c1", "c2", None):
+        own = sorted(r[1:] for r in rows if r[0] == c)
+        for s, e in own:
+            if want and want[-1][0] == c and s <= want[-1][2]:
+                want[-1] = (c, want[-1][1], max(want[-1][2], e))
+            else:
+                want.append((c, s, e))
+    got = iv.merged(spark.createDataFrame(rows, "chrom string, start bigint, end bigint"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -285,3 +285,23 @@ def test_reports(spark, tmp_path):
             sinks.write_report(m, f"file://{tmp_path}/r2")
     finally:
         sinks.REPORT_ROWS = old
+
+
+def test_ranks_and_adjusted_values_in_range_partitions(spark):
+    import random
+
+    from orbispan.operators import stats
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab") if i % 9 else None, rng.choice([rng.random(), 0.25, 0.5]) if i % 11 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, p double")
+    known = [r for r in rows if r[2] is not None]
+    order = sorted(r[2] for r in known)
+    raw = {p: p * len(known) / sum(x <= p for x in order) for p in order}
+    q = {r.id: r.q_value for r in stats.benjamini_hochberg(df, "p").collect()}
+    assert all(q[i] is None if p is None else abs(q[i] - min([1.0, *[raw[x] for x in order if x >= p]])) < 1e-12 for i, _, p in rows)
+    ranks = {r.id: r["rank"] for r in stats.average_ranks(df.where("p is not null"), "p", keys=["g"]).collect()}
+    assert len(ranks) == len(known)
+    for i, g, p in known:
+        own = [x for _, k, x in known if k == g]
+        assert ranks[i] == sum(x < p for x in own) + (own.count(p) + 1) / 2
