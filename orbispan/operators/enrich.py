@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import midpoint
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
 from orbispan.operators.intervals import merged, nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
-from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson
+from orbispan.operators.sequences import fetched, gc_of
+from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson, running_total
+from orbispan.scratch import checkpointed
 
 
 def count_by_category(ecc: DataFrame, regions: DataFrame, category: str) -> DataFrame:
@@ -21,20 +23,25 @@ def count_by_category(ecc: DataFrame, regions: DataFrame, category: str) -> Data
     return pairs.select("a_name", F.col(f"b_{category}").alias(category)).distinct().groupBy(category).agg(F.count(F.lit(1)).alias("count"))
 
 
+def unit_draw(*parts) -> Column:
+    """A number in [0, 1) that depends on the parts alone: 48 bits of the digest of their texts joined by colons."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
 def placed_at_random(ecc: DataFrame, genome: DataFrame, n_perm: int, seed: int = 42, keep_chrom: bool = False) -> DataFrame:
     """perm, name, chrom, start, end: each region at a uniform place for each permutation.
 
-    Places are hashes of (seed, permutation, name), so they do not depend on partitions or retries. Chromosomes are drawn
+    Places are digests of (seed, permutation, name), so they do not depend on partitions or retries. Chromosomes are drawn
     by size; one shorter than the region holds it at its start. The tests below do not list places: they draw from the
-    distribution that these have.
+    distribution that these have. genome: a row a chromosome, few enough to send to all tasks.
     """
-    spark = ecc.sparkSession
     w = Window.orderBy("chrom")
     spans = genome.withColumn("hi", F.sum("size").over(w)).withColumn("lo", F.col("hi") - F.col("size"))
     total = spans.agg(F.max("hi").alias("total"))
-    perms = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "perm", "name"), F.lit(1 << 48)) / F.lit(float(1 << 48))
-    rows = ecc.select("name", F.col("chrom").alias("_own"), (F.col("end") - F.col("start")).alias("_len")).crossJoin(F.broadcast(perms))
+    perms = F.sequence(F.lit(1), F.lit(n_perm))
+    unit = lambda salt: unit_draw(seed, salt, F.col("perm"), F.col("name"))
+    rows = ecc.select("name", F.col("chrom").alias("_own"), (F.col("end") - F.col("start")).alias("_len"), F.explode(perms).alias("perm"))
     if keep_chrom:
         put = rows.join(F.broadcast(genome), F.col("_own") == F.col("chrom"))
     else:
@@ -44,6 +51,46 @@ def placed_at_random(ecc: DataFrame, genome: DataFrame, n_perm: int, seed: int =
     return put.select("perm", "name", "chrom", start.alias("start"), (start + F.col("_len")).alias("end"))
 
 
+#: Names of contigs that give no background, unless there are no others.
+NO_BACKGROUND = ("chrM", "chrUn")
+
+
+def background_places(lengths: DataFrame, contigs: DataFrame, n: int = 10_000, tries: int = 5, seed: int = 42) -> DataFrame:
+    """attempt, name, chrom, start, end: places for the base composition of the background, in the order of `attempt`.
+
+    lengths: name, length of the regions that the background is compared with; contigs: chrom, size, of any number. A place
+    has the length of a region drawn from all of them and a contig drawn by size; it falls away where the contig is not
+    longer than it. At most n * tries places are tried: those of the smallest digests of (seed, round, name), where each
+    region has as many rounds as bring that number about. Names that occur twice draw twice the same.
+    """
+    most = n * tries
+    rounds = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.count(F.lit(1)))).cast("int")
+    rows = lengths.select("name", "length").crossJoin(F.broadcast(lengths.agg(rounds.alias("_rounds")))).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_rounds"))))  # one row
+    unit = lambda salt: unit_draw(seed, salt, F.col("_round"), F.col("name"))
+    tried = rows.withColumn("attempt", F.concat_ws(":", F.format_string("%.17f", unit(0)), "name", "_round", "length")).orderBy("attempt").limit(most)
+    usual = F.lit(True)
+    for name in NO_BACKGROUND:
+        usual &= ~F.startswith("chrom", F.lit(name))
+    kept = contigs.where("size > 0").withColumn("_usual", usual)
+    any_usual = kept.agg(F.coalesce(F.bool_or("_usual"), F.lit(False)).alias("_any"))
+    kept = kept.crossJoin(F.broadcast(any_usual)).where("_usual or not _any").select("chrom", "size")  # one row
+    spans = running_total(kept, "chrom", "size").select(F.col("chrom").alias("contig"), "size", F.lit("").alias("chrom"), (F.col("_upto") - F.col("size")).alias("start"), F.col("_upto").alias("end"))
+    total = spans.agg(F.max("end").alias("_total"))
+    at = tried.crossJoin(F.broadcast(total)).withColumn("start", F.floor(unit(1) * F.col("_total")).cast("bigint"))  # one row
+    at = checkpointed(at.select("attempt", "name", "length", "_round", F.lit("").alias("chrom"), "start", (F.col("start") + 1).alias("end")))
+    put = overlap_join(at, spans, ("a_", "c_")).where("c_size > a_length")
+    start = F.floor(unit_draw(seed, 2, F.col("a__round"), F.col("a_name")) * (F.col("c_size") - F.col("a_length") + 1)).cast("bigint")
+    return put.select(F.col("a_attempt").alias("attempt"), F.col("a_name").alias("name"), F.col("c_contig").alias("chrom"), start.alias("start"), (start + F.col("a_length")).alias("end"))
+
+
+def background_gc(lengths: DataFrame, contigs: DataFrame, chunks: DataFrame, chunk: int, n: int = 10_000, tries: int = 5, seed: int = 42) -> DataFrame:
+    """attempt, name, chrom, start, end, gc of the first n background places that hold a base A, C, G or T; fewer, if the
+    tries do not give n. chunks: chrom, chunk (index), seq of `chunk` bases each."""
+    places = checkpointed(background_places(lengths, contigs, n, tries, seed))
+    seqs = fetched(places.dropDuplicates(["attempt"]), chunks, chunk, "attempt")
+    return gc_of(places.join(seqs, "attempt")).where(F.col("gc").isNotNull()).drop("seq").orderBy("attempt").limit(n)
+
+
 def hit_chances(lengths: DataFrame, regions: DataFrame, genome: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, length, chance: how likely a region of each length touches one of `regions`, if its chromosome is drawn by size
     and its start uniformly among the places where it fits.

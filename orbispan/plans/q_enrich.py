@@ -181,6 +181,45 @@ def cecc_fdr(spark, d):
     return out.select("sample", "total_reads", "observed", r("chimeric_fraction", 9, "chimeric_fraction"), r("expected_false_reads", 4, "expected_false_reads"), r("fdr_no_filter", 6, "fdr_no_filter"), r(F.col("expected_false_filtered") * 1e6, 6, "expected_false_per_million"))
 
 
-@query()
+@query(_FDR + """, x AS (SELECT sample, reads, n, m, reads * m / 1.9219999690000000e15 AS mu FROM smp, f),
+t AS (SELECT sample, sum(exp(i * ln(mu) - mu - lgamma(i + 1))) AS tail FROM x, range(3, 60) r(i) GROUP BY 1)
+SELECT sample, reads AS total_reads, n AS observed, round(m, 9) AS chimeric_fraction, round(log10(1.9219999690000000e15 * tail), 6) AS log10_expected_false, round(log10(1.9219999690000000e15 * tail / n), 6) AS log10_fdr FROM x JOIN t USING (sample)""")
 def cecc_fdr_poisson(spark, d):
-    return _fdr(spark, d, 3)
+    """At least three reads on a pair: expected numbers are far below one, so their logarithms are given."""
+    r = lambda c, k, n: F.round(c, k).alias(n)
+    return _fdr(spark, d, 3).select("sample", "total_reads", "observed", r("chimeric_fraction", 9, "chimeric_fraction"), r(F.log10("expected_false_filtered"), 6, "log10_expected_false"), r(F.log10("fdr_filtered"), 6, "log10_fdr"))
+
+
+_UNIT = "CAST('0x' || substr(md5('42:' || {0} || ':' || {1} || ':' || name), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+_SPANS = """, s AS (SELECT chrom, size, sum(size) OVER (ORDER BY chrom) - size AS lo, sum(size) OVER () AS total FROM genome)"""
+
+
+@query(ctes("ecc", "genome") + _SPANS + f""", p AS (SELECT name, "end" - start AS len, perm, CAST(floor({_UNIT.format(1, 'perm')} * (SELECT max(total) FROM s)) AS BIGINT) AS at FROM ecc, range(1, 3) r(perm)),
+q AS (SELECT p.name, p.len, CAST(p.perm AS INTEGER) AS perm, s.chrom, CAST(floor({_UNIT.format(2, 'perm').replace('name', 'p.name')} * greatest(1, s.size - p.len + 1)) AS BIGINT) AS start FROM p ASOF JOIN s ON p.at >= s.lo)
+SELECT perm, name, chrom, start, start + len AS "end" FROM q""")
+def shuffled_regions(spark, d):
+    return enrich.placed_at_random(ecc(spark, d), genome(spark), 2)
+
+
+@query(ctes("ecc", "genome") + f""", q AS (SELECT name, "end" - start AS len, CAST(perm AS INTEGER) AS perm, chrom, CAST(floor({_UNIT.format(2, 'perm')} * greatest(1, size - ("end" - start) + 1)) AS BIGINT) AS start FROM ecc JOIN genome USING (chrom), range(1, 3) r(perm))
+SELECT perm, name, chrom, start, start + len AS "end" FROM q""")
+def shuffled_within_chromosomes(spark, d):
+    return enrich.placed_at_random(ecc(spark, d), genome(spark), 2, keep_chrom=True)
+
+
+@query(ctes("ecc") + f""", k AS (SELECT greatest(1, CAST(ceil(50000.0 / count(*)) AS BIGINT)) AS rounds FROM ecc), r AS (SELECT name, length, i AS rnd FROM ecc, k, range(1, 50001) t(i) WHERE i <= rounds),
+u AS (SELECT *, printf('%.17f', {_UNIT.format(0, 'rnd')}) || ':' || name || ':' || rnd || ':' || length AS attempt FROM r ORDER BY attempt LIMIT 50000),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, translate(text, 'acgt', 'ACGT') AS s, length(text) AS size FROM documents WHERE length(text) > 0),
+s AS (SELECT *, sum(size) OVER (ORDER BY chrom) - size AS lo, sum(size) OVER () AS total FROM c),
+a AS (SELECT *, CAST(floor({_UNIT.format(1, 'rnd')} * (SELECT max(total) FROM s)) AS BIGINT) AS at FROM u),
+p AS (SELECT attempt, a.name, s.chrom, length, CAST(floor({_UNIT.format(2, 'rnd').replace('|| name', '|| a.name')} * (size - length + 1)) AS BIGINT) AS start, s FROM a ASOF JOIN s ON a.at >= s.lo WHERE size > length),
+g AS (SELECT attempt, name, chrom, start, start + length AS "end", substr(s, start + 1, length) AS q FROM p),
+h AS (SELECT attempt, name, chrom, start, "end", length(q) - length(translate(q, 'GC', '')) AS gc, length(q) - length(translate(q, 'ACGT', '')) AS acgt FROM g)
+SELECT name, chrom, start, "end", round(gc::DOUBLE / acgt, 8) AS gc FROM h WHERE acgt > 0 ORDER BY attempt LIMIT 10000""")
+def gc_background(spark, d):
+    """Documents stand for contigs, in chunks of 1,000 bases."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.translate("text", "acgt", "ACGT").alias("seq"), F.length("text").cast("bigint").alias("size")).where("size > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / 1000).cast("int")), lambda i: F.substring(F.col("seq"), i * 1000 + 1, F.lit(1000)))
+    chunks = t.select("chrom", F.posexplode(parts).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    found = enrich.background_gc(ecc(spark, d).select("name", "length"), t.select("chrom", "size"), chunks, 1000)
+    return found.select("name", "chrom", "start", "end", F.round("gc", 8).alias("gc"))
