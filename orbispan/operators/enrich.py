@@ -87,8 +87,8 @@ def background_gc(lengths: DataFrame, contigs: DataFrame, chunks: DataFrame, chu
     """attempt, name, chrom, start, end, gc of the first n background places that hold a base A, C, G or T; fewer, if the
     tries do not give n. chunks: chrom, chunk (index), seq of `chunk` bases each."""
     places = checkpointed(background_places(lengths, contigs, n, tries, seed))
-    seqs = fetched(places.dropDuplicates(["attempt"]), chunks, chunk, "attempt")
-    return gc_of(places.join(seqs, "attempt")).where(F.col("gc").isNotNull()).drop("seq").orderBy("attempt").limit(n)
+    seqs = gc_of(fetched(places.dropDuplicates(["attempt"]), chunks, chunk, "attempt")).where(F.col("gc").isNotNull()).drop("seq")
+    return places.join(seqs, "attempt").orderBy("attempt").limit(n)
 
 
 def hit_chances(lengths: DataFrame, regions: DataFrame, genome: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
