@@ -78,12 +78,12 @@ class ItemIndex:
         self.counts = [Counter(x.tolist()) for x in self.hashes]
         self.prints = np.array([weighted_simhash(x, self.weights(x)) for x in self.hashes], dtype=np.uint64)
         self.whole = [float(self.weights(x).sum()) for x in self.hashes]
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {k: {} for k in set(self.k)}
-        for i, (x, k) in enumerate(zip(self.hashes, self.k)):
-            for j, h in enumerate(x.tolist()):
-                self.places[k].setdefault(h, []).append((j, i))
+        self.holders: dict[int, dict[int, list[int]]] = {k: {} for k in set(self.k)}
+        for i, (x, k) in enumerate(zip(self.counts, self.k)):
+            for h in x:
+                self.holders[k].setdefault(h, []).append(i)
         self.filters = {}
-        for k, at in self.places.items():
+        for k, at in self.holders.items():
             seen = np.zeros(1 << 20, dtype=bool)
             seen[np.fromiter(at, dtype=np.uint64, count=len(at)) & np.uint64((1 << 20) - 1)] = True
             self.filters[k] = seen
@@ -107,40 +107,48 @@ class ItemIndex:
         both = sum(w(h) * min(n, b[h]) for h, n in a.items() if h in b)
         return both / (sum(w(h) * n for h, n in a.items()) + sum(w(h) * n for h, n in b.items()) - both)
 
-    def starts(self, x: np.ndarray, item: int, places: np.ndarray) -> list[tuple[int, int]]:
-        """Item-sized windows of x whose shingles at `places`, those that the item holds, weigh enough for the similarity."""
+    def starts(self, x: np.ndarray, item: int, places: np.ndarray) -> np.ndarray:
+        """Starts of the item-sized windows of x whose shingles at `places`, those that the item holds, weigh enough for the
+        similarity. No other window of that size can reach it."""
         weights, m, need = self.weights(x[places]), len(self.hashes[item]), self.similarity * self.whole[item] - 1e-9
         if weights.sum() < need:
-            return []
+            return places[:0]
         at = np.arange(max(0, int(places[0]) - m + 1), min(int(places[-1]), max(0, len(x) - m)) + 1)
         upto = np.concatenate(([0.0], np.cumsum(weights)))
         weight = upto[np.searchsorted(places, at + m)] - upto[np.searchsorted(places, at)]
-        return [(s, m) for s in at[weight >= need].tolist()]
+        return at[weight >= need]
 
     def matches(self, text: str | None) -> list[tuple[object, float, int, int]]:
-        """(item id, best similarity, first word, words) of each item that a window of the text reaches."""
+        """(item id, best similarity, first word, words) of each item that a window of its size reaches.
+
+        Windows that hold the same shingles as often are one, tried at its first start (told by the sum of their hashes), so
+        a text that repeats itself costs no more than what is new in it.
+        """
         found: dict[object, tuple[float, int, int]] = {}
         words = word_hashes(text) if text else ()
-        for k, at in self.places.items():
+        for k, holders in self.holders.items():
             x = shingle_hashes(words, k) if len(words) >= k else ()
             if not len(x):
                 continue
             hits = np.flatnonzero(self.filters[k][x & np.uint64((1 << 20) - 1)])
-            windows, held = set(), {}
+            held: dict[int, list[int]] = {}
             for p in hits.tolist():
-                for j, i in at.get(int(x[p]), ()):
-                    m = len(self.hashes[i])
-                    windows.add((min(max(0, p - j), max(0, len(x) - m)), m))
-                    held.setdefault(i, {})[p] = None
+                for i in holders.get(int(x[p]), ()):
+                    held.setdefault(i, []).append(p)
+            windows: dict[int, list[np.ndarray]] = {}
             for i, places in held.items():
-                windows.update(self.starts(x, i, np.fromiter(places, dtype=np.int64, count=len(places))))
-            for start, m in sorted(windows):
-                window = x[start : start + m]
-                for i in self.candidates(weighted_simhash(window, self.weights(window))).tolist():
-                    if self.k[i] == k and (s := self.jaccard(window, i)) >= self.similarity:
-                        best = (s, -start, len(window) + k - 1)
-                        if best > found.get(self.ids[i], (0.0,)):
-                            found[self.ids[i]] = best
+                windows.setdefault(len(self.hashes[i]), []).append(self.starts(x, i, np.array(places, dtype=np.int64)))
+            upto = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(x, dtype=np.uint64)))
+            for m, several in windows.items():
+                at = np.unique(np.concatenate(several))
+                _, first = np.unique(upto[np.minimum(at + m, len(x))] - upto[at], return_index=True)
+                for start in at[first].tolist():
+                    window = x[start : start + m]
+                    for i in self.candidates(weighted_simhash(window, self.weights(window))).tolist():
+                        if self.k[i] == k and len(self.hashes[i]) == m and (s := self.jaccard(window, i)) >= self.similarity:
+                            best = (s, -start, len(window) + k - 1)
+                            if best > found.get(self.ids[i], (0.0,)):
+                                found[self.ids[i]] = best
         return [(i, s, -start, n) for i, (s, start, n) in sorted(found.items(), key=lambda r: str(r[0]))]
 
 

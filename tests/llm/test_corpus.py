@@ -359,6 +359,15 @@ def test_items_of_one_id_count_as_one_whatever_the_parts(spark):
         assert [r.text for r in decontam.drop_contaminated(df, bench, max_items=most).collect()] == [None]
 
 
+def test_texts_and_items_that_repeat_themselves():
+    rng = random.Random(21)
+    plain = prose(rng, 40)
+    ix = decontam.ItemIndex([1, 2, 3], ["word " * 900, plain, "a b " * 30])
+    text = "word " * 60_000 + plain + " word" * 60_000 + " b a" * 500
+    assert [(i, round(s, 9), at, n) for i, s, at, n in ix.matches(text)] == [(1, 1.0, 0, 900), (2, 1.0, 60_000, 40), (3, 1.0, 120_041, 60)]
+    assert ix.matches("word " * 500) == [] and ix.matches("y" * 300_000) == []
+
+
 def test_fingerprint_index_returns_all_within_its_radius():
     rng = random.Random(7)
     ix = decontam.ItemIndex(list(range(50)), [prose(rng, 20) for _ in range(50)])
