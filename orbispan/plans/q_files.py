@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from orbispan.plans.registry import query
 from orbispan.plans.views import annot, ctes, ecc, table
 from orbispan.scratch import scratch_dir
-from orbispan.sources import repeats, sinks, tables
+from orbispan.operators.sequences import fetched
+from orbispan.sources import order, repeats, sequences, sinks, tables
 
 
 def _place(spark, name: str) -> str:
@@ -116,3 +117,65 @@ def file_report(spark, d):
     path = _place(spark, "report")
     sinks.write_report_text(long, path)
     return spark.read.text(path)
+
+
+#: Reads of the calls: 32 bases and qualities from digests, the qualities of a third beginning with '@'.
+_FASTQ = ctes("ecc") + """, r AS (SELECT 'r' || md5(name) || ' ' || chrom AS read_id, translate(md5(name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq,
+  CASE WHEN start % 3 = 0 THEN '@' ELSE 'I' END || substr(md5(name), 2) AS quality FROM ecc)"""
+
+
+def _reads(spark, d):
+    h = F.md5(F.col("name").cast("binary"))
+    mark = F.when(F.col("start") % 3 == 0, "@").otherwise("I")
+    return ecc(spark, d).select(F.concat(F.lit("r"), h, F.lit(" "), "chrom").alias("read_id"), F.translate(h, "0123456789abcdef", "ACGT" * 4).alias("seq"), F.concat(mark, F.expr("substring(md5(cast(name as binary)), 2)")).alias("quality"))
+
+
+@query(_FASTQ + " SELECT read_id, split_part(read_id, ' ', 1) AS name, seq, quality FROM r")
+def file_fastq(spark, d):
+    path = _place(spark, "fastq")
+    sequences.write_fastq(_reads(spark, d), path)
+    return sequences.read_fastq(spark, path).select("read_id", "name", "seq", "quality")
+
+
+@query(_FASTQ + " SELECT read_id, seq, quality, row_number() OVER (ORDER BY read_id, seq, quality) - 1 AS place FROM r")
+def fastq_sorted(spark, d):
+    """Reads by name as they stand in the written files, one file after the other."""
+    path = _place(spark, "fastq-sorted")
+    sequences.write_fastq(_reads(spark, d), path, by_name=True)
+    first = order.with_ordinals(spark.read.text(path), out="line", in_file="own", file="file").where("own = 0").select("file", (F.col("line") / 4).cast("long").alias("before"))
+    return sequences.read_fastq(spark, path).join(first, "file").select("read_id", "seq", "quality", (F.col("before") + F.col("record")).alias("place"))
+
+
+#: The letters of each document as a contig.
+_CONTIGS = """WITH t AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents WHERE regexp_matches(text, '[A-Za-z]'))"""
+
+
+def _contigs(spark, d) -> str:
+    t = table(spark, d, "documents").select(F.concat_ws(" ", "doc_id", F.lit("5'->3' strand"), "lang").alias("name"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq")).where("seq <> ''")
+    path = _place(spark, "fasta")
+    sequences.write_fasta(t, path)
+    return path
+
+
+@query(_CONTIGS + " SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(b // 1000 AS BIGINT) AS chunk, substr(s, CAST(b + 1 AS BIGINT), 1000) AS seq FROM t, unnest(range(0, CAST(length(s) AS BIGINT), 1000)) g(b)")
+def file_fasta(spark, d):
+    return sequences.read_fasta(spark, _contigs(spark, d), 1000)
+
+
+@query(_CONTIGS + " SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(length(s) AS BIGINT) AS length, CAST(least(80, length(s)) AS BIGINT) AS line_bases FROM t")
+def fasta_sizes(spark, d):
+    return sequences.fasta_index(spark, _contigs(spark, d)).select("chrom", "length", "line_bases")
+
+
+@query(_CONTIGS + """, r AS (SELECT doc_id, s, i, doc_id * 7919 * (i + 1) % length(s) AS start FROM t, range(0, 3) g(i))
+SELECT doc_id || ':' || i AS name, length(substr(s, start + 1, 2500))::INTEGER AS n, md5(substr(s, start + 1, 2500)) AS seq_md5 FROM r""")
+def fetch_by_index(spark, d):
+    """Three regions of each contig from the byte ranges that an index of the written files gives."""
+    path = _contigs(spark, d)
+    index = sequences.fasta_index(spark, path)
+    sequences.write_index(index, f"{path}-index", files=True)
+    e = index.select("chrom", "length", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    start = F.col("chrom").cast("bigint") * 7919 * (F.col("i") + 1) % F.col("length")
+    e = e.select(F.concat_ws(":", "chrom", "i").alias("name"), "chrom", start.alias("start"), F.least(start + 2500, F.col("length")).alias("end"))
+    chunks = sequences.read_indexed_fasta(spark, path, f"{path}-index", 1000)
+    return fetched(e, chunks, 1000).select("name", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
