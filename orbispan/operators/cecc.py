@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import chromosome_set, fusion_class, intra_distance, stranded_segments
-from orbispan.operators.stats import poisson_at_least
+from orbispan.operators.stats import poisson_at_least, with_quantile
+from orbispan.scratch import checkpointed
 
 #: Breakpoint positions of a 3.1 Gb genome at 50 bp, and their pairs.
 POSITIONS = 3.1e9 / 50
@@ -29,11 +30,12 @@ def sample_summary(recs: DataFrame, by: str = "sample") -> DataFrame:
     n = F.count(F.lit(1))
     c = lambda cond, name: F.count_if(cond).alias(name)
     k, f = F.col("n_segments"), F.col("fusion_type")
-    return recs.groupBy(by).agg(
+    recs = checkpointed(recs.select(by, "n_segments", "fusion_type", "total_length", "intra_distance"))
+    out = recs.groupBy(by).agg(
         n.alias("total"), c(k == 2, "segments_2"), c(k == 3, "segments_3"), c(k >= 4, "segments_4plus"), c(f == "inter-chromosomal", "inter"), c(f == "intra-chromosomal", "intra"),
         F.bround(F.count_if(f == "inter-chromosomal") / n, 6).alias("inter_fraction"), F.bround(F.avg(k), 6).alias("mean_segments"), F.max(k).alias("max_segments"),
-        F.percentile("total_length", F.lit(0.5)).alias("median_length"), F.percentile("intra_distance", F.lit(0.5)).alias("median_intra_distance"),
     )
+    return with_quantile(with_quantile(out, recs, "total_length", "median_length", keys=[by]), recs, "intra_distance", "median_intra_distance", keys=[by])
 
 
 def chimeric_fraction(spike: DataFrame) -> DataFrame:

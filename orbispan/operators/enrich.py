@@ -13,7 +13,7 @@ from orbispan.functions.regions import midpoint
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
 from orbispan.operators.intervals import merged, nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
 from orbispan.operators.sequences import fetched, gc_of
-from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson, running_total
+from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson, running_total, with_quantile
 from orbispan.scratch import checkpointed
 
 
@@ -167,8 +167,8 @@ def boundary_test(ecc: DataFrame, domains: DataFrame, genome: DataFrame, n_perm:
     so they are exact to half a class (a 4096th of the largest distance by default) and no region is placed.
     """
     t = boundaries(domains).select("chrom", midpoint().alias("pos"))
-    own = boundary_distances(ecc, domains)
-    obs = own.agg(F.percentile("distance", F.lit(0.5)).alias("median"), F.avg("distance").alias("mean"), F.count(F.lit(1)).alias("n"))
+    own = checkpointed(boundary_distances(ecc, domains))
+    obs = with_quantile(own.agg(F.avg("distance").alias("mean"), F.count(F.lit(1)).alias("n")), own, "distance", "median")
     w = Window.partitionBy("chrom").orderBy("pos")
     edges = t.distinct().join(F.broadcast(genome), "chrom").where("pos >= 0 and pos < size").withColumn("before", F.lag("pos").over(w))
     # stretches of positions by the distances they reach: both halves of a gap, and the ends of the chromosome

@@ -31,9 +31,10 @@ def multiscale_counts(ecc: DataFrame, genome: DataFrame, sizes: Sequence[int]) -
 
 
 def fold_hotspots(counts: DataFrame, fold: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds median (of the counts above zero), fold and is_hotspot: count >= fold * median."""
+    """Adds median (of the counts above zero), fold and is_hotspot: count >= fold * median. A group of N points has at most about
+    the square root of 2 N different counts, so the median's buffer is small."""
     med = counts.where("count > 0").groupBy(*keys).agg(F.percentile("count", F.lit(0.5)).alias("median"))
-    out = counts.join(F.broadcast(med), list(keys), "left") if keys else counts.crossJoin(F.broadcast(med))
+    out = counts.join(med, list(keys), "left") if keys else counts.crossJoin(F.broadcast(med))
     return out.withColumns({"fold": F.when(F.col("median") > 0, F.col("count") / F.col("median")).otherwise(0.0), "is_hotspot": F.coalesce((F.col("count") > 0) & (F.col("count") >= F.col("median") * fold), F.lit(False))})
 
 

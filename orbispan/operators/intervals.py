@@ -168,6 +168,16 @@ def merged(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     return _islands(df, keys).drop("_before")
 
 
+def with_islands(pairs: DataFrame, chrom: str, low: Column, high: Column, out: str = "island") -> DataFrame:
+    """pairs with the island of their spans (low to high, both included) as a number; pairs whose spans meet, directly or over
+    others, have the same one. Pairs with a common member meet at its start if low and high are starts."""
+    spots = pairs.withColumns({"_low": low, "_high": high})
+    spans = merged(spots.select(F.col(chrom).alias("chrom"), F.col("_low").alias("start"), F.col("_high").alias("end"))).withColumn("end", F.col("end") + 1)
+    points = spots.withColumns({"chrom": F.col(chrom), "start": F.col("_low"), "end": F.col("_low") + 1})
+    found = overlap_join(points, spans, ("p_", "s_"))
+    return found.select(*[F.col(f"p_{c}").alias(c) for c in pairs.columns], F.xxhash64("s_chrom", "s_start").alias(out))
+
+
 def complement(excluded: DataFrame, genome: DataFrame) -> DataFrame:
     """chrom, start, end of what the intervals leave of each chromosome; one that they fill is given whole."""
     clipped = excluded.join(F.broadcast(genome), "chrom").select("chrom", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start")

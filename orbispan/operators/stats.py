@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from orbispan.scratch import checkpointed
 
 
-def _matched(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+def matched(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with the further columns of table where the columns are equal, nulls too."""
     on = F.lit(True)
     for c in columns:
@@ -34,30 +34,73 @@ def running_total(df: DataFrame, order: str, amount: str, keys: Sequence[str] =
     totals = dealt.groupBy(*keys, "_part").agg(F.sum(amount).alias("_total"))
     totals = totals.select(*keys, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_below"))
     here = F.sum(amount).over(Window.partitionBy(*keys, "_part").orderBy(order))
-    return _matched(dealt, totals, [*keys, "_part"]).withColumn("_upto", here + F.col("_below")).drop("_below")
+    return matched(dealt, totals, [*keys, "_part"]).withColumn("_upto", here + F.col("_below")).drop("_below")
+
+
+def numbered(df: DataFrame, out: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds row numbers from 1 by order within keys, without gaps. Rows are numbered within range partitions of keys and order,
+    written once; only the partitions' counts go through a window of the key."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return matched(dealt, counts, [*keys, "_part"]).withColumn(out, F.col("_below") + here).drop("_below", "_part")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """keys, out: array of the quantiles of value, linear between neighbours; nulls do not count.
+
+    Distinct values are counted and numbered in range partitions, and the two values at each rank are picked by their
+    running counts, so no task holds the values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    table = running_total(counts, value, "_n", keys)
+    total = table.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    table = matched(table, total, keys) if keys else table.crossJoin(F.broadcast(total))  # one row
+    place = lambda p: (F.col("_all") - 1) * F.lit(float(p))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value).cast("double")))
+    picked = table.groupBy(*keys, "_all").agg(*[at(f(place(p))).alias(f"_{n}{i}") for i, p in enumerate(probs) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    lo, hi = (lambda i: F.col(f"_lo{i}")), (lambda i: F.col(f"_hi{i}"))
+    between = lambda i, p: F.when((F.ceil(place(p)) == F.floor(place(p))) | (lo(i) == hi(i)), lo(i)).otherwise((F.ceil(place(p)) - place(p)) * lo(i) + (place(p) - F.floor(place(p))) * hi(i))
+    return picked.select(*keys, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias(out))
+
+
+def with_quantile(agg: DataFrame, df: DataFrame, value: str, out: str, prob: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """agg, a row for each value of keys, with the exact quantile of df's values as out; null where there are none."""
+    found = exact_quantiles(df, value, [prob], keys).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("q")[0].alias(out))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return agg.join(found, on, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", q: str = "q_value") -> DataFrame:
     """Adds q = the least p * n / rank among equal or larger p, 1 at most. Null p have null q and do not count.
 
     Ranks depend on the distinct p alone; those are numbered in range partitions and joined back. No window holds all rows.
+    The input is written once, as it is read for the ranks and for the join.
     """
+    df = checkpointed(df)
     known = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(known, p, "_n")
     n = ranked.agg(F.max("_upto").alias("_all"))
     ranked = ranked.crossJoin(F.broadcast(n)).withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.col("_all") / F.col("_upto")))  # one row
     later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     least = ranked.groupBy("_part").agg(F.min("_q").alias("_low")).select("_part", F.min("_low").over(later).alias("_later"))  # a row a partition
-    table = _matched(ranked, least, ["_part"]).select(F.col(p).alias("_p"), F.least(F.min("_q").over(Window.partitionBy("_part").orderBy(F.desc(p))), "_later").alias(q))
+    table = matched(ranked, least, ["_part"]).select(F.col(p).alias("_p"), F.least(F.min("_q").over(Window.partitionBy("_part").orderBy(F.desc(p))), "_later").alias(q))
     return df.join(table, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ranks from 1, ties sharing their mean; over distinct values, numbered in range partitions and joined back."""
+    """Adds ranks from 1, ties sharing their mean; over distinct values, numbered in range partitions and joined back. The
+    input is written once, as it is read for the ranks and for the join."""
+    df = checkpointed(df)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     table = running_total(counts, value, "_ties", keys)
     table = table.select(*keys, value, (F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2).alias(rank), "_ties")
-    return _matched(df, table, [*keys, value])
+    return matched(df, table, [*keys, value])
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from orbispan.plans.registry import query
 from orbispan.plans.views import annot, ctes, ecc, table
 from orbispan.scratch import scratch_dir
+from orbispan.operators.benchmark import first_truth
 from orbispan.operators.sequences import fetched
-from orbispan.sources import order, repeats, sequences, sinks, tables
+from orbispan.sources import detectors, order, repeats, sequences, sinks, tables
 
 
 def _place(spark, name: str) -> str:
@@ -179,3 +180,50 @@ def fetch_by_index(spark, d):
     e = e.select(F.concat_ws(":", "chrom", "i").alias("name"), "chrom", start.alias("start"), F.least(start + 2500, F.col("length")).alias("end"))
     chunks = sequences.read_indexed_fasta(spark, path, f"{path}-index", 1000)
     return fetched(e, chunks, 1000).select("name", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def _in_order(df, name: str, key: str, line) -> str:
+    """Lines in files whose names and rows follow the digest of a key, not the places."""
+    path = _place(df.sparkSession, name)
+    df.withColumn("_h", F.md5(F.col(key).cast("binary"))).orderBy("_h").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(ctes("ecc") + """ SELECT 'eccDNA_' || (row_number() OVER (ORDER BY md5(name)) - 1) AS name, chrom, start, "end" FROM ecc""")
+def file_unnamed_regions(spark, d):
+    """Regions without names, called by their place in the files."""
+    path = _in_order(ecc(spark, d), "unnamed", "name", F.concat_ws("\t", "chrom", "start", "end"))
+    return tables.read_regions(spark, path).select("name", "chrom", "start", "end")
+
+
+@query(ctes("ecc") + """, t AS (SELECT name, chrom, start, "end", length, CASE WHEN length % 3 = 0 THEN 'M' ELSE 'U' END AS type, md5(name) AS h FROM ecc WHERE start % 4 = 0),
+o AS (SELECT *, row_number() OVER (ORDER BY type = 'M', h) AS ord FROM t), d AS (SELECT name, chrom, start + start % 300 AS start, "end" + start % 300 AS "end" FROM ecc),
+p AS (SELECT d.name AS det_id, o.name AS truth_name, o.type AS truth_type, row_number() OVER (PARTITION BY d.name ORDER BY o.ord) AS k FROM d JOIN o ON d.chrom = o.chrom AND d.start < o."end" AND o.start < d."end"
+  WHERE (least(d."end", o."end") - greatest(d.start, o.start))::DOUBLE / least(d."end" - d.start, o."end" - o.start) >= 0.5)
+SELECT det_id, truth_name, truth_type FROM p WHERE k = 1""")
+def file_truth(spark, d):
+    """The first truth of moved calls, in the order of unsorted truth files, unique before multi."""
+    e = ecc(spark, d)
+    t = e.where("start % 4 = 0")
+    line = F.concat_ws("\t", "chrom", "start", "end", "name", "length", F.lit("+"), F.lit("."), F.lit("."))
+    unique, multi = (_in_order(t.where(c), f"truth-{k}", "name", line) for k, c in (("u", "length % 3 <> 0"), ("m", "length % 3 = 0")))
+    truth = detectors.read_truth(spark, unique, multi).select("name", "type", "length", "ord", F.explode("segs").alias("s")).select("name", "type", "length", "ord", "s.*")
+    moved = e.select(F.col("name").alias("det_id"), F.lit(0).alias("region_ord"), "chrom", (F.col("start") + F.col("start") % 300).alias("start"), (F.col("end") + F.col("start") % 300).alias("end"))
+    return first_truth(moved, truth, 0.5).select("det_id", "truth_name", "truth_type")
+
+
+@query(ctes("annot") + """, r AS (SELECT *, row_number() OVER (ORDER BY md5(te_name)) - 1 AS k FROM annot WHERE chrom <> 'chr7' AND start % 11 <> 0)
+SELECT CAST(k AS VARCHAR) AS id, replace(chrom, 'chr', 'NC_') AS "genoName", CAST(start AS VARCHAR) AS "genoStart", CAST("end" AS VARCHAR) AS "genoEnd", CAST(CAST(round_even(pct_div::DOUBLE * 10, 0) AS BIGINT) AS VARCHAR) AS "milliDiv",
+  CASE WHEN start % 2 = 0 THEN '-' ELSE '+' END AS strand, te_name AS "repName", translate(te_class, ' ', '_') AS "repClass", te_family AS "repFamily" FROM r""")
+def file_rmsk(spark, d):
+    """Repeat output in an order of its own, converted with contig names from a table; one contig is unknown there, and some
+    rows have no number as their start."""
+    a = annot(spark, d)
+    start = F.when(F.col("start") % 11 == 0, "none").otherwise((F.col("start") + 1).cast("string"))
+    line = F.concat_ws(" ", F.lit(" 1504"), "pct_div", F.lit("0.4"), F.lit("1.3"), "chrom", start, "end", F.lit("(99)"), F.when(F.col("start") % 2 == 0, "C").otherwise("+"), "te_name", F.concat_ws("/", F.translate("te_class", " ", "_"), "te_family"), F.lit("1 463 (0) 1 *"))
+    path = _in_order(a, "out", "te_name", line)
+    alias = a.select("chrom").distinct().where("chrom <> 'chr7'").select(F.col("chrom").alias("name"), F.regexp_replace("chrom", "chr", "NC_").alias("alias"))
+    repeats.convert_repeats(spark, path, f"{path}-rmsk", alias)
+    names = ["bin", "swScore", "milliDiv", "milliDel", "milliIns", "genoName", "genoStart", "genoEnd", "genoLeft", "strand", "repName", "repClass", "repFamily", "repStart", "repEnd", "repLeft", "id"]
+    t = spark.read.csv(f"{path}-rmsk", sep="\t", schema=", ".join(f"{n} string" for n in names))
+    return t.select("id", "genoName", "genoStart", "genoEnd", "milliDiv", "strand", "repName", "repClass", "repFamily")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbispan.functions.regions import length_bin
 from orbispan.operators.process import link_colour
+from orbispan.operators.stats import exact_quantiles
 from orbispan.plans.registry import query
 from orbispan.plans.views import ctes, ecc, genome, table
 from orbispan.sources import detectors, tables
@@ -44,7 +45,7 @@ def region_quality(spark, d):
     bins = e.groupBy(length_bin("length").alias("k")).count().select(*cell("length_bin", F.col("k"), F.col("count")))
     top = e.groupBy("chrom").count().orderBy(F.desc("count"), "chrom").limit(15).select(*cell("top_chrom", F.col("chrom"), F.col("count")))
     marks = [1, 5, 25, 50, 75, 95, 99]
-    pct = e.agg(F.percentile("length", F.array(*[F.lit(p / 100) for p in marks])).alias("q")).select(F.posexplode("q").alias("i", "v")).select(*cell("percentile", F.element_at(F.array(*map(F.lit, marks)), F.col("i") + 1), F.round("v", 4)))
+    pct = exact_quantiles(e, "length", [p / 100 for p in marks]).select(F.posexplode("q").alias("i", "v")).select(*cell("percentile", F.element_at(F.array(*map(F.lit, marks)), F.col("i") + 1), F.round("v", 4)))
     logs = e.groupBy("type").agg(F.round(F.avg(F.log10("length")), 6).alias("v")).select(*cell("mean_log10", F.col("type"), F.col("v")))
     return bins.unionByName(top).unionByName(pct).unionByName(logs)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import regions_array
+from orbispan.operators.stats import numbered
 from orbispan.sources.tables import normalised, read_bed
 
 #: Short type letters of the long type names.
@@ -31,13 +32,11 @@ def from_native(df: DataFrame) -> DataFrame:
 
 
 def from_intervals(df: DataFrame, prefix: str, order: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
-    """Interval rows as confirmed calls of one locus, numbered by place; numbers run within chromosomes' own windows."""
-    per = df.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.select("chrom", before.alias("_before"))  # a row for each chromosome
-    k = F.row_number().over(Window.partitionBy("chrom").orderBy(*order)) + F.col("_before")
+    """Interval rows as confirmed calls of one locus, numbered by chromosome and place over range partitions."""
+    k = F.concat(F.lit(f"{prefix}_"), F.col("_k").cast("string"))
     seg = F.array(F.struct("chrom", "start", "end")).alias("segs")
-    return df.join(F.broadcast(offsets), "chrom").select(F.concat(F.lit(f"{prefix}_"), k.cast("string")).alias("det_id"), seg, F.lit("U").alias("type"), F.lit("Confirmed").alias("state"), (F.col("end") - F.col("start")).alias("length"))
+    rest = [c for c in order if c != "chrom"]
+    return numbered(df, "_k", ["chrom", *rest]).select(k.alias("det_id"), seg, F.lit("U").alias("type"), F.lit("Confirmed").alias("state"), (F.col("end") - F.col("start")).alias("length"))
 
 
 def merged_regions(text: str | Column) -> Column:
@@ -76,17 +75,17 @@ _TRUTH = ("chrom", "start", "end", "name", "length_text", "strand", "kind", "fra
 
 
 def read_truth(spark: SparkSession, unique: str | None = None, multi: str | None = None, chimeric: str | None = None) -> DataFrame:
-    """name, type, length, ord, segs of truth files of eight columns; ord puts unique before multi before chimeric, then by
-    place. Chimeric rows take their segments from the last column."""
+    """name, type, length, ord, segs of truth files of eight columns; ord puts unique before multi before chimeric, then rows as
+    they stand in their files. Chimeric rows take their segments from the last column."""
     out = None
     for rank, (kind, path) in enumerate((("U", unique), ("M", multi), ("C", chimeric))):
         if not path:
             continue
-        bed = read_bed(spark, path, _TRUTH)
+        bed = read_bed(spark, path, _TRUTH, ordinal="place")
         own = F.array(F.struct("chrom", "start", "end"))
         frags = regions_array("fragments")
         segs = F.when(F.size(frags) > 0, frags).otherwise(own) if kind == "C" else own
-        place = F.lit(rank * (1 << 60)) + (F.pmod(F.xxhash64("chrom"), F.lit(1 << 20)) * (1 << 32)) + F.col("start")
+        place = F.lit(rank * (1 << 60)) + F.col("place")
         part = bed.select("name", F.lit(kind).alias("type"), F.coalesce(F.col("length_text").try_cast("bigint"), F.col("length")).alias("length"), place.alias("ord"), segs.alias("segs"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from orbispan.operators.stats import numbered
+from orbispan.scratch import checkpointed
+from orbispan.sources.order import with_ordinals
 from orbispan.sources.tables import gff_attribute
 
 _UCSC = "bin int, swScore int, milliDiv int, milliDel int, milliIns int, genoName string, genoStart bigint, genoEnd bigint, genoLeft bigint, strand string, repName string, repClass string, repFamily string, repStart int, repEnd int, repLeft int, id int"
@@ -84,7 +87,44 @@ def ucsc_record(raw: DataFrame) -> DataFrame:
     return out.withColumn("strand", F.when(F.col("strand") == "C", "-").otherwise(F.col("strand")))
 
 
+def rmsk_rows(spark: SparkSession, path: str, alias: DataFrame | None = None) -> DataFrame:
+    """The 17 UCSC columns of RepeatMasker output, as strings, with place (the line's in the files) and skipped.
+
+    Lines that are blank, headers, or under 15 fields are no rows. Rows whose numbers cannot be read, or whose contig the
+    alias table (name, alias) does not have, are skipped ones.
+    """
+    line = F.regexp_replace(F.trim(F.regexp_replace("value", r"\s+", " ")), r" ?\*$", "")
+    f = F.split(line, " ")
+    t = with_ordinals(spark.read.text(path), "place").where(~F.ltrim("value").rlike("^(SW|score)")).select("place", f.alias("f")).where(F.size("f") >= 15)
+    whole, tenths = (lambda i: F.col("f")[i].try_cast("bigint")), (lambda i: F.rint(F.col("f")[i].try_cast("double") * 10).cast("bigint"))
+    c = F.split(F.col("f")[10], "/", 2)
+    t = t.withColumn("chrom", F.col("f")[4])
+    if alias is not None:
+        named = alias.select(F.col("name").alias("_n"), F.col("alias").alias("_a")).dropDuplicates(["_n"])
+        t = t.join(named, F.col("chrom") == F.col("_n"), "left").withColumn("chrom", F.col("_a")).drop("_n", "_a")
+    numbers = {"swScore": whole(0), "milliDiv": tenths(1), "milliDel": tenths(2), "milliIns": tenths(3), "genoStart": whole(5) - 1, "genoEnd": whole(6)}
+    lost = F.col("chrom").isNull()
+    for x in numbers.values():
+        lost |= x.isNull()
+    texts = {"bin": F.lit("0"), "genoName": F.col("chrom"), "genoLeft": F.col("f")[7], "strand": F.when(F.col("f")[8] == "C", "-").otherwise("+"), "repName": F.col("f")[9], "repClass": c[0], "repFamily": F.when(F.size(c) > 1, c[1]).otherwise(c[0]), "repStart": F.lit("0"), "repEnd": F.lit("0"), "repLeft": F.lit("(0)")}
+    cols = {**{k: v.cast("string") for k, v in numbers.items()}, **texts}
+    names = [x.split()[0] for x in _UCSC.split(", ")][:-1]
+    return t.select("place", *[cols[n].alias(n) for n in names], lost.alias("skipped"))
+
+
+def convert_repeats(spark: SparkSession, path: str, out: str, alias: DataFrame | None = None, bed: bool = False) -> dict[str, int]:
+    """Write RepeatMasker output as a UCSC table, with ids from 0 in the order of the input, or as BED of eight columns; files
+    in order of their names. Returns how many rows were converted and skipped, counted by the job that reads them."""
+    seen = Observation()
+    # written before it is dealt to ranges, which read it twice
+    rows = checkpointed(rmsk_rows(spark, path, alias).observe(seen, F.count_if(~F.col("skipped")).alias("converted"), F.count_if("skipped").alias("skipped")))
+    kept = numbered(rows.where(~F.col("skipped")), "_k", ["place"]).withColumn("id", (F.col("_k") - 1).cast("string"))
+    fields = ["genoName", "genoStart", "genoEnd", "repName", "swScore", "strand", "repClass", "repFamily"] if bed else [x.split()[0] for x in _UCSC.split(", ")]
+    kept.repartitionByRange("place").sortWithinPartitions("place").select(F.concat_ws("\t", *fields).alias("value")).write.mode("overwrite").text(out)
+    return seen.get
+
+
 def with_alias(df: DataFrame, alias: DataFrame, column: str = "chrom") -> DataFrame:
     """Rename contigs by a table (name, alias); unknown ones keep their name. The table has a row for each contig."""
     a = alias.select(F.col("name").alias("_n"), F.col("alias").alias("_a")).dropDuplicates(["_n"])
-    return df.join(F.broadcast(a), df[column] == F.col("_n"), "left").withColumn(column, F.coalesce("_a", column)).drop("_n", "_a")
+    return df.join(a, df[column] == F.col("_n"), "left").withColumn(column, F.coalesce("_a", column)).drop("_n", "_a")

@@ -7,6 +7,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbispan.operators.stats import numbered
+from orbispan.sources.order import with_ordinals
+
 #: Accepted spellings by canonical name, in order of precedence; case does not matter.
 ALIASES = {
     "chrom": ["echr", "chrom", "chr", "chromosome", "#chrom", "#chr", "seqnames"],
@@ -49,23 +52,31 @@ def normalised(df: DataFrame, required: tuple[str, ...] = ("chrom", "start", "en
     return out
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, normalise: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, normalise: bool = True, ordinal: str | None = None) -> DataFrame:
+    """ordinal: a column for each row's place in the files."""
     sep = sep or ("\t" if str(path).endswith((".tsv", ".txt", ".bed")) else ",")
     df = spark.read.csv(path, header=True, sep=sep)
+    if ordinal:
+        df = with_ordinals(df, ordinal)
     return normalised(df) if normalise else df
 
 
 _BED = ("chrom", "start", "end", "name", "score", "strand")
 
 
-def read_bed(spark: SparkSession, path: str, names: tuple[str, ...] = _BED) -> DataFrame:
-    """Headerless BED; comments, track and browser lines are skipped, as is a leading bin column before a chromosome."""
+def read_bed(spark: SparkSession, path: str, names: tuple[str, ...] = _BED, ordinal: str | None = None) -> DataFrame:
+    """Headerless BED; comments, track and browser lines are skipped, as is a leading bin column before a chromosome. ordinal: a
+    column for each line's place in the files."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser)") & (F.length(F.trim("value")) > 0)).select(f.alias("f"))
+    text = spark.read.text(path)
+    place = [ordinal] if ordinal else []
+    if ordinal:
+        text = with_ordinals(text, ordinal)
+    rows = text.where(~F.col("value").rlike("^(#|track|browser)") & (F.length(F.trim("value")) > 0)).select(f.alias("f"), *place)
     shifted = F.when((F.size("f") >= 4) & F.col("f")[0].rlike(r"^\d+$") & F.col("f")[1].startswith("chr"), F.slice("f", 2, 1000)).otherwise(F.col("f"))
-    rows = rows.select(shifted.alias("f")).where(F.size("f") >= 3)
+    rows = rows.select(shifted.alias("f"), *place).where(F.size("f") >= 3)
     kind = {"start": "bigint", "end": "bigint"}
-    out = rows.select(*[F.when(F.size("f") > i, F.col("f")[i]).try_cast(kind.get(n, "string")).alias(n) for i, n in enumerate(names)])
+    out = rows.select(*place, *[F.when(F.size("f") > i, F.col("f")[i]).try_cast(kind.get(n, "string")).alias(n) for i, n in enumerate(names)])
     return out.where("start is not null and end is not null").withColumn("length", F.col("end") - F.col("start"))
 
 
@@ -79,10 +90,15 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def read_regions(spark: SparkSession, *paths: str) -> DataFrame:
-    """Union of region files of either format, named by order where they have no names."""
+    """Union of region tables of either format. The rows of one without names are called eccDNA_0, eccDNA_1 and so on, as they
+    stand in its files, rows without coordinates not counted."""
     out = None
     for p in paths:
-        part = read_bed(spark, p) if sniff(spark, p) == "bed" else read_csv(spark, p)
+        bed = sniff(spark, p) == "bed"
+        part = read_bed(spark, p) if bed else read_csv(spark, p)
+        if "name" not in part.columns or part.where(F.col("name").isNotNull()).isEmpty():
+            part = read_bed(spark, p, ordinal="_place") if bed else read_csv(spark, p, ordinal="_place")
+            part = numbered(part, "_k", ["_place"]).withColumn("name", F.concat(F.lit("eccDNA_"), (F.col("_k") - 1).cast("string"))).drop("_k", "_place")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
