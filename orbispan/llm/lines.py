@@ -1,17 +1,19 @@
 """Line deduplication with a log-template tree (operator 7).
 
-A line's leaf in the tree is its token count and its leading tokens, with tokens that hold digits masked. In a leaf, a line is
-held against the templates found so far: it joins the one that agrees with it in most positions, if those are at least
-`agree` of all, and the positions in which it differs become variable fields of that template; else it begins a new one.
-A variable field agrees with nothing, so all lines of a template share `agree` of its tokens, however many have joined.
-Identical lines and templates of long lines that recur, and short templates that recur in several documents, are dropped
-everywhere but in the document of smallest id. Lines travel as 64-bit hashes; the texts of leaves with a single line never
-leave their task.
+A line's leaf in the tree is its token count and its leading tokens, with tokens that hold digits masked. In a leaf, lines go in
+the order of their hashes: a line joins the first template whose line it agrees with in at least `agree` of the positions, and
+the positions in which it differs are variable fields of that template; else it begins a template of its own. Which template
+a line joins thus depends on the lines of its leaf alone, not on how they are dealt to tasks. Identical lines and templates of
+long lines that recur, and short templates that recur in several documents, are dropped everywhere but in the document of
+smallest id. Lines travel as 64-bit hashes; the texts of leaves with a single line never leave their task.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -45,42 +47,40 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _tokens(line: str) -> list[str] | None:
-    """Tokens of a line, or None if it has too few characters."""
-    tokens = line.split()
-    if len(line) < MIN_CHARS or sum(map(len, tokens)) + len(tokens) - 1 < MIN_CHARS:
-        return None
-    return tokens
+@dataclass(frozen=True)
+class Form:
+    """How lines are read: depth of the tree, and what is too short to be a line or a template."""
 
+    depth: int = DEPTH
+    min_chars: int = MIN_CHARS
+    min_tokens: int = MIN_TOKENS
+    long_tokens: int = LONG_TOKENS
 
-def _leaf(tokens: list[str], depth: int) -> str:
-    lead = " ".join(tokens[:depth])
-    if len(tokens) < MIN_TOKENS:
-        return f"{len(tokens)} {lead}"
-    return f"{len(tokens)} {_DIGITS.sub('<*>', lead) if _DIGIT.search(lead) else lead}"
+    def tokens(self, line: str) -> list[str] | None:
+        """Tokens of a line, or None if it has none or too few characters."""
+        tokens = line.split()
+        if not tokens or len(line) < self.min_chars or sum(map(len, tokens)) + len(tokens) - 1 < self.min_chars:
+            return None
+        return tokens
 
+    def leaf(self, tokens: list[str]) -> str:
+        lead = " ".join(tokens[: self.depth])
+        if len(tokens) < self.min_tokens:
+            return f"{len(tokens)} {lead}"
+        return f"{len(tokens)} {_DIGITS.sub('<*>', lead) if _DIGIT.search(lead) else lead}"
 
-def _masked(plain: str) -> str:
-    """The line with tokens that hold digits masked; as it is if no token were left or it has few."""
-    size = plain.count(" ") + 1
-    if size < MIN_TOKENS or not _DIGIT.search(plain):
-        return plain
-    masked, n = _DIGITS.subn("<*>", plain)
-    return masked if n < size else plain
+    def masked(self, plain: str) -> str:
+        """The line with tokens that hold digits masked; as it is if no token were left or it has few."""
+        size = plain.count(" ") + 1
+        if size < self.min_tokens or not _DIGIT.search(plain):
+            return plain
+        masked, n = _DIGITS.subn("<*>", plain)
+        return masked if n < size else plain
 
 
-def parse_line(line: str, depth: int = DEPTH) -> tuple[str, str, str] | None:
-    """(normal form, masked form, leaf) of a line, or None if it has too few characters."""
-    tokens = _tokens(line)
-    if tokens is None:
-        return None
-    plain = " ".join(tokens)
-    return plain, _masked(plain), _leaf(tokens, depth)
-
-
-def _line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+def _line_rows(docs: DataFrame, id_col: str, text_col: str, form: Form) -> DataFrame:
     """id, h, m, leaf, long: hashes of the normal form, masked form and leaf of each different line of a document, and
-    whether it has LONG_TOKENS tokens."""
+    whether it is a long one."""
 
     def run(batches):
         for b in batches:
@@ -88,14 +88,14 @@ def _line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataF
             for lo, texts in texts_of(b.column(1)):
                 for r, t in enumerate(texts, lo):
                     for line in set((t or "").split("\n")):
-                        if tokens := _tokens(line):
+                        if tokens := form.tokens(line):
                             plain = " ".join(tokens)
                             h = _hash(plain)
                             row.append(r)
                             hs.append(h)
-                            ms.append(_hash(_masked(plain)) if _DIGIT.search(plain) else h)
-                            leaves.append(_hash(_leaf(tokens, depth)))
-                            long.append(len(tokens) >= LONG_TOKENS)
+                            ms.append(_hash(form.masked(plain)) if _DIGIT.search(plain) else h)
+                            leaves.append(_hash(form.leaf(tokens)))
+                            long.append(len(tokens) >= form.long_tokens)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (hs, ms, leaves)), pa.array(long, pa.bool_())], ["id", "h", "m", "leaf", "long"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -115,7 +115,7 @@ def _crowded(rows: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
-def _crowded_lines(docs: DataFrame, rows: DataFrame, text_col: str, depth: int) -> DataFrame:
+def _crowded_lines(docs: DataFrame, rows: DataFrame, text_col: str, form: Form) -> DataFrame:
     """leaf, t, line: each different masked line, with its hash t, of the leaves that hold several."""
     bits = _crowded(rows).tobytes()
 
@@ -125,115 +125,145 @@ def _crowded_lines(docs: DataFrame, rows: DataFrame, text_col: str, depth: int)
             for _, texts in texts_of(b.column(0)):
                 for t in texts:
                     for line in set((t or "").split("\n")):
-                        if tokens := _tokens(line):
-                            leaf = _hash(_leaf(tokens, depth))
+                        if tokens := form.tokens(line):
+                            leaf = _hash(form.leaf(tokens))
                             s = leaf % LEAF_BITS
                             if bits[s >> 3] >> (7 - (s & 7)) & 1:
-                                masked = _masked(" ".join(tokens))
+                                masked = form.masked(" ".join(tokens))
                                 found[_hash(masked)] = (leaf, masked)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found.values()], pa.int64()), pa.array(list(found), pa.int64()), pa.array([x[1] for x in found.values()], pa.string())], ["leaf", "t", "line"])
 
     return stored(map_arrow(docs.select(text_col), pick, "leaf long, t long, line string").distinct(), "crowded-lines")
 
 
-#: Stands for a variable field in the text of a template.
-FIELD = "\x00"
-
+class Templates:
+    """The templates of a leaf so far, found by the blocks of positions that they share with a line.
 
-def merge_templates(ids: list[int], lines: list[str], agree: float) -> tuple[list[int], dict[int, str]]:
-    """For each line or template, by ascending ids, the template that it joins; and the text of each template that is left.
-
-    A template has the id of its first line. Only texts of equally many tokens meet.
+    Lines of w tokens that agree in `agree` of them differ in at most so many positions that, of one more blocks of
+    positions than that, they share a whole one. So only templates with a block in common are compared.
     """
-    owner, left = [0] * len(ids), {}
-    split = [x.split(" ") for x in lines]
-    by_width: dict[int, list[int]] = {}
-    for i in sorted(range(len(ids)), key=lambda i: ids[i]):
-        by_width.setdefault(len(split[i]), []).append(i)
-    for width, members in by_width.items():
-        code = {FIELD: -1}
-        grid = np.array([[code.setdefault(w, len(code)) for w in split[i]] for i in members], dtype=np.int32)
-        known, heads, need = np.empty_like(grid), [], agree * width - 1e-9
-        for i, row in zip(members, grid):
-            t = known[: len(heads)]
-            same = ((t == row) & (t >= 0)).sum(axis=1) if len(heads) else np.zeros(1)
-            best = int(same.argmax())
-            if same[best] >= need:
-                t[best][t[best] != row] = -1
-            else:
-                best = len(heads)
-                known[best] = row
-                heads.append(i)
-            owner[i] = ids[heads[best]]
-        word = {n: w for w, n in code.items()}
-        left |= {ids[i]: " ".join([word[c] for c in t.tolist()]) for i, t in zip(heads, known)}
-    return owner, left
-
 
-def _merged(dealt: DataFrame, agree: float) -> DataFrame:
-    """dealt: leaf, deal, t, line. leaf, t, into, line: the template that each t joins; line for those that stay."""
+    def __init__(self, agree: float) -> None:
+        self.agree = agree
+        self.ids: list[int] = []
+        self.lines: list[list[str]] = []
+        self.by_block: dict[tuple, list[int]] = {}
+
+    def _blocks(self, words: list[str]) -> Iterator[tuple]:
+        n = int((1 - self.agree) * len(words) + 1e-9) + 1
+        return ((len(words), r, *words[r::n]) for r in range(n))
+
+    def first(self, words: list[str]) -> int | None:
+        """Id of the first template that agrees with the line."""
+        need = self.agree * len(words) - 1e-9
+        best = None
+        for block in self._blocks(words):
+            for k in self.by_block.get(block, ()):  # ascending
+                if best is not None and k >= best:
+                    break
+                if sum(map(eq, self.lines[k], words)) >= need:
+                    best = k
+                    break
+        return None if best is None else self.ids[best]
+
+    def add(self, ident: int, words: list[str]) -> None:
+        for block in self._blocks(words):
+            self.by_block.setdefault(block, []).append(len(self.ids))
+        self.ids.append(ident)
+        self.lines.append(words)
+
+
+def templates_of(ids: list[int], lines: list[str], agree: float) -> list[int]:
+    """For each line, by ascending ids, the id of the line whose template it joins; its own if it begins one."""
+    known, owner = Templates(agree), {}
+    for ident, line in sorted(zip(ids, lines)):
+        words = line.split(" ")
+        found = known.first(words)
+        if found is None:
+            known.add(ident, words)
+        owner[ident] = ident if found is None else found
+    return [owner[i] for i in ids]
+
+
+def template_text(lines: list[str]) -> str:
+    """A template's line with its variable fields; the first line is the one that began it."""
+    return " ".join("<*>" if len(set(column)) > 1 else column[0] for column in zip(*(x.split(" ") for x in lines)))
+
+
+def _begun(lines: DataFrame, agree: float) -> DataFrame:
+    """leaf, t, into of all lines (leaf, t, line), a leaf being one run."""
 
     def run(key, rows):
         ids = rows.column("t").to_pylist()
-        owner, left = merge_templates(ids, rows.column("line").to_pylist(), agree)
-        text = [left.get(t) if t == o else None for t, o in zip(ids, owner)]
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(ids)), pa.array(ids), pa.array(owner), pa.array(text, pa.string())], ["leaf", "t", "into", "line"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(ids)), pa.array(ids), pa.array(templates_of(ids, rows.column("line").to_pylist(), agree))], ["leaf", "t", "into"])
 
-    return stored(map_runs(dealt.select("leaf", "deal", "t", "line"), ["leaf", "deal"], run, "leaf long, t long, into long, line string"), "templates")
+    return stored(map_runs(lines.select("leaf", "t", "line"), ["leaf"], run, "leaf long, t long, into long"), "templates")
 
 
-#: How often the templates of a group that stays over the cap are dealt anew.
-DEALS = 3
+def _joined(dealt: DataFrame, agree: float) -> DataFrame:
+    """dealt: leaf, deal, head, t, line. leaf, t, line, into of the lines that are no heads: the first head of their deal that
+    agrees with them, null if none does."""
+
+    def run(key, rows):
+        known, out = Templates(agree), []
+        columns = (rows.column(c).to_pylist() for c in ("head", "t", "line"))
+        for head, t, line in sorted(zip(*columns), key=lambda r: (not r[0], r[1])):
+            if head:
+                known.add(t, line.split(" "))
+            else:
+                out.append((key[0], t, line, known.first(line.split(" "))))
+        if out:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["leaf", "t", "line", "into"])
+
+    return stored(map_runs(dealt.select("leaf", "deal", "head", "t", "line"), ["leaf", "deal"], run, "leaf long, t long, line string, into long"), "joined-lines")
 
 
 def _templates(lines: DataFrame, agree: float, cap: int) -> DataFrame:
     """m, t of the masked lines that are not the first of their template.
 
-    A leaf of at most `cap` lines is one run. A larger one is cut by hash; what is left of its lines then meets again in
-    rounds. Two templates that can merge differ in at most (1 - agree) of the positions, so of one more blocks of positions
-    than that they share a whole one: each round deals a leaf's templates by the tokens of one block, so all that can merge
-    meet in some round. A dealt group is cut by hash too while it is over the cap. A run never holds more.
+    A leaf of at most `cap` lines is one run. Of a larger one, the first lines by hash, about half of `cap`, are one run;
+    its templates then go to all later lines of the leaf, in runs of about `cap` lines, and take those that agree. What is
+    left begins anew: no template so far agrees with it, so the result is that of a single run. A leaf takes rounds for
+    the templates in it, not for its lines.
     """
-    none = F.lit(0).cast("long")
     sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
-    hot = stored(sizes.select("leaf", F.ceil(F.col("n") / cap).alias("k")), "hot-leaves")
+    hot = stored(sizes.select("leaf", F.col("n"), F.lit(0.0).alias("done")), "hot-leaves")
     n_hot = hot.count()
-    spread = lambda salt: F.pmod(F.xxhash64("t", F.lit(salt)), F.col("k"))
-    dealt = join_small(lines, hot, ["leaf"], "left", n_hot).withColumn("deal", F.coalesce(spread(0), none))
-    out = _merged(dealt, agree)
-    named = out.select(F.col("t").alias("m"), F.col("into").alias("t"))
+    left = join_small(lines, hot.select("leaf"), ["leaf"], "left_anti", n_hot) if n_hot else lines
+    named = _begun(left, agree).where("t <> into").select(F.col("t").alias("m"), F.col("into").alias("t"))
     if not n_hot:
-        return named.where("m <> t")
-    words = F.split("line", " ")
-    width = join_small(out.where("line is not null"), hot, ["leaf"], "left_semi", n_hot)
-    rest = stored(width.select("leaf", "t", "line", (F.floor((1 - agree) * F.size(words) + 1e-9) + 1).cast("int").alias("blocks")), "hot-templates")
-    most = rest.agg(F.max("blocks")).first()[0] or 0
-    for r in range(most):
-        for again in range(DEALS):
-            block = F.array_join(F.filter(words, lambda x, p: F.pmod(p, F.col("blocks")) == F.lit(r)), " ")
-            part = rest.withColumn("block", F.xxhash64(F.lit(r), block))
-            over = part.where(F.col("blocks") > r).groupBy("leaf", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            over = stored(over.select("leaf", "block", F.ceil(F.col("n") / cap).alias("k")), "hot-blocks")
-            n_over, k_most = over.agg(F.count(F.lit(1)), F.max("k")).first()
-            if not n_over:
-                break
-            met = join_small(part, over, ["leaf", "block"], "inner", n_over)
-            step = _merged(met.withColumn("deal", F.xxhash64("block", spread(1 + again))), agree)
-            named = named.join(step.where("t <> into").select("t", "into"), "t", "left").select("m", F.coalesce("into", "t").alias("t"))
-            changed = step.select("t", F.col("into").alias("head"), F.col("line").alias("text"))
-            rest = rest.join(changed, "t", "left").where("head is null or head = t").select("leaf", "t", F.coalesce("text", "line").alias("line"), "blocks")
-            rest, named = stored(rest, "hot-templates"), stored(named, "template-names")
-            if k_most == 1:
-                break
-    return named.where("m <> t")
-
-
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, agree: float = AGREE, line_docs: int = LINE_DOCS, template_docs: int = TEMPLATE_DOCS, cap: int = 4096) -> DataFrame:
-    """id, drop array<long>: hashes of the lines to drop from each document that has any. Rows without an id count for nothing."""
-    rows = stored(_line_rows(docs, id_col, text_col, depth).where("id is not null"), "line-hashes")
+        return named
+    place = (F.col("t").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)  # hashes are spread evenly
+    rest = stored(join_small(lines, hot.select("leaf"), ["leaf"], "left_semi", n_hot), "hot-lines")
+    while n_hot:
+        upto = F.when(F.col("n") <= cap, F.lit(2.0)).otherwise(F.col("done") + (1 - F.col("done")) * (cap / 2) / F.col("n"))
+        hot = stored(hot.select("leaf", "n", upto.alias("done")), "hot-leaves")
+        all_open = join_small(rest, hot, ["leaf"], "inner", n_hot)
+        now = all_open.where(place < F.col("done")).select("leaf", "t", "line")
+        begun = _begun(now, agree)
+        heads = now.join(begun.where("t = into").select("leaf", "t"), ["leaf", "t"]).select("leaf", F.lit(True).alias("head"), "t", "line")
+        parts = hot.select("leaf", F.ceil(F.col("n") / cap).cast("long").alias("k"))
+        heads = join_small(heads, parts, ["leaf"], "inner", n_hot).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        later = join_small(all_open.where(place >= F.col("done")).select("leaf", F.lit(False).alias("head"), "t", "line"), parts, ["leaf"], "inner", n_hot)
+        later = later.withColumn("deal", F.pmod(F.xxhash64("t", F.lit(1)), F.col("k")))
+        found = _joined(later.unionByName(heads), agree)
+        named = named.unionByName(begun.where("t <> into").unionByName(found.where("into is not null").select("leaf", "t", "into")).select(F.col("t").alias("m"), F.col("into").alias("t")))
+        rest = found.where("into is null").select("leaf", "t", "line")
+        hot = stored(join_small(rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), hot.select("leaf", "done"), ["leaf"], "inner", n_hot), "hot-leaves")
+        n_hot = hot.count()
+    return named
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, agree: float = AGREE, line_docs: int = LINE_DOCS, template_docs: int = TEMPLATE_DOCS, cap: int = 8192, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """id, drop array<long>: hashes of the lines to drop from each document that has any. Rows without an id count for nothing.
+
+    cap bounds the lines of a run and has no part in the result. min_chars and min_tokens of 1 hold every line against others.
+    """
+    form = Form(depth, min_chars, min_tokens, long_tokens)
+    rows = stored(_line_rows(docs, id_col, text_col, form).where("id is not null"), "line-hashes")
     same = rows.groupBy("h").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first")).where(F.col("n") >= line_docs)
     same = stored(same.select("h", "first"), "recurring-lines")
-    groups = stored(_templates(_crowded_lines(docs, rows, text_col, depth), agree, cap).withColumnRenamed("t", "first_line"), "template-groups")
+    groups = stored(_templates(_crowded_lines(docs, rows, text_col, form), agree, cap).withColumnRenamed("t", "first_line"), "template-groups")
     named = join_small(rows.select("id", "h", "m", "long"), groups, ["m"], "left", groups.count()).select("id", "h", "long", F.coalesce("first_line", "m").alias("t"))
     named = stored(named, "template-lines")
     templates = named.select("id", "t", "long").distinct().groupBy("t", "long").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= F.when(F.col("long"), line_docs).otherwise(template_docs))
@@ -255,6 +285,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, hashes = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()
     joined = docs.join(F.broadcast(lists) if rows + hashes <= BROADCAST_HASHES else lists, docs[id_col] == F.col(ident), "left").drop(ident)
     names, at = list(docs.columns), docs.columns.index(text_col)
+    form = Form(min_chars=options.get("min_chars", MIN_CHARS))
 
     def run(batches):
         for b in batches:
@@ -265,7 +296,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     if t and gone:
                         gone, kept = set(gone), []
                         for line in t.split("\n"):
-                            tokens = _tokens(line)
+                            tokens = form.tokens(line)
                             if tokens and _hash(" ".join(tokens)) in gone:
                                 n += 1
                             else:

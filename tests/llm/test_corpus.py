@@ -409,9 +409,63 @@ def test_lines_that_differ_in_one_field_are_one_template(spark):
 def test_templates_do_not_chain():
     words = "a b c d e f g h i j".split()
     rows = [" ".join([f"x{p}" if p >= 10 - 2 * i else w for p, w in enumerate(words)]) for i in range(5)]
-    owner, left = lines.merge_templates(list(range(5)), rows, 0.8)
-    assert owner == [0, 0, 2, 2, 4] and left[0].split(" ").count(lines.FIELD) == 2
-    assert lines.merge_templates([3, 1], ["a b c", "a b c d"], 0.8)[0] == [3, 1]
+    assert lines.templates_of(list(range(5)), rows, 0.8) == [0, 0, 2, 2, 4]
+    assert lines.template_text(rows[:2]) == "a b c d e f g h <*> <*>"
+    assert lines.templates_of([3, 1], ["a b c", "a b c d"], 0.8) == [3, 1]
+
+
+def parsed(texts, agree=0.8, min_chars=16, min_tokens=3, long_tokens=8, line_docs=2, template_docs=5):
+    """What is left of each document, by a template parser that holds every line against every template."""
+    form = lines.Form(3, min_chars, min_tokens, long_tokens)
+    read = {}
+    for x in {x for t in texts.values() for x in (t or "").split("\n")}:
+        if tokens := form.tokens(x):
+            plain = " ".join(tokens)
+            read[x] = (plain, form.masked(plain), form.leaf(tokens), len(tokens) >= long_tokens)
+    heads, template = {}, {}
+    for m, leaf in sorted({(m, leaf) for _, m, leaf, _ in read.values()}, key=lambda r: lines._hash(r[0])):
+        w = m.split(" ")
+        known = heads.setdefault(leaf, [])
+        mine = next((h for h in known if len(h) == len(w) and sum(a == b for a, b in zip(h, w)) >= agree * len(w) - 1e-9), None)
+        if mine is None:
+            known.append(mine := w)
+        template[m] = (leaf, tuple(mine))
+    by_line, by_template = {}, {}
+    for d, t in texts.items():
+        for x in (t or "").split("\n"):
+            if x in read:
+                by_line.setdefault(read[x][0], set()).add(d)
+                by_template.setdefault((template[read[x][1]], read[x][3]), set()).add(d)
+    gone = lambda found, least, d: len(found) >= least and d != min(found)
+    out = {}
+    for d, t in texts.items():
+        keep = []
+        for x in (t or "").split("\n"):
+            r = read.get(x)
+            if not r or not gone(by_line[r[0]], line_docs, d) and not gone(by_template[template[r[1]], r[3]], line_docs if r[3] else template_docs, d):
+                keep.append(x)
+        out[d] = None if t is None else "\n".join(keep)
+    return out
+
+
+def test_lines_equal_a_parser_whatever_the_cap(spark):
+    rng = random.Random(33)
+    for n, vocabulary, caps in ((90, 3, (10, 8192)), (300, 6, (40, 8192)), (3000, 4, (1000, 8192))):
+        word = lambda p: f"{'abcdefgh'[p % 8]}{'ijklmnop'[rng.randrange(vocabulary)]}q"  # noqa: B023, E731
+        texts = {i: " ".join(["go", "on", "now", *[word(p) for p in range(9)]]) for i in range(n)}
+        texts |= {n + i: " ".join(["go", "on", "now", *[word(p) for p in range(3)]]) for i in range(n // 3)}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        want = parsed(texts)
+        assert 0 < sum(bool(t) for t in want.values()) < len(texts)
+        for cap in caps:
+            assert {r.doc_id: r.text for r in lines.drop_recurring_lines(df, cap=cap).collect()} == want
+
+
+def test_short_lines_count_if_asked_for(spark):
+    texts = {0: "yes\nwell now\nonly here", 1: "yes\nwell now", 2: "", 3: None, 4: "well  now\n\n"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.drop_recurring_lines(df, min_chars=1, min_tokens=1).collect()}
+    assert out == parsed(texts, min_chars=1, min_tokens=1) and out[1] == "" and out[4] == "\n"
 
 
 def test_hot_leaf_merges_across_parts(spark):
@@ -733,5 +787,6 @@ def test_line_query_on_the_table(spark):
     for i, t in texts.items():  # what is left stands as it stood, and short lines all stay
         rest = iter((t or "").split("\n"))
         assert not left[i] or all(any(x == y for y in rest) for x in left[i].split("\n"))
+    assert left == parsed(texts)
     counts = {r.doc_id: r for r in queries.op7_line_templates(spark, SF).collect()}
     assert all(counts[i].text_crc32 == zlib.crc32((left[i] or "").encode()) and counts[i].bytes_left == len((left[i] or "").encode()) for i in texts)
