@@ -16,6 +16,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +33,14 @@ HONORIFICS = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "M.": "m",
 STEMS = {"latin": ["bel", "cor", "dan", "el", "far", "gil", "hal", "jor", "kel", "lor", "mar", "nor", "ol", "per", "ros", "sel", "tam", "ul", "vel", "wen"], "cyrillic": ["бор", "вел", "гор", "дар", "елл", "зор", "кир", "лад", "мир", "нор", "ол", "пав", "род", "сав", "тим"], "greek": ["αλ", "βασ", "γερ", "δημ", "ελ", "θαλ", "καλ", "λεον", "μαρ", "νικ", "πετ", "σταμ"]}
 ENDS = {("latin", "m"): ["an", "o", "us", "ric"], ("latin", "f"): ["a", "ine", "ia", "elle"], ("latin", "n"): ["er", "in", "ey", "is"], ("latin", "family"): ["son", "man", "ley", "berg", "ford"], ("cyrillic", "m"): ["ан", "ей", "ил"], ("cyrillic", "f"): ["а", "ия", "ина"], ("cyrillic", "n"): ["я", "ень"], ("cyrillic", "family"): ["енко", "ич", "чук"], ("greek", "m"): ["ος", "ης", "ας"], ("greek", "f"): ["α", "η", "ω"], ("greek", "n"): ["ι", "ις"], ("greek", "family"): ["ίδης", "άκης", "όπουλος"]}
 
-_TITLE = "|".join(re.escape(h) for h in sorted(HONORIFICS, key=len, reverse=True))
-_NAME_WORD = r"[^\W\d_][\w'’-]*"
+# Days and months, which begin with a capital and are no names.
+CALENDAR = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember lundi mardi mercredi jeudi vendredi samedi dimanche janvier février mars avril juin juillet août septembre octobre novembre décembre lunes martes miércoles jueves viernes sábado domingo enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split())
+
+_GENDER = HONORIFICS | {h.upper(): g for h, g in HONORIFICS.items()}
+_TITLES = re.compile(rf"(?<!\w)({'|'.join(re.escape(h) for h in sorted(_GENDER, key=len, reverse=True))})\.?\s+(?:(?:Dr|Prof|DR|PROF)\.?\s+)*")
+_NAME_WORD = re.compile(r"[^\W\d_][\w'’-]*")
+_PIECE = re.compile(r"[^\W\d_]\w*")
+_BLANKS = re.compile(r"[ \t]+")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -41,9 +48,10 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    "name": re.compile(rf"(?<!\w)({_TITLE})\.?\s+({_NAME_WORD}(?:[ \t]+{_NAME_WORD}){{0,2}})"),
 }
-KINDS = tuple(PATTERNS)
+KINDS = (*PATTERNS, "name")
+#: Words of a titled name at most; of one in capitals, where other words have capitals too, fewer.
+NAME_WORDS, CAPITAL_WORDS = 3, 2
 #: Further attempts of an address or number whose surrogate is a real entity. One that fails all of them, as most of its
 #: format's space is taken, keeps its first surrogate, which no other entity has.
 ATTEMPTS = 12
@@ -68,65 +76,148 @@ def _names_begin(word: str) -> bool:
     return word[0].isupper() or word[0].lower() == word[0].upper()
 
 
-def _name_words(m: re.Match) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the words of a titled name; those that do not begin like a name end it."""
-    out = []
-    for w in re.finditer(_NAME_WORD, m[2]):
-        if not _names_begin(w[0]):
+def _trimmed(word: str) -> str:
+    """A name word without a possessive ending."""
+    return word[:-2] if word[-2:] in ("'s", "’s", "'S", "’S") else word.rstrip("'’-")
+
+
+def _name_words(text: str, title: str, at: int) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the words of the name that a title introduces at a place. Words that do not begin like a name, and
+    days, months and titles, end it; a letter with a full stop is an initial."""
+    out: list[tuple[int, int, str]] = []
+    capitals = title not in HONORIFICS
+    while len(out) < (CAPITAL_WORDS if capitals else NAME_WORDS) and (m := _NAME_WORD.match(text, at)):
+        word = _trimmed(m[0])
+        if not word or not _names_begin(word) or capitals and not word.isupper() or word.casefold() in CALENDAR or m[0] in _GENDER:
             break
-        run = _UNPARTED.match(w[0])
-        text = w[0][: min(run.end(), UNPARTED)] if run else w[0]
-        out.append((m.start(2) + w.start(), m.start(2) + w.start() + len(text), text))
+        run = _UNPARTED.match(word)
         if run:
+            word = word[: min(run.end(), UNPARTED)]
+        out.append((m.start(), m.start() + len(word), word))
+        at = m.end()
+        if len(word) == 1 and text[at : at + 1] == ".":
+            at += 1
+        elif run or len(word) < len(m[0]):
             break
+        blank = _BLANKS.match(text, at)
+        if not blank:
+            break
+        at = blank.end()
     return out
 
 
-@lru_cache(maxsize=4096)
-def _mentions(words: tuple[str, ...]) -> re.Pattern:
-    parted = [re.escape(w) for w in words if not _UNPARTED.match(w)]
-    run = [re.escape(w) for w in words if _UNPARTED.match(w)]
-    return re.compile("|".join([*run, *([rf"(?<!\w)(?:{'|'.join(parted)})(?!\w)"] if parted else [])]), re.I)
+def _persons(names: list[tuple[str, list[tuple[int, int, str]]]]) -> dict[str, str]:
+    """Kind of each name word of a text: one role for all its mentions. In names of several words the last is a family name and
+    the others are given ones; the first such name decides. A word that stands alone after a title has the role that it has
+    there, else it is a family name. A given name has the gender that titles tell."""
+    role: dict[str, str] = {}
+    for _, words in names:
+        for i, (_, _, w) in enumerate(words):
+            if len(words) > 1 and len(w) > 1:
+                role.setdefault(w.casefold(), "given" if i < len(words) - 1 else "family")
+    kinds: dict[str, str] = {}
+    for title, words in names:
+        for _, _, w in words:
+            x = w.casefold()
+            kind = role.get(x, "family")
+            if kind == "given":
+                kind = f"given:{_GENDER[title]}"
+                kind = _one_gender(kind, kinds[x]) if x in kinds else kind
+            if len(w) > 1 or len(words) == 1:
+                kinds[x] = kind
+    return kinds
+
+
+def _pairs(text: str, persons: dict[str, str]) -> dict[str, str]:
+    """Name words that no title introduces: capitals that stand more than once, within sentences, before a known family name
+    or after a known given name."""
+    seen: dict[tuple[str, str], int] = {}
+    last = None
+    for m in _NAME_WORD.finditer(text):
+        w = _trimmed(m[0])
+        if last and w[:1].isupper() and text[last.end() : m.start()] == " ":
+            x, y = last[0].casefold(), w.casefold()
+            kx, ky = persons.get(x), persons.get(y)
+            before = text[max(0, last.start() - 2) : last.start()].rstrip(" ")
+            inside = bool(before) and before[-1] not in ".!?:;\n\"'“”«»(-"
+            if len(x) > 1 and len(y) > 1 and not {x, y} & CALENDAR and last[0] not in _GENDER and (kx is None and ky == "family" and inside or ky is None and (kx or "").startswith("given:")):
+                seen[x, y] = seen.get((x, y), 0) + 1
+        last = m if m[0][0].isupper() else None
+    more = {}
+    for (x, y), n in seen.items():
+        if n > 1:
+            more |= {x: "given:n"} if x not in persons else {y: "family"}
+    return more
+
+
+class _Taken:
+    """Spans without overlaps, by place."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, s: int, e: int) -> bool:
+        i = bisect_left(self.spans, (s, s))
+        return not (i < len(self.spans) and self.spans[i][0] < e or i and self.spans[i - 1][1] > s)
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(self.spans + spans)
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical) in text order, without overlaps; kinds earlier in KINDS win. Each word of a name is
-    an entity: given:<gender> for those before the last, family for the last. Words of names found by a title are found
-    again where they stand without one, if they begin like a name and have at least two letters."""
+    """(start, end, kind, canonical) in text order, without overlaps; kinds earlier in KINDS win. Each word of a name is an
+    entity: given:<gender> or family, the same for all its mentions. Words of names found by a title are found again where
+    they stand without one, if they begin like a name and have at least two letters, as are capitals that recur beside them.
+    An initial is the given name of the same family name in the text that begins with it, if there is just one."""
     found: list[tuple[int, int, str, str]] = []
     if not text:
         return found
     digits = _DIGIT.search(text) is not None
-    taken: list[tuple[int, int]] = []
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
-    persons: dict[str, str] = {}
+    taken = _Taken()
     for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text or kind not in ("email", "name") and not digits:
+        if kind == "email" and "@" not in text or kind != "email" and not digits:
             continue
-        for m in pattern.finditer(text):
-            if not free(*m.span()):
-                continue
-            if kind != "name":
-                found.append((*m.span(), kind, canonical(kind, m[0])))
-                taken.append(m.span())
-                continue
-            words = _name_words(m)
-            for i, (s, e, word) in enumerate(words):
-                entity = word.casefold()
-                part = "family" if i == len(words) - 1 else f"given:{HONORIFICS[m[1]]}"
-                if part != "family" and persons.get(entity, "").startswith("given:"):
-                    part = _one_gender(part, persons[entity])
-                persons[entity] = part
-                found.append((s, e, part, entity))
-                taken.append((s, e))
-    if persons:
-        by_start = {w for w in persons if len(w) > 1}
-        for m in _mentions(tuple(sorted(by_start, key=lambda w: (-len(w), w)))).finditer(text) if by_start else ():
-            entity = m[0].casefold()
-            if entity in persons and _names_begin(m[0]) and free(*m.span()):
-                found.append((*m.span(), persons[entity], entity))
-        found = [(s, e, persons[x] if k.startswith("given:") and persons[x].startswith("given:") else k, x) for s, e, k, x in found]
-    return sorted(found)
+        new = [(*m.span(), kind, canonical(kind, m[0])) for m in pattern.finditer(text) if taken.free(*m.span())]
+        taken.add([x[:2] for x in new])
+        found += new
+    names = []
+    for m in _TITLES.finditer(text):
+        words = [w for w in _name_words(text, m[1], m.end()) if taken.free(w[0], w[1])]
+        if words:
+            names.append((m[1], words))
+    if not names:
+        return sorted(found)
+    persons = _persons(names)
+    full: dict[tuple[str, str], set[str]] = {}
+    for _, words in names:
+        for _, _, w in words[:-1]:
+            if len(w) > 1:
+                full.setdefault((w[0].casefold(), words[-1][2].casefold()), set()).add(w.casefold())
+    new = {}
+    for title, words in names:
+        for i, (s, e, w) in enumerate(words):
+            x, own = w.casefold(), f"given:{_GENDER[title]}"
+            if len(w) == 1 and i < len(words) - 1:
+                known = full.get((x, words[-1][2].casefold()), set())
+                x = next(iter(known)) if len(known) == 1 else x
+                new[s] = (s, e, persons.get(x, own) if len(x) > 1 else own, x)
+            else:
+                new[s] = (s, e, persons[x], x)
+    taken.add([x[:2] for x in new.values()])
+    persons |= _pairs(text, persons)
+    mentions = []
+    for m in _NAME_WORD.finditer(text):
+        word = _trimmed(m[0])
+        spots = [(m.start(), word)] if word.casefold() in persons else [(m.start() + p.start(), p[0]) for p in _PIECE.finditer(m[0])] if len(word) < len(m[0]) or "-" in word or "'" in word or "’" in word else []
+        for s, w in spots:
+            x = w.casefold()
+            if len(w) > 1 and x in persons and _names_begin(w) and taken.free(s, s + len(w)):
+                mentions.append((s, s + len(w), persons[x], x))
+    taken.add([x[:2] for x in mentions])
+    if run := sorted((w for w in persons if len(w) > 1 and _UNPARTED.match(w)), key=lambda w: (-len(w), w)):
+        pattern = re.compile("|".join(map(re.escape, run)), re.I)
+        mentions += [(*m.span(), persons[m[0].casefold()], m[0].casefold()) for m in pattern.finditer(text) if taken.free(*m.span())]
+    return sorted([*found, *new.values(), *mentions])
 
 
 def _one_gender(a: str, b: str) -> str:
@@ -342,6 +433,9 @@ def like(original: str, kind: str, value: str) -> str:
         return "".join(next(chars, "") if c.isalnum() else c for c in original)
     if kind == "email" or kind == "ip":
         return "".join(v.upper() if o.isupper() else v for o, v in zip(original, value)) + value[len(original) :] if kind == "email" else value
+    if len(original) == 1 and len(value) > 1 and script_of(original):  # an initial stays one letter, and another one
+        first = value[0].upper() if value[0].upper() != original.upper() else value[1].upper()
+        return first if original.isupper() else first.lower()
     if original.isupper() and len(original) > 1:
         return value.upper()
     return value[0].upper() + value[1:] if original[:1].isupper() else value

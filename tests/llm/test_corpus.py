@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -643,6 +644,55 @@ def test_surrogates_of_later_mentions_titles_and_scripts(spark):
         assert out[None] == f"Mr {one[1]} {one[2]} came."
 
 
+def test_surrogates_of_names_in_all_their_forms(spark):
+    rows = [
+        "Mr John Smith met Dr John. John left.", "Mr Smith's car and Smith’s dog", "Mr J. Smith came, and Mr K. Smith with John. Mr John Smith too.", "Prof. Dr. Hans Müller spoke; Müller left.",
+        "Dr Smith Monday went. On Monday, in May", "MR JOHN SMITH SIGNED", "Mr and Mrs Roe", "Dr Jane Roe knew that Peter Roe and Peter Roe agreed. When Roe came",
+        "Frau Dr. O'Neil-Maier fuhr", "Mr Don Juan", "Herr Schmidt-Rot und Schmidt", "Dr Ann Lee met Ann Brook. Later Ann Brook left Brook.",
+    ]
+    out = [r.text for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
+    name, caps = r"([^\W\d_]+)", r"([A-Z]+)"
+    m = re.fullmatch(rf"Mr {name} {name} met Dr {name}\. {name} left\.", out[0])
+    assert m and m[1] == m[3] == m[4] and not {"John", "Smith"} & set(m.groups())
+    john, smith = m[1], m[2]
+    assert out[1] == f"Mr {smith}'s car and {smith}’s dog"
+    m = re.fullmatch(rf"Mr ([A-Z])\. {smith} came, and Mr ([A-Z])\. {smith} with {john}\. Mr {john} {smith} too\.", out[2])
+    assert m and m[1] == john[0] and m[2] != "K"
+    m = re.fullmatch(rf"Prof\. Dr\. {name} {name} spoke; {name} left\.", out[3])
+    assert m and m[2] == m[3] != "Müller" and m[1] != "Hans"
+    assert out[4] == f"Dr {smith} Monday went. On Monday, in May" and re.fullmatch(rf"MR {caps} {caps} SIGNED", out[5]) and out[5].split()[1:3] == [john.upper(), smith.upper()]
+    assert re.fullmatch(rf"Mr and Mrs {name}", out[6]) and "Roe" not in out[6]
+    m = re.fullmatch(rf"Dr {name} {name} knew that {name} {name} and {name} {name} agreed\. When {name} came", out[7])
+    assert m and m[3] == m[5] != "Peter" and len({m[2], m[4], m[6], m[7]}) == 1
+    assert re.fullmatch(rf"Frau Dr\. {name} fuhr", out[8]) and "Maier" not in out[8] and re.fullmatch(rf"Mr {name} {name}", out[9]) and "Don" not in out[9]
+    assert not {"Schmidt", "Rot"} & set(re.findall(r"\w+", out[10])) and not {"Ann", "Lee", "Brook"} & set(re.findall(r"\w+", out[11])) and "Later" in out[11]
+
+
+def test_many_entities_of_one_text_take_seconds():
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    text = " ".join(f"a{i}@b.org, Mr X{letters(i)} Y{letters(i)} and Y{letters(i)};" for i in range(12_500))
+    began = time.perf_counter()
+    found = pii.detect(text)
+    assert len(found) == 50_000 and time.perf_counter() - began < 20
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_no_entity_of_plain_patterns_is_left_on_the_table(spark):
+    """Held against patterns of their own, not those of the operator."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = {r.doc_id: r.text or "" for r in queries.op2_pii_surrogates(spark, SF).collect()}
+    mail, titled, card = re.compile(r"[\w.]+@[\w.]+\.[a-z]+"), re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ([A-Z][a-z]+)"), re.compile(r"\b(?:\d{4} ){3}\d{4}\b")
+    n = 0
+    for i, t in texts.items():
+        for pattern in (mail, titled, card):
+            for found in {m[m.lastindex or 0] for m in pattern.finditer(t)}:
+                n += 1
+                assert not re.search(rf"(?<!\w){re.escape(found)}(?!\w)", out[i])
+        if not re.search(r"[@\d]", t) and not re.search(r"\b(Mr|Mrs|Ms|Dr|Prof|Don|Sir|Lady|Herr|Frau|Sra?|M\.|Mme|Miss)\b", t, re.I):
+            assert out[i] == t
+    assert n >= 5
+
+
 def settled(spark, texts, key=b"k"):
     """Surrogate of each (kind, entity) of the texts."""
     found = pii.entities(spark.createDataFrame([(t,) for t in texts], "text string"))
