@@ -211,7 +211,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, max_items: int = MAX_ITEMS) -> DataFrame:
-    """docs without the rows that hold an item; every column stays and no text is shuffled."""
+    """docs without the rows that hold an item; every column stays and no text is shuffled.
+
+    Null and empty texts hold nothing and stay, as do texts too short for any item; rows that repeat share their fate, null
+    ids have no part in it; null and empty items are none, items that repeat count once; an empty table gives none; very
+    long texts are read whole.
+    """
     for ids, texts, total, repeated in _slices(items, item_id, item_text, max_items, shingle):
 
         def run(batches, ids=ids, texts=texts, total=total, repeated=repeated):

@@ -215,7 +215,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """docs without the rows scored below the threshold; every column stays and no text is shuffled."""
+    """docs without the rows scored below the threshold; every column stays and no text is shuffled.
+
+    Null, empty and very long texts, ties, repeated rows and null ids are scored as by quality_scores, so equal texts share
+    their fate; an empty table gives an empty one.
+    """
     model = fit_quality(docs, labels, id_col, text_col, **bounds)
 
     def run(batches):

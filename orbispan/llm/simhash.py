@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbispan.llm.common import BROADCAST_ROWS, Forest, components, fresh, join_small, map_arrow, map_runs, stored, texts_of, with_grid
+from orbispan.operators.stats import numbered
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -262,8 +263,8 @@ def _sharing(texts: DataFrame, shingle: int, similarity: float, buckets: int) ->
     return tally.where(F.col("c") >= similarity * F.col("n") - 1e-9).select("id")
 
 
-def _prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """src, dst: links that connect every two of the shingle sets (id, s) which can have the similarity.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """id, s: the shingles of each set's prefix. Every two of the sets (id, s) that can have the similarity share one.
 
     Shingles are ordered by the sets that hold them, rarest first. Two sets of that similarity share one of the first
     n - ceil(similarity * n) + 1 shingles of each; those of a single set are counted, not listed.
@@ -272,19 +273,65 @@ def _prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
     often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = tokens.join(often, "s").groupBy("u", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     take = F.size("x") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = stored(lists.withColumn("k", take).where("k > 0").select("id", F.explode(F.slice("x", F.lit(1), F.col("k"))["s"]).alias("s")), "prefixes")
+    return stored(lists.withColumn("k", take).where("k > 0").select("id", F.explode(F.slice("x", F.lit(1), F.col("k"))["s"]).alias("s")), "prefixes")
+
+
+def _prefix_links(prefix: DataFrame) -> DataFrame:
+    """src, dst: links that connect all sets that share a shingle of their prefixes."""
     low = prefix.groupBy("s").agg(F.min("id").alias("dst"), F.max("id").alias("high")).where("dst < high").select("s", "dst")
     return prefix.join(low, "s").where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
 
 
+def _candidate_groups(sets: DataFrame, prefix: DataFrame, cap: int) -> DataFrame:
+    """g, id, s: shingle sets in groups in which every two that can have the similarity meet.
+
+    Sets that prefixes link, over any number of others, are one group while they fit into one cell. Larger ones are either
+    one group, of which cells hold every two parts of `cap` sets (many copies of one text), or fall apart into one group for
+    each list of sets that share a shingle (texts that passages link in chains), whichever copies the sets fewer times.
+    """
+    cand = stored(components(_prefix_links(prefix)).select(F.col("node").alias("id"), F.col("component").alias("g")), "candidates")
+    n_cand = cand.count()
+    times = lambda n: F.ceil(F.col(n) / cap)
+    large = stored(cand.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).withColumn("as_one", F.col("n") * times("n")), "large-groups")
+    n_large = large.count()
+    if not n_large:
+        return join_small(sets, cand, ["id"], "inner", n_cand).select("g", "id", "s")
+    listed = stored(join_small(join_small(prefix, cand, ["id"], "inner", n_cand), large.select("g"), ["g"], "left_semi", n_large), "listed")
+    # shingles of one passage are in the same sets: one of them stands for all
+    lists = listed.groupBy("g", "s").agg(F.count(F.lit(1)).alias("df"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("df > 1")
+    lists = stored(lists.groupBy("g", "df", "who").agg(F.min("s").alias("s")), "lists")
+    apart = lists.groupBy("g").agg(F.sum(F.col("df") * times("df")).alias("as_lists")).join(large, "g").where("as_lists < as_one").select("g")
+    apart = stored(apart, "groups-apart")
+    n_apart = apart.count()
+    whole = join_small(cand, apart, ["g"], "left_anti", n_apart).select("g", "id")
+    named = join_small(listed, apart, ["g"], "left_semi", n_apart).join(lists.select("g", "s"), ["g", "s"]).select(F.xxhash64("g", "s").alias("g"), "id")
+    return sets.join(whole.unionByName(named), "id").select("g", "id", "s")
+
+
+def _with_numbers(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with ids that are no integers replaced by their places in order, and the table (id, number) of them."""
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs, None
+    names = stored(numbered(docs.select(F.col(id_col).alias("id")).distinct(), "number", ["id"]), "ids")
+    return docs.join(names, docs[id_col] == names["id"]).drop("id").drop(id_col).withColumnRenamed("number", id_col), names
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 1200) -> DataFrame:
-    """id, component of documents whose shingle sets have a Jaccard similarity of at least `similarity`.
+    """id, component (the smallest id of the group) of documents whose shingle sets have a Jaccard similarity of at least
+    `similarity`, linked directly or over others.
 
     Candidates lose nothing: texts that share too few shingles with all others leave first, then those of the rest that
     share a shingle of their prefixes are linked. Exact copies collapse before. Candidates' groups are then verified on
-    whole shingle sets, in bounded cells, and only verified links make components. Texts without words form one group.
+    whole shingle sets, in bounded cells, and only verified links make components.
+
+    Null texts and texts without words form one group. Ids may be of any type that has an order; rows that repeat an id are
+    one document, with the links of all its texts, and each gets a row; rows with a null id get a null component and link
+    nothing; an empty table gives none; very long texts are read whole; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lost = rows.where("id is null").select("id", F.col("id").alias("component"))
+    rows, names = _with_numbers(rows.where("id is not null"), "id")
+    base = rows.select(F.col("id").cast("long").alias("id"), "text")
 
     def run(batches):
         for b in batches:
@@ -309,9 +356,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     sets = stored(map_arrow(join_small(single, some, ["id"], "left_semi", some.count()), shingles, "id long, s array<long>"), "shingle-sets")
-    cand = stored(components(_prefix_links(sets, similarity)).select(F.col("node").alias("id"), F.col("component").alias("g")), "candidates")
-    sets = join_small(sets, cand, ["id"], "inner", cand.count()).select("g", "id", "s")
-    sets = with_grid(stored(sets, "candidate-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
+    groups = _candidate_groups(sets, _prefixes(sets, similarity), cap)
+    sets = with_grid(stored(groups, "candidate-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
 
     def verify(key, rows):
         if rows.num_rows < 2:
@@ -340,7 +386,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verified = map_runs(sets, ["g", "cell_a", "cell_b"], verify, "src long, dst long")
     final = components(verified).select(F.col("node").alias("low"), "component")
     named = texts.select("h", "l", F.col("id").alias("low")).join(final, "low", "left").select("h", "l", F.coalesce("component", "low").alias("component"))
-    return prints.select("id", "h", "l").join(named, ["h", "l"]).select("id", "component")
+    out = prints.select("id", "h", "l").join(named, ["h", "l"]).select("id", "component")
+    if names is not None:
+        one, two = (names.select(F.col("number").alias(n), F.col("id").alias(f"{n}_name")) for n in ("id", "component"))
+        out = out.join(one, "id").join(two, "component").select(F.col("id_name").alias("id"), F.col("component_name").alias("component"))
+    return out.unionByName(lost)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
