@@ -11,7 +11,7 @@ from orbispan.llm import queries
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ["id", "score", "component", "fp", "h", "n", "part", "cell_a", "g", "size", "slot", "shard", "piece", "start", "length", "offset", "sequence_id", "kind", "spans", "file", "leaf", "y", "_gone", "_n", "bucket"]
-ONE_ROW_EACH = {"op2_pii_surrogates": "documents", "op3_pu_quality": "documents", "op5_secret_scan": "documents", "op7_line_templates": "documents", "op8_pq_near_dedup": "embeddings", "op9_byte_shards": "documents", "op10_simhash_bktree": "documents"}
+ONE_ROW_EACH = {"op2_pii_surrogates": "documents", "op3_pu_quality": "documents", "op5_secret_scan": "documents", "op7_line_templates": "documents", "op8_pq_near_dedup": "embeddings", "op9_byte_shards": "documents", "op10_simhash_bktree": "documents", "op11_order_minhash": "documents", "op12_bit_sliced_resampling": "documents"}
 
 
 @pytest.fixture(scope="module", params=["odd", "empty"])
