@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +62,35 @@ def homopolymers(seq: str | Column, least: int = 4) -> Column:
     return F.regexp_extract_all(F.upper(_c(seq)), F.lit(f"({runs})"), F.lit(1))
 
 
+def leading_units(text: str, least: int = 10, most: int = 5000) -> list[tuple[int, int, int]]:
+    """(unit length, copies, bases) of the units of `least` to `most` bases that a sequence begins with at least twice. A copy
+    counts if bases follow it. Lengths of common beginnings with the sequence itself, each base looked at twice at most."""
+    n = len(text)
+    common, left, right, out = [0] * n, 0, 0, []
+    for i in range(1, n):
+        k = min(right - i, common[i - left]) if i < right else 0
+        while i + k < n and text[k] == text[i + k]:
+            k += 1
+        common[i] = k
+        if i + k > right:
+            left, right = i, i + k
+        if least <= i <= min(most, n // 2):
+            copies = min(1 + k // i, -(-(n - i) // i))
+            if copies >= 2:
+                out.append((i, copies, copies * i))
+    return out
+
+
+def tandem_units(seq: str | Column, least: int = 10, most: int = 5000) -> Column:
+    """array<struct<unit_length, repeat_count, total_length>> of leading_units; null sequences have none."""
+
+    @F.pandas_udf("array<struct<unit_length: int, repeat_count: int, total_length: int>>")
+    def found(s: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("unit_length", "repeat_count", "total_length"), u)) for u in leading_units(x or "", least, most)] for x in s])
+
+    return found(_c(seq))
+
+
 def cs_stats(cs: str | Column) -> Column:
     """struct<mismatches, gap_opens, gap_bases> of a cs difference string."""
     c = _c(cs)

@@ -133,6 +133,16 @@ def nearest(points: DataFrame, targets: DataFrame, pos: str = "pos", target: str
     return near.withColumn("distance", gap).where("distance is not null").select(*points.columns, "distance")
 
 
+def nearest_targets(points: DataFrame, targets: DataFrame, pos: str = "pos", target: str = "pos", tag: str = "target_") -> DataFrame:
+    """points' columns, distance, and the columns of each nearest target with a tag: one row for every target at that distance,
+    on either side. A target at that distance can only stand at one of two places, so an equality join finds them all."""
+    near = nearest(points, targets, pos, target)
+    at = F.col(pos).cast("bigint")
+    spots = near.withColumn("_at", F.explode(F.array_distinct(F.array(at - F.col("distance"), at + F.col("distance")))))
+    named = targets.where(F.col(target).isNotNull()).select(F.col("chrom").alias("_on"), F.col(target).cast("bigint").alias("_at"), *[F.col(c).alias(f"{tag}{c}") for c in targets.columns if c != "chrom"])
+    return spots.join(named, (spots["chrom"] == named["_on"]) & (spots["_at"] == named["_at"])).drop("_at", "_on")
+
+
 def _with_earlier(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """Adds name: the largest value of column in the earlier stretches (_cell) of the key; only stretches go through a window."""
     w = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

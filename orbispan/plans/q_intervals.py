@@ -87,6 +87,18 @@ def nearest_boundary(spark, d):
     return enrich.boundary_distances(ecc(spark, d), annot(spark, d)).select("name", "chrom", "pos", "distance")
 
 
+@query(ctes("ecc", "annot") + """, q AS (SELECT name, chrom, (start + "end") // 2 AS pos FROM ecc), t AS (SELECT te_name, chrom, start // 500 * 500 AS pos FROM annot),
+p AS (SELECT DISTINCT chrom, pos FROM t), x AS (SELECT q.*, p.pos AS lo FROM q ASOF LEFT JOIN p ON q.chrom = p.chrom AND q.pos >= p.pos), y AS (SELECT q.name, p.pos AS hi FROM q ASOF LEFT JOIN p ON q.chrom = p.chrom AND q.pos <= p.pos),
+d AS (SELECT name, chrom, pos, least(coalesce(pos - lo, hi - pos), coalesce(hi - pos, pos - lo)) AS distance FROM x JOIN y USING (name))
+SELECT d.name, d.distance, count(*) AS n_targets, min(t.te_name) AS first_target, max(t.te_name) AS last_target FROM d JOIN t ON d.chrom = t.chrom AND abs(t.pos - d.pos) = d.distance GROUP BY 1, 2""")
+def nearest_targets(spark, d):
+    """All nearest starts of annotations, many of which stand at one place, for each call's middle."""
+    t = annot(spark, d).select("te_name", "chrom", (F.floor(F.col("start") / 500) * 500).alias("pos"))
+    q = ecc(spark, d).select("name", "chrom", F.floor((F.col("start") + F.col("end")) / 2).alias("pos"))
+    found = intervals.nearest_targets(q, t)
+    return found.groupBy("name", "distance").agg(F.count(F.lit(1)).alias("n_targets"), F.min("target_te_name").alias("first_target"), F.max("target_te_name").alias("last_target"))
+
+
 @query(ctes("ecc") + ", s AS (SELECT sa, sb, count(*) AS n FROM " + _RECIP + """ GROUP BY 1, 2), k AS (SELECT sample, count(*) AS n FROM ecc GROUP BY 1)
 SELECT a.sample AS sample_a, b.sample AS sample_b, a.n AS n_a, b.n AS n_b, coalesce(s.n, 0) AS n_shared, round_even(coalesce(s.n, 0)::DOUBLE / a.n, 6) AS overlap_fraction
 FROM k a JOIN k b ON a.sample <> b.sample LEFT JOIN s ON s.sa = a.sample AND s.sb = b.sample""")

@@ -121,3 +121,15 @@ def circular_coverage(spark, d):
     s = F.col("l_partkey") % 900
     a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("name"), s.alias("start"), (s + F.col("l_quantity").cast("bigint") * 5).alias("end"), F.lit(1000).cast("bigint").alias("length"))
     return sequences.circular_depth(a).withColumn("mean_depth", F.round("mean_depth", 6))
+
+
+@query("""WITH s AS (SELECT p_partkey AS name, repeat(substr(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 2 + p_partkey % 9), CAST(1 + p_partkey % 7 AS BIGINT)) || substr(md5(CAST(p_partkey AS VARCHAR)), 1, p_partkey % 5) AS s FROM part),
+u AS (SELECT name, s, length(s) AS n, unnest(range(4, least(60, length(s) // 2) + 1)) AS u FROM s), k AS (SELECT name, s, n, u, unnest(range(0, CAST(ceil((n - u) / u::DOUBLE) AS BIGINT))) AS i FROM u),
+m AS (SELECT name, u, count(*) AS most, min(i) FILTER (substr(s, CAST(i * u + 1 AS BIGINT), CAST(u AS BIGINT)) <> substr(s, 1, CAST(u AS BIGINT))) AS miss FROM k GROUP BY 1, 2)
+SELECT name, CAST(u AS INTEGER) AS unit_length, CAST(coalesce(miss, most) AS INTEGER) AS repeat_count, CAST(coalesce(miss, most) * u AS INTEGER) AS total_length FROM m WHERE coalesce(miss, most) >= 2""")
+def tandem_units(spark, d):
+    h = F.md5(F.col("p_partkey").cast("string").cast("binary"))
+    unit = F.substring(F.translate(h, "0123456789abcdef", "ACGT" * 4), F.lit(1), (2 + F.col("p_partkey") % 9).cast("int"))
+    s = F.concat(F.repeat(unit, (1 + F.col("p_partkey") % 7).cast("int")), F.left(h, (F.col("p_partkey") % 5).cast("int")))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("name"), s.alias("s"))
+    return t.select("name", F.explode(seq.tandem_units("s", 4, 60)).alias("u")).select("name", "u.*")

@@ -163,3 +163,37 @@ def test_repeat_sink_ids_and_counters(spark, tmp_path):
     assert repeats.convert_repeats(spark, str(tmp_path / "r.out"), str(tmp_path / "b"), bed=True) == {"converted": 4, "skipped": 1}
     bed = "".join(p.read_text() for p in sorted((tmp_path / "b").glob("part-*"))).splitlines()
     assert bed[0] == "chr1\t10000\t10468\t(CCC)n\t1504\t-\tSimple_repeat\tSimple_repeat" and len(bed) == 4
+
+
+def test_all_nearest_targets_equal_brute_force(spark):
+    rng = random.Random(7)
+    targets = [(c, rng.randrange(0, 3_000_000, 500), i) for i, c in enumerate("aab" * 60)] + [("a", 1000, 900), ("a", 1000, 901), ("a", None, 902)]
+    points = [(i, rng.choice("abc"), rng.randrange(3_000_000)) for i in range(150)] + [(200, "a", 1250), (201, "a", 1000), (202, "a", None)]
+    t = spark.createDataFrame(targets, "chrom string, pos long, id int")
+    p = spark.createDataFrame(points, "name int, chrom string, pos long").repartition(4)
+    want = set()
+    for i, c, x in points:
+        all_d = [(abs(x - y), k) for d, y, k in targets if d == c and x is not None and y is not None]
+        want |= {(i, d, k) for d, k in all_d if d == min(all_d)[0]}
+    got = intervals.nearest_targets(p, t).collect()
+    assert {(r.name, r.distance, r.target_id) for r in got} == want and len(got) == len(want) and sum(r.name == 201 for r in got) >= 2
+
+
+def test_leading_units_equal_brute_force(spark):
+    from orbispan.functions import sequence
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("AC", k=rng.randrange(1, 5))) * rng.randrange(1, 12) + "".join(rng.choices("AC", k=rng.randrange(4))) for _ in range(200)] + ["A" * 3000, "", None]
+    for s in texts[:-1]:
+        want = []
+        for u in range(2, min(50, len(s) // 2) + 1):
+            n = 0
+            for i in range(0, len(s) - u, u):
+                if s[i : i + u] != s[:u]:
+                    break
+                n += 1
+            if n >= 2:
+                want.append((u, n, n * u))
+        assert sequence.leading_units(s, 2, 50) == want
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", sequence.tandem_units("s", 2, 50).alias("u"))
+    assert all([tuple(x) for x in r.u] == sequence.leading_units(r.s or "", 2, 50) for r in df.collect())
