@@ -13,7 +13,7 @@ from orbispan.functions.regions import midpoint
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
 from orbispan.operators.intervals import merged, nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
 from orbispan.operators.sequences import fetched, gc_of
-from orbispan.operators.stats import average_ranks, benjamini_hochberg, empirical_p, mann_whitney, pearson, running_total, with_quantile
+from orbispan.operators.stats import average_ranks, benjamini_hochberg, binomial_quantiles, empirical_p, mann_whitney, pearson, running_total, with_quantile
 from orbispan.scratch import checkpointed
 
 
@@ -121,8 +121,8 @@ def overlap_test(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm:
     """category, observed, n_perm, mean, sd, p_value, fold, q_value of overlaps against random placement.
 
     Independent uniform places make the hits among regions of one length a binomial draw with the exact chance of that
-    length, so permutations cost a draw for each distinct length, not a row for each region. Seeds depend on (seed,
-    category, length, block) alone.
+    length, so permutations cost a draw for each distinct length, not a row for each region. A draw is the digest of (seed,
+    category, length, permutation), taken through the inverse of the distribution, so SQL can restate it.
     """
     name = category or "category"
     kinds = regions.withColumn(name, F.lit("all")) if category is None else regions
@@ -131,15 +131,18 @@ def overlap_test(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm:
     sizes = ecc.where("end > start").groupBy((F.col("end") - F.col("start")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     chances = hit_chances(sizes, kinds, genome, [name]).join(sizes, "length").select(F.col(name).cast("string").alias("category"), "length", "n", "chance")
     blocks = ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))
-    jobs = chances.crossJoin(F.broadcast(blocks)).repartition("category", "length", "block")
+    perms = F.sequence(F.col("block") * block, F.least(F.lit(n_perm), (F.col("block") + 1) * block) - 1)
+    units = F.transform(perms, lambda k: unit_draw(seed, F.col("category"), F.col("length"), k))
+    parts = int(ecc.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small partitions dealt by key would be one task
+    jobs = chances.crossJoin(F.broadcast(blocks)).repartition(parts).withColumn("units", units)  # blocks: n_perm / block rows
 
     def draw(batches):
         for b in batches:
             for r in b.to_pylist():
-                perms = np.arange(r["block"] * block, min(n_perm, (r["block"] + 1) * block))
-                rng = np.random.default_rng([seed, r["length"], r["block"], *r["category"].encode()])
-                got = rng.binomial(r["n"], min(1.0, max(0.0, r["chance"])), size=len(perms))
-                yield pa.RecordBatch.from_pydict({"category": pa.array([r["category"]] * len(perms)), "perm": pa.array(perms), "count": pa.array(got)})
+                units = np.array(r["units"])
+                got = binomial_quantiles(np.full(len(units), r["n"]), r["chance"], units)
+                perms = np.arange(len(got)) + r["block"] * block
+                yield pa.RecordBatch.from_pydict({"category": pa.array([r["category"]] * len(got)), "perm": pa.array(perms), "count": pa.array(got)})
 
     counts = jobs.mapInArrow(draw, "category string, perm bigint, count bigint").groupBy("category", "perm").agg(F.sum("count").alias("count"))
     both = counts.join(F.broadcast(seen), "category", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
@@ -185,7 +188,7 @@ def boundary_test(ecc: DataFrame, domains: DataFrame, genome: DataFrame, n_perm:
         each[r["cell"]], part[r["cell"]] = r["each"], r["part"]
     weight = part + np.append(np.cumsum(each[::-1])[::-1][1:], 0.0)
     share, middle = weight / max(weight.sum(), 1e-300), (np.arange(bins) + 0.5) * top / bins
-    jobs = obs.crossJoin(ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))).repartition("block")
+    jobs = obs.crossJoin(ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))).repartition(int(ecc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def draw(batches):
         for b in batches:

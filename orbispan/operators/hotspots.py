@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orbispan.functions.regions import midpoint, window_label
 from orbispan.operators.intervals import complement, merged, per_tile, window_counts
-from orbispan.operators.stats import benjamini_hochberg
+from orbispan.operators.stats import benjamini_hochberg, multinomial_draws
 
 
 def with_midpoints(ecc: DataFrame) -> DataFrame:
@@ -86,15 +86,16 @@ def hotspot_summary(classes: DataFrame) -> DataFrame:
     return classes.groupBy("grp").agg(F.count(F.lit(1)).alias("total_hotspots"), c("core"), c("recurrent"), c("sporadic"))
 
 
-def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int = 1000, seed: int = 42, excluded: DataFrame | None = None, fdr: float = 0.05, fold: float = 3.0, block: int = 50) -> DataFrame:
+def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int = 1000, seed: int = 42, excluded: DataFrame | None = None, fdr: float = 0.05, fold: float = 3.0, block: int = 250) -> DataFrame:
     """Windows with exceedance p-values, q-values and hotspot flags.
 
     Each permutation redraws a chromosome's midpoints uniformly over what the exclusions leave of it and counts, for every
     window, whether it reached the observed count. Counts of independent uniform points in disjoint windows are one
     multinomial draw with the windows' free bases as weights, so no point is placed and the work does not grow with
     them. The job runs over (chromosome, block of permutations), one row for each window, summed by a partial aggregate.
-    Seeds depend on (seed, chromosome, permutation) alone, so results do not depend on partitions or retries. Windows
-    without midpoints have p = 1.
+    Draws are digests of (seed, chromosome, permutation, stretch of windows), taken through the inverse of the binomial
+    distribution, so results do not depend on partitions, blocks or retries and SQL can restate them. Windows without
+    midpoints have p = 1.
     """
     counts = window_counts(with_midpoints(ecc), genome, size)
     if excluded is None:
@@ -104,7 +105,9 @@ def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int =
         grid = counts.join(free, ["chrom", "idx"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
     windows = grid.groupBy("chrom").agg(F.sum("count").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "count", "free"))).alias("w"))
     blocks = ecc.sparkSession.range(-(-n_perm // block)).select(F.col("id").alias("block"))
-    jobs = windows.where("n > 0").crossJoin(F.broadcast(blocks)).repartition("chrom", "block")
+    # few rows of much work: a stated number of partitions, as small ones dealt by key would be joined into one task
+    parts = int(ecc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jobs = windows.where("n > 0").crossJoin(F.broadcast(blocks)).repartition(parts)
 
     def draw(batches):
         for b in batches:
@@ -112,9 +115,8 @@ def permutation_test(ecc: DataFrame, genome: DataFrame, size: int, n_perm: int =
                 idx, obs, bases = (np.array([x[c] for x in r["w"]], dtype=np.int64) for c in ("idx", "count", "free"))
                 if not bases.sum():
                     continue
-                share, over = bases / bases.sum(), np.zeros(len(obs), dtype=np.int64)
-                for k in range(r["block"] * block, min(n_perm, (r["block"] + 1) * block)):
-                    over += np.random.default_rng([seed, k, *r["chrom"].encode()]).multinomial(r["n"], share) >= obs
+                labels = [f"{seed}:{r['chrom']}:{k}" for k in range(r["block"] * block, min(n_perm, (r["block"] + 1) * block))]
+                over = (multinomial_draws(int(obs.sum()), bases, labels) >= obs).sum(axis=0)
                 hit = np.flatnonzero(obs > 0)
                 yield pa.RecordBatch.from_pydict({"chrom": pa.array([r["chrom"]] * len(hit)), "idx": pa.array(idx[hit]), "over": pa.array(over[hit])})
 

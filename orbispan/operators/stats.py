@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -223,6 +224,68 @@ def poisson_tail(k: int, mean: float) -> float:
             return max(0.0, 1.0 - math.exp(scale) * h)
 
 
+def binomial_quantiles(n: np.ndarray, p: float, units: np.ndarray, cells: int = 1_000_000) -> np.ndarray:
+    """For each n and unit u in [0, 1) the k with P(X < k) <= u < P(X <= k): a binomial draw that anything with the same u repeats.
+
+    A distribution is listed for each distinct n, within 9 standard deviations and 40 of the mean: what lies beyond is less
+    likely than a unit of 48 bits can tell. Terms follow from their ratios and are scaled to sum to one. No more than about
+    `cells` terms (one n's at least) are listed at once.
+    """
+    if p <= 0.0 or p >= 1.0:
+        return n * int(p > 0.0)
+    values, which = np.unique(n, return_inverse=True)
+    mean, sd = values * p, np.sqrt(values * p * (1.0 - p))
+    lo = np.maximum(0, np.floor(mean - 9 * sd - 40)).astype(np.int64)
+    hi = np.minimum(values, np.ceil(mean + 9 * sd + 40)).astype(np.int64)
+    order, out = np.argsort(which, kind="stable"), np.empty(len(n), dtype=np.int64)
+    width = int((hi - lo).max(initial=0))
+    step = max(1, cells // (width + 1))
+    for at in range(0, len(n), step):
+        rows = order[at : at + step]
+        here, inner = np.unique(which[rows], return_inverse=True)
+        most, k = values[here, None], lo[here, None] + np.arange(width)
+        steps = np.where(k < hi[here, None], np.log(np.maximum(most - k, 1) / (k + 1.0)) + (math.log(p) - math.log1p(-p)), -np.inf)
+        logs = np.concatenate([np.zeros((len(here), 1)), np.cumsum(steps, axis=1)], axis=1)
+        cdf = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+        cdf /= cdf[:, -1:]
+        passed = (cdf[inner] <= units[rows, None]).sum(axis=1)
+        out[rows] = np.minimum(lo[which[rows]] + passed, hi[which[rows]])
+    return out
+
+
+def digest_unit(text: str) -> float:
+    """A number in [0, 1): the first 48 bits of the text's digest; what `enrich.unit_draw` gives in a column."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16) / float(1 << 48)
+
+
+def multinomial_draws(n: int, weights: np.ndarray, labels: Sequence[str]) -> np.ndarray:
+    """A row of counts for each label: n points dealt to classes by weight (whole numbers, not all zero).
+
+    Classes are halved again and again, and the points of a stretch [lo, hi) fall to its first half by a binomial draw with
+    the digest of `label:lo:hi` as its unit. So the draws depend on the labels alone, and each costs the number of classes,
+    not of points.
+    """
+    upto = np.concatenate([[0], np.cumsum(weights)])
+    out = np.zeros((len(labels), len(weights)), dtype=np.int64)
+    todo = [(0, len(weights), np.full(len(labels), n, dtype=np.int64))]
+    while todo:
+        lo, hi, points = todo.pop()
+        if hi - lo == 1:
+            out[:, lo] = points
+            continue
+        mid = (lo + hi) // 2
+        left, whole = int(upto[mid] - upto[lo]), int(upto[hi] - upto[lo])
+        share, first = left / whole if whole else 0.0, np.zeros_like(points)
+        some = np.flatnonzero(points)
+        if 0.0 < share < 1.0:
+            units = np.array([digest_unit(f"{labels[i]}:{lo}:{hi}") for i in some])
+            first[some] = binomial_quantiles(points[some], share, units)
+        elif share >= 1.0:
+            first = points
+        todo += [(lo, mid, first), (mid, hi, points - first)]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def poisson_at_least(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X >= k) of a Poisson variable."""

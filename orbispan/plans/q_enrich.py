@@ -35,10 +35,19 @@ def feature_enrichment(spark, d):
     return enrich.feature_enrichment(m).select("te_class", "n1", "n2", "u", F.round("mean_hotspot", 8).alias("mean_hotspot"), F.round("mean_other", 8).alias("mean_other"))
 
 
-@query()
+# the normal form of the test, with ties; 1 - erf(x) from the series of erf, whose terms are all positive
+@query(_FEATURES + """, r AS (SELECT *, rank() OVER (PARTITION BY te_class ORDER BY coverage) + (count(*) OVER (PARTITION BY te_class, coverage) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY te_class, coverage) AS ties FROM fm),
+k AS (SELECT te_class, count(*) FILTER (is_hotspot) AS n1, count(*) FILTER (NOT is_hotspot) AS n2, coalesce(sum(rk) FILTER (is_hotspot), 0) AS s, sum(ties::DOUBLE * ties - 1) AS t, avg(coverage) FILTER (is_hotspot) AS mh, avg(coverage) FILTER (NOT is_hotspot) AS mo FROM r GROUP BY 1),
+u AS (SELECT *, s - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1 + n2 AS n FROM k),
+z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5::DOUBLE) / sqrt(n1 * n2 / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1)))) / sqrt(2.0::DOUBLE) AS x FROM u),
+e AS (SELECT te_class, sum(CASE WHEN i = 0 THEN x ELSE sign(x) * exp(i * ln(2 * x * x) + ln(abs(x)) + (lgamma(i + 1) + i * ln(2.0::DOUBLE) - lgamma(2 * i + 2))) END) AS series FROM z, range(0, 400) t(i) GROUP BY 1),
+p AS (SELECT z.*, greatest(0.0, least(1.0, 1 - 2 / sqrt(pi()) * exp(-x * x) * series)) AS p FROM z JOIN e USING (te_class)),
+q AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS raw FROM p)
+SELECT te_class, n1, n2, u, round(p, 8) AS p_value, round(least(1.0, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 8) AS q_value, round(mh, 8) AS mean_hotspot, round(mo, 8) AS mean_other FROM q""")
 def feature_enrichment_p(spark, d):
     m = enrich.feature_matrix(ecc(spark, d), annot(spark, d), genome(spark), 100_000, 1.3)
-    return enrich.feature_enrichment(m)
+    out = enrich.feature_enrichment(m)
+    return out.select("te_class", "n1", "n2", "u", *[F.round(c, 8).alias(c) for c in ("p_value", "q_value", "mean_hotspot", "mean_other")])
 
 
 @query(_PAIRS + """, r AS (SELECT *, rank() OVER (PARTITION BY rep_a, rep_b ORDER BY x) + (count(*) OVER (PARTITION BY rep_a, rep_b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY rep_a, rep_b ORDER BY y) + (count(*) OVER (PARTITION BY rep_a, rep_b, y) - 1) / 2.0::DOUBLE AS ry FROM pr)
@@ -65,16 +74,37 @@ def cnv_correlation_excluding(spark, d):
     return kept.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n"), F.round(stats.pearson("x", "y"), 6).alias("pearson"))
 
 
-@query()
+# chances from the gaps between regions, binomial distributions by length, and draws by digests through their inverses
+_PLACED = ctes("ecc", "annot", "genome") + """, r AS (SELECT chrom, greatest(start, 0) AS start, least("end", size) AS "end", size, {0} AS category FROM annot JOIN genome USING (chrom)),
+g AS (SELECT chrom, category, start - coalesce(max("end") OVER (PARTITION BY chrom, category ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM r
+  UNION ALL SELECT k.chrom, k.category, k.size - coalesce(max(r."end"), 0) FROM (SELECT chrom, size, category FROM genome, (SELECT DISTINCT category FROM r)) k LEFT JOIN r ON r.chrom = k.chrom AND r.category = k.category GROUP BY k.chrom, k.category, k.size),
+l AS (SELECT "end" - start AS length, count(*) AS n FROM ecc GROUP BY 1),
+f AS (SELECT chrom, category, length, n, CAST(sum(greatest(0, gap - length + 1)) AS DOUBLE) AS free FROM g, l GROUP BY 1, 2, 3, 4),
+c AS (SELECT category, length, n, CAST(1 - sum(size * least(1.0::DOUBLE, free / greatest(1, size - length + 1))) / sum(size) AS DOUBLE) AS p FROM f JOIN genome USING (chrom) GROUP BY 1, 2, 3),
+b AS (SELECT category, length, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS pmf FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM c)),
+t AS (SELECT category, length, k, coalesce(sum(pmf) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) / sum(pmf) OVER (PARTITION BY category, length) AS below FROM b WINDOW w AS (PARTITION BY category, length ORDER BY k)),
+d AS (SELECT category, length, perm, CAST('0x' || substr(md5('42:' || category || ':' || length || ':' || perm), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM c, range(0, 1000) x(perm)),
+m AS (SELECT d.category, d.perm, sum(t.k) AS hits FROM d ASOF JOIN t ON d.category = t.category AND d.length = t.length AND d.u >= t.below GROUP BY 1, 2),
+o AS (SELECT category, count(DISTINCT name) AS observed FROM ecc JOIN r ON r.chrom = ecc.chrom AND ecc.start < r."end" AND r.start < ecc."end" GROUP BY 1),
+s AS (SELECT category, coalesce(max(observed), 0) AS observed, count(*) AS n_perm, avg(hits) AS mean, stddev_pop(hits) AS sd, (count(*) FILTER (hits >= coalesce(observed, 0)) + 1) / (count(*) + 1.0::DOUBLE) AS p FROM m LEFT JOIN o USING (category) GROUP BY 1),
+q AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM s)
+SELECT category, observed, n_perm, round(mean, 6) AS mean, round(sd, 6) AS sd, round(p, 9) AS p_value, round(observed / mean, 6) AS fold, round(least(1.0::DOUBLE, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS q_value FROM q"""
+
+
+def _placed(out):
+    return out.select("category", "observed", "n_perm", *[F.round(c, k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("p_value", 9), ("fold", 6), ("q_value", 9))])
+
+
+@query(_PLACED.format("CASE WHEN cnv > 1.2 THEN 'gain' WHEN cnv < 0.8 THEN 'loss' ELSE 'neutral' END"))
 def cnv_enrichment(spark, d):
     """Observed against random placement for each copy number category."""
     regions = annot(spark, d).withColumn("category", cnv_category("cnv"))
-    return enrich.overlap_test(ecc(spark, d), regions, genome(spark), category="category")
+    return _placed(enrich.overlap_test(ecc(spark, d), regions, genome(spark), category="category"))
 
 
-@query()
+@query(_PLACED.format("'all'"))
 def overlap_enrichment(spark, d):
-    return enrich.overlap_test(ecc(spark, d), annot(spark, d), genome(spark))
+    return _placed(enrich.overlap_test(ecc(spark, d), annot(spark, d), genome(spark)))
 
 
 @query()

@@ -77,10 +77,30 @@ def hotspot_refine(spark, d):
     return hotspots.refine(hot, ecc(spark, d), 5000, 0.5)
 
 
-@query()
+def _halved(levels: int) -> str:
+    """Permuted counts of windows: the points of a stretch of windows fall to its first half by a binomial draw, level by level."""
+    out = ctes("ecc", "genome") + """, c AS (SELECT chrom, (start + "end") // 2 // 100000 AS idx, count(*) AS n FROM ecc GROUP BY 1, 2),
+w AS (SELECT g.chrom, i AS idx, i * 100000 AS start, least((i + 1) * 100000, size) AS "end", coalesce(n, 0) AS count FROM genome g, range(0, 101) t(i) LEFT JOIN c ON c.chrom = g.chrom AND c.idx = i WHERE i * 100000 < size),
+l0 AS (SELECT chrom, perm, CAST(0 AS BIGINT) AS lo, max(idx) + 1 AS hi, CAST(sum(count) AS BIGINT) AS n FROM w, range(0, 1000) x(perm) GROUP BY 1, 2 HAVING sum(count) > 0)"""
+    for i in range(levels):
+        out += f""",
+h{i} AS (SELECT l.*, m, s FROM l{i} l JOIN (SELECT chrom, lo, hi, (lo + hi) // 2 AS m, (least((lo + hi) // 2 * 100000, size) - lo * 100000)::DOUBLE / (least(hi * 100000, size) - lo * 100000) AS s FROM (SELECT DISTINCT chrom, lo, hi FROM l{i} WHERE hi - lo > 1) JOIN genome USING (chrom)) USING (chrom, lo, hi)),
+b{i} AS (SELECT n, s, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(s) + (n - k) * ln(1 - s)) AS pmf FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT n, s FROM h{i}))),
+t{i} AS (SELECT n, s, k, coalesce(sum(pmf) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) / sum(pmf) OVER (PARTITION BY n, s) AS below FROM b{i} WINDOW v AS (PARTITION BY n, s ORDER BY k)),
+d{i} AS (SELECT *, CAST('0x' || substr(md5('42:' || chrom || ':' || perm || ':' || lo || ':' || hi), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM h{i}),
+k{i} AS (SELECT d.*, t.k FROM d{i} d ASOF JOIN t{i} t ON d.n = t.n AND d.s = t.s AND d.u >= t.below),
+l{i + 1} AS (SELECT chrom, perm, lo, hi, n FROM l{i} WHERE hi - lo = 1 UNION ALL SELECT chrom, perm, lo, m, k FROM k{i} UNION ALL SELECT chrom, perm, m, hi, n - k FROM k{i})"""
+    return out
+
+
+@query(_halved(7) + """, o AS (SELECT w.chrom, w.idx, count(*) FILTER (n >= count) AS reached FROM w JOIN l7 ON l7.chrom = w.chrom AND l7.lo = w.idx WHERE count > 0 GROUP BY 1, 2),
+p AS (SELECT w.*, (coalesce(reached, 1000) + 1) / 1001.0::DOUBLE AS p FROM w LEFT JOIN o USING (chrom, idx)),
+r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM p),
+q AS (SELECT *, least(1.0::DOUBLE, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM r)
+SELECT chrom, idx, start, "end", CAST(count AS INTEGER) AS count, round(p, 9) AS p_value, round(q, 9) AS q_value, count > 0 AND count >= 1.6::DOUBLE * (SELECT quantile_cont(count, 0.5) FROM w WHERE count > 0) AND q < 0.05 AS is_hotspot FROM q""")
 def hotspot_permutation_test(spark, d):
     out = hotspots.permutation_test(ecc(spark, d), genome(spark), _W, fold=1.6)
-    return out.select("chrom", "idx", "start", "end", "count", "p_value", "q_value", "is_hotspot")
+    return out.select("chrom", "idx", "start", "end", "count", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"), "is_hotspot")
 
 
 @query("""WITH p AS (SELECT o_orderkey, (o_orderkey * 7919 % 1000 + 1) / 1001.0::DOUBLE AS p FROM orders), r AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rk, count(*) OVER () AS n FROM p)

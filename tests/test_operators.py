@@ -305,3 +305,52 @@ def test_ranks_and_adjusted_values_in_range_partitions(spark):
     for i, g, p in known:
         own = [x for _, k, x in known if k == g]
         assert ranks[i] == sum(x < p for x in own) + (own.count(p) + 1) / 2
+
+
+def test_binomial_quantiles_invert_the_distribution():
+    from math import comb
+
+    import numpy as np
+
+    from orbispan.operators.stats import binomial_quantiles
+
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.97), (300, 1e-4)):
+        pmf = [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        below = np.concatenate([[0.0], np.cumsum(pmf)])
+        units = np.linspace(0.0005, 0.9995, 500)
+        want = [int(np.flatnonzero(below[:-1] <= u)[-1]) for u in units]
+        assert binomial_quantiles(np.full(500, n), p, units).tolist() == binomial_quantiles(np.full(500, n), p, units, 9).tolist() == want
+    mixed, unit = np.array([300, 0, 40, 300]), np.array([0.4, 0.9, 0.99, 0.7])
+    assert binomial_quantiles(mixed, 0.3, unit).tolist() == [int(binomial_quantiles(mixed[i : i + 1], 0.3, unit[i : i + 1])[0]) for i in range(4)]
+    assert binomial_quantiles(mixed, 0.0, unit).tolist() == [0] * 4 and binomial_quantiles(mixed, 1.0, unit).tolist() == mixed.tolist()
+    assert abs(binomial_quantiles(np.array([10**9]), 0.25, np.array([0.5]))[0] - 250_000_000) <= 1
+
+
+def test_multinomial_draws_depend_on_labels_alone_and_have_the_right_moments():
+    import numpy as np
+
+    from orbispan.operators.stats import digest_unit, multinomial_draws
+
+    weights = np.array([5, 0, 1, 3, 0, 0, 11, 20, 7])
+    labels = [f"7:chr1:{k}" for k in range(4000)]
+    got = multinomial_draws(120, weights, labels)
+    assert (got.sum(axis=1) == 120).all() and (got[:, weights == 0] == 0).all()
+    share = weights / weights.sum()
+    assert np.abs(got.mean(axis=0) - 120 * share).max() < 0.35
+    assert np.abs(np.cov(got.T, bias=True) - 120 * (np.diag(share) - np.outer(share, share))).max() < 2.0
+    assert (multinomial_draws(120, weights, labels[100:103]) == got[100:103]).all()
+    assert (multinomial_draws(0, weights, labels[:2]) == 0).all()
+    assert 0 <= digest_unit("a") < 1
+
+
+def test_permutation_test_is_the_same_for_any_blocks(spark):
+    from orbispan.operators import enrich
+
+    ecc = spark.createDataFrame([(f"e{i}", "chr1", i * 7 % 950, i * 7 % 950 + 10) for i in range(200)], "name string, chrom string, start bigint, end bigint")
+    genome = spark.createDataFrame([("chr1", 1000)], "chrom string, size bigint")
+    rows = [sorted(tuple(r) for r in hotspots.permutation_test(ecc, genome, 100, n_perm=300, block=b).collect()) for b in (7, 300)]
+    assert rows[0] == rows[1]
+    tests = [enrich.overlap_test(ecc, spark.createDataFrame([("chr1", 100, 300)], "chrom string, start bigint, end bigint"), genome, n_perm=100, block=b).collect() for b in (9, 100)]
+    a, b = (t[0].asDict() for t in tests)
+    assert math.isclose(a.pop("sd"), b.pop("sd"), rel_tol=1e-12) and a == b  # sums of squares depend on the order of rows
+
