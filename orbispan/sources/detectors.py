@@ -97,6 +97,12 @@ def read_consensus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 2).select(F.col("f")[0].alias("name"), F.element_at("f", -1).alias("consensus"))
 
 
+def longest_consensus(df: DataFrame) -> DataFrame:
+    """name, consensus: the longest consensus of each name, of equals the first by its letters; names without any are left out."""
+    known = df.where(F.length("consensus") > 0).withColumn("_n", -F.length("consensus"))
+    return known.groupBy("name").agg(F.min(F.struct("_n", "consensus")).alias("_best")).select("name", "_best.consensus")
+
+
 def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
     """file, scope, key, metric, value of nested JSON reports."""
     inner = "map<string, map<string, map<string, double>>>"
