@@ -70,7 +70,18 @@ def merge_samples(spark, d):
     return process.union_samples(parts).groupBy("sample", "chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bp"))
 
 
-@query()
+# rounds over all places: one goes when an earlier survivor can absorb it, and survives when all that could are gone
+@query(ctes("ecc").replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT chrom, start, "end", row_number() OVER (ORDER BY chrom, start, "end") AS id FROM (SELECT DISTINCT chrom, start, "end" FROM ecc)),
+p AS (SELECT a.id AS first, b.id AS later FROM n a JOIN n b ON a.chrom = b.chrom AND a.id < b.id AND a.start < b."end" AND b.start < a."end"
+  WHERE least(a."end", b."end") - greatest(a.start, b.start) >= 0.8::DOUBLE * (a."end" - a.start) AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.8::DOUBLE * (b."end" - b.start)),
+st AS (SELECT id, 0 AS step, CASE WHEN id IN (SELECT later FROM p) THEN 'open' ELSE 'stays' END AS fate FROM n
+  UNION ALL SELECT s.id, s.step + 1, CASE WHEN s.fate <> 'open' THEN s.fate WHEN bool_or(e.fate = 'stays') THEN 'goes' WHEN bool_and(e.fate = 'goes') THEN 'stays' ELSE 'open' END
+  FROM st s LEFT JOIN p ON p.later = s.id LEFT JOIN st e ON e.id = p.first WHERE EXISTS (SELECT 1 FROM st WHERE fate = 'open') GROUP BY s.id, s.step, s.fate),
+done AS (SELECT id, fate FROM st WHERE step = (SELECT max(step) FROM st)),
+owner AS (SELECT d.id, CASE WHEN d.fate = 'stays' THEN d.id ELSE min(e.id) END AS first FROM done d LEFT JOIN p ON p.later = d.id LEFT JOIN done e ON e.id = p.first AND e.fate = 'stays' GROUP BY d.id, d.fate),
+m AS (SELECT first, e.sample AS tool, e.type AS sample, row_number() OVER (PARTITION BY first ORDER BY e.start, e."end", e.sample, e.type) AS k FROM ecc e JOIN n USING (chrom, start, "end") JOIN owner USING (id)),
+f AS (SELECT *, bool_or(sample <> head) OVER (PARTITION BY first ORDER BY k ROWS UNBOUNDED PRECEDING) AS changed FROM (SELECT *, first_value(sample) OVER (PARTITION BY first ORDER BY k) AS head FROM m))
+SELECT chrom, start, "end", tool, sample FROM (SELECT first, CASE WHEN count(DISTINCT tool) = 1 THEN min(tool) ELSE 'merged' END AS tool, string_agg(sample, ';' ORDER BY k) FILTER (k = 1 OR changed) AS sample FROM f GROUP BY 1) g JOIN n ON n.id = g.first""")
 def combine_deduplicated(spark, d):
     e = ecc(spark, d).select("chrom", "start", "end", F.col("sample").alias("tool"), F.col("type").alias("sample"))
     return process.deduplicated(e, 0.8)
