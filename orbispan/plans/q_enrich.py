@@ -179,9 +179,18 @@ def saturation_curve(spark, d):
     return _curve(spark, d)
 
 
-@query()
+# for each rate the best ceiling is linear; the rate is where the slope of the squares turns, by halving
+@query(_CURVE.replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT DISTINCT sample, 0.01::DOUBLE AS lo, 200.0::DOUBLE AS hi, 0 AS step FROM f
+  UNION ALL SELECT sample, CASE WHEN slope > 0 THEN c ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE c END, step + 1 FROM (
+    SELECT b.sample, lo, hi, step, (lo + hi) / 2 AS c, sum((n - top * (1 - exp(-(lo + hi) / 2 * fraction))) * fraction * exp(-(lo + hi) / 2 * fraction)) AS slope FROM b JOIN f ON f.sample = b.sample
+    JOIN (SELECT b.sample, sum(n * (1 - exp(-(lo + hi) / 2 * fraction))) / sum((1 - exp(-(lo + hi) / 2 * fraction)) ** 2) AS top FROM b JOIN f ON f.sample = b.sample GROUP BY b.sample) t ON t.sample = b.sample GROUP BY b.sample, lo, hi, step) WHERE step < 70),
+c AS (SELECT sample, (lo + hi) / 2 AS c FROM b WHERE step = 70),
+t AS (SELECT sample, any_value(c) AS c, sum(n * (1 - exp(-c * fraction))) / sum((1 - exp(-c * fraction)) ** 2) AS top, avg(n) AS mean FROM f JOIN c USING (sample) GROUP BY 1),
+q AS (SELECT sample, any_value(top) AS top, any_value(c) AS c, count(*) AS k, sum((n - top * (1 - exp(-c * fraction))) ** 2) AS cost, sum((n - mean) ** 2) AS spread, sum((1 - exp(-c * fraction)) ** 2) AS aa, sum((1 - exp(-c * fraction)) * top * fraction * exp(-c * fraction)) AS ab, sum((top * fraction * exp(-c * fraction)) ** 2) AS bb FROM f JOIN t USING (sample) GROUP BY 1)
+SELECT sample, round(top, 2) AS n_max, round(c, 4) AS rate, round(sqrt(bb / (aa * bb - ab * ab) * cost / (k - 2)), 2) AS n_max_se, round(sqrt(aa / (aa * bb - ab * ab) * cost / (k - 2)), 4) AS rate_se, round(1 - cost / spread, 6) AS r2 FROM q""")
 def saturation_fit(spark, d):
-    return stats.saturation_curves(_curve(spark, d), "sample", "fraction", "n")
+    out = stats.saturation_curves(_curve(spark, d), "sample", "fraction", "n")
+    return out.select("sample", *[F.round(c, k).alias(c) for c, k in (("n_max", 2), ("rate", 4), ("n_max_se", 2), ("rate_se", 4), ("r2", 6))])
 
 
 @query(_CURVE + """, i AS (SELECT *, n - lag(n) OVER w AS dn FROM f WINDOW w AS (PARTITION BY sample ORDER BY fraction)), r AS (SELECT *, dn / greatest(lag(dn) OVER (PARTITION BY sample ORDER BY fraction), 1)::DOUBLE AS r FROM i),
