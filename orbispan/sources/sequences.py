@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from orbispan.functions.reads import tag_value
 from orbispan.scratch import checkpointed
@@ -167,10 +167,13 @@ RANGE_BASES = 1 << 26
 
 
 class IndexedFasta(DataSource):
-    """Chunks of a plain FASTA file by its index: options path, index (default: path + '.fai'), chunk, excluded (comma-separated).
+    """Chunks of a plain FASTA file by its index: options path, index (default: path + '.fai'), chunk,
+    excluded (comma-separated), contigs (tab-separated; others are not read).
 
-    A task reads ranges of bytes, whatever the contigs' lengths; filters on chrom leave out ranges before any is read. An index
-    line's sixth field, if there is one, names another file than path; the index may be a folder that Spark wrote. Paths are opened through Arrow, so they must be of a kind that it knows (local, S3, GCS, HDFS with its library).
+    A task reads ranges of bytes, whatever the contigs' lengths. Filters are not pushed down: Spark keeps one set of ranges for
+    a table that is used under several filters, so contigs are named when the table is made. An index line's sixth field, if
+    there is one, names another file than path; the index may be a folder that Spark wrote. Paths are opened through Arrow,
+    so they must be of a kind that it knows (local, S3, GCS, HDFS with its library).
     """
 
     @classmethod
@@ -212,15 +215,8 @@ class _IndexedReader(DataSourceReader):
         self.index = options.get("index") or f"{self.path}.fai"
         self.chunk = int(options.get("chunk") or 1 << 16)
         self.excluded = tuple(x for x in (options.get("excluded") or "").split(",") if x)
-        self.only: set[str] | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("chrom",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only = wanted if self.only is None else self.only & wanted
-            else:
-                yield f
+        only = options.get("contigs")
+        self.only: set[str] | None = None if only is None else set(only.split("\t"))
 
     def partitions(self) -> list[InputPartition]:
         out, room, mine = [], RANGE_BASES, []
@@ -253,12 +249,12 @@ class _IndexedReader(DataSourceReader):
                         yield name, lo // self.chunk, b"".join(text.split()).decode().upper()
 
 
-def read_indexed_fasta(spark: SparkSession, path: str, index: str | None = None, chunk: int = 1 << 16, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """The rows of read_fasta from the byte ranges that an index gives."""
+def read_indexed_fasta(spark: SparkSession, path: str, index: str | None = None, chunk: int = 1 << 16, excluded: tuple[str, ...] = EXCLUDED, contigs: list[str] | None = None) -> DataFrame:
+    """The rows of read_fasta from the byte ranges that an index gives; contigs: of these alone, and no others are read."""
     spark.dataSource.register(IndexedFasta)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("indexed_fasta").option("path", path).option("chunk", str(chunk)).option("excluded", ",".join(excluded))
-    return (reader.option("index", index) if index else reader).load()
+    reader = reader.option("index", index) if index else reader
+    return (reader if contigs is None else reader.option("contigs", "\t".join(contigs))).load()
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

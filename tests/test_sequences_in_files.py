@@ -107,7 +107,11 @@ def test_index_and_byte_ranges(spark, tmp_path, small_blocks, monkeypatch):
     for chunk in (64, 1000):
         ranges = sq.read_indexed_fasta(spark, str(path), str(fai), chunk)
         assert sorted(map(tuple, ranges.collect())) == sorted(map(tuple, sq.read_fasta(spark, str(path), chunk).collect()))
-        assert sorted(map(tuple, ranges.where("chrom = 'chrE'").collect())) == sorted(r for r in map(tuple, ranges.collect()) if r[0] == "chrE")
+        of_e = sorted(r for r in map(tuple, ranges.collect()) if r[0] == "chrE")
+        assert sorted(map(tuple, sq.read_indexed_fasta(spark, str(path), str(fai), chunk, contigs=["chrE", "none"]).collect())) == of_e
+        # filters of one use of a table do not change what others read
+        assert sorted(map(tuple, ranges.where("chrom = 'chrE'").collect())) == of_e
+        assert ranges.where("chrom = 'chrE'").unionByName(ranges.where("chrom <> 'chrE'")).count() == ranges.count() > len(of_e)
     regions = spark.createDataFrame([(f"{c}:{s}", c, s, e) for c, s, e in [("chrA", 0, 60), ("chrA", 59, 2600), ("chrE", 2990, 3001), ("chrX", 1, 2)]], "name string, chrom string, start long, end long")
     got = {r.name: r.seq for r in sequences.fetched(regions, sq.read_indexed_fasta(spark, str(path), str(fai), 64), 64).collect()}
     a, e = (next(s for h, s in rows if h.startswith(c)).upper() for c in ("chrA", "chrE"))
