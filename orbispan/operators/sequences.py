@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbispan.functions.reads import paf_coverage, paf_identity
+from orbispan.functions.reads import paf_coverage, paf_identity, tag_value
 from orbispan.functions.regions import one_sided_fraction
 from orbispan.functions.sequence import gc_content, gc_indicator, reverse_complement
 
@@ -106,6 +106,32 @@ def validation(alignments: DataFrame, min_reads: int = 3) -> DataFrame:
     return agg.withColumns({"status": status, "confidence": conf})
 
 
+def junction_support(alignments: DataFrame, references: DataFrame, window: int = 20, min_unique: int = 20, min_split: int = 3, min_crossing: int = 3) -> DataFrame:
+    """contig, unique_reads, split_reads, crossing_reads, ref_length, status, confidence of every reference, whose junction is
+    its middle.
+
+    alignments: name, flag, contig, start, end, cigar, tags; unmapped ones and duplicates are left out. An alignment is split
+    if another part of its read is listed (tag SA) or its ends are clipped. A read crosses if an alignment reaches beyond
+    `window` on both sides of the junction, or lies beyond it on one side and a listed part on the other. References without
+    alignments have zeros. Reads of one reference are counted after a partial aggregate by name, so one may hold any share.
+    """
+    used = alignments.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("flag").bitwiseAND(1024) == 0))
+    sa = tag_value("tags", "SA:Z:")
+    parts = F.transform(F.filter(F.split(sa, ";"), lambda b: b != ""), lambda b: F.try_element_at(F.split(b, ","), F.lit(2)).try_cast("bigint") - 1)
+    j = used.join(references.select("contig", F.expr("size div 2").alias("_mid")), "contig")
+    lo, hi = F.col("_mid") - window, F.col("_mid") + window
+    far = F.exists(parts, lambda p: ((F.col("end") < lo) & (p > hi)) | ((F.col("start") > hi) & (p < lo)))
+    cross = F.coalesce((F.col("start") < lo) & (F.col("end") > hi), F.lit(False)) | F.coalesce(far, F.lit(False))
+    split = sa.isNotNull() | F.coalesce(F.col("cigar").rlike(r"^\d+S|S$"), F.lit(False))
+    reads = j.groupBy("contig", "name").agg(F.count_if(split).alias("split"), F.max(cross).alias("cross"))
+    agg = reads.groupBy("contig").agg(F.count(F.lit(1)).alias("unique_reads"), F.sum("split").alias("split_reads"), F.count_if("cross").alias("crossing_reads"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = references.select("contig", F.col("size").alias("ref_length")).join(agg, "contig", "left").select("contig", *map(zero, ("unique_reads", "split_reads", "crossing_reads")), "ref_length")
+    basic, crossing = (F.col("unique_reads") >= min_unique) & (F.col("split_reads") >= min_split), F.col("crossing_reads") >= min_crossing
+    status = F.when(basic | crossing, "Detected").otherwise("Not_detected")
+    return out.withColumns({"status": status, "confidence": F.when(basic & crossing, "High").when(basic | crossing, "Medium").otherwise("Low")})
+
+
 def circular_depth(parts: DataFrame, key: str = "name") -> DataFrame:
     """key, min_depth, max_depth, mean_depth, zero_bp over circles from aligned parts (key, start, end, length), where an
     end beyond the length wraps around. Depth changes at starts and ends only, so runs stand for bases."""
