@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbispan.functions.regions import midpoint
+from orbispan.functions.sequence import gc_indicator
 from orbispan.operators.hotspots import fold_hotspots, with_midpoints
 from orbispan.operators.intervals import merged, nearest, overlap_join, overlapping_names, per_tile, tile_coverage, tile_weighted_mean, window_counts
 from orbispan.operators.sequences import fetched, gc_of
@@ -64,7 +65,7 @@ def background_places(lengths: DataFrame, contigs: DataFrame, n: int = 10_000, t
     region has as many rounds as bring that number about. Names that occur twice draw twice the same.
     """
     most = n * tries
-    rounds = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.count(F.lit(1)))).cast("int")
+    rounds = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.nullif(F.count(F.lit(1)), F.lit(0)))).cast("int")
     rows = lengths.select("name", "length").crossJoin(F.broadcast(lengths.agg(rounds.alias("_rounds")))).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_rounds"))))  # one row
     unit = lambda salt: unit_draw(seed, salt, F.col("_round"), F.col("name"))
     tried = rows.withColumn("attempt", F.concat_ws(":", F.format_string("%.17f", unit(0)), "name", "_round", "length")).orderBy("attempt").limit(most)
@@ -91,6 +92,57 @@ def background_gc(lengths: DataFrame, contigs: DataFrame, chunks: DataFrame, chu
     return places.join(seqs, "attempt").orderBy("attempt").limit(n)
 
 
+def junction_profile(regions: DataFrame, contigs: DataFrame, chunks: DataFrame, chunk: int, flank: int = 150, smooth: int = 10) -> DataFrame:
+    """position (from -flank to flank - 1), start_gc, end_gc, both_gc and each smoothed: the mean base composition around the
+    first bases of regions, around the bases after their last, and the mean of both.
+
+    Windows that a contig cuts are left out, and so are bases other than A, C, G and T; a position without any is null. Regions
+    that share a border share the window that is fetched. Smoothing is the mean over `smooth` positions (one more before than
+    after, if even) with zeros beyond the ends; null where a position in reach is null, and none if there are fewer positions.
+    """
+    ends = F.array(F.struct(F.lit(True).alias("first"), F.col("start").alias("at")), F.struct(F.lit(False).alias("first"), F.col("end").alias("at")))
+    at = regions.select("chrom", F.inline(ends)).join(contigs.select("chrom", "size"), "chrom").where((F.col("at") >= flank) & (F.col("at") + flank <= F.col("size")))
+    places = at.groupBy("chrom", "at").agg(F.count_if("first").alias("n_start"), F.count_if(~F.col("first")).alias("n_end"))
+    places = checkpointed(places.select(F.concat_ws(":", "chrom", "at").alias("place"), "chrom", (F.col("at") - flank).alias("start"), (F.col("at") + flank).alias("end"), "n_start", "n_end"))
+    found = fetched(places, chunks, chunk, "place").where(F.length("seq") == 2 * flank).join(places.select("place", "n_start", "n_end"), "place")
+    gc = gc_indicator("base")
+    bases = found.select("n_start", "n_end", F.posexplode(F.split("seq", "")).alias("i", "base")).where((F.col("i") < 2 * flank) & gc.isNotNull())
+    share = lambda n: F.sum(F.col(n) * gc) / F.nullif(F.sum(n), F.lit(0))
+    seen = bases.groupBy((F.col("i") - flank).cast("bigint").alias("position")).agg(share("n_start").alias("start_gc"), share("n_end").alias("end_gc"))
+    out = regions.sparkSession.range(-flank, flank).select(F.col("id").alias("position")).join(seen, "position", "left")
+    both = F.when(F.col("start_gc").isNotNull() & F.col("end_gc").isNotNull(), (F.col("start_gc") + F.col("end_gc")) / 2).otherwise(F.coalesce("start_gc", "end_gc"))
+    out = out.withColumn("both_gc", both)
+    after = max(0, smooth - 1) // 2
+    w = Window.orderBy("position").rowsBetween(after - smooth + 1, after)  # 2 * flank rows
+    mean = lambda c: F.when(F.count(c).over(w) == F.count(F.lit(1)).over(w), F.sum(c).over(w) / smooth)
+    smoothed = {f"{c}_smooth": F.col(c) if smooth <= 1 or 2 * flank < smooth else mean(c) for c in ("start_gc", "end_gc", "both_gc")}
+    return out.withColumns(smoothed)
+
+
+def composition_summary(regions: DataFrame, contigs: DataFrame, chunks: DataFrame, chunk: int, flank: int = 150, n: int = 10_000, tries: int = 5, seed: int = 42) -> DataFrame:
+    """One row: n_regions, gc_mean, gc_median, gc_sd (of the sample), n_background, background_mean, background_median,
+    background_sd (of the population), inside_gc and outside_gc (means over the positions after and before the junctions),
+    u and p_value of the rank test of regions against the background.
+
+    regions: name, chrom, start, end. Regions without bases have no composition and count in n_regions alone; without any
+    regions or background the figures of that side, u and p_value are null.
+    """
+    places = checkpointed(regions.where("end > start").groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("copies")).withColumn("place", F.concat_ws(":", "chrom", "start", "end")))
+    mine = gc_of(fetched(places, chunks, chunk, "place")).drop("seq").join(places.select("place", "copies"), "place")
+    own = mine.select("gc", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("own"))
+    lengths = regions.where("end > start").select("name", (F.col("end") - F.col("start")).alias("length"))
+    rows = checkpointed(own.unionByName(background_gc(lengths, contigs, chunks, chunk, n, tries, seed).select("gc", F.lit(False).alias("own"))).where("gc is not null"))
+    of = lambda f, side: f(F.when(F.col("own") == side, F.col("gc")))
+    out = rows.agg(of(F.avg, True).alias("gc_mean"), of(F.stddev_samp, True).alias("gc_sd"), of(F.count, False).alias("n_background"), of(F.avg, False).alias("background_mean"), of(F.stddev_pop, False).alias("background_sd"))
+    for side, name in ((True, "gc_median"), (False, "background_median")):
+        out = with_quantile(out, rows.where(F.col("own") == side), "gc", name)
+    near = junction_profile(regions, contigs, chunks, chunk, flank).agg(F.avg(F.when(F.col("position") >= 0, F.col("both_gc"))).alias("inside_gc"), F.avg(F.when(F.col("position") < 0, F.col("both_gc"))).alias("outside_gc"))
+    test = mann_whitney(rows, "gc", "own").select("u", "p_value")
+    for one in (regions.agg(F.count(F.lit(1)).alias("n_regions")), near, test):  # one row each
+        out = out.crossJoin(F.broadcast(one))
+    return out.select("n_regions", "gc_mean", "gc_median", "gc_sd", "n_background", "background_mean", "background_median", "background_sd", "inside_gc", "outside_gc", "u", "p_value")
+
+
 def hit_chances(lengths: DataFrame, regions: DataFrame, genome: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, length, chance: how likely a region of each length touches one of `regions`, if its chromosome is drawn by size
     and its start uniformly among the places where it fits.

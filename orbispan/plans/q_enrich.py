@@ -246,6 +246,13 @@ def shuffled_within_chromosomes(spark, d):
     return enrich.placed_at_random(ecc(spark, d), genome(spark), 2, keep_chrom=True)
 
 
+def _document_contigs(spark, d):
+    """chrom, seq, size of documents, and their chunks of 1,000 bases."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.translate("text", "acgt", "ACGT").alias("seq"), F.length("text").cast("bigint").alias("size")).where("size > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / 1000).cast("int")), lambda i: F.substring(F.col("seq"), i * 1000 + 1, F.lit(1000)))
+    return t, t.select("chrom", F.posexplode(parts).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
 @query(ctes("ecc") + f""", k AS (SELECT greatest(1, CAST(ceil(50000.0 / count(*)) AS BIGINT)) AS rounds FROM ecc), r AS (SELECT name, length, i AS rnd FROM ecc, k, range(1, 50001) t(i) WHERE i <= rounds),
 u AS (SELECT *, printf('%.17f', {_UNIT.format(0, 'rnd')}) || ':' || name || ':' || rnd || ':' || length AS attempt FROM r ORDER BY attempt LIMIT 50000),
 c AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, translate(text, 'acgt', 'ACGT') AS s, length(text) AS size FROM documents WHERE length(text) > 0),
@@ -257,8 +264,47 @@ h AS (SELECT attempt, name, chrom, start, "end", length(q) - length(translate(q,
 SELECT name, chrom, start, "end", round(gc::DOUBLE / acgt, 8) AS gc FROM h WHERE acgt > 0 ORDER BY attempt LIMIT 10000""")
 def gc_background(spark, d):
     """Documents stand for contigs, in chunks of 1,000 bases."""
-    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.translate("text", "acgt", "ACGT").alias("seq"), F.length("text").cast("bigint").alias("size")).where("size > 0")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / 1000).cast("int")), lambda i: F.substring(F.col("seq"), i * 1000 + 1, F.lit(1000)))
-    chunks = t.select("chrom", F.posexplode(parts).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    t, chunks = _document_contigs(spark, d)
     found = enrich.background_gc(ecc(spark, d).select("name", "length"), t.select("chrom", "size"), chunks, 1000)
     return found.select("name", "chrom", "start", "end", F.round("gc", 8).alias("gc"))
+
+
+_CUT = """WITH c AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS chrom, translate(text, 'acgt', 'ACGT') AS s, CAST(length(text) AS BIGINT) AS size FROM documents WHERE length(text) > 0),
+r AS (SELECT doc_id || ':' || i AS name, chrom, s, size, doc_id * 7919 * (i + 1) % size AS start, least(doc_id * 7919 * (i + 1) % size + 20 + doc_id % 200, size) AS "end" FROM c, range(0, 3) t(i)),
+j AS (SELECT s, start AS spot, true AS first FROM r WHERE start >= 30 AND start + 30 <= size UNION ALL SELECT s, "end", false FROM r WHERE "end" >= 30 AND "end" + 30 <= size),
+b AS (SELECT pos, first, CASE WHEN substr(s, spot + pos + 1, 1) IN ('G', 'C') THEN 1 WHEN substr(s, spot + pos + 1, 1) IN ('A', 'T') THEN 0 END AS gc FROM j, range(-30, 30) x(pos)),
+g AS (SELECT pos, avg(gc) FILTER (first) AS start_gc, avg(gc) FILTER (NOT first) AS end_gc, (avg(gc) FILTER (first) + avg(gc) FILTER (NOT first)) / 2 AS both_gc FROM b GROUP BY 1)"""
+
+
+def _cut(spark, d):
+    """Three regions of each document, and the documents as contigs."""
+    t, chunks = _document_contigs(spark, d)
+    start = F.col("chrom").cast("bigint") * 7919 * (F.col("i") + 1) % F.col("size")
+    r = t.select("chrom", "size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    return r.select(F.concat_ws(":", "chrom", "i").alias("name"), "chrom", start.alias("start"), F.least(start + 20 + F.col("chrom").cast("bigint") % 200, F.col("size")).alias("end")), t.select("chrom", "size"), chunks
+
+
+@query(_CUT + """ SELECT pos AS "position", round(start_gc, 8) AS start_gc, round(end_gc, 8) AS end_gc, round(both_gc, 8) AS both_gc,
+round(sum(start_gc) OVER w / 10, 8) AS start_gc_smooth, round(sum(end_gc) OVER w / 10, 8) AS end_gc_smooth, round(sum(both_gc) OVER w / 10, 8) AS both_gc_smooth FROM g WINDOW w AS (ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
+def junction_composition(spark, d):
+    p = enrich.junction_profile(*_cut(spark, d), 1000, flank=30)
+    return p.select("position", *[F.round(c, 8).alias(c) for c in p.columns[1:]])
+
+
+@query(_CUT + f""", k AS (SELECT greatest(1, CAST(ceil(50000.0 / count(*)) AS BIGINT)) AS rounds FROM r), n AS (SELECT name, "end" - start AS length, i AS rnd FROM r, k, range(1, 50001) t(i) WHERE i <= rounds),
+u AS (SELECT *, printf('%.17f', {_UNIT.format(0, 'rnd')}) || ':' || name || ':' || rnd || ':' || length AS attempt FROM n ORDER BY attempt LIMIT 50000),
+s AS (SELECT *, sum(size) OVER (ORDER BY chrom) - size AS lo, sum(size) OVER () AS total FROM c),
+a AS (SELECT *, CAST(floor({_UNIT.format(1, 'rnd')} * (SELECT max(total) FROM s)) AS BIGINT) AS at FROM u),
+p AS (SELECT attempt, length, CAST(floor({_UNIT.format(2, 'rnd').replace('|| name', '|| a.name')} * (size - length + 1)) AS BIGINT) AS start, s FROM a ASOF JOIN s ON a.at >= s.lo WHERE size > length),
+h AS (SELECT attempt, substr(s, start + 1, length) AS q FROM p),
+v AS (SELECT true AS own, substr(s, start + 1, "end" - start) AS q FROM r UNION ALL (SELECT false, q FROM h WHERE length(q) > length(translate(q, 'ACGT', '')) ORDER BY attempt LIMIT 10000)),
+x AS (SELECT own, (length(q) - length(translate(q, 'GC', '')))::DOUBLE / (length(q) - length(translate(q, 'ACGT', ''))) AS gc FROM v WHERE length(q) > length(translate(q, 'ACGT', ''))),
+y AS (SELECT *, rank() OVER (ORDER BY gc) + (count(*) OVER (PARTITION BY gc) - 1) / 2.0::DOUBLE AS rk FROM x)
+SELECT (SELECT count(*) FROM r) AS n_regions, round(avg(gc) FILTER (own), 8) AS gc_mean, round(quantile_cont(gc, 0.5) FILTER (own), 8) AS gc_median, round(stddev_samp(gc) FILTER (own), 8) AS gc_sd, count(*) FILTER (NOT own) AS n_background,
+round(avg(gc) FILTER (NOT own), 8) AS background_mean, round(quantile_cont(gc, 0.5) FILTER (NOT own), 8) AS background_median, round(stddev_pop(gc) FILTER (NOT own), 8) AS background_sd,
+(SELECT round(avg(both_gc), 8) FROM g WHERE pos >= 0) AS inside_gc, (SELECT round(avg(both_gc), 8) FROM g WHERE pos < 0) AS outside_gc,
+round(sum(rk) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2.0::DOUBLE, 1) AS u FROM y""")
+def composition_against_background(spark, d):
+    s = enrich.composition_summary(*_cut(spark, d), 1000, flank=30)
+    whole = ("n_regions", "n_background")
+    return s.select(*[c if c in whole else F.round(c, 1 if c == "u" else 8).alias(c) for c in s.columns if c != "p_value"])
