@@ -154,7 +154,7 @@ def hit_chances(lengths: DataFrame, regions: DataFrame, genome: DataFrame, keys:
     names = list(keys)
     united = merged(regions.join(F.broadcast(genome), "chrom").select("chrom", *names, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start"), ["chrom", *names])
     kinds = regions.select(*names).distinct() if names else None
-    base = genome.crossJoin(F.broadcast(kinds)) if names else genome
+    base = kinds.crossJoin(F.broadcast(genome)) if names else genome
     w = Window.partitionBy("chrom", *names).orderBy("start")
     inner = united.select("chrom", *names, (F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(0))).alias("gap"))
     last = base.join(united.groupBy("chrom", *names).agg(F.max("end").alias("_e")), ["chrom", *names], "left").select("chrom", *names, (F.col("size") - F.coalesce("_e", F.lit(0))).alias("gap"))
@@ -197,7 +197,7 @@ def overlap_test(ecc: DataFrame, regions: DataFrame, genome: DataFrame, n_perm:
                 yield pa.RecordBatch.from_pydict({"category": pa.array([r["category"]] * len(got)), "perm": pa.array(perms), "count": pa.array(got)})
 
     counts = jobs.mapInArrow(draw, "category string, perm bigint, count bigint").groupBy("category", "perm").agg(F.sum("count").alias("count"))
-    both = counts.join(F.broadcast(seen), "category", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    both = counts.join(seen, "category", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     return benjamini_hochberg(empirical_p(both, "observed", "count", ["category"]))
 
 

@@ -66,7 +66,7 @@ def replicate_classes(windows: DataFrame, totals: DataFrame) -> DataFrame:
     all replicates, recurrent ones in two or more, others sporadic. A window is shared if it is core in another group.
     """
     per = windows.select("grp", "rep", "chrom", "start", "end").distinct().groupBy("grp", "chrom", "start", "end").agg(F.count(F.lit(1)).alias("n_replicates_hit"))
-    per = per.join(F.broadcast(totals), "grp")
+    per = per.join(totals, "grp")
     kind = F.when(F.col("n_replicates_hit") == F.col("n_replicates_total"), "core").when(F.col("n_replicates_hit") >= 2, "recurrent").otherwise("sporadic")
     per = per.withColumn("replicate_category", kind)
     core = per.where("replicate_category = 'core'").groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_set("grp")).alias("cores"))

@@ -199,18 +199,17 @@ def complement(excluded: DataFrame, genome: DataFrame) -> DataFrame:
     return free.unionByName(whole)
 
 
-def tiles(genome: DataFrame, size: int) -> DataFrame:
-    """chrom, idx, start, end of windows of `size`; the last one is clipped."""
+def tiles(genome: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """chrom, idx, start, end, keys of windows of `size` for each row of genome; the last one is clipped."""
     idx = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / size)))
-    return genome.where("size > 0").select("chrom", "size", idx.alias("idx")).select("chrom", "idx", (F.col("idx") * size).alias("start"), F.least((F.col("idx") + 1) * size, F.col("size")).alias("end"))
+    return genome.where("size > 0").select("chrom", "size", *keys, idx.alias("idx")).select("chrom", "idx", (F.col("idx") * size).alias("start"), F.least((F.col("idx") + 1) * size, F.col("size")).alias("end"), *keys)
 
 
 def window_counts(points: DataFrame, genome: DataFrame, size: int, pos: str = "pos", keys: Sequence[str] = ()) -> DataFrame:
     """Zero-filled counts of positions for each tile (and each value of keys): chrom, idx, start, end, keys, count."""
     counted = points.groupBy("chrom", F.floor(F.col(pos) / size).alias("idx"), *keys).agg(F.count(F.lit(1)).alias("count"))
-    grid = tiles(genome, size)
-    if keys:
-        grid = grid.crossJoin(F.broadcast(points.select(*keys).distinct()))
+    each = points.select(*keys).distinct().crossJoin(F.broadcast(genome.select("chrom", "size"))) if keys else genome  # a row a chromosome
+    grid = tiles(each, size, keys)
     return grid.join(counted, ["chrom", "idx", *keys], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
