@@ -41,11 +41,11 @@ _CHROMOSOMES = [(f"chr{i}", SIZE) for i in range(1, 23)]
 
 @query(_READS + """ SELECT * REPLACE (coalesce(start, -1) AS start, coalesce("end", -1) AS "end", coalesce(next_start, -1) AS next_start) FROM b""")
 def file_bam(spark, d):
-    """Every field of alignments that were written as files in order of their places, absent places as -1; ranges of 64 kB
+    """Every field of alignments that were written as files in order of their places, absent places as -1; ranges of 512 kB
     cut the files anywhere."""
     path = _place(spark, "bam")
     write_bam(_reads(spark, d), path, _CHROMOSOMES)
-    return read_bam(spark, path, range_bytes=1 << 16).withColumn("tags", F.concat_ws(" ", "tags")).fillna(-1, ["start", "end", "next_start"])
+    return read_bam(spark, path, range_bytes=1 << 19).withColumn("tags", F.concat_ws(" ", "tags")).fillna(-1, ["start", "end", "next_start"])
 
 
 @query(_READS + " SELECT name, contig, start, cigar FROM b WHERE contig IN ('chr3', 'chr17') AND start >= 6000000")
