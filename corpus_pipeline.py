@@ -25,7 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group linked by SimHash, verified at a similarity of 0.8 or more of five-word shingles, and by the
+    exact way for texts of that similarity whose fingerprints lie further apart."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

@@ -172,7 +172,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fingerprint_groups(prints, radius, cap=cap)
 
 
-# --- near-duplicates by five-word shingles ---------------------------------------------------------------------------
+# --- near-duplicates: fingerprints, verified by five-word shingles ------------------------------------------------------
 
 
 def _shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -276,6 +276,13 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return stored(lists.withColumn("k", take).where("k > 0").select("id", F.explode(F.slice("x", F.lit(1), F.col("k"))["s"]).alias("s")), "prefixes")
 
 
+def _open_prefixes(prefix: DataFrame, settled: DataFrame) -> DataFrame:
+    """The rows of `prefix` (id, s) of shingles whose sets are not all in one group of `settled` (node, component)."""
+    known = prefix.join(settled.withColumnRenamed("node", "id"), "id", "left").select("s", F.coalesce("component", "id").alias("c"))
+    still = known.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    return stored(prefix.join(still, "s", "left_semi").select("id", "s"), "open-prefixes")
+
+
 def _prefix_links(prefix: DataFrame) -> DataFrame:
     """src, dst: links that connect all sets that share a shingle of their prefixes."""
     low = prefix.groupBy("s").agg(F.min("id").alias("dst"), F.max("id").alias("high")).where("dst < high").select("s", "dst")
@@ -308,6 +315,66 @@ def _candidate_groups(sets: DataFrame, prefix: DataFrame, cap: int) -> DataFrame
     return sets.join(whole.unionByName(named), "id").select("g", "id", "s")
 
 
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (id, text) as id, s: the hashes of each one's different shingles (stored)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [_shingle_set(t, shingle).view(np.int64) for _, ts in texts_of(b.column(1)) for t in ts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return stored(map_arrow(texts, run, "id long, s array<long>"), "shingle-sets")
+
+
+def _verified_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: links that connect the sets of each cell (g, cell_a, cell_b, part, id, s) as all pairs of the similarity do."""
+
+    def verify(key, rows):
+        if rows.num_rows < 2:
+            return None
+        _, a, b = key
+        part, ids = rows.column("part").to_numpy(), rows.column("id").to_numpy()
+        col = rows.column("s").combine_chunks()
+        starts, vals = col.offsets.to_numpy() - col.offsets[0].as_py(), col.flatten().to_numpy()
+        sizes = np.diff(starts)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(vals, kind="stable")
+        _, code, count = np.unique(vals, return_inverse=True, return_counts=True)
+        at = np.concatenate(([0], np.cumsum(count)))
+        postings, forest = owner[order], Forest()
+        for q in np.flatnonzero(part == b):
+            mine = code[starts[q] : starts[q + 1]]
+            hit = np.concatenate([postings[at[c] : at[c + 1]] for c in mine]) if len(mine) else postings[:0]
+            share = np.bincount(hit, minlength=len(ids))
+            ok = share >= similarity * (sizes + sizes[q] - share)
+            ok &= (part == a) & (sizes > 0) if sizes[q] else (part == a) & (sizes == 0)
+            for m in np.flatnonzero(ok):
+                forest.join(int(ids[q]), int(ids[m]))
+        src, dst = forest.edges()
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return map_runs(cells, ["g", "cell_a", "cell_b"], verify, "src long, dst long")
+
+
+def _simhash_links(texts: DataFrame, shingle: int, similarity: float, cap: int, feature: int, radius: int) -> DataFrame:
+    """src, dst: links of the similarity between texts (id, text) whose fingerprints of `feature`-word shingles are linked,
+    over any number of others, at `radius` bits or less; each is verified on whole shingle sets.
+
+    A linked group is one cell up to `cap` texts. A larger one is cut into parts, all of which hold the group's first text, so
+    that work grows with the texts; the exact way after this one links what two parts have in common beside it.
+    """
+    prints = stored(with_fingerprints(texts, "id", "text", feature), "fingerprints")
+    groups = fingerprint_groups(prints, radius, intact=2).select("id", F.col("component").alias("g")).distinct()
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / cap).cast("int").alias("k"))
+    own = F.array(F.pmod(F.xxhash64("id", F.lit(97)), F.col("k")).cast("int"))
+    places = F.when(F.col("id") == F.col("g"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)
+    cells = stored(groups.join(sizes, "g").select("g", "id", F.explode(places).alias("part")), "fingerprint-cells")
+    ids = stored(cells.select("id").distinct(), "fingerprint-candidates")
+    sets = _shingle_sets(join_small(texts, ids, ["id"], "left_semi", ids.count()), shingle)
+    cells = cells.join(sets, "id").select("g", F.col("part").alias("cell_a"), F.col("part").alias("cell_b"), "part", "id", "s")
+    return stored(_verified_links(cells, similarity), "fingerprint-links")
+
+
 def _with_numbers(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
     """docs with ids that are no integers replaced by their places in order, and the table (id, number) of them."""
     if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
@@ -316,13 +383,16 @@ def _with_numbers(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame |
     return docs.join(names, docs[id_col] == names["id"]).drop("id").drop(id_col).withColumnRenamed("number", id_col), names
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 1200) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 1200, feature: int = 2, radius: int = 4) -> DataFrame:
     """id, component (the smallest id of the group) of documents whose shingle sets have a Jaccard similarity of at least
     `similarity`, linked directly or over others.
 
-    Candidates lose nothing: texts that share too few shingles with all others leave first, then those of the rest that
-    share a shingle of their prefixes are linked. Exact copies collapse before. Candidates' groups are then verified on
-    whole shingle sets, in bounded cells, and only verified links make components.
+    Exact copies collapse first. SimHash fingerprints of all texts (`feature`-word shingles) are then linked at `radius` bits or
+    less by BK-trees in shards, and the linked texts are verified on whole shingle sets. A similarity sets no bound to the
+    bits, so the rest is found in an exact way: texts that share too few shingles with all others leave, then those that
+    share a shingle of their prefixes are linked, but for shingles whose texts fingerprints have put into one group. These
+    groups are verified like the others, in bounded cells, and only verified links make components. So the result depends
+    on neither `feature` nor `radius`; they tell how much is left for the exact way.
 
     Null texts and texts without words form one group. Ids may be of any type that has an order; rows that repeat an id are
     one document, with the links of all its texts, and each gets a row; rows with a null id get a null component and link
@@ -348,42 +418,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = stored(prints.join(texts.select("id"), "id", "left_anti").select("id").distinct(), "copies")
     buckets = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // FLUSH_SHINGLES
     single = join_small(base, copies, ["id"], "left_anti", copies.count())
+    near = _simhash_links(single, shingle, similarity, cap, feature, radius)
     some = stored(_sharing(single, shingle, similarity, buckets), "sharing-texts")
-
-    def shingles(batches):
-        for b in batches:
-            sets = [_shingle_set(t, shingle).view(np.int64) for _, ts in texts_of(b.column(1)) for t in ts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    sets = stored(map_arrow(join_small(single, some, ["id"], "left_semi", some.count()), shingles, "id long, s array<long>"), "shingle-sets")
-    groups = _candidate_groups(sets, _prefixes(sets, similarity), cap)
-    sets = with_grid(stored(groups, "candidate-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
-
-    def verify(key, rows):
-        if rows.num_rows < 2:
-            return None
-        _, a, b = key
-        part, ids = rows.column("part").to_numpy(), rows.column("id").to_numpy()
-        col = rows.column("s").combine_chunks()
-        starts, vals = col.offsets.to_numpy() - col.offsets[0].as_py(), col.flatten().to_numpy()
-        sizes = np.diff(starts)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(vals, kind="stable")
-        _, code, count = np.unique(vals, return_inverse=True, return_counts=True)
-        at = np.concatenate(([0], np.cumsum(count)))
-        postings, forest = owner[order], Forest()
-        for q in np.flatnonzero(part == b):
-            mine = code[starts[q] : starts[q + 1]]
-            hit = np.concatenate([postings[at[c] : at[c + 1]] for c in mine]) if len(mine) else postings[:0]
-            share = np.bincount(hit, minlength=len(ids))
-            ok = share >= similarity * (sizes + sizes[q] - share)
-            ok &= (part == a) & (sizes > 0) if sizes[q] else (part == a) & (sizes == 0)
-            for m in np.flatnonzero(ok):
-                forest.join(int(ids[q]), int(ids[m]))
-        src, dst = forest.edges()
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    verified = map_runs(sets, ["g", "cell_a", "cell_b"], verify, "src long, dst long")
+    sets = _shingle_sets(join_small(single, some, ["id"], "left_semi", some.count()), shingle)
+    groups = _candidate_groups(sets, _open_prefixes(_prefixes(sets, similarity), components(near)), cap)
+    cells = with_grid(stored(groups, "candidate-sets"), "g", "id", cap).select("g", "cell_a", "cell_b", "part", "id", "s")
+    verified = near.unionByName(_verified_links(cells, similarity))
     final = components(verified).select(F.col("node").alias("low"), "component")
     named = texts.select("h", "l", F.col("id").alias("low")).join(final, "low", "left").select("h", "l", F.coalesce("component", "low").alias("component"))
     out = prints.select("id", "h", "l").join(named, ["h", "l"]).select("id", "component")
