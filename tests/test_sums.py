@@ -82,3 +82,13 @@ def test_combinations_do_not_list_pairs(spark):
     got = te.region_combinations_of(e, t)
     assert rows(got) == rows(te.region_combinations(te.te_overlaps(e, t))) and got.count() > 20
     assert "overlap_bp" not in got._jdf.queryExecution().toString()
+
+
+def listed(got):
+    return "overlap_bp" in got._jdf.queryExecution().toString()
+
+
+def test_region_combinations_of_many_categories(spark):
+    e, t = tables(spark, 5)
+    got = te.region_combinations_of(e, t.withColumn("te_family", F.col("te_name")), 0.01)
+    assert rows(got) == rows(te.region_combinations(te.te_overlaps(e, t.withColumn("te_family", F.col("te_name"))), 0.01)) and not listed(got)
