@@ -92,3 +92,9 @@ def test_region_combinations_of_many_categories(spark):
     e, t = tables(spark, 5)
     got = te.region_combinations_of(e, t.withColumn("te_family", F.col("te_name")), 0.01)
     assert rows(got) == rows(te.region_combinations(te.te_overlaps(e, t.withColumn("te_family", F.col("te_name"))), 0.01)) and not listed(got)
+
+
+def test_family_share_does_not_list_pairs(spark):
+    e, t = tables(spark)
+    got = te.family_share_of(e, t)
+    assert rows(got) == rows(te.family_share(te.te_overlaps(e, t)).select(got.columns)) and not listed(got)
