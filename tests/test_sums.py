@@ -98,3 +98,11 @@ def test_family_share_does_not_list_pairs(spark):
     e, t = tables(spark)
     got = te.family_share_of(e, t)
     assert rows(got) == rows(te.family_share(te.te_overlaps(e, t)).select(got.columns)) and not listed(got)
+
+
+def test_classify_does_not_list_pairs(spark):
+    e, t = tables(spark)
+    pairs = te.te_overlaps(e, t)
+    got = te.classify_of(e, t)
+    assert rows(got) == rows(te.classify(e, pairs)) and not listed(got)
+    assert {r.classification for r in got.collect()} >= {"no_TE", "single_TE", "composite_TE"}
