@@ -106,3 +106,9 @@ def test_classify_does_not_list_pairs(spark):
     got = te.classify_of(e, t)
     assert rows(got) == rows(te.classify(e, pairs)) and not listed(got)
     assert {r.classification for r in got.collect()} >= {"no_TE", "single_TE", "composite_TE"}
+
+
+def test_counts_of_classes_do_not_list_pairs(spark):
+    e, t = tables(spark)
+    got = te.counts_of(te.classify_of(e, t), "classification")
+    assert rows(got) == rows(te.counts_of(te.classify(e, te.te_overlaps(e, t)), "classification")) and not listed(got)
