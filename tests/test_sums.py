@@ -112,3 +112,9 @@ def test_counts_of_classes_do_not_list_pairs(spark):
     e, t = tables(spark)
     got = te.counts_of(te.classify_of(e, t), "classification")
     assert rows(got) == rows(te.counts_of(te.classify(e, te.te_overlaps(e, t)), "classification")) and not listed(got)
+
+
+def test_per_region_does_not_list_pairs(spark):
+    e, t = tables(spark)
+    got = te.per_region_of(e, t)
+    assert rows(got) == rows(te.per_region(e, te.te_overlaps(e, t))) and not listed(got)
