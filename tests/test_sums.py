@@ -118,3 +118,9 @@ def test_per_region_does_not_list_pairs(spark):
     e, t = tables(spark)
     got = te.per_region_of(e, t)
     assert rows(got) == rows(te.per_region(e, te.te_overlaps(e, t))) and not listed(got)
+
+
+def test_classes_from_summary_do_not_list_pairs(spark):
+    e, t = tables(spark)
+    got = te.classify_from_summary(te.per_region_of(e, t))
+    assert rows(got) == rows(te.classify_from_summary(te.per_region(e, te.te_overlaps(e, t)))) and not listed(got)
