@@ -124,3 +124,13 @@ def test_classes_from_summary_do_not_list_pairs(spark):
     e, t = tables(spark)
     got = te.classify_from_summary(te.per_region_of(e, t))
     assert rows(got) == rows(te.classify_from_summary(te.per_region(e, te.te_overlaps(e, t)))) and not listed(got)
+
+
+def test_summary_tallies_regions(spark):
+    e, t = tables(spark)
+    pairs = te.te_overlaps(e, t)
+    got, want = te.summary_of(e, t), te.summary(te.per_region(e, pairs), pairs)
+    assert rows(got) == rows(want) and want.count() > 10 and not listed(got)
+    plain = te.per_region(e, pairs).agg(F.count("*"), F.sum("te_bp"), F.bround(F.avg("te_pct"), 4), F.bround(F.percentile("te_pct", 0.5), 4)).first()
+    value = {r.metric: r.value for r in got.collect()}
+    assert (value["total_regions"], value["total_te_bp"], value["mean_te_pct"], value["median_te_pct"]) == tuple(plain)
