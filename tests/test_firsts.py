@@ -50,7 +50,7 @@ def test_first_truth_lists_no_pairs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
-@pytest.mark.parametrize("name", ["benchmark_by_state", "benchmark_compare", "file_truth", "benchmark_by_length", "benchmark_confusion", "benchmark_metrics", "benchmark_missed"])
+@pytest.mark.parametrize("name", ["benchmark_by_state", "benchmark_compare", "file_truth", "benchmark_by_length", "benchmark_confusion", "benchmark_metrics", "benchmark_missed", "benchmark_matches"])
 def test_queries_find_first_truth_in_cells(spark, name):
     """No pairs are sorted or shuffled: features travel with their order and one row of each detection comes back."""
     assert "_f_ord" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
