@@ -13,6 +13,7 @@ from orbispan.operators import benchmark, firsts
 from orbispan.operators.intervals import overlap_join
 from orbispan.operators.sums import CELL
 from orbispan.plans import catalog
+from orbispan.scratch import checkpointed
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,20 @@ def test_first_truth_lists_no_pairs(spark):
 def test_queries_find_first_truth_in_cells(spark, name):
     """No pairs are sorted or shuffled: features travel with their order and one row of each detection comes back."""
     assert "_f_ord" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_unique_matches_without_a_table_of_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    place = lambda: (r.choice(["a", "a", "b", None]), s := r.randrange(9000), s + r.choice([0, 1, 9, 60, 300, 900, 4000]))
+    d = spark.createDataFrame([(f"d{i}", r.randrange(90), *place()) for i in range(500)], "det_id string, ord long, chrom string, start long, end long")
+    t = spark.createDataFrame([(f"t{r.randrange(280)}", r.randrange(9), *place()) for i in range(300)], "name string, ord long, chrom string, start long, end long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    wrote = []
+    monkeypatch.setattr(benchmark, "checkpointed", lambda df: wrote.append(df) or checkpointed(df))
+    got = rows(benchmark.unique_matches(d, t, 0.5))
+    assert not wrote
+    monkeypatch.setattr(benchmark, "HELD", 10)
+    want = rows(benchmark.unique_matches(d, t, 0.5))
+    assert wrote and got == want and len(got) > 100
+    whole = firsts._Free([pa.RecordBatch.from_pydict({"start": [0, 5], "end": [90, 95], "ord": [2, 1], "name": ["x", "y"]})], ["ord"], "name")
+    assert whole.taken(np.array([0, 0, 0]), np.array([90, 90, 90]), 0.5)[1] == [1, 0]
